@@ -165,7 +165,8 @@ def grouped_quantiles(
         .select(*keys, "n", "lo", "hi", p.alias("p"))
         .withColumn("pos", F.col("p") * (F.col("n") - 1))
     )
-    rank = F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos")))).cast("long")
+    ends = F.array(F.floor("pos").cast("long"), F.ceil("pos").cast("long"))
+    rank = F.explode(F.array_distinct(ends))
     state = stage(
         targets.select(*keys, rank.alias("r"), "lo", "hi", F.col("n").alias("m"))
         .withColumn("below", F.lit(0).cast("long"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.text import is_placeholder, placeholder_to_null, snake_case, strip
 from tabloom.operators.columns import rename_snake_case
+from tabloom.operators.profile import fewer_values
 from tabloom.operators.quantiles import approx_medians, exact_medians
 from tabloom.types import col, is_number, numeric_columns, text_columns, value
 
@@ -321,14 +322,6 @@ def _spread(df: DataFrame, c: str) -> list:
     return [F.avg(x), F.stddev_samp(x), F.approx_count_distinct(x, 0.01)]
 
 
-def _too_few_values(df: DataFrame, c: str, estimate: int) -> bool:
-    # the sketch never exceeds the true count when that is five or less, so only small
-    # estimates need the exact count, which is then cheap
-    if estimate > MIN_DISTINCT:
-        return False
-    return df.agg(F.count_distinct(value(df, c))).first()[0] <= MIN_DISTINCT
-
-
 def _within(df: DataFrame, c: str, mean: float, std: float, z: float):
     distance = F.abs((value(df, c).cast("double") - F.lit(mean)) / F.lit(std))
     return ~F.coalesce(distance > z, F.lit(False))
@@ -351,7 +344,7 @@ def fit_remove_outliers(
         spreads = [tuple(s) for s in stats]
     for i, c in enumerate(names):
         mean, std, estimate = spreads[i] if one_pass else rows.agg(*_spread(rows, c)).first()
-        if not std or std != std or _too_few_values(df if one_pass else rows, c, estimate):
+        if not std or std != std or fewer_values(df if one_pass else rows, c, MIN_DISTINCT + 1, estimate):
             continue
         bounds.append([c, mean, std])
         rows = rows.where(_within(rows, c, mean, std, z_threshold))

@@ -107,6 +107,20 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+def fewer_values(df: DataFrame, name: str, limit: int, estimate: int | None = None) -> bool:
+    """Whether a column has fewer than ``limit`` distinct values (for small limits).
+
+    A sketch of this precision never exceeds a small true count, so an estimate at or above
+    the limit settles the question and only small ones need the exact count, which is then
+    cheap.
+    """
+    if estimate is None:
+        estimate = df.agg(F.approx_count_distinct(value(df, name), 0.01)).first()[0]
+    if estimate >= limit:
+        return False
+    return df.agg(F.count_distinct(value(df, name))).first()[0] < limit
+
+
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """``column, type, unique, nulls, details`` per column.
 

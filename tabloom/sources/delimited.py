@@ -104,7 +104,8 @@ def read_csv_text(
     schema = T.StructType([*cells, T.StructField(CORRUPT, T.StringType())])
     raw = reader.schema(schema).csv(path, header=header)
     record = F.col(CORRUPT)
-    message = F.concat(F.lit(f"expected {width} fields: "), record)
+    # naming a data column keeps the check legal in plans that need no column, such as count
+    message = F.concat(F.lit(f"expected {width} fields: "), record, F.lit(" "), F.coalesce("c0", F.lit("")))
     too_long = record.isNotNull() & (_token_count(record, sep) > width)
     whole = raw.where(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
     return whole.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -163,15 +163,15 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
         return rows.where("x is not null").groupBy(*box).agg(*whiskers)
     quartiles = (
         grouped_quantiles(df, [by], column, [0.25, 0.5, 0.75])
-        .groupBy(col(by).alias("g"))
+        .groupBy(col(by).alias("_box"))
         .pivot("p", [0.25, 0.5, 0.75])
         .agg(F.first("quantile"))
-        .toDF("g", *box)
+        .toDF("_box", *box)
     )
-    rows = df.select(col(by).alias(by), x.alias("x")).where("x is not null")
+    rows = df.select(col(by).alias("_by"), x.alias("x")).where("x is not null")
     return (
-        rows.join(quartiles, col(by).eqNullSafe(F.col("g")))
-        .groupBy(col(by), *box)
+        rows.join(quartiles, F.col("_by").eqNullSafe(F.col("_box")))
+        .groupBy(F.col("_by").alias(by), *box)
         .agg(*whiskers)
     )
 

@@ -99,7 +99,8 @@ def fit_features(
             filled_sql = f"COALESCE({_number(used, c)}, {medians[c]!r}D)"
             expr = f"({filled_sql} - {mean!r}D) / {std!r}D"
         else:
-            expr = f"COALESCE({_quoted(c)}, {_text(modes[c])})"
+            # the sign keeps the empty string usable as a category name
+            expr = f"CONCAT('=', COALESCE({_quoted(c)}, {_text(modes[c])}))"
         columns.append(f"{expr} AS {names[c]}")
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")]
     vectors = [names[c] for c in numeric]

@@ -143,6 +143,7 @@ def estimator(checked: CheckedSpec, rows: int, classes: int = 0):
                 elasticNetParam=1.0 if penalty == "l1" else 0.0,
                 maxIter=params.get("max_iter", 100),
                 standardization=False,  # the features already are
+                tol=1e-4,
             )
         case "LinearRegression":
             if params.get("positive"):
@@ -158,10 +159,11 @@ def estimator(checked: CheckedSpec, rows: int, classes: int = 0):
                 **weighted,
                 regParam=_strength(params, rows),
                 standardization=False,
+                tol=1e-3,
             )
             if classes <= 2:
                 return svc
-            return OneVsRest(classifier=svc, rawPredictionCol="_raw", **supervised, **weighted)
+            return OneVsRest(classifier=svc, rawPredictionCol="_raw", parallelism=4, **supervised, **weighted)
         case "KMeans":
             starts = {"k-means++": "k-means||", "random": "random"}
             if params.get("init", "k-means++") not in starts:

@@ -35,7 +35,8 @@ def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     Nulls are equal. Copies are combined before the shuffle, so many copies of one row
     cost no more than one.
     """
-    copies = df.groupBy(*[col(c) for c in subset or df.columns]).agg(F.count("*").alias("n"))
+    keys = [col(c).alias(f"g{i}") for i, c in enumerate(subset or df.columns)]
+    copies = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 

@@ -38,6 +38,7 @@ from tabloom.types import Roles, col, value
 
 CLASSES_BELOW = 20  # a numeric label with fewer values is a class label
 MAX_CLASSES = 1000
+ROWS_PER_TASK = 5000
 
 
 @dataclass
@@ -259,11 +260,12 @@ def train(
         vectors, held = vectors.randomSplit([1 - holdout, holdout], seed=42)
     else:
         held = None
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    # fits pass over the vectors many times: no more tasks per pass than the rows are worth
+    n = vectors.count()
+    if n == 0:
+        raise ValueError("no rows to train on")
+    vectors = vectors.coalesce(max(1, n // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = vectors.count()
-        if n == 0:
-            raise ValueError("no rows to train on")
 
         def fit(i: int) -> tuple[TrainedTarget, list[str]]:
             label = rows.schema[targets[i]].dataType.simpleString()

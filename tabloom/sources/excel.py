@@ -120,10 +120,15 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """One table from a workbook or a folder of workbooks with the same header."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return workbook_table(files)
+
+
+def workbook_table(files: DataFrame) -> DataFrame:
+    """One table from workbooks given as ``path`` and ``content`` columns."""
     rows = files.select("path", "content").mapInPandas(_read_batches, ROW_SCHEMA)
     header = rows.where("row = 0").orderBy("path").first()
     if header is None:
-        raise ValueError(f"no workbook with a header row in {path}")
+        raise ValueError("no workbook with a header row")
     names = unique_names([c.text for c in header.cells])
     body = rows.where("row > 0").select(
         *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import sys
 import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from catalog import query, table
@@ -20,6 +22,9 @@ from tabloom.sources import files
 from tabloom.sources.excel import workbook_table
 from tabloom.streaming.apply import clean_stream, write_stream
 
+# the two task functions below travel to the executors with their code
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _scratch(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

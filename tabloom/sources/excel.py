@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,9 @@ RELS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DATE_FORMAT_IDS = {*range(14, 23), *range(45, 48)}
 EPOCH = datetime(1899, 12, 30)
 
+# the reading functions travel to the tasks, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _tree(book: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(book.read(name)) if name in book.namelist() else None

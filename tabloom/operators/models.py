@@ -92,7 +92,11 @@ def check_spec(spec: dict | None, task: str) -> CheckedSpec:
     return CheckedSpec(algo, params, notes)
 
 
-def _tree_settings(params: dict) -> dict:
+# node ids (4 bytes per row and tree) are kept between passes up to this many
+MAX_CACHED_NODE_IDS = 1_000_000_000
+
+
+def _tree_settings(params: dict, rows: int, trees: int = 1) -> dict:
     # sklearn grows trees without a depth limit by default; Spark ML stops at 30
     depth = params.get("max_depth") or MAX_TREE_DEPTH
     if depth > MAX_TREE_DEPTH:
@@ -105,6 +109,7 @@ def _tree_settings(params: dict) -> dict:
         "minInstancesPerNode": leaf,
         "seed": params.get("random_state", 42),
         "maxMemoryInMB": 1024,  # more tree nodes per pass over the data
+        "cacheNodeIds": rows * trees <= MAX_CACHED_NODE_IDS,
     }
 
 
@@ -123,15 +128,17 @@ def estimator(checked: CheckedSpec, rows: int, classes: int = 0):
     if params.get("class_weight") not in (None, "balanced"):
         raise SpecError("class_weight must be 'balanced'")
     trees = {"numTrees": params.get("n_estimators", 100)}
+    forest = {**trees, **_tree_settings(params, rows, trees["numTrees"])} if "Forest" in algo else {}
+    tree = _tree_settings(params, rows) if "DecisionTree" in algo else {}
     match algo:
         case "RandomForestClassifier":
-            return RandomForestClassifier(**scored, **weighted, **trees, **_tree_settings(params))
+            return RandomForestClassifier(**scored, **weighted, **forest)
         case "RandomForestRegressor":
-            return RandomForestRegressor(**supervised, **trees, **_tree_settings(params))
+            return RandomForestRegressor(**supervised, **forest)
         case "DecisionTreeClassifier":
-            return DecisionTreeClassifier(**scored, **weighted, **_tree_settings(params))
+            return DecisionTreeClassifier(**scored, **weighted, **tree)
         case "DecisionTreeRegressor":
-            return DecisionTreeRegressor(**supervised, **_tree_settings(params))
+            return DecisionTreeRegressor(**supervised, **tree)
         case "LogisticRegression":
             penalty = params.get("penalty", "l2")
             if penalty not in ("l1", "l2", None):

@@ -22,7 +22,7 @@ from tabloom.types import col, value
 
 BINS = 1024
 LARGEST = sys.float_info.max
-SMALL = 4096  # a bracket with at most this many rows is read value by value
+SMALL = 5000  # a bracket with at most this many rows is read value by value
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:

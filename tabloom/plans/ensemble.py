@@ -38,7 +38,8 @@ from tabloom.types import Roles, col, value
 
 CLASSES_BELOW = 20  # a numeric label with fewer values is a class label
 MAX_CLASSES = 1000
-ROWS_PER_TASK = 5000
+MIN_ROWS_PER_TASK = 500
+SMALL_ROWS, SMALL_FITS, LARGE_FITS = 1_000_000, 8, 2
 
 
 @dataclass
@@ -221,23 +222,27 @@ def train(
     roles: Roles,
     spec: dict | None = None,
     task: str | None = None,
+    targets: list[str] | None = None,
     key: str | None = None,
     full: bool = False,
     holdout: float | None = None,
     max_categories: int = MAX_CATEGORIES,
     max_classes: int = MAX_CLASSES,
     approximate: bool = False,
-    parallelism: int = 2,
+    parallelism: int | None = None,
 ) -> Ensemble:
     """Train one model per target (a clustering without targets) on shared features.
 
+    The targets follow from the roles unless they are named.
+
     Larger tables are trained on a fixed sample of 5,000 rows unless ``full``. Features are
     prepared once; the vectors are kept for all targets, which are fitted ``parallelism`` at
-    a time, each fit being a distributed job. ``holdout`` sets a share of rows aside and adds
+    a time (more for small tables), each fit being a distributed job. ``holdout`` sets a share of rows aside and adds
     metrics on them.
     """
     df = drop_duplicate_names(df)
-    features, targets = resolve_features(roles, df.columns), resolve_targets(roles, df.columns)
+    features = resolve_features(roles, df.columns)
+    targets = resolve_targets(roles, df.columns) if targets is None else targets
     features = [c for c in features if c not in targets] or features
     if not features:
         raise ValueError("no feature columns")
@@ -248,38 +253,40 @@ def train(
         smaller = sample_rows(rows, SAMPLE_SIZE, key=key)
         result.sampled = smaller is not rows
         if result.sampled:
-            rows = stage(smaller)  # picked once, not again by every job below
+            rows = stage(smaller.repartition(SAMPLE_SIZE // MIN_ROWS_PER_TASK))  # picked once
     result.log.append("training on a sample of 5,000 rows" if result.sampled else "training on all rows")
     for target in targets:
         rows = _prepare_label(rows, target, key)
+    n, rows = (SAMPLE_SIZE, rows) if result.sampled else _spread(rows)
 
     shared = fit_features(rows, features, max_categories, approximate)
     result.log.append("features prepared")
+    tasks = {t: task or label_task(rows, t) for t in targets}
+    classes = {t: _classes(rows, t, max_classes) if tasks[t] == CLASSIFY else [] for t in targets}
     vectors = shared.transform(rows).select(VECTOR, *[col(t).alias(f"y{i}") for i, t in enumerate(targets)])
+    held = None
     if holdout:
         vectors, held = vectors.randomSplit([1 - holdout, holdout], seed=42)
-    else:
-        held = None
-    # fits pass over the vectors many times: no more tasks per pass than the rows are worth
-    n = vectors.count()
-    if n == 0:
-        raise ValueError("no rows to train on")
-    vectors = vectors.coalesce(max(1, n // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    # an estimator keeps its own copy of the rows; another one pays off for several fits only
+    several = len(targets) > 1
+    if several:
+        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
         def fit(i: int) -> tuple[TrainedTarget, list[str]]:
-            label = rows.schema[targets[i]].dataType.simpleString()
-            return _fit_target(vectors, held, f"y{i}", targets[i], label, shared, spec, task, n, max_classes)
+            t = targets[i]
+            dtype = rows.schema[t].dataType.simpleString()
+            return _fit_target(vectors, held, f"y{i}", t, dtype, shared, spec, tasks[t], classes[t], n)
 
         if not targets:
             fitted = [_fit_clusters(vectors, shared, spec, n)]
-        elif len(targets) == 1:
-            fitted = [fit(0)]
         else:
-            with ThreadPoolExecutor(parallelism) as pool:
+            at_once = parallelism or (SMALL_FITS if n <= SMALL_ROWS else LARGE_FITS)
+            with ThreadPoolExecutor(at_once) as pool:
                 fitted = list(pool.map(fit, range(len(targets))))
     finally:
-        vectors.unpersist()
+        if several:
+            vectors.unpersist()
     for trained, notes in fitted:
         name = trained.target or "cluster"
         result.targets[name] = trained
@@ -287,10 +294,24 @@ def train(
     return result
 
 
-def _fit_target(vectors, held, y, target, label_type, shared, spec, task, n, max_classes):
-    task = task or label_task(vectors, y)
-    classes = _classes(vectors, y, max_classes) if task == CLASSIFY else []
+def _spread(rows: DataFrame) -> tuple[int, DataFrame]:
+    """Row count, and the rows on as many partitions as they are worth, up to one per core.
+
+    A table in one small file would otherwise be trained by one task: it is written once,
+    spread. Tables with more splits than cores stay as they are.
+    """
+    sizes = rows.groupBy(F.spark_partition_id().alias("part")).count()
+    n, parts = sizes.agg(F.sum("count"), F.count("*")).first()
+    if not n:
+        raise ValueError("no rows to train on")
+    worth = max(1, n // MIN_ROWS_PER_TASK)
+    wanted = min(worth, rows.sparkSession.sparkContext.defaultParallelism)
+    if parts < wanted:
+        return n, stage(rows.repartition(wanted))
+    return n, rows.coalesce(worth) if worth < parts else rows
+
 
+def _fit_target(vectors, held, y, target, label_type, shared, spec, task, classes, n):
     def labelled(frame: DataFrame) -> DataFrame:
         if task == REGRESS:
             return frame.select(VECTOR, col(y).cast("double").alias(LABEL))
@@ -348,7 +369,8 @@ def _fit_clusters(vectors, shared, spec, n):
         checked = check_spec(DEFAULTS[CLUSTER], CLUSTER)
         unfitted = estimator(checked, n)
     seed = checked.params.get("random_state", 42)
-    runs = [unfitted.copy({unfitted.seed: seed + i}).fit(vectors) for i in range(starts(checked))]
+    rows = vectors.select(VECTOR)
+    runs = [unfitted.copy({unfitted.seed: seed + i}).fit(rows) for i in range(starts(checked))]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     trained = TrainedTarget(None, CLUSTER, checked.algo, checked.params, shared, best)
     trained.metrics = {"clusters": best.summary.k, "training_cost": best.summary.trainingCost}

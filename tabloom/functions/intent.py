@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.session import stage
 from tabloom.types import col, is_number
 
 # A question that contains one of these asks for a prediction.
@@ -87,7 +88,8 @@ def category_values(
     by an equi-join.
     """
     cells = [F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("v")) for i, c in enumerate(features)]
-    values = (
+    # written once: read for its lengths and again by the join, which its true size decides
+    values = stage(
         data.select(F.inline(F.array(*cells)))
         .where(F.length("v") >= MIN_VALUE_LENGTH)
         .distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions.text import is_placeholder, placeholder_to_null, snake_case, strip
 from tabloom.operators.columns import rename_snake_case
-from tabloom.operators.profile import fewer_values
+from tabloom.operators.profile import fewer_values, most_frequent, row_keys
 from tabloom.operators.quantiles import approx_medians, exact_medians
 from tabloom.types import col, is_number, numeric_columns, text_columns, value
 
@@ -136,7 +136,7 @@ def _deduplicate(df: DataFrame, subset: list[str] | None, order_by: str | None)
         return df.dropDuplicates()
     # a limit on row_number is applied before the shuffle too, so that every map task sends
     # one row per value and a value held by a third of the table does not load one reducer
-    first = Window.partitionBy(*[col(c) for c in subset]).orderBy(col(order_by))
+    first = Window.partitionBy(*row_keys(df, subset)).orderBy(col(order_by))
     return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
@@ -179,24 +179,8 @@ def _replace_placeholder_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def exact_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent value per column as text, the smallest of equals, nulls skipped.
-
-    Counts are combined before the shuffle and keyed by value, so no task holds a column.
-    """
-    if not cols:
-        return {}
-    cells = [F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("v")) for i, c in enumerate(cols)]
-    top = (
-        df.select(F.inline(F.array(*cells)))
-        .where("v is not null")
-        .groupBy("i", "v")
-        .agg(F.count("*").alias("n"))
-        .groupBy("i")
-        .agg(F.min(F.struct(-F.col("n"), "v"))["v"].alias("v"))
-        .collect()  # one row per column
-    )
-    found = {row.i: row.v for row in top}
-    return {c: found.get(i) for i, c in enumerate(cols)}
+    """Most frequent value per column as text, the smallest of equals, nulls skipped."""
+    return {c: top.value for c, top in most_frequent(df, list(cols)).items()}
 
 
 def fit_impute(df: DataFrame, approximate: bool = False, fill_all: bool = False) -> FittedStep:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.ordering import sample_rows
 from tabloom.operators.profile import correlation_pairs, describe
 from tabloom.operators.quantiles import approx_medians, exact_medians, exact_quantiles, grouped_quantiles
+from tabloom.session import stage
 from tabloom.types import col, is_number, numeric_columns, value
 
 MIN_SUPPORT = 3  # a filtered summary needs at least this many rows
@@ -168,6 +169,8 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
         .agg(F.first("quantile"))
         .toDF("_box", *box)
     )
+    # written, so that its true size decides whether the join broadcasts it
+    quartiles = stage(quartiles)
     rows = df.select(col(by).alias("_by"), x.alias("x")).where("x is not null")
     return (
         rows.join(quartiles, F.col("_by").eqNullSafe(F.col("_box")))

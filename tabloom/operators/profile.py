@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.text import truncate
 from tabloom.operators.quantiles import exact_quantiles
 from tabloom.types import col, is_number, is_time, numeric_columns, value
 
+MAX_BROADCAST_KEYS = 100_000  # of at most 64 bytes
 PAIRS_PER_JOB = 300  # keeps one aggregation's buffer and generated code small
 
 # In-memory width in bytes of one cell of each fixed-width type.
@@ -29,13 +30,31 @@ WIDTHS = {
 }
 
 
+LONG = 64  # bytes
+
+
+def compact(c: Column) -> Column:
+    """Text as a grouping key of at most 64 bytes: long text is replaced by its SHA-256.
+
+    A digest is 64 characters and shorter text stays itself, so the two cannot be confused.
+    Shuffles and comparisons then cost the same for words and for whole documents.
+    """
+    return F.when(F.octet_length(c) < LONG, c).otherwise(F.sha2(c.cast("binary"), 256))
+
+
+def row_keys(df: DataFrame, names: list[str]) -> list[Column]:
+    """The cells of a row as grouping keys."""
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    return [compact(col(c)) if c in text else col(c) for c in names]
+
+
 def duplicate_rows(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """One row, ``duplicates``: rows beyond the first of each distinct (sub)row.
 
     Nulls are equal. Copies are combined before the shuffle, so many copies of one row
     cost no more than one.
     """
-    keys = [col(c).alias(f"g{i}") for i, c in enumerate(subset or df.columns)]
+    keys = [k.alias(f"g{i}") for i, k in enumerate(row_keys(df, subset or df.columns))]
     copies = df.groupBy(*keys).agg(F.count("*").alias("n"))
     return copies.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
@@ -97,9 +116,15 @@ def value_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
-def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``i, v, n``: how often each value of each column occurs; nulls skipped."""
-    cells = [F.struct(F.lit(i).alias("i"), value_text(df, c).alias("v")) for i, c in enumerate(cols)]
+def value_counts(df: DataFrame, cols: list[str], keys: bool = False) -> DataFrame:
+    """``i, v, n``: how often each value of each column occurs; nulls skipped.
+
+    With ``keys``, long values are counted under their digest.
+    """
+    texts = [value_text(df, c) for c in cols]
+    cells = [
+        F.struct(F.lit(i).alias("i"), (compact(t) if keys else t).alias("v")) for i, t in enumerate(texts)
+    ]
     return (
         df.select(F.inline(F.array(*cells)))
         .where("v is not null")
@@ -108,6 +133,59 @@ def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
+@dataclass
+class Frequent:
+    """Distinct values of a column, its most frequent value (the smallest of equals), its count."""
+
+    distinct: int = 0
+    value: str | None = None
+    n: int = 0
+
+
+def most_frequent(df: DataFrame, cols: list[str]) -> dict[str, Frequent]:
+    """One shuffle of (column, key) counts for all columns.
+
+    Keys are short even for documents. The text behind the winning digests is read back with
+    a filter, or with a join when very many long values tie.
+    """
+    if not cols:
+        return {}
+    counts = value_counts(df, cols, keys=True)
+    digest = F.length("v") == LONG
+    tops = (
+        counts.groupBy("i", "n")
+        .agg(
+            F.count("*").alias("tied"),
+            F.min(F.when(~digest, F.col("v"))).alias("short"),
+            F.count_if(digest).alias("digests"),
+            F.min(F.when(digest, F.col("v"))).alias("digest"),
+        )
+        .groupBy("i")
+        .agg(F.sum("tied").alias("distinct"), F.max(F.struct("n", "short", "digests", "digest")).alias("top"))
+        .collect()  # one row per column
+    )
+    found = {c: Frequent() for c in cols}
+    for row in tops:
+        name, top = cols[row.i], row.top
+        best = top.short
+        if top.digests:
+            text = value_text(df, name)
+            tied = counts.where((F.col("i") == row.i) & (F.col("n") == top.n) & digest).select("v")
+            if top.n == 1:
+                rows = df  # every value ties
+            elif top.digests == 1:
+                rows = df.where(compact(text) == top.digest)
+            elif top.digests <= MAX_BROADCAST_KEYS:
+                rows = df.join(F.broadcast(tied), compact(text) == F.col("v"), "left_semi")
+            else:
+                rows = df.join(tied, compact(text) == F.col("v"), "left_semi")
+            longest = rows.agg(F.min(F.when(F.octet_length(text) >= LONG, text))).first()[0]
+            # byte order, as in Spark
+            best = min((v for v in (best, longest) if v is not None), key=lambda v: v.encode())
+        found[name] = Frequent(row.distinct, best, top.n)
+    return found
+
+
 def fewer_values(df: DataFrame, name: str, limit: int, estimate: int | None = None) -> bool:
     """Whether a column has fewer than ``limit`` distinct values (for small limits).
 
@@ -126,77 +204,36 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """``column, type, unique, nulls, details`` per column.
 
     One aggregation gives nulls and number / time details. Distinct counts and most frequent
-    values come from one shuffle of (column, value) counts; ``approximate`` takes distinct
+    values come from one shuffle of (column, key) counts; ``approximate`` takes distinct
     counts from sketches instead, and then only categorical columns are shuffled.
     """
-    names = df.columns
-    details, sketches = [], []
-    for f in df.schema:
+    cells = []
+    for i, f in enumerate(df.schema):
         v = value(df, f.name)
         if is_number(f.dataType):
             x = v.cast("double")
             text = F.format_string("min=%.2f, max=%.2f, mean=%.2f", F.min(x), F.max(x), F.avg(x))
-            text = F.when(F.count(x) > 0, text)
+            details = F.when(F.count(x) > 0, text)
         elif is_time(f.dataType):
-            text = F.concat(F.min(v).cast("string"), F.lit(" → "), F.max(v).cast("string"))
+            details = F.concat(F.min(v).cast("string"), F.lit(" → "), F.max(v).cast("string"))
         else:
-            text = F.lit(None).cast("string")
-        details.append(text)
-        sketches.append(F.approx_count_distinct(v) if approximate else F.lit(None).cast("long"))
-    wide = df.agg(
-        *[F.count_if(value(df, c).isNull()).alias(f"m{i}") for i, c in enumerate(names)],
-        *[d.alias(f"d{i}") for i, d in enumerate(details)],
-        *[s.alias(f"u{i}") for i, s in enumerate(sketches)],
-    )
-    base = wide.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        F.lit(f.name).alias("column"),
-                        F.lit(f.dataType.simpleString()).alias("type"),
-                        F.col(f"u{i}").alias("estimate"),
-                        F.col(f"m{i}").alias("nulls"),
-                        F.col(f"d{i}").alias("number_details"),
-                        F.lit(is_number(f.dataType) or is_time(f.dataType)).alias("has_range"),
-                    )
-                    for i, f in enumerate(df.schema)
-                ]
-            )
-        )
-    )
-    counted = [
-        c
-        for c in names
-        if not approximate
-        or not (is_number(df.schema[c].dataType) or is_time(df.schema[c].dataType))
-    ]
-    top = (
-        value_counts(df, counted)
-        .groupBy("i")
-        .agg(
-            F.count("*").alias("distinct"),
-            F.min(F.struct((-F.col("n")).alias("neg"), "v")).alias("top"),
+            details = F.lit(None).cast("string")
+        distinct = F.approx_count_distinct(v) if approximate else F.lit(None).cast("long")
+        cells.append(
+            F.struct(
+                F.count_if(v.isNull()).alias("nulls"), details.alias("details"), distinct.alias("distinct")
+            ).alias(f"s{i}")
         )
-    )
-    position = F.element_at(
-        F.array(*[F.lit(names.index(c)) for c in counted]), F.col("i") + 1
-    ) if counted else F.col("i")
-    top = top.select(position.alias("i"), "distinct", "top")
-    # both sides have one row per column of the table
-    found = base.join(F.broadcast(top), "i", "left")
-    frequent = F.format_string(
-        "top: %s, freq: %d",
-        truncate(F.coalesce(F.col("top.v"), F.lit(""))),
-        F.coalesce(-F.col("top.neg"), F.lit(0)),
-    )
-    return found.select(
-        "column",
-        "type",
-        F.coalesce("distinct", "estimate", F.lit(0)).cast("long").alias("unique"),
-        "nulls",
-        F.when(F.col("has_range"), F.col("number_details")).otherwise(frequent).alias("details"),
+    stats = df.agg(*cells).first()
+    ranged = {f.name: is_number(f.dataType) or is_time(f.dataType) for f in df.schema}
+    frequent = most_frequent(df, [c for c in df.columns if not (approximate and ranged[c])])
+    rows = []
+    for f, s in zip(df.schema, stats):
+        top = frequent.get(f.name, Frequent(s.distinct))
+        details = s.details if ranged[f.name] else f"top: {(top.value or '')[:40]}, freq: {top.n}"
+        rows.append((f.name, f.dataType.simpleString(), top.distinct, s.nulls, details))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, type string, unique bigint, nulls bigint, details string"
     )
 
 

@@ -21,6 +21,7 @@ from tabloom.session import stage
 from tabloom.types import col, value
 
 BINS = 1024
+COLUMNS_PER_PASS = 32  # bounds the bin counts that one pass brings to the driver
 LARGEST = sys.float_info.max
 SMALL = 5000  # a bracket with at most this many rows is read value by value
 
@@ -43,6 +44,9 @@ def exact_quantiles(
     """Linearly interpolated quantiles of numeric columns, nulls and NaN skipped."""
     if not cols:
         return {}
+    if len(cols) > COLUMNS_PER_PASS:
+        rest = exact_quantiles(df, cols[COLUMNS_PER_PASS:], probs)
+        return exact_quantiles(df, cols[:COLUMNS_PER_PASS], probs) | rest
     xs = [value(df, c).cast("double") for c in cols]
     finite = [F.when(F.abs(x) < float("inf"), x) for x in xs]
     first = df.agg(

@@ -21,7 +21,6 @@ def spark(tmp_path_factory):
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.host": "127.0.0.1",
             "spark.driver.bindAddress": "127.0.0.1",
-            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("stage")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
     )

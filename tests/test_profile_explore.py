@@ -142,3 +142,40 @@ def test_group_summary_counts_text_and_averages_numbers(spark):
     df = spark.createDataFrame([(0, 1.0, "a"), (0, 2.0, None), (1, 5.555, "b")], "cluster int, x double, s string")
     got = {r.cluster: (r.x_count, r.x_mean, r.s_count) for r in explore.group_summary(df, "cluster").collect()}
     assert got == {0: (2, 1.5, 1), 1: (1, 5.56, 1)} or got[1][1] in (5.55, 5.56)
+
+
+def test_most_frequent_with_long_text(spark):
+    long = lambda c: c * 100
+    data = (
+        [(long("a"), long("x"), "s", None)] * 3
+        + [(long("b"), long("y"), "s", None)] * 3
+        + [("z", long("w"), long("q"), None)] * 2
+    )
+    df = spark.createDataFrame(data, "two string, several string, mixed string, none string")
+    got = profile.most_frequent(df, df.columns)
+    assert (got["two"].distinct, got["two"].value, got["two"].n) == (3, long("a"), 3)
+    assert (got["several"].value, got["mixed"].value, got["mixed"].n) == (long("x"), "s", 6)
+    assert (got["none"].distinct, got["none"].value, got["none"].n) == (0, None, 0)
+    unique = spark.createDataFrame([(long("c"),), ("d",), (long("b"),)], "t string")
+    assert profile.most_frequent(unique, ["t"])["t"].value == long("b")
+    short = spark.createDataFrame([(long("c"),), ("a",), (long("b"),)], "t string")
+    assert profile.most_frequent(short, ["t"])["t"].value == "a"
+
+
+def test_most_frequent_joins_when_very_many_long_values_tie(spark, monkeypatch):
+    monkeypatch.setattr(profile, "MAX_BROADCAST_KEYS", 1)
+    df = spark.createDataFrame([("v" * 90,)] * 2 + [("u" * 90,)] * 2 + [("t" * 90,)], "t string")
+    assert profile.most_frequent(df, ["t"])["t"].value == "u" * 90
+
+
+def test_long_and_short_rows_count_as_duplicates_alike(spark):
+    df = spark.createDataFrame([("k" * 500, None), ("k" * 500, None), ("k" * 499, None), (None, "a"), (None, "a")], "a string, b string")
+    assert profile.duplicate_rows(df).first().duplicates == 2
+
+
+def test_quantiles_of_many_columns(spark, monkeypatch):
+    from tabloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "COLUMNS_PER_PASS", 2)
+    df = spark.range(101).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(1, 6)])
+    assert quantiles.exact_medians(df, df.columns) == {f"c{i}": 50.0 * i for i in range(1, 6)}

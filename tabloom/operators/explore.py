@@ -12,7 +12,7 @@ from tabloom.operators.ordering import sample_rows
 from tabloom.operators.profile import correlation_pairs, describe
 from tabloom.operators.quantiles import approx_medians, exact_medians, exact_quantiles, grouped_quantiles
 from tabloom.session import stage
-from tabloom.types import col, is_number, numeric_columns, value
+from tabloom.types import col, is_number, numeric_columns, present, value
 
 MIN_SUPPORT = 3  # a filtered summary needs at least this many rows
 
@@ -24,7 +24,7 @@ def row_counts(df: DataFrame) -> DataFrame:
 def frequencies(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
     """``value, n`` by falling count (equal counts by value); ``k`` keeps the top rows."""
     out = (
-        df.where(value(df, column).isNotNull())
+        df.where(present(df, column))
         .groupBy(col(column).alias("value"))
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "value")
@@ -33,7 +33,7 @@ def frequencies(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.where(value(df, column).isNotNull()).select(col(column).alias("value")).distinct()
+    return df.where(present(df, column)).select(col(column).alias("value")).distinct()
 
 
 def input_stats(df: DataFrame, features: Sequence[str], approximate: bool = False) -> DataFrame:
@@ -75,7 +75,7 @@ def conditional_summary(
     Numeric targets: one row ``mean, median, min, max, count``. Other targets: the most
     common values ``value, n``. With conditions, nothing unless three rows match.
     """
-    rows = matching(df, conditions or {}).where(value(df, target).isNotNull())
+    rows = matching(df, conditions or {}).where(present(df, target))
     least = MIN_SUPPORT if conditions else 1
     x = value(df, target)
     if not is_number(df.schema[target].dataType):
@@ -128,7 +128,7 @@ def histogram(
     lo, hi = (0.0, 0.0) if schema_only else (float(lo), float(hi))
     width = (hi - lo) / bins if hi > lo else 1.0
     slot = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
-    inside = x.between(lo, hi) & F.lit(not schema_only)
+    inside = present(df, column) & x.between(lo, hi) & F.lit(not schema_only)
     start = F.lit(lo) + F.col("bin") * width
     return (
         df.where(inside)
@@ -160,8 +160,8 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     box = ["q1", "median", "q3"]
     if by is None:
         quartiles = exact_quantiles(df, [column], [0.25, 0.5, 0.75])[column]
-        rows = df.select(x.alias("x"), *[F.lit(q).cast("double").alias(n) for q, n in zip(quartiles, box)])
-        return rows.where("x is not null").groupBy(*box).agg(*whiskers)
+        known = [F.lit(q).cast("double").alias(n) for q, n in zip(quartiles, box)]
+        return df.where(present(df, column)).select(x.alias("x"), *known).groupBy(*box).agg(*whiskers)
     quartiles = (
         grouped_quantiles(df, [by], column, [0.25, 0.5, 0.75])
         .groupBy(col(by).alias("_box"))
@@ -171,7 +171,7 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     )
     # written, so that its true size decides whether the join broadcasts it
     quartiles = stage(quartiles)
-    rows = df.select(col(by).alias("_by"), x.alias("x")).where("x is not null")
+    rows = df.where(present(df, column)).select(col(by).alias("_by"), x.alias("x"))
     return (
         rows.join(quartiles, F.col("_by").eqNullSafe(F.col("_box")))
         .groupBy(F.col("_by").alias(by), *box)

@@ -112,7 +112,7 @@ def fill_gaps(
     )
     filled = F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col("_c"), fill)
     return (
-        keyed.join(F.broadcast(carry), "_b")  # at most MAX_BUCKETS rows
+        keyed.join(F.broadcast(carry), "_b", "left")  # at most MAX_BUCKETS rows
         .withColumn(column, filled)
         .select(*[col(n) for n in df.columns])
     )

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.session import stage
-from tabloom.types import col, value
+from tabloom.types import col, present, value
 
 BINS = 1024
 COLUMNS_PER_PASS = 32  # bounds the bin counts that one pass brings to the driver
@@ -159,9 +159,9 @@ def grouped_quantiles(
     keys = [f"g{i}" for i in range(len(by))]
     x = value(df, column).cast("double")
     x = F.least(F.greatest(x, F.lit(-LARGEST)), F.lit(LARGEST))  # infinities bin as the ends
-    data = df.select(
-        *[col(b).alias(k) for b, k in zip(by, keys)], F.when(value(df, column).isNotNull(), x).alias("x")
-    ).where("x is not null")
+    data = df.where(present(df, column)).select(
+        *[col(b).alias(k) for b, k in zip(by, keys)], x.alias("x")
+    )
     p = F.explode(F.array(*[F.lit(float(q)) for q in probs]))
     targets = stage(
         data.groupBy(*keys)

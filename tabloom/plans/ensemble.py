@@ -34,7 +34,7 @@ from tabloom.operators.models import (
 from tabloom.operators.ordering import SAMPLE_SIZE, fill_gaps, sample_rows
 from tabloom.operators.profile import fewer_values
 from tabloom.session import stage
-from tabloom.types import Roles, col, value
+from tabloom.types import Roles, col, present, value
 
 CLASSES_BELOW = 20  # a numeric label with fewer values is a class label
 MAX_CLASSES = 1000
@@ -200,7 +200,7 @@ def label_task(df: DataFrame, label: str) -> str:
 
 
 def _classes(df: DataFrame, label: str, max_classes: int) -> list:
-    found = df.select(col(label)).where(col(label).isNotNull()).distinct().limit(max_classes + 1).collect()
+    found = df.select(col(label)).where(present(df, label)).distinct().limit(max_classes + 1).collect()
     if len(found) > max_classes:
         raise ValueError(f"{label} has more than {max_classes} classes; group rare ones or raise max_classes")
     return sorted(row[0] for row in found)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tabloom.operators.explore import frequencies
 from tabloom.operators.models import CLASSIFY, CLUSTER, REGRESS
 from tabloom.plans.ensemble import CLASSES_BELOW
-from tabloom.types import Roles, col, is_number, value
+from tabloom.types import Roles, col, is_number, present
 
 
 @dataclass
@@ -75,7 +75,7 @@ def assess(df: DataFrame, roles: Roles) -> Readiness:
 
 def _assess_label(df: DataFrame, label: str, out: Readiness) -> None:
     counts = (
-        df.where(value(df, label).isNotNull()).groupBy(col(label).alias("value")).agg(F.count("*").alias("n"))
+        df.where(present(df, label)).groupBy(col(label).alias("value")).agg(F.count("*").alias("n"))
     )
     totals = counts.agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
     classes, samples = totals.classes, totals.n or 0

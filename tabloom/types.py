@@ -53,6 +53,13 @@ def value(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(c), c) if is_float(df.schema[name].dataType) else c
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """Whether the cell has a value, as a predicate that scans can use to skip data."""
+    c = col(name)
+    has = c.isNotNull()
+    return has & ~F.isnan(c) if is_float(df.schema[name].dataType) else has
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema if is_float(f.dataType)}
     if not floats:

@@ -185,3 +185,31 @@ def answered_questions(spark, folder):
     spec = {"algo": "DecisionTreeRegressor", "params": {"max_depth": 6}}
     fitted = train(part, Roles(["p_size", "p_brand", "p_type"], ["p_retailprice"]), spec, full=True)
     return questions.answer_questions(asked, "question", "p_partkey", part, fitted)
+
+
+@query(
+    """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem),
+ p AS (SELECT a * l_quantity + b AS p FROM lineitem, m)
+SELECT round(min(p), 3) AS min, round(max(p), 3) AS max, round(avg(p), 3) AS mean, round(stddev_pop(p), 3) AS std FROM p"""
+)
+def bulk_summary(spark, folder):
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    spec = {"algo": "LinearRegression"}
+    fitted = train(lines, Roles(["l_quantity"], ["l_extendedprice"]), spec, task="regression", full=True)
+    out = fitted["l_extendedprice"].summary(lines, "l_orderkey")
+    return out.select(*[rounded(c, 3) for c in ("min", "max", "mean", "std")])
+
+
+@query(
+    """WITH m AS (SELECT regr_slope(c_acctbal, c_nationkey) AS a, regr_intercept(c_acctbal, c_nationkey) AS b FROM customer)
+SELECT c_custkey::VARCHAR AS c_custkey, round(a * c_nationkey + b, 3) AS prediction FROM customer, m"""
+)
+def predict_csv(spark, folder):
+    customer = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    spec = {"algo": "LinearRegression"}
+    fitted = train(customer, Roles(["c_nationkey"], ["c_acctbal"]), spec, task="regression", full=True)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    customer.drop("c_acctbal").write.csv(f"{base}/in", header=True)
+    fitted["c_acctbal"].predict_csv(spark, f"{base}/in", f"{base}/out")
+    back = spark.read.csv(f"{base}/out", header=True, schema="c_custkey string, c_nationkey int, prediction double")
+    return back.select("c_custkey", rounded("prediction", 3))

@@ -7,14 +7,14 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.operators.columns import drop_duplicate_names, resolve_features, resolve_targets
-from tabloom.operators.explore import group_summary
+from tabloom.operators.explore import class_distribution, group_summary, prediction_summary
 from tabloom.operators.features import MAX_CATEGORIES, VECTOR, FeatureModel, fit_features
 from tabloom.operators.metrics import classification_report, regression_metrics
 from tabloom.operators.models import (
@@ -26,6 +26,7 @@ from tabloom.operators.models import (
     PROBABILITY,
     REGRESS,
     WEIGHT,
+    CheckedSpec,
     SpecError,
     check_spec,
     estimator,
@@ -34,6 +35,8 @@ from tabloom.operators.models import (
 from tabloom.operators.ordering import SAMPLE_SIZE, fill_gaps, sample_rows
 from tabloom.operators.profile import fewer_values
 from tabloom.session import stage
+from tabloom.sources.delimited import null_tokens, read_csv_text
+from tabloom.sources.files import write_csv
 from tabloom.types import Roles, col, present, value
 
 CLASSES_BELOW = 20  # a numeric label with fewer values is a class label
@@ -98,6 +101,27 @@ class TrainedTarget:
         ranked = sorted(totals.items(), key=lambda item: (-item[1], item[0]))[:k]
         return spark.createDataFrame(ranked, "feature string, importance double")
 
+    def summary(self, df: DataFrame, key: str) -> DataFrame:
+        """What the model predicts for a table: ranges for numbers, counts for classes."""
+        scored = self.predict(df)
+        if self.task == REGRESS:
+            return prediction_summary(scored, key)
+        return class_distribution(scored, "cluster" if self.task == CLUSTER else "prediction")
+
+    def predict_csv(self, spark: SparkSession, path: str, out: str | None = None, **options) -> DataFrame:
+        """Predictions for CSV files, written as CSV to the folder ``out`` if one is given.
+
+        Features are read with the types they were trained with, other columns as text, so
+        no inference pass is needed.
+        """
+        text = read_csv_text(spark, path, **options)
+        known = {c: self.features.types.get(c, "string") for c in text.columns}
+        cells = [null_tokens(col(c)).try_cast(t).alias(c) for c, t in known.items()]
+        scored = self.predict(text.select(*cells))
+        if out:
+            write_csv(scored, out)
+        return scored
+
     def card(self, spark: SparkSession) -> dict:
         return {
             "algorithm": self.algo,
@@ -220,7 +244,7 @@ def _prepare_label(df: DataFrame, target: str, key: str | None) -> DataFrame:
 def train(
     df: DataFrame,
     roles: Roles,
-    spec: dict | None = None,
+    spec: dict | Estimator | None = None,
     task: str | None = None,
     targets: list[str] | None = None,
     key: str | None = None,
@@ -233,7 +257,8 @@ def train(
 ) -> Ensemble:
     """Train one model per target (a clustering without targets) on shared features.
 
-    The targets follow from the roles unless they are named.
+    The targets follow from the roles unless they are named. ``spec`` is a declarative
+    specification or an unfitted Spark ML estimator of the caller.
 
     Larger tables are trained on a fixed sample of 5,000 rows unless ``full``. Features are
     prepared once; the vectors are kept for all targets, which are fitted ``parallelism`` at
@@ -319,14 +344,7 @@ def _fit_target(vectors, held, y, target, label_type, shared, spec, task, classe
         return frame.select(VECTOR, (position - 1).cast("double").alias(LABEL))
 
     rows = labelled(vectors)
-    checked = check_spec(spec, task)
-    notes = list(checked.notes)
-    try:
-        unfitted = estimator(checked, n, len(classes))
-    except SpecError as problem:
-        notes.append(f"{target}: {problem}; using the default model")
-        checked = check_spec(DEFAULTS[task], task)
-        unfitted = estimator(checked, n, len(classes))
+    checked, unfitted, notes = _choose(spec, task, target, n, len(classes))
     if checked.params.get("class_weight") == "balanced":
         counts = {r[0]: r[1] for r in rows.groupBy(LABEL).count().collect()}  # one row per class
         weights = [n / (len(classes) * counts[float(i)]) for i in range(len(classes))]
@@ -340,6 +358,24 @@ def _fit_target(vectors, held, y, target, label_type, shared, spec, task, classe
     return trained, notes
 
 
+def _choose(spec, task: str, name: str, n: int, classes: int) -> tuple[CheckedSpec, Estimator, list[str]]:
+    """The estimator to fit; the default one if the specification cannot be trained."""
+    if isinstance(spec, Estimator):
+        own = spec.copy()
+        for param, column in (("featuresCol", VECTOR), ("labelCol", LABEL), ("predictionCol", PREDICTION), ("probabilityCol", PROBABILITY)):
+            if own.hasParam(param):
+                own.set(own.getParam(param), column)
+        return CheckedSpec(type(spec).__name__, {}), own, []
+    checked = check_spec(spec, task)
+    notes = list(checked.notes)
+    try:
+        return checked, estimator(checked, n, classes), notes
+    except SpecError as problem:
+        notes.append(f"{name}: {problem}; using the default model")
+        checked = check_spec(DEFAULTS[task], task)
+        return checked, estimator(checked, n, classes), notes
+
+
 def _metrics(scored: DataFrame, task: str, classes: list) -> dict:
     if task == REGRESS:
         r = regression_metrics(scored, LABEL, PREDICTION).first()
@@ -360,16 +396,9 @@ def _metrics(scored: DataFrame, task: str, classes: list) -> dict:
 
 
 def _fit_clusters(vectors, shared, spec, n):
-    checked = check_spec(spec, CLUSTER)
-    notes = list(checked.notes)
-    try:
-        unfitted = estimator(checked, n)
-    except SpecError as problem:
-        notes.append(f"clustering: {problem}; using the default model")
-        checked = check_spec(DEFAULTS[CLUSTER], CLUSTER)
-        unfitted = estimator(checked, n)
-    seed = checked.params.get("random_state", 42)
+    checked, unfitted, notes = _choose(spec, CLUSTER, "cluster", n, 0)
     rows = vectors.select(VECTOR)
+    seed = unfitted.getSeed()
     runs = [unfitted.copy({unfitted.seed: seed + i}).fit(rows) for i in range(starts(checked))]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     trained = TrainedTarget(None, CLUSTER, checked.algo, checked.params, shared, best)

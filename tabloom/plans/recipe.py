@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import Transformer
 from pyspark.sql import DataFrame
 
 from tabloom.operators import clean
@@ -65,10 +66,13 @@ class CleanRecipe:
             (self.snake_case, clean.fit_snake_case),
         ]
 
-    def fit_transform(self, df: DataFrame) -> tuple["FittedRecipe", DataFrame]:
+    def fit_transform(
+        self, df: DataFrame, extra: Sequence[Callable | Transformer] = ()
+    ) -> tuple["FittedRecipe", DataFrame]:
         """Fit every chosen step on the output of the ones before it.
 
-        Deduplication is the one step that shuffles rows. Its result is written once, so the
+        ``extra`` steps of the caller, functions from table to table or Spark ML
+        transformers, run last. Deduplication is the one step that shuffles rows. Its result is written once, so the
         statistics of the later steps scan the needed columns of that table and do not
         repeat the shuffle.
         """
@@ -84,10 +88,26 @@ class CleanRecipe:
             before, df = df, stage(step.transform(df))
             if self.audit:
                 step.changes["rows_removed"] = before.count() - df.count()
+        for step in extra:
+            steps.append(CustomStep(step))
+            df = steps[-1].transform(df)
         return FittedRecipe(steps), df
 
-    def fit(self, df: DataFrame) -> "FittedRecipe":
-        return self.fit_transform(df)[0]
+    def fit(self, df: DataFrame, extra: Sequence[Callable | Transformer] = ()) -> "FittedRecipe":
+        return self.fit_transform(df, extra)[0]
+
+
+@dataclass
+class CustomStep(FittedStep):
+    """A step given as code; it is part of the recipe in memory but not of its JSON."""
+
+    op: Callable | Transformer | str = "custom"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.op.transform(df) if isinstance(self.op, Transformer) else self.op(df)
+
+    def to_json(self) -> str:
+        raise TypeError("a recipe with steps given as code cannot be written as JSON")
 
 
 @dataclass
@@ -102,7 +122,7 @@ class FittedRecipe:
     def audit_log(self, spark) -> DataFrame:
         """One row per step and metric; steps that only report a reason have a null metric."""
         rows = [
-            (i, step.op, metric, number, step.reason)
+            (i, step.op if isinstance(step.op, str) else "custom", metric, number, step.reason)
             for i, step in enumerate(self.steps, 1)
             for metric, number in (step.changes or {None: None}).items()
         ]

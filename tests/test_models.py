@@ -257,3 +257,30 @@ def test_prediction_summary(spark, flowers, forest):
     got = prediction_summary(scored, "id").first()
     assert (got["min"], got["max"], got["mean"]) == (0.0, 9.0, 4.5) and got["last"] == [5.0, 6.0, 7.0, 8.0, 9.0]
     assert got["std"] == pytest.approx((99 / 12) ** 0.5)
+
+
+def test_steps_and_estimators_of_the_caller(spark, flowers, tmp_path):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import SQLTransformer
+
+    from tabloom.plans.recipe import CleanRecipe
+
+    extra = [lambda d: d.where("id < 20"), SQLTransformer(statement="SELECT *, id * 2 AS twice FROM __THIS__")]
+    fitted, out = CleanRecipe().fit_transform(flowers, extra)
+    assert out.count() == 20 and "twice" in out.columns and fitted.transform(flowers).count() == 20
+    assert [r.op for r in fitted.audit_log(spark).collect()][-2:] == ["custom", "custom"]
+    with pytest.raises(TypeError):
+        fitted.to_json()
+    got = train(flowers, Roles(COLS, ["species"]), spec=NaiveBayes(modelType="gaussian"))
+    assert got["species"].algo == "NaiveBayes" and got.metrics["species"]["accuracy"] > 0.9
+    assert got["species"].predict(flowers).where("prob_setosa > 0.5").count() == 10
+
+
+def test_bulk_csv_prediction_and_summary(spark, flowers, forest, tmp_path):
+    t = forest["species"]
+    flowers.drop("sepal_w").withColumn("note", F.lit("n/a")).write.csv(str(tmp_path / "in"), header=True)
+    out = t.predict_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert out.where("prediction = species").count() == 30 and out.where("note is null").count() == 30
+    assert {r.value: r.n for r in t.summary(flowers, "id").collect()} == {s: 10 for s in MEANS}
+    header = spark.read.text(str(tmp_path / "out")).first().value
+    assert header.startswith("id,species") and header.endswith("prob_virginica")

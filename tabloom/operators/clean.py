@@ -303,7 +303,7 @@ MIN_DISTINCT = 5
 
 def _spread(df: DataFrame, c: str) -> list:
     x = value(df, c).cast("double")
-    return [F.avg(x), F.stddev_samp(x), F.approx_count_distinct(x, 0.01)]
+    return [F.avg(x), F.stddev_samp(x), F.approx_count_distinct(x)]
 
 
 def _within(df: DataFrame, c: str, mean: float, std: float, z: float):

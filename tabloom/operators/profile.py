@@ -13,7 +13,7 @@ from tabloom.operators.quantiles import exact_quantiles
 from tabloom.types import col, is_number, is_time, numeric_columns, value
 
 MAX_BROADCAST_KEYS = 100_000  # of at most 64 bytes
-PAIRS_PER_JOB = 300  # keeps one aggregation's buffer and generated code small
+PAIRS_PER_JOB = 300  # pairs that one scan is expanded into
 
 # In-memory width in bytes of one cell of each fixed-width type.
 WIDTHS = {
@@ -189,12 +189,12 @@ def most_frequent(df: DataFrame, cols: list[str]) -> dict[str, Frequent]:
 def fewer_values(df: DataFrame, name: str, limit: int, estimate: int | None = None) -> bool:
     """Whether a column has fewer than ``limit`` distinct values (for small limits).
 
-    A sketch of this precision never exceeds a small true count, so an estimate at or above
+    A sketch is never above a true count of a few dozen, so an estimate at or above
     the limit settles the question and only small ones need the exact count, which is then
     cheap.
     """
     if estimate is None:
-        estimate = df.agg(F.approx_count_distinct(value(df, name), 0.01)).first()[0]
+        estimate = df.agg(F.approx_count_distinct(value(df, name))).first()[0]
     if estimate >= limit:
         return False
     return df.agg(F.count_distinct(value(df, name))).first()[0] < limit
@@ -245,20 +245,23 @@ def correlation_pairs(df: DataFrame, cols: list[str] | None = None, diagonal: bo
         pairs += [(n, n) for n in names]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    # one correlation buffer per pair in a grouped aggregation: unlike one wide aggregation its
+    # generated code does not grow with the number of pairs
     parts = []
+    exact = df.select(*[value(df, n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    at = {n: F.col(f"c{i}") for i, n in enumerate(names)}
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         chunk = pairs[start : start + PAIRS_PER_JOB]
-        wide = df.agg(
-            *[
-                F.corr(value(df, a).cast("double"), value(df, b).cast("double")).alias(f"r{i}")
-                for i, (a, b) in enumerate(chunk)
-            ]
+        cells = [F.struct(F.lit(i).alias("i"), at[a].alias("x"), at[b].alias("y")) for i, (a, b) in enumerate(chunk)]
+        left, right = (F.array(*[F.lit(p[side]) for p in chunk]) for side in (0, 1))
+        parts.append(
+            exact.select(F.inline(F.array(*cells)))
+            .groupBy("i")
+            .agg(F.corr("x", "y").alias("r"))
+            .select(
+                F.element_at(left, F.col("i") + 1).alias("a"), F.element_at(right, F.col("i") + 1).alias("b"), "r"
+            )
         )
-        cells = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(chunk)
-        ]
-        parts.append(wide.select(F.inline(F.array(*cells))))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)

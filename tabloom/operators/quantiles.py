@@ -14,6 +14,7 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,26 +48,25 @@ def exact_quantiles(
     if len(cols) > COLUMNS_PER_PASS:
         rest = exact_quantiles(df, cols[COLUMNS_PER_PASS:], probs)
         return exact_quantiles(df, cols[:COLUMNS_PER_PASS], probs) | rest
-    xs = [value(df, c).cast("double") for c in cols]
-    finite = [F.when(F.abs(x) < float("inf"), x) for x in xs]
-    first = df.agg(
-        *[
-            F.struct(
-                F.count(x).alias("n"),
-                F.count_if(x == float("-inf")).alias("below"),
-                F.count(f).alias("m"),
-                F.min(f).alias("lo"),
-                F.max(f).alias("hi"),
-            ).alias(f"s{i}")
-            for i, (x, f) in enumerate(zip(xs, finite))
-        ]
-    ).first()
+    # one (column, value) row per cell keeps the generated code small for any number of columns
+    cells = [F.struct(F.lit(i).alias("i"), value(df, c).cast("double").alias("x")) for i, c in enumerate(cols)]
+    long = df.select(F.inline(F.array(*cells))).where("x is not null")
+    finite = long.where(F.abs("x") < float("inf"))
+    f = F.when(F.abs("x") < float("inf"), F.col("x"))
+    counts = long.groupBy("i").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("x") == float("-inf")).alias("below"),
+        F.count(f).alias("m"),
+        F.min(f).alias("lo"),
+        F.max(f).alias("hi"),
+    )
+    first = {row.i: row for row in counts.collect()}
 
     answers: dict[tuple[int, int], float] = {}
     brackets: dict[tuple[int, int], tuple[float, float, int, int]] = {}
     for i in range(len(cols)):
-        s = first[f"s{i}"]
-        for p in probs if s.n else ():
+        s = first.get(i)
+        for p in probs if s else ():
             for r in _ranks(s.n, p)[:2]:
                 if r < s.below:
                     answers[i, r] = float("-inf")
@@ -86,23 +86,24 @@ def exact_quantiles(
         for target, bracket in brackets.items():
             wanted[target[0], *bracket].append(target)
         keys = list(wanted)
-        cells = []
-        for k, (i, lo, hi, _, m) in enumerate(keys):
-            x = finite[i]
-            slot = F.lit(-1) if m <= SMALL else _bin(x, F.lit(lo), F.lit(hi))
-            exact = x if m <= SMALL else F.lit(None).cast("double")
-            cells.append(
-                F.when(
-                    x.between(lo, hi),
-                    F.struct(
-                        F.lit(k).alias("k"), slot.alias("b"), exact.alias("v"), x.alias("x")
-                    ),
-                )
-            )
+        table = pa.table(
+            {
+                "k": pa.array(range(len(keys)), pa.int32()),
+                "c": pa.array([key[0] for key in keys], pa.int32()),
+                "lo": pa.array([key[1] for key in keys], pa.float64()),
+                "hi": pa.array([key[2] for key in keys], pa.float64()),
+                "small": [key[4] <= SMALL for key in keys],
+            }
+        )
+        brackets_now = F.broadcast(df.sparkSession.createDataFrame(table))  # a few per column
+        x, small = F.col("x"), F.col("small")
         counted = (
-            df.select(F.inline(F.array(*cells)))
-            .where("k is not null")
-            .groupBy("k", "b", "v")
+            finite.join(brackets_now, (F.col("i") == F.col("c")) & x.between(F.col("lo"), F.col("hi")))
+            .groupBy(
+                "k",
+                F.when(~small, _bin(x, F.col("lo"), F.col("hi"))).alias("b"),
+                F.when(small, x).alias("v"),
+            )
             .agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
             .collect()  # at most BINS or SMALL rows per bracket
         )
@@ -120,7 +121,7 @@ def exact_quantiles(
 
     result: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
-        n = first[f"s{i}"].n
+        n = first[i].n if i in first else 0
         row: list[float | None] = []
         for p in probs:
             if not n:

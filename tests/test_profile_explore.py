@@ -179,3 +179,11 @@ def test_quantiles_of_many_columns(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "COLUMNS_PER_PASS", 2)
     df = spark.range(101).select(*[(F.col("id") * i).alias(f"c{i}") for i in range(1, 6)])
     assert quantiles.exact_medians(df, df.columns) == {f"c{i}": 50.0 * i for i in range(1, 6)}
+
+
+@pytest.mark.parametrize("limit", [6, 20])
+def test_fewer_values_at_the_limit(spark, limit):
+    for n in range(limit - 2, limit + 3):
+        for seed in range(3):
+            df = spark.range(400).select((F.pmod("id", F.lit(n)) * (7.3 + seed)).alias("x"))
+            assert profile.fewer_values(df, "x", limit) == (n < limit)

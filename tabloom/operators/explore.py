@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.ordering import sample_rows
+from tabloom.operators.ordering import last_rows, sample_rows
 from tabloom.operators.profile import correlation_pairs, describe
 from tabloom.operators.quantiles import approx_medians, exact_medians, exact_quantiles, grouped_quantiles
 from tabloom.session import stage
@@ -228,33 +228,30 @@ def removed_rows(before: DataFrame, after: DataFrame, key: str | Sequence[str])
 
 
 def prediction_summary(predictions: DataFrame, key: str, column: str = "prediction", last: int = 5) -> DataFrame:
-    """One row: min, max, mean, population std and the last predictions in key order.
-
-    With a ``probability`` vector column also the range of the highest probability.
-    """
-    from pyspark.ml.functions import vector_to_array
-
+    """One row: min, max, mean, population std and the last predictions in key order."""
     x = col(column).cast("double")
-    aggs = [
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("std"),
-    ]
-    if "probability" in predictions.columns:
-        best = F.array_max(vector_to_array(F.col("probability")))
-        aggs += [F.min(best).alias("confidence_min"), F.max(best).alias("confidence_max")]
     tail = (
-        predictions.orderBy(col(key).desc())
-        .limit(last)
-        .agg(F.sort_array(F.collect_list(F.struct(col(key).alias("k"), x.alias("v")))).alias("t"))
-        .select(F.col("t.v").alias("t"))
+        last_rows(predictions.select(col(key).alias("k"), x.alias("v")), last, "k")
+        .agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("t"))
+        .select("t.v")
     )
-    return predictions.agg(*aggs).withColumn("last", tail.scalar())
+    return predictions.agg(
+        F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")
+    ).withColumn("last", tail.scalar())
 
 
-def class_distribution(predictions: DataFrame, column: str = "prediction") -> DataFrame:
-    return frequencies(predictions, column)
+def class_distribution(
+    predictions: DataFrame, column: str = "prediction", probabilities: Sequence[str] = ()
+) -> DataFrame:
+    """``value, n`` per predicted class, and the range of its highest probability if given."""
+    if not probabilities:
+        return frequencies(predictions, column)
+    best = F.array_max(F.array(*[col(p) for p in probabilities]))
+    return (
+        predictions.groupBy(col(column).alias("value"))
+        .agg(F.count("*").alias("n"), F.min(best).alias("confidence_min"), F.max(best).alias("confidence_max"))
+        .orderBy(F.desc("n"), "value")
+    )
 
 
 def explore(df: DataFrame, by: str | None = None, key: str | None = None) -> dict[str, DataFrame]:

@@ -106,7 +106,9 @@ class TrainedTarget:
         scored = self.predict(df)
         if self.task == REGRESS:
             return prediction_summary(scored, key)
-        return class_distribution(scored, "cluster" if self.task == CLUSTER else "prediction")
+        if self.task == CLUSTER:
+            return class_distribution(scored, "cluster")
+        return class_distribution(scored, "prediction", [c for c in scored.columns[len(df.columns) + 1 :]])
 
     def predict_csv(self, spark: SparkSession, path: str, out: str | None = None, **options) -> DataFrame:
         """Predictions for CSV files, written as CSV to the folder ``out`` if one is given.

@@ -281,6 +281,30 @@ def test_bulk_csv_prediction_and_summary(spark, flowers, forest, tmp_path):
     flowers.drop("sepal_w").withColumn("note", F.lit("n/a")).write.csv(str(tmp_path / "in"), header=True)
     out = t.predict_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert out.where("prediction = species").count() == 30 and out.where("note is null").count() == 30
-    assert {r.value: r.n for r in t.summary(flowers, "id").collect()} == {s: 10 for s in MEANS}
+    found = t.summary(flowers, "id").collect()
+    assert {r.value: r.n for r in found} == {s: 10 for s in MEANS}
+    assert all(0.3 < r.confidence_min <= r.confidence_max <= 1 for r in found)
     header = spark.read.text(str(tmp_path / "out")).first().value
     assert header.startswith("id,species") and header.endswith("prob_virginica")
+
+
+def test_awkward_column_names(spark):
+    from tabloom.operators import explore, profile
+    from tabloom.plans.recipe import CleanRecipe
+
+    names = ["Sepal Length (cm)", "a.b", "it's; x=1", "y `tick`", "n"]
+    df = spark.createDataFrame(
+        [(float(i), i % 3, f" t{i % 2} ", "yes" if i > 20 else "no", i) for i in range(40)]
+    ).toDF(*names)
+    fitted, out = CleanRecipe(replace_placeholder_nulls=True, remove_outliers=True).fit_transform(df)
+    assert out.columns == names and out.count() == 40
+    got = train(df, Roles(names[:3], [names[3]]), spec={"algo": "DecisionTreeClassifier"}, key="n")
+    assert got.metrics[names[3]]["accuracy"] == 1.0
+    assert got[names[3]].predict(df.drop("a.b")).count() == 40
+    assert [r.column for r in profile.profile_columns(df).collect()] == names
+    assert profile.profile_table(df).first().duplicates == 0
+    assert explore.box_stats(df, names[0], names[2]).count() == 2
+    assert explore.histogram(df, names[0], 4, by="a.b").count() == 12
+    assert explore.removed_rows(df, df.where("n < 30"), ["n", "a.b"]).count() == 10
+    snake = CleanRecipe(snake_case=True).fit_transform(df)[1]
+    assert snake.columns == ["sepal_length_cm", "a_b", "it_s_x_1", "y_tick", "n"]

@@ -213,3 +213,43 @@ def predict_csv(spark, folder):
     fitted["c_acctbal"].predict_csv(spark, f"{base}/in", f"{base}/out")
     back = spark.read.csv(f"{base}/out", header=True, schema="c_custkey string, c_nationkey int, prediction double")
     return back.select("c_custkey", rounded("prediction", 3))
+
+
+def _tree_per_type(spark, folder):
+    """A regression tree that is deep enough to give every event type its own leaf."""
+    events = table(spark, folder, "events")
+    spec = {"algo": "DecisionTreeRegressor", "params": {"max_depth": 5}}
+    # every other column is a label, so both are targets of one ensemble
+    fitted = train(
+        events.select("event_type", "value", "user_id"),
+        Roles(["event_type"], ["value", "user_id"]),
+        spec,
+        task="regression",
+        full=True,
+    )
+    return events, fitted
+
+
+@query(
+    """SELECT event_id, round(avg(value) OVER (PARTITION BY event_type), 4) AS value_prediction,
+       round(avg(user_id) OVER (PARTITION BY event_type), 4) AS user_prediction FROM events"""
+)
+def train_tree_means(spark, folder):
+    events, fitted = _tree_per_type(spark, folder)
+    scored = fitted["value"].predict(events.select("event_id", "event_type"))
+    scored = scored.withColumnRenamed("prediction", "value_prediction")
+    scored = fitted["user_id"].predict(scored).withColumnRenamed("prediction", "user_prediction")
+    return scored.select("event_id", rounded("value_prediction", 4), rounded("user_prediction", 4))
+
+
+@query(
+    """WITH p AS (SELECT value::DOUBLE AS v, avg(value) OVER (PARTITION BY event_type) AS vp,
+   user_id::DOUBLE AS u, avg(user_id) OVER (PARTITION BY event_type) AS up FROM events),
+ m AS (SELECT 'value' AS target, avg((v - vp) * (v - vp)) AS mse, var_pop(v) AS var FROM p
+   UNION ALL SELECT 'user_id', avg((u - up) * (u - up)), var_pop(u) FROM p)
+SELECT target, 'mse' AS metric, round(mse, 4) AS value FROM m
+UNION ALL SELECT target, 'rmse', round(sqrt(mse), 4) FROM m
+UNION ALL SELECT target, 'r2_score', round(1 - mse / var, 4) FROM m"""
+)
+def train_tree_metrics(spark, folder):
+    return flatten_metrics(spark, _tree_per_type(spark, folder)[1].metrics)

@@ -97,7 +97,7 @@ MAX_CACHED_NODE_IDS = 1_000_000_000
 
 
 def _tree_settings(params: dict, rows: int, trees: int = 1) -> dict:
-    # sklearn grows trees without a depth limit by default; Spark ML stops at 30
+    # no depth given means no limit; Spark ML stops at 30
     depth = params.get("max_depth") or MAX_TREE_DEPTH
     if depth > MAX_TREE_DEPTH:
         raise SpecError(f"max_depth is limited to {MAX_TREE_DEPTH}")

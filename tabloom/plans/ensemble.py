@@ -296,7 +296,13 @@ def train(
         vectors, held = vectors.randomSplit([1 - holdout, holdout], seed=42)
     # an estimator keeps its own copy of the rows; another one pays off for several fits only
     several = len(targets) > 1
+    at_once = parallelism or min(len(targets) or 1, SMALL_FITS if n <= SMALL_ROWS else LARGE_FITS)
     if several:
+        if n <= SMALL_ROWS:
+            # fits that run side by side share the cores, and a tree fit sends its node
+            # statistics once per partition
+            cores = rows.sparkSession.sparkContext.defaultParallelism
+            vectors = vectors.coalesce(max(1, 2 * cores // at_once))
         vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
@@ -308,7 +314,6 @@ def train(
         if not targets:
             fitted = [_fit_clusters(vectors, shared, spec, n)]
         else:
-            at_once = parallelism or (SMALL_FITS if n <= SMALL_ROWS else LARGE_FITS)
             with ThreadPoolExecutor(at_once) as pool:
                 fitted = list(pool.map(fit, range(len(targets))))
     finally:

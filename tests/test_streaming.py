@@ -51,3 +51,21 @@ def test_stream_drops_copies_within_the_watermark(spark, sf_dir, tmp_path):
     out = clean_stream(source, fitted, "ts", "60 days", subset=["event_id"])
     write_stream(out, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(300)
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tabloom.session import checkpoint_dir
+
+    def session(master, folder):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: folder),
+            sparkContext=SimpleNamespace(master=master),
+        )
+
+    assert checkpoint_dir(session("spark://host", "/shared")) == "/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session("spark://host", None))

@@ -13,8 +13,10 @@ from catalog.dirt import (
     labelled_documents,
 )
 from tabloom.functions.text import PLACEHOLDERS, WHITESPACE
-from tabloom.operators import clean, explore
+from tabloom.operators import clean, columns, explore
 from tabloom.plans.recipe import CleanRecipe
+from tabloom.sources.files import rounded
+from tabloom.types import Roles
 
 TOKENS = ", ".join(f"'{t}'" for t in PLACEHOLDERS)
 SPACES = " || ".join(["' '"] + [f"chr({ord(c)})" for c in WHITESPACE if c != " "])
@@ -253,3 +255,17 @@ def before_after(spark, folder):
     documents = table(spark, folder, "documents")
     step = clean.fit_deduplicate(documents, ["text"], "doc_id", audit=False)
     return explore.compare(documents, step.transform(documents).drop("source"))
+
+
+@query(
+    """SELECT c_mktsegment, c_nationkey, c_acctbal AS account_balance, round(c_acctbal, 1) AS shown FROM customer"""
+)
+def roles_projection(spark, folder):
+    """Roles chosen before cleaning, followed through a rename, then selected and rounded."""
+    customer = table(spark, folder, "customer").withColumnRenamed("c_acctbal", "Account Balance")
+    roles = Roles(["c_mktsegment", "c_nationkey", "Account Balance"], ["absent"], drop=["c_name", "absent"])
+    kept = columns.apply_roles(customer, roles)
+    renamed = columns.rename_snake_case(kept)
+    now = columns.reconcile_roles(roles, kept.columns, renamed.columns)
+    chosen = columns.select_roles(renamed, columns.validate_roles(now, renamed.columns))
+    return rounded(chosen.withColumn("shown", F.col("account_balance")), 1, ["shown"])

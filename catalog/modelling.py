@@ -14,6 +14,7 @@ from tabloom.operators.metrics import flatten_metrics
 from tabloom.plans import ensemble, questions
 from tabloom.plans.ensemble import train
 from tabloom.session import checkpoint_dir
+from tabloom.streaming.apply import score_stream, write_stream
 from tabloom.types import Roles
 
 FOREST = {"n_estimators": 20, "max_depth": 5}
@@ -253,3 +254,23 @@ UNION ALL SELECT target, 'r2_score', round(1 - mse / var, 4) FROM m"""
 )
 def train_tree_metrics(spark, folder):
     return flatten_metrics(spark, _tree_per_type(spark, folder)[1].metrics)
+
+
+@query("SELECT round(avg(value), 4) AS prediction FROM events WHERE event_type = 'click'")
+def predict_single(spark, folder):
+    fitted = _tree_per_type(spark, folder)[1]
+    return fitted["value"].predict_one(spark, {"event_type": "click"}).select(rounded("prediction", 4))
+
+
+@query(
+    """SELECT event_id, round(avg(value) OVER (PARTITION BY event_type), 4) AS prediction FROM events"""
+)
+def stream_scores(spark, folder):
+    """The model applied to the same events as they arrive as a stream."""
+    events, fitted = _tree_per_type(spark, folder)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/scores-{uuid.uuid4().hex}"
+    events.select("event_id", "event_type").write.parquet(f"{base}/in")
+    source = spark.readStream.schema("event_id bigint, event_type string").parquet(f"{base}/in")
+    scored = score_stream(source, fitted["value"])
+    write_stream(scored, f"{base}/out", f"{base}/progress", once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", rounded("prediction", 4))

@@ -123,22 +123,22 @@ def histogram(
     if bounds is None:
         bounds = tuple(df.agg(F.min(x), F.max(x)).first())
     lo, hi = bounds
-    keys = [] if by is None else [col(by).alias(by)]
+    keys = [] if by is None else [col(by).alias("_by")]
     schema_only = lo is None
     lo, hi = (0.0, 0.0) if schema_only else (float(lo), float(hi))
     width = (hi - lo) / bins if hi > lo else 1.0
     slot = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
     inside = present(df, column) & x.between(lo, hi) & F.lit(not schema_only)
-    start = F.lit(lo) + F.col("bin") * width
+    start = F.lit(lo) + F.col("_bin") * width
     return (
         df.where(inside)
-        .groupBy(slot.alias("bin"), *keys)
+        .groupBy(slot.alias("_bin"), *keys)
         .agg(F.count("*").alias("n"))
         .select(
-            "bin",
+            F.col("_bin").alias("bin"),
             start.alias("bin_start"),
             (start + width).alias("bin_end"),
-            *([] if by is None else [col(by)]),
+            *([] if by is None else [F.col("_by").alias(by)]),
             "n",
         )
     )

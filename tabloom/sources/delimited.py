@@ -26,25 +26,31 @@ INTEGER = r"^\s*[+-]?\d+\s*$"
 DECIMAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
-def detect_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Encoding -> files, for files that are not valid UTF-8; empty when all are.
+def scan_layout(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], bool]:
+    """Encoding -> files that are not valid UTF-8, and whether a quoted cell spans lines.
 
     Lines are checked as raw bytes in a split, distributed scan. A UTF-16 byte-order mark
-    names that encoding, anything else is read as Latin-1.
+    names that encoding, anything else is read as Latin-1. A line with an odd number of quotes
+    begins or ends a cell that spans lines; without one the files can be split.
     """
     line = F.col("value")
     mark = F.hex(F.substring(line.cast("binary"), 1, 2)).isin("FFFE", "FEFF")
-    odd = (
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    files = (
         spark.read.text(path)
         .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.bool_and(F.is_valid_utf8(line)).alias("utf8"), F.bool_or(mark).alias("utf16"))
-        .where("not utf8")
-        .collect()  # file names only
+        .agg(
+            F.bool_and(F.is_valid_utf8(line)).alias("utf8"),
+            F.bool_or(mark).alias("utf16"),
+            F.bool_or(quotes % 2 == 1).alias("spans"),
+        )
     )
+    odd = F.when(~F.col("utf8"), F.struct("file", "utf16"))
+    row = files.agg(F.bool_or("spans").alias("spans"), F.collect_list(odd).alias("odd")).first()
     found: dict[str, list[str]] = {}
-    for row in odd:
-        found.setdefault("UTF-16" if row.utf16 else "ISO-8859-1", []).append(row.file)
-    return found
+    for r in row.odd:  # file names only
+        found.setdefault("UTF-16" if r.utf16 else "ISO-8859-1", []).append(r.file)
+    return found, bool(row.spans)
 
 
 def unique_names(header: list[str | None]) -> list[str]:
@@ -156,15 +162,19 @@ def read_csv(
     sep: str = ",",
     header: bool = True,
     encoding: str | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
     types: dict[str, T.DataType] | None = None,
 ) -> DataFrame:
     """Read CSV files: encodings, unique names, missing-value tokens, inferred types.
 
-    Give ``encoding`` and ``types`` to skip the two jobs that would find them.
+    One scan finds the encodings and whether cells span lines (if not, Spark splits the files), a
+    second one the types. Give ``encoding`` with ``multiline``, and ``types``, to skip them.
     """
-    odd = {} if encoding else detect_encodings(spark, path)
-    if not odd:
+    odd: dict[str, list[str]] = {}
+    if encoding is None or multiline is None:
+        odd, spans = scan_layout(spark, path)
+        multiline = spans if multiline is None else multiline
+    if encoding or not odd:
         df = read_csv_text(spark, path, sep, header, encoding or "UTF-8", multiline)
     else:
         listing = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))

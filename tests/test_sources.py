@@ -160,3 +160,14 @@ def test_publish_and_read_back(spark, tmp_path):
     assert sorted(rows(back.select("instruction", "output"))) == [("q1", "a1"), ("q2", "a2")]
     target = publish_dataset(df, str(tmp_path / "chat"), ["q"], ["a"], fmt="chat")
     assert read_jsonl(spark, target).columns == ["messages"]
+
+
+def test_layout_scan(spark, tmp_path):
+    from tabloom.sources.delimited import scan_layout
+
+    flat = write(tmp_path / "flat.csv", 'a,b\n"x ""y""","z"\n1,2\n')
+    tall = write(tmp_path / "tall.csv", 'a,b\n"x\ny",2\n')
+    assert scan_layout(spark, flat) == ({}, False) and scan_layout(spark, tall) == ({}, True)
+    assert rows(read_csv(spark, flat)) == [('x "y"', "z"), ("1", "2")]
+    assert rows(read_csv(spark, tall)) == [("x\ny", 2)]
+    assert rows(read_csv(spark, flat, encoding="UTF-8", multiline=False)) == rows(read_csv(spark, flat))

@@ -274,3 +274,33 @@ def stream_scores(spark, folder):
     scored = score_stream(source, fitted["value"])
     write_stream(scored, f"{base}/out", f"{base}/progress", once=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", rounded("prediction", 4))
+
+
+@query(
+    """SELECT event_id, round(avg(user_id) OVER (PARTITION BY event_type), 4) AS prediction FROM events"""
+)
+def saved_model_scores(spark, folder):
+    events, fitted = _tree_per_type(spark, folder)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    fitted.save(spark, path)
+    again = ensemble.Ensemble.load(spark, path)["user_id"]
+    return again.predict(events.select("event_id", "event_type")).select("event_id", rounded("prediction", 4))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'value' ELSE 'user_id' END AS target, 1::INTEGER AS given,
+   round(CASE WHEN event_id % 2 = 0 THEN avg(value) OVER (PARTITION BY event_type)
+              ELSE avg(user_id) OVER (PARTITION BY event_type) END, 4) AS answer FROM events"""
+)
+def answers_per_target(spark, folder):
+    """Questions about two targets, each answered by the model of its target."""
+    events, fitted = _tree_per_type(spark, folder)
+    asked = events.select(
+        "event_id",
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Predict value when event_type is "), "event_type"))
+        .otherwise(F.concat(F.lit("Please estimate user_id, "), F.upper("event_type"), F.lit(" as event_type")))
+        .alias("question"),
+    )
+    data = events.select("value", "user_id", "event_type")
+    out = questions.answer_questions(asked, "question", "event_id", data, fitted)
+    return out.select("event_id", "target", "given", F.round(F.col("answer").cast("double"), 4).alias("answer"))

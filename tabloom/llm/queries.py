@@ -78,7 +78,17 @@ def op4_quality(spark, folder):
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+ t AS (SELECT doc_id, unnest(s) AS g FROM s),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.s) + len(y.s) - c)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) AS component_id FROM s"""
+)
 def op5_ngram_jaccard(spark, folder):
     return jaccard.similar_groups(table(spark, folder, "documents"))
 
@@ -98,7 +108,16 @@ def op7_exact_dedup(spark, folder):
     return content_sort.exact_duplicates(table(spark, folder, "documents"))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+ h AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, upper(sha1(payload)) AS hex FROM p),
+ b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789ABCDEF', substr(hex, i, 1)) - 1), 4, '0')), '') AS bits FROM h),
+ d AS (SELECT page_id, payload, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(bits, 5 * i + j, 1) = '1' THEN 1 << (5 - j) ELSE 0 END))::INT, 1)), '') AS payload_digest FROM b),
+ g AS (SELECT payload, max(page_id) AS keeper FROM d GROUP BY payload)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d JOIN g USING (payload)"""
+)
 def op8_warc(spark, folder):
     archives, where = warc.write_warc(table(spark, folder, "pages"))
     return warc.read_warc(archives, where).drop("url", "payload")
@@ -109,6 +128,20 @@ def op9_token_counts(spark, folder):
     return tokens.count_tokens(table(spark, folder, "documents"))
 
 
-@query()
+@query(
+    r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS pos, h FROM d),
+ f AS (SELECT doc_id, pos, substr(h, 2 * pos + 1, 100) AS s FROM w),
+ m AS (SELECT s, min(doc_id) AS least FROM f GROUP BY s HAVING min(doc_id) < max(doc_id)),
+ g AS (SELECT doc_id, pos FROM f JOIN m USING (s) WHERE least < doc_id),
+ i AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS fresh FROM g),
+ n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM i),
+ r AS (SELECT doc_id, span, min(pos) AS a, max(pos) + 50 AS b FROM n GROUP BY 1, 2),
+ q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r),
+ k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail,
+   string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+)
 def op10_suffix_dedup(spark, folder):
     return suffixes.remove_repeats(table(spark, folder, "documents")).drop("removed")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabloom.session import checkpoint_dir
 
 #: Bytes of text that one vectorised step works on; bounds a task's memory, not what is read.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 

@@ -16,21 +16,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
     edges = written(edges.distinct(), "stars")
-    before = None
     while True:
         both = edges.unionAll(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
         least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("m", "node").alias("m"))
         # large star: neighbours beyond the node go to its smallest neighbour
         large = both.join(least, "node").filter("root > node").select(F.col("root").alias("node"), F.col("m").alias("root"))
-        large = large.distinct()
+        large = written(large.distinct(), "stars")
         # small star: the rest go to the smallest of them
         under = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(under, "node")
-        out = small.filter("root > m").select(F.col("root").alias("node"), F.col("m").alias("root"))
-        out = written(out.unionAll(under.select("node", F.col("m").alias("root"))).distinct(), "stars")
-        state = out.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        discard(edges)
+        small = large.join(under, "node").select(F.explode(F.array(F.struct("node", F.col("m").alias("root")), F.struct(F.col("root").alias("node"), F.col("m").alias("root")))).alias("e"))
+        out = written(small.select("e.*").filter("node > root").distinct(), "stars")
+        # all are stars once no node has two roots or is one itself
+        ends = out.select(F.explode(F.array(F.struct(F.col("node").alias("x"), F.lit(1).alias("k")), F.struct(F.col("root").alias("x"), F.lit(0).alias("k")))).alias("e"))
+        ends = ends.groupBy("e.x").agg(F.sum("e.k").alias("above"), F.min("e.k").alias("least"))
+        discard(edges, large)
         edges = out
-        if tuple(state) == before:
+        if ends.filter("above > 1 or above = 1 and least = 0").isEmpty():
             return edges
-        before = tuple(state)

@@ -6,8 +6,8 @@ frequency, whose prefixes hold the rare tokens; they must also share prefix toke
 orders, by hash, before the sets are compared in full. Tokens of a single document can't be shared
 and stand first in every order, so that only their number is kept.
 
-A group of similar texts is linked through a few of them: in each round a posting list compares its
-members with one of them, and members that are already connected are never compared again.
+A group of similar texts is linked through a few of them: each posting list first compares its members
+with two of them, and then only those that this has left unconnected with the others.
 """
 
 from __future__ import annotations
@@ -39,14 +39,12 @@ from tabloom.llm.components import components
 
 #: Tokens that a task gathers before it sends them on.
 CHUNK = 2_000_000
-#: A token in at least one of so many parts of all tokens is heavy: there are at most so many of
-#: them, so that their table may travel to every task, and no other token makes a large list.
+#: A token is heavy if it stands in more than HEAVY rows and in more than one in HEAVY_PARTS of all:
+#: there are fewer than HEAVY_PARTS of them, so that their table may travel to every task.
+HEAVY = 20_000
 HEAVY_PARTS = 1 << 17
 #: Orders after the first, by their seeds.
 ORDERS = (0x51ED270B, 0x2545F491)
-HUB_ROUNDS = 2
-MAX_ROUNDS = 8
-
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -100,15 +98,16 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _heavy(docs: DataFrame, size: int) -> dict[int, int]:
-    """Counts of the tokens that stand in one of HEAVY_PARTS of all tokens, exact or a little less."""
+def _heavy(docs: DataFrame, size: int, heavy: int) -> dict[int, int]:
+    """Counts of the heavy tokens. Those that a chunk has once aren't told, so that a count can be
+    too small by the number of chunks; all that matters is that every task has the same."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, held, total = Roller(), [], 0
 
         def flush():
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n * HEAVY_PARTS >= total
+            often = (n > 1) & (n * HEAVY_PARTS >= total)
             out = [np.append(tokens[often].view(np.int64), 0), np.append(n[often], total)]
             none = np.zeros(len(out[0]), bool)
             none[-1] = True
@@ -127,7 +126,7 @@ def _heavy(docs: DataFrame, size: int) -> dict[int, int]:
     counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = written(counts, "token-counts")
     total = counts.filter("token is null").agg(F.sum("n")).first()[0] or 0
-    found = counts.filter(F.col("token").isNotNull() & (F.col("n") > total // HEAVY_PARTS) & (F.col("n") > 1)).collect()
+    found = counts.filter(F.col("token").isNotNull() & (F.col("n") > max(heavy, total // HEAVY_PARTS))).collect()
     discard(counts)
     return {r["token"]: r["n"] for r in found}
 
@@ -265,8 +264,10 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = [np.frombuffer(s, np.int64)[:k] for s, k in zip(sets, take)]
         if heads:
             sizes = [len(h) for h in heads]
-            columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("cid", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *map(pa.array, columns)], ["token", "cid", "n"])
+            n = batch.column("n").to_numpy()
+            alone = n - np.array([len(s) // 8 for s in sets])
+            columns = [np.repeat(c, sizes) for c in (batch.column("cid").to_numpy(), n, alone / n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *map(pa.array, columns)], ["token", "cid", "n", "alone"])
 
 
 def similar(a: bytes, b: bytes, n_a: int, n_b: int, prefix_a: int, prefix_b: int, percent: int) -> bool:
@@ -304,40 +305,32 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def _connect(sets: DataFrame, percent: int) -> DataFrame | None:
+def _connect(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of all sets that have a link."""
-    postings = sets.select("cid", "n", "prefix", "tokens").mapInArrow(_postings, "token long, cid long, n long")
-    postings = written(postings, "postings")
-    links = tested = roots = None
-    for turn in range(MAX_ROUNDS + 1):
-        rows = postings.withColumn("root", F.col("cid"))
-        if roots is not None:
-            known = roots.select(F.col("node").alias("cid"), F.col("root").alias("known"))
-            rows = postings.join(known, "cid", "left").select("token", "cid", "n", F.coalesce("known", "cid").alias("root"))
-        rank = F.struct(F.xxhash64(F.col("cid"), F.lit(turn)).alias("rank"), "cid", "n", "root")
-        lists = rows.groupBy("token").agg(F.min(rank).alias("hub"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        lists = lists.filter("lo != hi").select("token", F.col("hub.cid").alias("cid"), F.col("hub.n").alias("n"), F.col("hub.root").alias("root"))
-        last = turn >= HUB_ROUNDS
-        if last:
-            # members outside their list's main part, against all members
-            rows = written(rows.join(lists.select("token", F.col("root").alias("main")), "token"), "open-lists")
-            apart = rows.filter("root != main")
-            work = rows.groupBy("token").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("apart"))
-            work = work.agg(F.sum(F.col("all") * F.col("apart")), F.sum("all")).first()
-            last = turn == MAX_ROUNDS or (work[0] or 0) <= 20 * (work[1] or 0) + 100_000
-        pairs = _pairs(apart, rows, percent) if last else _pairs(rows, lists, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        found = written(_verify(pairs, sets, percent), "links")
-        links = found if links is None else links.unionAll(found)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        roots = components(links)
-        if last:
-            return roots
-
-
-def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ddl = "token long, cid long, n long, alone double"
+    postings = written(sets.select("cid", "n", "prefix", "tokens").mapInArrow(_postings, ddl), "postings")
+    # first with the member that has the least of its own, which is likely in the middle of its group
+    ranks = [F.struct("alone", "cid", "n"), F.struct(F.xxhash64("cid").alias("alone"), "cid", "n")]
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *[F.min(r).alias(f"h{k}") for k, r in enumerate(ranks)])
+    hubs = F.array_distinct(F.array(*[F.struct(f"h{k}.cid", f"h{k}.n") for k in range(len(ranks))]))
+    lists = lists.filter("size > 1").select("token", F.explode(hubs).alias("hub"))
+    lists = lists.select("token", F.col("hub.cid").alias("cid"), F.col("hub.n").alias("n"), F.col("hub.cid").alias("root"))
+    rows = postings.select("token", "cid", "n", F.col("cid").alias("root"))
+    tested = written(_pairs(rows, lists, percent), "pairs")
+    links = written(_verify(tested, sets, percent), "links")
+    # members linked with the same one are connected; compare the rest of each list with all of it
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("cid"), F.least("a", "b").alias("near"))
+    rows = postings.join(near, "cid", "left").select("token", "cid", "n", F.coalesce("near", "cid").alias("root"))
+    parts = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("token").agg(F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("parts"))
+    rows = written(rows.join(main.filter("parts > 1").select("token", "main"), "token"), "open-lists")
+    more = _pairs(rows.filter("root != main"), rows, percent).join(tested, ["a", "b"], "left_anti")
+    more = written(_verify(more, sets, percent), "links")
+    return components(links.unionAll(more))
+
+
+def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased; a set has the distinct
@@ -350,7 +343,7 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, id_col: st
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heavy = _heavy(rows, size)
+    heavy = _heavy(rows, size, heavy)
     n_doc = partitions(spark)
     sent = _send(rows, size, percent, heavy, 2 * n_doc, n_doc)
     counted = sent.groupBy("bucket").applyInArrow(_frequencies(n_doc), "bucket int, kind int, blob binary")

@@ -26,7 +26,7 @@ GRAM = 24
 #: Places that a task gathers before it sends them on.
 CHUNK = 1_000_000
 #: Bytes of surroundings that a task compares among themselves before it sends them on.
-CONTEXT_BYTES = 8 << 20
+CONTEXT_BYTES = 4 << 20
 #: A gram with more surroundings than this, and than one in HEAVY_PARTS of all, is dealt string by string.
 HEAVY = 20_000
 HEAVY_PARTS = 1 << 17
@@ -84,7 +84,7 @@ def places(data: np.ndarray, offsets: np.ndarray, roller: Roller, length: int, g
 
 
 def _send(docs: DataFrame, length: int, gram: int, n_gram: int, n_doc: int) -> DataFrame:
-    """One blob entry per gram and task chunk for gram buckets (kind 1); grams that several texts of
+    """One blob entry per gram and task chunk for gram buckets (kind 1); grams that different texts of
     the chunk have are known to be shared already (kind 2, for text buckets)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def _send(docs: DataFrame, length: int, gram: int, n_gram: int, n_doc: int) -> D
 
 
 def _shared(n_doc: int):
-    """For a gram bucket: places of grams that came from several chunks, for the buckets of their texts."""
+    """For a gram bucket: places of grams that different texts have, for the buckets of these texts."""
 
     def count(table: pa.Table) -> pa.Table:
         kinds, packed = table["kind"].to_numpy(), table["blob"].to_pylist()
@@ -135,9 +135,10 @@ def _shared(n_doc: int):
         owners, hashes, spots = blobs.decode_all([p for k, p in zip(kinds, packed) if k == 1], 1)
         if len(owners):
             order = np.argsort(hashes)
-            same = np.diff(hashes[order], prepend=~hashes[order[:1]]) == 0
-            same[:-1] |= same[1:]
-            kept = np.sort(order[same])
+            ranked, whose = hashes[order], owners[order]
+            at = np.flatnonzero(np.diff(ranked, prepend=~ranked[:1]))
+            differ = np.minimum.reduceat(whose, at) != np.maximum.reduceat(whose, at)
+            kept = np.sort(order[np.repeat(differ, np.diff(np.append(at, len(order))))])
             kept = kept[np.argsort(owners[kept], kind="stable")]
             o = owners[kept]
             out += [(b, 2, blob) for b, blob in blobs.dealt(o, spots[kept].astype(np.uint64), o % n_doc)]
@@ -334,27 +335,33 @@ def _sort_share(length: int):
     return run
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = binary_values(batch.column("text"))
-        raw = memoryview(data.tobytes())
-        rows = []
-        for i, (doc_id, spans) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist())):
-            text = raw[offsets[i] : offsets[i + 1]]
-            gone = merged([(s["start"], s["end"]) for s in spans or () if s["doc_id"] == doc_id])
-            digest, at = hashlib.sha256(), 0
-            for a, b in gone:
-                digest.update(text[at:a])
-                at = b
-            digest.update(text[at:])
-            rows.append(
-                (None if doc_id == _NO_ID else doc_id, len(text), sum(b - a for a, b in gone), len(gone), digest.hexdigest(), [{"start": a, "end": b} for a, b in gone])
-            )
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        types = [pa.int64()] * 4 + [pa.string(), span]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
-        columns = list(zip(*rows)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+def _cut_out(length: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = binary_values(batch.column("text"))
+            raw = memoryview(data.tobytes())
+            rows = []
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "least", "spans"))
+            for i, (doc_id, least, spans) in enumerate(zip(*columns)):
+                text = raw[offsets[i] : offsets[i + 1]]
+                gone = merged([(s["start"], s["end"]) for s in spans or () if s["doc_id"] == doc_id])
+                if doc_id > least and len(text) >= length:
+                    gone = [(0, len(text))]
+                digest, at = hashlib.sha256(), 0
+                for a, b in gone:
+                    digest.update(text[at:a])
+                    at = b
+                digest.update(text[at:])
+                rows.append(
+                    (None if doc_id == _NO_ID else doc_id, len(text), sum(b - a for a, b in gone), len(gone), digest.hexdigest(), [{"start": a, "end": b} for a, b in gone])
+                )
+            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            types = [pa.int64()] * 4 + [pa.string(), span]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
+            columns = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    return cut
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
@@ -371,14 +378,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = documents(docs, id_col, text_col).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text"
     )
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    # equal texts share a key: only the one with the smallest id is looked at, the others go whole
+    rows = rows.select(F.xxhash64("text").alias("key"), "doc_id", "text")
     n = partitions(spark)
     blob = "bucket int, kind int, blob binary"
     sent = _send(rows, length, gram, 2 * n, n)
     shared = sent.groupBy("bucket").applyInArrow(_shared(n), blob).groupBy("bucket")
     spots = shared.applyInArrow(_gather, "key long, spots binary")
-    # several texts can share a key only if they are equal in id and text
-    near = rows.join(spots, "key").mapInArrow(_contexts(length, gram), _CONTEXT_DDL)
+    least = rows.groupBy("key", F.md5("text").alias("digest")).agg(F.min("doc_id").alias("least"))
+    least = written(least, "equal-texts")
+    first = spots.join(least.select("key", "least"), "key")
+    near = rows.join(first, "key").filter("doc_id = least").select("key", "doc_id", "text", "spots")
+    near = near.mapInArrow(_contexts(length, gram), _CONTEXT_DDL)
     near = written(near, "contexts")
     todo = near.filter("gram is not null")
     sizes = todo.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -396,6 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     gone = share.applyInArrow(_sort_share(length), "key long, doc_id long, start long, end long")
     gone = gone.unionAll(near.filter("gram is null").select("key", "doc_id", "start", "end"))
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("doc_id", "start", "end")).alias("spans"))
-    out = rows.join(gone, "key", "left").select("doc_id", "text", "spans")
+    known = least.join(gone, "key", "left").select("key", "digest", "least", "spans")
+    out = rows.withColumn("digest", F.md5("text")).join(known, ["key", "digest"]).select("doc_id", "text", "least", "spans")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, end: long>>"
-    return out.mapInArrow(_cut_out, ddl)
+    return out.mapInArrow(_cut_out(length), ddl)

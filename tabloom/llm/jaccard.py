@@ -265,13 +265,13 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if heads:
             sizes = [len(h) for h in heads]
             n = batch.column("n").to_numpy()
-            alone = n - np.array([len(s) // 8 for s in sets])
-            columns = [np.repeat(c, sizes) for c in (batch.column("cid").to_numpy(), n, alone / n)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *map(pa.array, columns)], ["token", "cid", "n", "alone"])
+            shared = np.array([len(s) // 8 for s in sets], np.int64)
+            columns = [np.repeat(c, sizes) for c in (batch.column("cid").to_numpy(), n, shared)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *map(pa.array, columns)], ["token", "cid", "n", "shared"])
 
 
-def similar(a: bytes, b: bytes, n_a: int, n_b: int, prefix_a: int, prefix_b: int, percent: int) -> bool:
-    """Shared prefix tokens under the further orders, then the sets themselves."""
+def overlap(a: bytes, b: bytes, prefix_a: int, prefix_b: int) -> tuple[int, bool]:
+    """Common tokens, and whether the prefixes share one under each of the further orders."""
     a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     for seed in ORDERS:
         heads = []
@@ -279,54 +279,71 @@ def similar(a: bytes, b: bytes, n_a: int, n_b: int, prefix_a: int, prefix_b: int
             keys = mix(tokens ^ np.uint64(seed))
             heads.append(np.partition(keys, k - 1)[:k] if k < len(keys) else keys)
         if not len(np.intersect1d(*heads, assume_unique=True)):
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (n_a + n_b - both)
+            return 0, False
+    return len(np.intersect1d(a, b, assume_unique=True)), True
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair with ``both``, its number of common tokens (null if an order rules it out), and ``linked``."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("tokens_a", "tokens_b", "n_a", "n_b", "prefix_a", "prefix_b")
+        names = ("tokens_a", "tokens_b", "prefix_a", "prefix_b")
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in names))
-            linked = pa.array([similar(*row, percent) for row in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(linked)
+            found = [overlap(*row) for row in zip(*(batch.column(c).to_pylist() for c in names))]
+            both = np.array([f[0] for f in found], np.int64)
+            passed = np.array([f[1] for f in found], bool)
+            union = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy() - both
+            columns = [batch.column("a"), batch.column("b"), pa.array(both, mask=~passed), pa.array(passed & (100 * both >= percent * union))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "both", "linked"])
 
     side = lambda s: sets.select(
         F.col("cid").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.col("n").alias(f"n_{s}"), F.col("prefix").alias(f"prefix_{s}")
     )
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(check, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(check, "a long, b long, both long, linked boolean")
+
 
+def _pairs(left: DataFrame, right: DataFrame, percent: int, most=None) -> DataFrame:
+    """Pairs within a posting list that aren't connected and can still be similar enough.
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a posting list of sets that aren't connected and whose sizes allow a link."""
-    near = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.col("x.root") != F.col("y.root"))
-    joined = left.alias("x").join(right.alias("y"), (F.col("x.token") == F.col("y.token")) & near)
+    ``most`` bounds the number of common tokens; the tokens that other rows have bound it always.
+    """
+    most = F.least("x.shared", "y.shared") if most is None else most
+    can = (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent) & (F.col("x.root") != F.col("y.root"))
+    joined = left.alias("x").join(right.alias("y"), (F.col("x.token") == F.col("y.token")) & can)
     return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
 def _connect(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of all sets that have a link."""
-    ddl = "token long, cid long, n long, alone double"
+    ddl = "token long, cid long, n long, shared long"
     postings = written(sets.select("cid", "n", "prefix", "tokens").mapInArrow(_postings, ddl), "postings")
     # first with the member that has the least of its own, which is likely in the middle of its group
-    ranks = [F.struct("alone", "cid", "n"), F.struct(F.xxhash64("cid").alias("alone"), "cid", "n")]
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *[F.min(r).alias(f"h{k}") for k, r in enumerate(ranks)])
-    hubs = F.array_distinct(F.array(*[F.struct(f"h{k}.cid", f"h{k}.n") for k in range(len(ranks))]))
-    lists = lists.filter("size > 1").select("token", F.explode(hubs).alias("hub"))
-    lists = lists.select("token", F.col("hub.cid").alias("cid"), F.col("hub.n").alias("n"), F.col("hub.cid").alias("root"))
-    rows = postings.select("token", "cid", "n", F.col("cid").alias("root"))
-    tested = written(_pairs(rows, lists, percent), "pairs")
-    links = written(_verify(tested, sets, percent), "links")
-    # members linked with the same one are connected; compare the rest of each list with all of it
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("cid"), F.least("a", "b").alias("near"))
-    rows = postings.join(near, "cid", "left").select("token", "cid", "n", F.coalesce("near", "cid").alias("root"))
+    mine = F.struct((1 - F.col("shared") / F.col("n")).alias("rank"), "cid", "n", "shared")
+    ranks = {"h0": mine, "h1": F.struct(F.xxhash64("cid").alias("rank"), "cid", "n", "shared")}
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *[F.min(r).alias(k) for k, r in ranks.items()])
+    lists = written(lists.filter("size > 1").select("token", *[F.struct(f"{k}.cid", f"{k}.n", f"{k}.shared").alias(k) for k in ranks]), "lists")
+    hubs = lists.select("token", F.explode(F.array_distinct(F.array(*ranks))).alias("hub")).select("token", "hub.*")
+    rows = postings.withColumn("root", F.col("cid"))
+    tested = _pairs(rows, hubs.withColumn("root", F.col("cid")), percent)
+    tested = written(_verify(tested, sets, percent), "tested")
+    links = tested.filter("linked").select("a", "b")
+    # members linked with the same one are connected; the rest of each list may be linked with any of it
+    ways = tested.select("a", "b", "both", "linked")
+    ways = ways.unionAll(ways.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "linked"))
+    near = ways.filter("linked").groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("cid"), F.least("a", "b").alias("near"))
+    rows = postings.join(lists.select("token", F.col("h0.cid").alias("hub"), F.col("h0.shared").alias("hub_shared")), "token")
+    rows = rows.join(near, "cid", "left").withColumn("root", F.coalesce("near", "cid"))
+    rows = rows.join(ways.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "both"), ["cid", "hub"], "left")
+    common = F.when(F.col("cid") == F.col("hub"), F.col("hub_shared")).otherwise(F.col("both"))
+    rows = written(rows.select("token", "cid", "n", "shared", "root", common.alias("common")), "lists")
     parts = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("parts"))
-    rows = written(rows.join(main.filter("parts > 1").select("token", "main"), "token"), "open-lists")
-    more = _pairs(rows.filter("root != main"), rows, percent).join(tested, ["a", "b"], "left_anti")
-    more = written(_verify(more, sets, percent), "links")
+    rows = rows.join(main.filter("parts > 1").select("token", "main"), "token")
+    # what two sets share is in the hub or beside it: at most the smaller of each
+    most = F.least("x.common", "y.common") + F.least(F.col("x.shared") - F.col("x.common"), F.col("y.shared") - F.col("y.common"))
+    most = F.coalesce(F.when(F.col("x.common").isNotNull() & F.col("y.common").isNotNull(), most), F.least("x.shared", "y.shared"))
+    more = _pairs(rows.filter("root != main"), rows, percent, most).join(tested, ["a", "b"], "left_anti")
+    more = written(_verify(more, sets, percent).filter("linked").select("a", "b"), "links")
     return components(links.unionAll(more))
 
 

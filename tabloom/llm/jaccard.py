@@ -258,16 +258,25 @@ def _profiles(percent: int, heavy: dict[int, int]):
     return gather
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets, take = batch.column("tokens").to_pylist(), batch.column("prefix").to_numpy()
-        heads = [np.frombuffer(s, np.int64)[:k] for s, k in zip(sets, take)]
-        if heads:
-            sizes = [len(h) for h in heads]
-            n = batch.column("n").to_numpy()
-            shared = np.array([len(s) // 8 for s in sets], np.int64)
-            columns = [np.repeat(c, sizes) for c in (batch.column("cid").to_numpy(), n, shared)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *map(pa.array, columns)], ["token", "cid", "n", "shared"])
+def _postings(percent: int):
+    """Prefix tokens of each set. ``head`` marks those that serve for partners of at least its size:
+    with these more tokens must be common, so that a shorter prefix has one."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, take = batch.column("tokens").to_pylist(), batch.column("prefix").to_numpy()
+            heads = [np.frombuffer(s, np.int64)[:k] for s, k in zip(sets, take)]
+            if heads:
+                sizes = [len(h) for h in heads]
+                n = batch.column("n").to_numpy()
+                shared = np.array([len(s) // 8 for s in sets], np.int64)
+                first = n - -(-2 * percent * n // (100 + percent)) + 1 - (n - shared)
+                place = np.concatenate([np.arange(k) for k in sizes])
+                columns = [np.repeat(c, sizes) for c in (batch.column("cid").to_numpy(), n, shared)]
+                columns = [np.concatenate(heads), *columns, place < np.repeat(first, sizes)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["token", "cid", "n", "shared", "head"])
+
+    return explode
 
 
 def overlap(a: bytes, b: bytes, prefix_a: int, prefix_b: int) -> tuple[int, bool]:
@@ -309,19 +318,21 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, most=None) -> DataFr
     """
     most = F.least("x.shared", "y.shared") if most is None else most
     can = (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent) & (F.col("x.root") != F.col("y.root"))
+    smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid"))
+    can &= F.when(smaller, F.col("x.head")).otherwise(F.col("y.head"))
     joined = left.alias("x").join(right.alias("y"), (F.col("x.token") == F.col("y.token")) & can)
     return joined.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
 def _connect(sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of all sets that have a link."""
-    ddl = "token long, cid long, n long, shared long"
-    postings = written(sets.select("cid", "n", "prefix", "tokens").mapInArrow(_postings, ddl), "postings")
+    ddl = "token long, cid long, n long, shared long, head boolean"
+    postings = written(sets.select("cid", "n", "prefix", "tokens").mapInArrow(_postings(percent), ddl), "postings")
     # first with the member that has the least of its own, which is likely in the middle of its group
-    mine = F.struct((1 - F.col("shared") / F.col("n")).alias("rank"), "cid", "n", "shared")
-    ranks = {"h0": mine, "h1": F.struct(F.xxhash64("cid").alias("rank"), "cid", "n", "shared")}
+    mine = F.struct((1 - F.col("shared") / F.col("n")).alias("rank"), "cid", "n", "shared", "head")
+    ranks = {"h0": mine, "h1": F.struct(F.xxhash64("cid").alias("rank"), "cid", "n", "shared", "head")}
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), *[F.min(r).alias(k) for k, r in ranks.items()])
-    lists = written(lists.filter("size > 1").select("token", *[F.struct(f"{k}.cid", f"{k}.n", f"{k}.shared").alias(k) for k in ranks]), "lists")
+    lists = written(lists.filter("size > 1").select("token", *[F.struct(f"{k}.cid", f"{k}.n", f"{k}.shared", f"{k}.head").alias(k) for k in ranks]), "lists")
     hubs = lists.select("token", F.explode(F.array_distinct(F.array(*ranks))).alias("hub")).select("token", "hub.*")
     rows = postings.withColumn("root", F.col("cid"))
     tested = _pairs(rows, hubs.withColumn("root", F.col("cid")), percent)
@@ -335,7 +346,7 @@ def _connect(sets: DataFrame, percent: int) -> DataFrame:
     rows = rows.join(near, "cid", "left").withColumn("root", F.coalesce("near", "cid"))
     rows = rows.join(ways.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "both"), ["cid", "hub"], "left")
     common = F.when(F.col("cid") == F.col("hub"), F.col("hub_shared")).otherwise(F.col("both"))
-    rows = written(rows.select("token", "cid", "n", "shared", "root", common.alias("common")), "lists")
+    rows = written(rows.select("token", "cid", "n", "shared", "head", "root", common.alias("common")), "lists")
     parts = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("parts"))
     rows = rows.join(main.filter("parts > 1").select("token", "main"), "token")

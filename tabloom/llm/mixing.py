@@ -40,7 +40,7 @@ def schedule(parts: dict[str, int], period: int) -> dict[str, list[int]]:
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(period):
+    for slot in range(period if parts else 0):
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline(s, j), s, j))

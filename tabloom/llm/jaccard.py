@@ -338,10 +338,11 @@ def _connect(sets: DataFrame, percent: int) -> DataFrame:
     tested = _pairs(rows, hubs.withColumn("root", F.col("cid")), percent)
     tested = written(_verify(tested, sets, percent), "tested")
     links = tested.filter("linked").select("a", "b")
-    # members linked with the same one are connected; the rest of each list may be linked with any of it
-    ways = tested.select("a", "b", "both", "linked")
-    ways = ways.unionAll(ways.select(F.col("b").alias("a"), F.col("a").alias("b"), "both", "linked"))
-    near = ways.filter("linked").groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("cid"), F.least("a", "b").alias("near"))
+    # what is connected already isn't compared again; the rest of each list may be linked with any of it
+    roots = components(links)
+    near = roots.select(F.col("node").alias("cid"), F.col("root").alias("near"))
+    ways = tested.select("a", "b", "both")
+    ways = ways.unionAll(ways.select(F.col("b").alias("a"), F.col("a").alias("b"), "both"))
     rows = postings.join(lists.select("token", F.col("h0.cid").alias("hub"), F.col("h0.shared").alias("hub_shared")), "token")
     rows = rows.join(near, "cid", "left").withColumn("root", F.coalesce("near", "cid"))
     rows = rows.join(ways.select(F.col("a").alias("cid"), F.col("b").alias("hub"), "both"), ["cid", "hub"], "left")
@@ -355,7 +356,7 @@ def _connect(sets: DataFrame, percent: int) -> DataFrame:
     most = F.coalesce(F.when(F.col("x.common").isNotNull() & F.col("y.common").isNotNull(), most), F.least("x.shared", "y.shared"))
     more = _pairs(rows.filter("root != main"), rows, percent, most).join(tested, ["a", "b"], "left_anti")
     more = written(_verify(more, sets, percent).filter("linked").select("a", "b"), "links")
-    return components(links.unionAll(more))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
 
 
 def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:

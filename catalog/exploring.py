@@ -142,9 +142,11 @@ def box_stats_by_label(spark, folder):
     return out.select("event_type", *[rounded(c) for c in BOX], "whisker_low", "whisker_high", "outliers")
 
 
-@query()
+@query("SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem")
 def scatter_data(spark, folder):
-    return explore.scatter_data(table(spark, folder, "lineitem"), by="l_returnflag")
+    return explore.scatter_data(
+        table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], by="l_returnflag"
+    )
 
 
 @query()

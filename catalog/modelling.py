@@ -125,9 +125,10 @@ def train_ensemble(spark, folder):
 
 @query()
 def train_sampled(spark, folder):
-    """The default: a fixed sample of 5,000 rows, 100 trees of depth 10."""
-    roles = Roles(["l_quantity", "l_extendedprice", "l_discount"], ["charge"])
-    return flatten_metrics(spark, train(_order_lines(spark, folder), roles).metrics)
+    """A classifier fitted on 5,000 labelled rows, as asked for: 100 trees of depth 10."""
+    lines = _order_lines(spark, folder).withColumn("large", (F.col("charge") > 30_000).cast("int"))
+    roles = Roles(["l_quantity", "l_extendedprice", "l_discount"], ["large"])
+    return flatten_metrics(spark, train(lines, roles, full=False, max_rows=5000).metrics)
 
 
 def _segments(spark, folder):

@@ -62,9 +62,8 @@ def target_column(text: Column, columns: Sequence[str], default: str | None = No
 
 def _spellings(name: str) -> str:
     """The column name as it may be written in a sentence, as one pattern."""
-    name = name.lower()
-    forms = dict.fromkeys([name, name.replace("_", " "), name.replace("_", ""), name.replace(" ", "_")])
-    return "(?:" + "|".join(re.escape(f) for f in forms) + ")"
+    words = [re.escape(w) for w in re.split(r"[_ ]", name.lower())]
+    return "(?:" + "[_ ]?".join(words) + ")"
 
 
 def number_value(text: Column, feature: str) -> Column:

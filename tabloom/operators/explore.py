@@ -197,13 +197,17 @@ def scatter_data(
     cols: Sequence[str] | None = None,
     by: str | None = None,
     key: str | None = None,
-    n: int = 5000,
+    n: int | None = None,
 ) -> DataFrame:
-    """Points for a scatter matrix: up to four numeric columns and the colour column."""
-    dims = list(cols or numeric_columns(df)[:4])
+    """Points for a scatter matrix: the numeric columns, or ``cols``, and the colour column.
+
+    All rows, or exactly ``n`` of them if that is asked for.
+    """
+    dims = list(cols or numeric_columns(df))
     wanted = [*dims, *([by] if by and by not in dims else [])]
     keep = [*wanted, *([key] if key and key not in wanted else [])]
-    picked = sample_rows(df.select(*[col(c) for c in keep]), n, key=key)
+    picked = df.select(*[col(c) for c in keep])
+    picked = picked if n is None else sample_rows(picked, n, key=key)
     return picked.select(*[col(c) for c in wanted])
 
 
@@ -222,9 +226,11 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def removed_rows(before: DataFrame, after: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of ``before`` whose key is not in ``after``; only the key of ``after`` is read."""
+    """Rows of ``before`` whose key is not in ``after``; null keys are equal. Only the key of ``after`` is read."""
     keys = [key] if isinstance(key, str) else list(key)
-    return before.join(after.select(*[col(k) for k in keys]), keys, "left_anti")
+    seen = after.select(*[col(k).alias(f"_after_{i}") for i, k in enumerate(keys)])
+    same = [col(k).eqNullSafe(F.col(f"_after_{i}")) for i, k in enumerate(keys)]
+    return before.join(seen, same, "left_anti")
 
 
 def prediction_summary(predictions: DataFrame, key: str, column: str = "prediction", last: int = 5) -> DataFrame:
@@ -256,7 +262,7 @@ def class_distribution(
 
 def explore(df: DataFrame, by: str | None = None, key: str | None = None) -> dict[str, DataFrame]:
     """Everything the exploration view shows, per numeric column where it applies."""
-    first = numeric_columns(df)[:4]
+    first = numeric_columns(df)
     out = {"describe": describe(df), "correlations": correlation_matrix(df)}
     out |= {f"histogram:{c}": histogram(df, c, by=by) for c in first}
     out |= {f"box:{c}": box_stats(df, c, by=by) for c in first}

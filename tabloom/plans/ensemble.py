@@ -118,7 +118,9 @@ class TrainedTarget:
         """
         text = read_csv_text(spark, path, **options)
         known = {c: self.features.types.get(c, "string") for c in text.columns}
-        cells = [null_tokens(col(c)).try_cast(t).alias(c) for c, t in known.items()]
+        whole = {"tinyint", "smallint", "int", "bigint"}  # written as 12 or 12.0
+        read = lambda c, t: c.try_cast("double").try_cast(t) if t in whole else c.try_cast(t)
+        cells = [F.coalesce(null_tokens(col(c)).try_cast(t), read(null_tokens(col(c)), t)).alias(c) for c, t in known.items()]
         scored = self.predict(text.select(*cells))
         if out:
             write_csv(scored, out)
@@ -250,7 +252,8 @@ def train(
     task: str | None = None,
     targets: list[str] | None = None,
     key: str | None = None,
-    full: bool = False,
+    full: bool = True,
+    max_rows: int = SAMPLE_SIZE,
     holdout: float | None = None,
     max_categories: int = MAX_CATEGORIES,
     max_classes: int = MAX_CLASSES,
@@ -262,7 +265,8 @@ def train(
     The targets follow from the roles unless they are named. ``spec`` is a declarative
     specification or an unfitted Spark ML estimator of the caller.
 
-    Larger tables are trained on a fixed sample of 5,000 rows unless ``full``. Features are
+    All rows are used. Only classifiers may be fitted on a fixed sample, of ``max_rows`` rows of a
+    larger table, with ``full=False``. Features are
     prepared once; the vectors are kept for all targets, which are fitted ``parallelism`` at
     a time (more for small tables), each fit being a distributed job. ``holdout`` sets a share of rows aside and adds
     metrics on them.
@@ -277,18 +281,20 @@ def train(
     extra = [key] if key and key not in features and key not in targets else []
     rows = df.select(*[col(c) for c in [*features, *[t for t in targets if t not in features], *extra]])
     if not full:
-        smaller = sample_rows(rows, SAMPLE_SIZE, key=key)
+        smaller = sample_rows(rows, max_rows, key=key)
         result.sampled = smaller is not rows
         if result.sampled:
-            rows = stage(smaller.repartition(SAMPLE_SIZE // MIN_ROWS_PER_TASK))  # picked once
-    result.log.append("training on a sample of 5,000 rows" if result.sampled else "training on all rows")
+            rows = stage(smaller.repartition(max(1, max_rows // MIN_ROWS_PER_TASK)))  # picked once
+    result.log.append(f"training on a sample of {max_rows:,} rows" if result.sampled else "training on all rows")
     for target in targets:
         rows = _prepare_label(rows, target, key)
-    n, rows = (SAMPLE_SIZE, rows) if result.sampled else _spread(rows)
+    n, rows = (max_rows, rows) if result.sampled else _spread(rows)
 
     shared = fit_features(rows, features, max_categories, approximate)
     result.log.append("features prepared")
     tasks = {t: task or label_task(rows, t) for t in targets}
+    if not full and (not tasks or any(t != CLASSIFY for t in tasks.values())):
+        raise ValueError("only classifiers are fitted on a sample")
     classes = {t: _classes(rows, t, max_classes) if tasks[t] == CLASSIFY else [] for t in targets}
     vectors = shared.transform(rows).select(VECTOR, *[col(t).alias(f"y{i}") for i, t in enumerate(targets)])
     held = None

@@ -156,12 +156,26 @@ def test_boolean_labels(flowers):
 
 def test_sampling_of_large_tables(spark):
     df = spark.range(6000).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 2).alias("y"))
-    got = train(df, Roles(["x"], ["y"]), spec={"algo": "DecisionTreeClassifier"}, key="id")
+    got = train(df, Roles(["x"], ["y"]), spec={"algo": "DecisionTreeClassifier"}, key="id", full=False)
     assert got.sampled and got.metrics["y"]["classification_report"]["weighted avg"]["support"] == 5000
     got = train(df, Roles(["x"], ["y"]), spec={"algo": "DecisionTreeClassifier"}, full=True)
     assert not got.sampled and got.metrics["y"]["classification_report"]["weighted avg"]["support"] == 6000
 
 
+def test_only_classifiers_are_sampled(spark):
+    df = spark.range(6000).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.5).alias("y"))
+    with pytest.raises(ValueError):
+        train(df, Roles(["x"], ["y"]), task="regression", full=False)
+
+
+def test_whole_numbers_written_with_a_point(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("a"), (F.col("id") * 2.0).alias("y"))
+    fitted = train(df, Roles(["a"], ["y"]), spec={"algo": "LinearRegression"}, task="regression")["y"]
+    spark.createDataFrame([("12.0",), ("80.0",), ("7",)], "a string").write.csv(str(tmp_path / "in"), header=True)
+    got = fitted.predict_csv(spark, str(tmp_path / "in")).select(F.round("prediction", 6)).collect()
+    assert sorted(r[0] for r in got) == [14.0, 24.0, 160.0]
+
+
 def test_pca_is_centred(flowers):
     pcs = features.principal_components(flowers, COLS, ["id"])
     m = pcs.agg(F.avg("PC1"), F.avg("PC2"), F.var_samp("PC1"), F.var_samp("PC2")).first()

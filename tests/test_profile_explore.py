@@ -187,3 +187,11 @@ def test_fewer_values_at_the_limit(spark, limit):
         for seed in range(3):
             df = spark.range(400).select((F.pmod("id", F.lit(n)) * (7.3 + seed)).alias("x"))
             assert profile.fewer_values(df, "x", limit) == (n < limit)
+
+
+def test_scatter_and_removed_rows_are_whole(spark):
+    df = spark.range(6000).select("id", *[(F.col("id") % k).alias(f"c{k}") for k in range(2, 8)])
+    got = explore.scatter_data(df)
+    assert got.count() == 6000 and len(got.columns) == 7
+    before = spark.createDataFrame([(1,), (None,), (2,)], "k long")
+    assert [r.k for r in explore.removed_rows(before, before.filter("k is null or k = 1"), "k").collect()] == [2]

@@ -48,6 +48,8 @@ def decode_all(blobs: list[bytes], n_extra: int = 0) -> tuple[np.ndarray, ...]:
 
 def dealt(owners: np.ndarray, values: np.ndarray, bucket: np.ndarray, *extra: np.ndarray) -> list[tuple[int, bytes]]:
     """A blob for each bucket that has values; the order inside a bucket stays."""
+    if len(bucket) and int(bucket.max()) < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix, without a workspace of its size
     order = np.argsort(bucket, kind="stable")
     sorted_bucket = bucket[order]
     at = np.flatnonzero(np.diff(sorted_bucket, prepend=~sorted_bucket[:1]))

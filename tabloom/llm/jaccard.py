@@ -37,8 +37,9 @@ from tabloom.llm.common import (
 )
 from tabloom.llm.components import components
 
-#: Tokens that a task gathers before it sends them on.
+#: Tokens that a task gathers before it counts them, and before it sends them on (some 100 bytes each).
 CHUNK = 2_000_000
+SENT = 700_000
 #: A token is heavy if it stands in more than HEAVY rows and in more than one in HEAVY_PARTS of all:
 #: there are fewer than HEAVY_PARTS of them, so that their table may travel to every task.
 HEAVY = 20_000
@@ -148,12 +149,13 @@ def _send(docs: DataFrame, size: int, percent: int, heavy: dict[int, int], n_tok
                     out.append((int(b), 0, info[of == b].tobytes()))
             if size_held:
                 t, o = np.concatenate(tokens), np.repeat(*np.array(owners, np.int64).T)
+                tokens.clear()
                 if len(known):
                     at = np.minimum(np.searchsorted(known, t), len(known) - 1)
                     is_heavy = known[at] == t
                     out += [(b, 3, blob) for b, blob in blobs.dealt(o[is_heavy], t[is_heavy], o[is_heavy] % n_doc)]
                     t, o = t[~is_heavy], o[~is_heavy]
-                out += [(b, 1, blob) for b, blob in blobs.dealt(o, t, (t % np.uint64(n_token)).astype(np.int64))]
+                out += [(b, 1, blob) for b, blob in blobs.dealt(o, t, (t % np.uint64(n_token)).astype(np.uint32))]
             return _rows(out)
 
         for batch in batches:
@@ -170,9 +172,11 @@ def _send(docs: DataFrame, size: int, percent: int, heavy: dict[int, int], n_tok
                     owners.append((row, n))
                     size_held += n
                 row += 1
-                if size_held >= CHUNK or len(facts) >= CHUNK // 8:
+                if size_held >= SENT or len(facts) >= CHUNK // 8:
                     yield flush()
-                    tokens, owners, facts, seen, size_held = [], [], [], set(), 0
+                    tokens, owners, facts, size_held = [], [], [], 0
+                    if len(seen) >= CHUNK // 8:
+                        seen = set()
         if facts:
             yield flush()
 

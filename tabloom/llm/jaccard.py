@@ -7,7 +7,8 @@ orders, by hash, before the sets are compared in full. Tokens of a single docume
 and stand first in every order, so that only their number is kept.
 
 A group of similar texts is linked through a few of them: each posting list first compares its members
-with two of them, and then only those that this has left unconnected with the others.
+with two of them, and then only those that this has left unconnected with the others, where the
+parities of their tokens leave room for enough common ones.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ HEAVY_PARTS = 1 << 17
 #: Orders after the first, by their seeds.
 ORDERS = (0x51ED270B, 0x2545F491)
 _STEP = np.uint64(0xD1342543DE82EF95)
+#: Columns of 64 bits that hold the parities of a set's tokens.
+MARKS = [f"m{i}" for i in range(8)]
 
 
 def hashed_words(data: np.ndarray, roller: Roller) -> np.ndarray:
@@ -315,6 +318,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(check, "a long, b long, both long, linked boolean")
 
 
+def marks(tokens: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of tokens falls on it: the bits in which two sets differ are at
+    most as many as the tokens that only one of them has."""
+    width = 64 * len(MARKS)
+    odd = np.bincount((tokens >> np.uint64(32)).astype(np.int64) % width, minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [marks(np.frombuffer(s, np.uint64)) for s in batch.column("tokens").to_pylist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), *map(pa.array, np.array(found).T.copy())], ["cid", *MARKS])
+
+    return sets.select("cid", "tokens").mapInArrow(mark, ", ".join(f"{c} long" for c in ["cid", *MARKS]))
+
+
 def _pairs(left: DataFrame, right: DataFrame, percent: int, most=None) -> DataFrame:
     """Pairs within a posting list that aren't connected and can still be similar enough.
 
@@ -354,10 +375,12 @@ def _connect(sets: DataFrame, percent: int) -> DataFrame:
     rows = written(rows.select("token", "cid", "n", "shared", "head", "root", common.alias("common")), "lists")
     parts = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("root", "k").alias("main"), F.count(F.lit(1)).alias("parts"))
-    rows = rows.join(main.filter("parts > 1").select("token", "main"), "token")
+    rows = rows.join(main.filter("parts > 1").select("token", "main"), "token").join(_marked(sets), "cid")
     # what two sets share is in the hub or beside it: at most the smaller of each
     most = F.least("x.common", "y.common") + F.least(F.col("x.shared") - F.col("x.common"), F.col("y.shared") - F.col("y.common"))
     most = F.coalesce(F.when(F.col("x.common").isNotNull() & F.col("y.common").isNotNull(), most), F.least("x.shared", "y.shared"))
+    differ = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in MARKS), F.lit(0))
+    most = F.least(most, F.floor((F.col("x.shared") + F.col("y.shared") - differ) / 2))
     more = _pairs(rows.filter("root != main"), rows, percent, most).join(tested, ["a", "b"], "left_anti")
     more = written(_verify(more, sets, percent).filter("linked").select("a", "b"), "links")
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))

@@ -370,3 +370,12 @@ def test_pipeline_of_odd_rows(spark, sf_dir, odd):
         assert stage(spark, docs, sf_dir).count() >= n - 1
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert partitions(spark) > 0
+
+
+def test_marks_bound_the_tokens_of_one_set_only():
+    rng = np.random.default_rng(5)
+    for shared, own in ((0, 0), (90, 3), (400, 700), (5000, 40)):
+        both = rng.integers(0, 1 << 63, shared, np.uint64)
+        a, b = (np.concatenate([both, rng.integers(0, 1 << 63, own, np.uint64)]) for _ in "ab")
+        differ = sum(int(x).bit_count() for x in (jaccard.marks(a) ^ jaccard.marks(b)).view(np.uint64))
+        assert differ <= 2 * own and (differ > 0) == (own > 0)

@@ -82,13 +82,13 @@ def label_profile(spark, folder):
 SELECT TRUE AS ready, 'classification' AS task_type, CASE WHEN k = 2 THEN 'binary_classification' END AS recommendation,
        r AS row_count, 2::INTEGER AS feature_count, k AS label_cardinality, n AS label_samples,
        round(top / n::DOUBLE, 6) AS majority_share,
-       CASE WHEN top / n::DOUBLE > 0.8 THEN 1 ELSE 0 END::INTEGER AS warnings FROM s, m"""
+       CASE WHEN top / n::DOUBLE > 0.8 THEN 'class_dominates' ELSE '' END AS warnings FROM s, m"""
 )
 def label_readiness(spark, folder):
     found = assess(labelled_documents(spark, folder), Roles(["n_chars", "lang"], ["quality"]))
     return found.to_frame(spark).select(
         "ready", "task_type", "recommendation", "row_count", "feature_count", "label_cardinality",
-        "label_samples", rounded("majority_share"), F.size("warnings").alias("warnings"),
+        "label_samples", rounded("majority_share"), F.array_join("warnings", ",").alias("warnings"),
     )
 
 
@@ -308,12 +308,11 @@ def what_if_grid(spark, folder):
 
 
 @query(
-    """WITH s AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, quantile_cont(l_quantity, 0.5) AS med,
-   max(l_tax) AS hi2 FROM lineitem)
-SELECT 'Forecast l_extendedprice if l_quantity rises to ' || hi::VARCHAR AS question FROM s
-UNION ALL SELECT 'Predict l_extendedprice when l_quantity is at typical level (' || med::VARCHAR || ')' FROM s
-UNION ALL SELECT 'What will l_extendedprice be if l_quantity = ' || hi::VARCHAR || ' and l_tax = ' || round(hi2, 1)::VARCHAR || '?' FROM s
-UNION ALL SELECT 'Make a prediction using the latest data and explain the result'"""
+    """WITH s AS (SELECT round(max(l_quantity), 4)::VARCHAR AS q, round(quantile_cont(l_quantity, 0.5), 4)::VARCHAR AS q_mid,
+   round(max(l_tax), 4)::VARCHAR AS t, round(quantile_cont(l_tax, 0.5), 4)::VARCHAR AS t_mid FROM lineitem),
+ f AS (SELECT l_returnflag AS top FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT 'Estimate l_extendedprice for ' || unnest(['l_quantity = ' || q, 'l_tax = ' || t, 'l_quantity = ' || q_mid,
+   'l_tax = ' || t_mid, 'l_returnflag = ' || top, 'l_quantity = ' || q || ' and l_tax = ' || t]) AS question FROM s, f"""
 )
 def suggested_questions(spark, folder):
     asked = questions.suggested_questions(

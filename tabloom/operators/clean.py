@@ -99,7 +99,7 @@ def fit_drop_high_null(df: DataFrame, threshold: float = 0.5) -> FittedStep:
         "drop_high_null",
         {"drop": drop},
         {"cols_removed": len(drop)},
-        f"dropped columns with at least {threshold:.0%} nulls",
+        f"null share of {threshold:.0%} or more: {len(drop)} columns",
     )
 
 
@@ -122,7 +122,7 @@ def fit_deduplicate(
     step = FittedStep(
         "deduplicate",
         {"subset": list(subset) if subset else None, "order_by": order_by},
-        reason="removed duplicate rows",
+        reason="one row kept of each set of equals",
     )
     if audit:
         step.changes["rows_removed"] = _rows_removed(df, step.transform(df))
@@ -146,7 +146,7 @@ def fit_remove_empty_rows(
     step = FittedStep(
         "remove_empty_rows",
         {"subset": list(subset) if subset else None},
-        reason="removed fully empty rows",
+        reason="rows without any value",
     )
     if audit:
         names = list(subset or df.columns)
@@ -170,7 +170,7 @@ def fit_replace_placeholder_nulls(df: DataFrame, audit: bool = True) -> FittedSt
         step.changes["nulled_cells"] = sum(
             _counts(df, [F.count_if(is_placeholder(col(c))) for c in names])
         )
-        step.reason = f"replaced {step.changes['nulled_cells']} placeholder nulls"
+        step.reason = f"{step.changes['nulled_cells']} cells only stood for a missing value"
     return step
 
 
@@ -203,7 +203,7 @@ def fit_impute(df: DataFrame, approximate: bool = False, fill_all: bool = False)
         "impute",
         {"medians": medians, "modes": modes},
         {"imputed_cells": total},
-        f"imputed {total} missing values",
+        f"{total} gaps filled with median or mode",
     )
 
 
@@ -235,10 +235,10 @@ def _fit_text(op: str, change: Callable, metric: str, reason: str):
 
 
 fit_strip_whitespace = _fit_text(
-    "strip_whitespace", strip, "stripped_cells", "stripped whitespace from all text columns"
+    "strip_whitespace", strip, "stripped_cells", "blanks cut at both ends"
 )
 fit_lowercase_text = _fit_text(
-    "lowercase_text", F.lower, "lowercased_cells", "lowercased text in all text columns"
+    "lowercase_text", F.lower, "lowercased_cells", "letters made lower case"
 )
 
 
@@ -284,7 +284,7 @@ def fit_parse_dates(
         "parse_dates",
         {"formats": chosen},
         {"parsed_columns": len(chosen)},
-        f"parsed {len(chosen)} date columns",
+        f"{len(chosen)} columns read as points in time",
     )
 
 
@@ -335,7 +335,7 @@ def fit_remove_outliers(
     step = FittedStep("remove_outliers", {"bounds": bounds, "z": z_threshold})
     if audit:
         step.changes["rows_removed"] = _rows_removed(df, rows)
-        step.reason = f"removed {step.changes['rows_removed']} outlier rows (z > {z_threshold})"
+        step.reason = f"{step.changes['rows_removed']} rows lie beyond {z_threshold} deviations"
     return step
 
 
@@ -355,7 +355,7 @@ def fit_snake_case(df: DataFrame) -> FittedStep:
         "snake_case",
         {},
         {"renamed_columns": len(renamed)},
-        f"renamed {len(renamed)} columns to snake_case" if renamed else "no columns needed renaming",
+        f"{len(renamed)} names made lower case with underscores",
     )
 
 

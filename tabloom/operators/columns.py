@@ -71,15 +71,12 @@ def validate_roles(roles: Roles, columns: Sequence[str]) -> Roles:
 
 
 def resolve_features(roles: Roles, columns: Sequence[str]) -> list[str]:
-    """Features that exist and are not labels, else the first five other columns."""
+    """Features that exist and are not labels, else all other columns; labels only if nothing else is there."""
     features = [c for c in roles.features if c in columns and c not in roles.labels]
-    if features:
-        return features
-    others = [c for c in columns if c not in roles.labels][:5]
-    return others or [c for c in roles.features if c in columns][:10]
+    others = [c for c in columns if c not in roles.labels]
+    return features or others or [c for c in roles.features if c in columns]
 
 
 def resolve_targets(roles: Roles, columns: Sequence[str]) -> list[str]:
-    """Every label when nearly all columns are labels, else the first; none means clustering."""
-    labels = [c for c in roles.labels if c in columns]
-    return labels if len(labels) >= len(columns) - 1 else labels[:1]
+    """Every label that exists; none means clustering."""
+    return [c for c in roles.labels if c in columns]

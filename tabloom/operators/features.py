@@ -64,12 +64,14 @@ def fit_features(
     features: Sequence[str],
     max_categories: int = MAX_CATEGORIES,
     approximate: bool = False,
+    encoding: str = "onehot",
 ) -> FeatureModel:
     """Numbers: median fill, then zero mean and unit (population) deviation. Text: mode fill,
     then one-hot, where categories not seen here are all zeros. Other types are left out.
 
-    One-hot keeps one value list per column on the driver, so text columns with more than
-    ``max_categories`` values are hashed into a fixed number of slots instead.
+    One-hot keeps one value list per column on the driver, so a text column with more than
+    ``max_categories`` values is an error; ``encoding="hash"`` hashes all text columns into a
+    fixed number of slots, where values can share one.
     """
     numeric = [c for c in features if is_number(df.schema[c].dataType)]
     text = [c for c in features if isinstance(df.schema[c].dataType, T.StringType)]
@@ -88,8 +90,13 @@ def fit_features(
     ).first()
     spread = dict(zip(numeric, stats[1 : 1 + len(numeric)]))
     sizes = dict(zip(text, stats[1 + len(numeric) :]))
-    onehot = [c for c in text if sizes[c] <= max_categories]
-    hashed = [c for c in text if c not in onehot]
+    if encoding not in ("onehot", "hash"):
+        raise ValueError("encoding is onehot or hash")
+    onehot, hashed = (text, []) if encoding == "onehot" else ([], text)
+    if near := [c for c in onehot if sizes[c] > max_categories // 2]:  # the estimate doesn't decide
+        for c, n in zip(near, used.agg(*[F.count_distinct(col(c)) for c in near]).first()):
+            if n > max_categories:
+                raise ValueError(f"{c} has {n} values: raise max_categories={max_categories} or take encoding='hash'")
 
     columns, names = [], {}
     for i, c in enumerate([*numeric, *text]):

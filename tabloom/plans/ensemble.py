@@ -259,6 +259,7 @@ def train(
     max_classes: int = MAX_CLASSES,
     approximate: bool = False,
     parallelism: int | None = None,
+    encoding: str = "onehot",
 ) -> Ensemble:
     """Train one model per target (a clustering without targets) on shared features.
 
@@ -290,7 +291,7 @@ def train(
         rows = _prepare_label(rows, target, key)
     n, rows = (max_rows, rows) if result.sampled else _spread(rows)
 
-    shared = fit_features(rows, features, max_categories, approximate)
+    shared = fit_features(rows, features, max_categories, approximate, encoding)
     result.log.append("features prepared")
     tasks = {t: task or label_task(rows, t) for t in targets}
     if not full and (not tasks or any(t != CLASSIFY for t in tasks.values())):

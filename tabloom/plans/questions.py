@@ -11,6 +11,7 @@ from tabloom.functions.intent import extract_inputs, is_prediction_question, tar
 from tabloom.operators.clean import fit_impute
 from tabloom.operators.explore import frequencies, input_stats
 from tabloom.operators.models import CLASSIFY, CLUSTER, REGRESS
+from tabloom.operators.profile import most_frequent
 from tabloom.plans.ensemble import Ensemble
 from tabloom.types import col, is_number
 
@@ -82,49 +83,28 @@ def what_if_grid(
     return out
 
 
-# Question templates per task; lo/hi/mid/typical describe the first numeric
-# feature f, lo2/hi2 the second one g, and v is the most frequent value of the category h.
-TEMPLATES = {
-    CLASSIFY: [
-        "Will {label} be positive if {f} is high (near {hi})?",
-        "Predict {label} when {f} = {mid}",
-        "What happens to {label} when {f} = {hi} and {g} = {lo2}?",
-        "Predict {label} for {h} = {v}",
-    ],
-    REGRESS: [
-        "Forecast {label} if {f} rises to {hi}",
-        "Predict {label} when {f} is at typical level ({typical})",
-        "What will {label} be if {f} = {hi} and {g} = {hi2}?",
-    ],
-    CLUSTER: ["Predict the outcome when {f} is between {lo} and {hi}"],
-}
-CLOSING = "Make a prediction using the latest data and explain the result"
-MAX_SUGGESTIONS = 6
-
-
-def suggested_questions(df: DataFrame, features: Sequence[str], label: str | None, task: str) -> list[str]:
-    """Up to six distinct questions made from the ranges and frequent values of the features."""
-    present = [c for c in features if c in df.columns]
-    numeric = [c for c in present if is_number(df.schema[c].dataType)][:2]
-    category = next((c for c in present if not is_number(df.schema[c].dataType)), None)
-    words: dict[str, object] = {"label": label or "target"}
-    for row, (f, lo, hi) in zip(
-        input_stats(df, numeric).collect() if numeric else [], (("f", "lo", "hi"), ("g", "lo2", "hi2"))
-    ):
-        if row["min"] is None:
-            continue
-        words |= {f: row["column"], lo: round(row["min"], 1), hi: round(row["max"], 1)}
-        if f == "f":
-            middle = (words["lo"] + words["hi"]) / 2
-            words |= {"mid": f"{middle:.1f}", "typical": round(row["median"], 1)}
-    if category:
-        top = frequencies(df, category, 1).first()
-        if top:
-            words |= {"h": category, "v": top.value}
-    found = []
-    for template in [*TEMPLATES[task], CLOSING]:
-        try:
-            found.append(template.format(**words))
-        except KeyError:  # the table lacks a column the template needs
-            continue
-    return list(dict.fromkeys(found))[:MAX_SUGGESTIONS]
+VERBS = {CLASSIFY: "Predict", REGRESS: "Estimate", CLUSTER: "Predict"}
+
+
+def suggested_questions(
+    df: DataFrame, features: Sequence[str], label: str | None, task: str, limit: int | None = None
+) -> list[str]:
+    """Distinct questions about the target: every number at its maximum and at its median, every
+    category at its most frequent value, and neighbouring numbers together at their maxima.
+
+    All features are asked about, in their order; ``limit`` keeps the first questions. Columns
+    without values are left out.
+    """
+    known = [c for c in features if c in df.columns]
+    numeric = [c for c in known if is_number(df.schema[c].dataType)]
+    categories = [c for c in known if c not in numeric]
+    stats = {r["column"]: r for r in input_stats(df, numeric).collect()} if numeric else {}
+    high = [(c, round(stats[c]["max"], 4)) for c in numeric if stats[c]["max"] is not None]
+    middle = [(c, round(stats[c]["median"], 4)) for c, _ in high]
+    frequent = most_frequent(df, categories) if categories else {}
+    usual = [(c, frequent[c].value) for c in categories if frequent[c].value is not None]
+    cases = [[x] for x in (*high, *middle, *usual)] + [list(pair) for pair in zip(high, high[1:])]
+    asked = [
+        f"{VERBS[task]} {label or 'the cluster'} for " + " and ".join(f"{c} = {x}" for c, x in case) for case in cases
+    ]
+    return list(dict.fromkeys(asked))[:limit]

@@ -1,104 +1,155 @@
-"""Is this table ready to train on, for which task, and what speaks against it?"""
+"""Is this table ready to train on, for which task, and what speaks against it?
+
+One grouped count gives the facts; a table of rules turns them into findings.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators.explore import frequencies
 from tabloom.operators.models import CLASSIFY, CLUSTER, REGRESS
 from tabloom.plans.ensemble import CLASSES_BELOW
 from tabloom.types import Roles, col, is_number, present
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What the rules look at: columns by kind, and counts of rows and label values."""
+
+    numeric: list[str]
+    categorical: list[str]
+    rows: int
+    label: str | None = None
+    label_wanted: bool = False
+    text_label: bool = False
+    classes: int = 0
+    labelled: int = 0
+    largest: int = 0
+    commonest: object = None
+
+    @property
+    def task(self) -> str:
+        if self.label is None:
+            return CLUSTER
+        return CLASSIFY if self.text_label or self.classes < CLASSES_BELOW else REGRESS
+
+    @property
+    def share(self) -> float | None:
+        return self.largest / self.labelled if self.labelled else None
+
+
+@dataclass(frozen=True)
+class Rule:
+    code: str
+    holds: Callable[[Facts], object]
+    detail: Callable[[Facts], str]
+    blocks: bool = False
+
+
+# The thresholds and the names of the recommended kinds of model.
+RULES = (
+    Rule("features_missing", lambda t: not (t.numeric or t.categorical), lambda t: "name a feature that the table has", True),
+    Rule("rows_missing", lambda t: t.rows == 0, lambda t: "there is nothing to learn from", True),
+    Rule("label_missing", lambda t: t.label_wanted and t.label is None, lambda t: "the table has none of the labels", True),
+    Rule("numbers_missing", lambda t: t.categorical and not t.numeric, lambda t: "every feature is a category"),
+    Rule("rows_few", lambda t: not t.label_wanted and 0 < t.rows < 5, lambda t: f"{t.rows} rows make no groups"),
+    Rule("labels_few", lambda t: t.label and t.rows and t.labelled < 10, lambda t: f"{t.labelled} rows carry a label"),
+    Rule("classes_many", lambda t: t.label and t.task == CLASSIFY and t.classes > 10, lambda t: f"{t.classes} classes; merge small ones"),
+    Rule("classes_rare", lambda t: t.label and t.task == CLASSIFY and 2 * t.classes > t.labelled, lambda t: f"{t.classes} classes share {t.labelled} rows"),
+    Rule("class_dominates", lambda t: t.task == CLASSIFY and (t.share or 0) > 0.8, lambda t: f"{t.commonest}: {t.share:.0%} of all labels"),
+    Rule("values_few", lambda t: t.task == REGRESS and t.classes < 30 and t.labelled > 100, lambda t: f"{t.classes} distinct numbers could be classes"),
+)
+
+
+def recommended(t: Facts) -> str | None:
+    if t.task != CLASSIFY:
+        return t.task
+    if t.classes > 10:
+        return None
+    return "binary_classification" if t.classes == 2 else f"multiclass_classification_{t.classes}_classes"
+
+
 @dataclass
 class Readiness:
+    facts: Facts
+    findings: list[tuple[str, str]] = field(default_factory=list)  # (code, detail)
     ready: bool = True
-    task_type: str = CLUSTER
-    recommendation: str | None = None
-    warnings: list[str] = field(default_factory=list)
-    row_count: int | None = None
-    feature_count: int | None = None
-    numeric_features: list[str] = field(default_factory=list)
-    categorical_features: list[str] = field(default_factory=list)
-    label_cardinality: int | None = None
-    label_samples: int | None = None
-    majority_share: float | None = None
-    label_distribution: dict[str, int] = field(default_factory=dict)
+    #: ``value, n, share`` of every label value, as a lazy table.
+    label_distribution: DataFrame | None = None
 
-    def to_frame(self, spark: SparkSession) -> DataFrame:
-        schema = (
-            "ready boolean, task_type string, recommendation string, warnings array<string>, "
-            "row_count bigint, feature_count int, numeric_features array<string>, "
-            "categorical_features array<string>, label_cardinality bigint, label_samples bigint, "
-            "majority_share double, label_distribution map<string,bigint>"
-        )
-        return spark.createDataFrame([tuple(vars(self).values())], schema)
+    @property
+    def task_type(self) -> str:
+        return self.facts.task
 
-    def refuse(self, why: str) -> "Readiness":
-        self.ready = False
-        self.warnings.append(why)
-        return self
+    @property
+    def codes(self) -> list[str]:
+        return [code for code, _ in self.findings]
 
+    @property
+    def recommendation(self) -> str | None:
+        return recommended(self.facts) if self.ready else None
 
-def assess(df: DataFrame, roles: Roles) -> Readiness:
-    """Two jobs at most: a row count and the frequencies of the first label."""
-    out = Readiness()
-    if not roles.features:
-        return out.refuse("no feature columns selected")
-    label = next((c for c in roles.labels if c in df.columns), None)
-    out.row_count = df.count()
-    if out.row_count == 0:
-        return out.refuse("the table is empty")
+    def warnings_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.findings, "code string, detail string")
+
+    def to_frame(self, spark: SparkSession) -> DataFrame:
+        t = self.facts
+        values = {
+            "ready boolean": self.ready,
+            "task_type string": self.task_type,
+            "recommendation string": self.recommendation,
+            "warnings array<string>": self.codes,
+            "row_count bigint": t.rows,
+            "feature_count int": len(t.numeric) + len(t.categorical),
+            "numeric_features array<string>": t.numeric,
+            "categorical_features array<string>": t.categorical,
+            "label_cardinality bigint": t.classes if t.label else None,
+            "label_samples bigint": t.labelled if t.label else None,
+            "majority_share double": t.share,
+        }
+        return spark.createDataFrame([tuple(values.values())], ", ".join(values))
+
+
+def gather_facts(df: DataFrame, roles: Roles) -> Facts:
+    """One job: rows per label value, summed up. The label is the first one that exists."""
     features = [c for c in roles.features if c in df.columns]
     numeric = [c for c in features if is_number(df.schema[c].dataType)]
-    out.feature_count = len(features)
-    out.numeric_features = numeric[:10]
-    out.categorical_features = [c for c in features if c not in numeric][:10]
-    if not features:
-        return out.refuse("no valid feature columns found")
-    if not numeric:
-        out.warnings.append("no numeric features")
-    if not roles.labels:
-        out.recommendation = CLUSTER
-        if out.row_count < 5:
-            out.warnings.append("too few rows for meaningful clustering")
-        return out
-    if label is None:
-        return out.refuse("label column not found")
-    _assess_label(df, label, out)
-    return out
-
-
-def _assess_label(df: DataFrame, label: str, out: Readiness) -> None:
-    counts = (
-        df.where(present(df, label)).groupBy(col(label).alias("value")).agg(F.count("*").alias("n"))
+    label = next((c for c in roles.labels if c in df.columns), None)
+    key = F.when(present(df, label), col(label)) if label else F.lit(None).cast("string")
+    groups = df.groupBy(key.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    s = groups.agg(
+        F.sum("n").alias("rows"),
+        F.count("value").alias("classes"),
+        F.sum(known).alias("labelled"),
+        F.max(known).alias("largest"),
+        F.min_by("value", F.struct(-known, "value")).alias("commonest"),
+    ).first()
+    return Facts(
+        numeric,
+        [c for c in features if c not in numeric],
+        s.rows or 0,
+        label,
+        bool(roles.labels),
+        label is not None and isinstance(df.schema[label].dataType, (T.StringType, T.BooleanType)),
+        s.classes,
+        s.labelled or 0,
+        s.largest or 0,
+        s.commonest,
     )
-    totals = counts.agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
-    classes, samples = totals.classes, totals.n or 0
-    out.label_cardinality, out.label_samples = classes, samples
-    top = frequencies(df, label, 10).collect()
-    out.label_distribution = {str(r.value): r.n for r in top}
-    out.majority_share = totals.most / samples if samples else None
-    if samples < 10:
-        out.warnings.append(f"only {samples} labelled rows")
-    dtype = df.schema[label].dataType
-    if isinstance(dtype, (T.StringType, T.BooleanType)) or classes < CLASSES_BELOW:
-        out.task_type = CLASSIFY
-        if classes == 2:
-            out.recommendation = "binary_classification"
-        elif classes <= 10:
-            out.recommendation = f"multiclass_classification_{classes}_classes"
-        else:
-            out.warnings.append(f"{classes} classes: consider grouping rare ones")
-        if classes > samples * 0.5:
-            out.warnings.append("fewer than two rows per class on average")
-        if out.majority_share and out.majority_share > 0.8:
-            out.warnings.append(f"'{top[0].value}' makes up {out.majority_share:.0%} of the labels")
-    else:
-        out.task_type = out.recommendation = REGRESS
-        if classes < 30 and samples > 100:
-            out.warnings.append(f"only {classes} distinct label values: consider classification")
+
+
+def assess(df: DataFrame, roles: Roles) -> Readiness:
+    """Facts of the table and the findings of all rules; one that blocks makes it not ready."""
+    facts = gather_facts(df, roles)
+    hits = [r for r in RULES if r.holds(facts)]
+    shares = None
+    if facts.label:
+        counts = df.where(present(df, facts.label)).groupBy(col(facts.label).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        shares = counts.withColumn("share", F.col("n") / facts.labelled) if facts.labelled else counts
+    return Readiness(facts, [(r.code, r.detail(facts)) for r in hits], not any(r.blocks for r in hits), shares)

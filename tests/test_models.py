@@ -55,7 +55,9 @@ def test_unseen_and_missing_categories(spark):
 
 def test_many_categories_are_hashed(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("s"), (F.col("id") * 1.0).alias("x"))
-    fm = features.fit_features(df, ["s", "x"], max_categories=10)
+    with pytest.raises(ValueError, match="s has 50 values"):
+        features.fit_features(df, ["s", "x"], max_categories=10)
+    fm = features.fit_features(df, ["s", "x"], max_categories=10, encoding="hash")
     assert fm.transform(df).count() == 50 and len(fm.slots) == features.HASHED_SLOTS + 1
 
 
@@ -197,25 +199,35 @@ def test_metrics_by_hand(spark):
 def test_readiness(spark, flowers):
     ok = assess(flowers, Roles(COLS, ["species"]))
     assert (ok.ready, ok.task_type, ok.recommendation) == (True, "classification", "multiclass_classification_3_classes")
-    assert ok.label_distribution == {s: 10 for s in MEANS} and ok.warnings == []
-    assert assess(flowers, Roles()).warnings == ["no feature columns selected"]
-    assert not assess(flowers.limit(0), Roles(COLS)).ready
-    assert not assess(flowers, Roles(COLS, ["gone"])).ready
-    assert assess(flowers, Roles(["species"])).warnings == ["no numeric features"]
+    assert {r.value: r.n for r in ok.label_distribution.collect()} == {s: 10 for s in MEANS} and ok.findings == []
+    none = assess(flowers, Roles())
+    assert none.codes == ["features_missing"] and not none.ready and none.recommendation is None
+    assert assess(flowers.limit(0), Roles(COLS)).codes == ["rows_missing"]
+    gone = assess(flowers, Roles(COLS, ["gone"]))
+    assert gone.codes == ["label_missing"] and not gone.ready
+    words = assess(flowers, Roles(["species"]))
+    assert words.codes == ["numbers_missing"] and words.ready and words.recommendation == "clustering"
+    assert assess(flowers.limit(3), Roles(COLS)).codes == ["rows_few"]
+    assert assess(flowers.limit(6), Roles(COLS, ["species"])).codes[0] == "labels_few"
     skew = spark.range(200).select("id", F.when(F.col("id") < 190, "x").otherwise("y").alias("y"))
     got = assess(skew, Roles(["id"], ["y"]))
-    assert got.recommendation == "binary_classification" and "95%" in got.warnings[0]
+    assert got.recommendation == "binary_classification" and got.findings == [("class_dominates", "x: 95% of all labels")]
+    many = assess(spark.range(30).select("id", F.col("id").cast("string").alias("y")), Roles(["id"], ["y"]))
+    assert many.codes == ["classes_many", "classes_rare"] and many.recommendation is None
     reg = spark.range(200).select("id", (F.col("id") % 25).alias("y"))
     got = assess(reg, Roles(["id"], ["y"]))
-    assert got.task_type == "regression" and "only 25 distinct" in got.warnings[0]
+    assert got.recommendation == "regression" and got.codes == ["values_few"]
     assert got.to_frame(spark).first().label_cardinality == 25
+    assert got.warnings_frame(spark).first().code == "values_few"
+    wide = assess(spark.range(3).select(*[F.col("id").alias(f"c{i}") for i in range(12)]), Roles([f"c{i}" for i in range(12)]))
+    assert len(wide.to_frame(spark).first().numeric_features) == 12
 
 
 def test_roles(spark):
     cols = ["a", "b", "c", "d", "e", "f", "g"]
     assert resolve_features(Roles(["a", "y", "zz"], ["y"]), [*cols, "y"]) == ["a"]
-    assert resolve_features(Roles([], ["a"]), cols) == ["b", "c", "d", "e", "f"]
-    assert resolve_targets(Roles([], ["a", "b"]), cols) == ["a"] and resolve_targets(Roles(), cols) == []
+    assert resolve_features(Roles([], ["a"]), cols) == ["b", "c", "d", "e", "f", "g"]
+    assert resolve_targets(Roles([], ["a", "b"]), cols) == ["a", "b"] and resolve_targets(Roles(), cols) == []
     assert resolve_targets(Roles([], ["a", "b"]), ["a", "b", "c"]) == ["a", "b"]
     moved = reconcile_roles(Roles(["My Col", "gone"], ["y"]), ["My Col", "gone", "y"], ["my_col", "y"])
     assert (moved.features, moved.labels) == (["my_col"], ["y"])
@@ -254,8 +266,9 @@ def test_answers_and_what_if(spark, flowers, forest):
     assert grid.count() == 9 and grid.select("petal_w").distinct().count() == 1
     assert forest["species"].predict(grid).count() == 9
     asks = questions.suggested_questions(flowers, [*COLS], "species", "classification")
-    assert len(asks) == 4 and asks[1].startswith("Predict species when sepal_l = ")
-    assert len(questions.suggested_questions(flowers, ["species"], "y", "regression")) == 1
+    assert len(asks) == 3 * len(COLS) - 1 and asks[0].startswith("Predict species for sepal_l = ")
+    assert questions.suggested_questions(flowers, ["species"], "y", "regression") == ["Estimate y for species = setosa"]
+    assert questions.suggested_questions(flowers, [*COLS], None, "clustering", limit=2)[1:] != []
 
 
 def test_dataset_card(spark, flowers):

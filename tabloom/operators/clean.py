@@ -42,6 +42,23 @@ DATE_FORMATS = [
     "dd-MM-yyyy",
     "dd.MM.yyyy",
     "yyyyMMdd",
+    # one- and two-digit fields, clocks with AM and PM, fractions of any length, zone marks
+    "yyyy-M-d",
+    "yyyy-M-d H:mm[:ss]",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSS]XXX",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSSSSS][.SSS][XXX]",
+    "yyyy/M/d",
+    "yyyy/M/d H:mm[:ss]",
+    "M/d/yyyy",
+    "M/d/yyyy H:mm[:ss]",
+    "M/d/yyyy h:mm[:ss] a",
+    "d/M/yyyy",
+    "d/M/yyyy H:mm[:ss]",
+    "d/M/yyyy h:mm[:ss] a",
+    "M-d-yyyy",
+    "d-M-yyyy",
+    "d.M.yyyy",
+    "d.M.yyyy H:mm[:ss]",
     "MMM d, yyyy",
     "MMMM d, yyyy",
     "d MMM yyyy",
@@ -131,12 +148,12 @@ def fit_deduplicate(
 
 def _deduplicate(df: DataFrame, subset: list[str] | None, order_by: str | None) -> DataFrame:
     if df.isStreaming:
-        return df.dropDuplicates(subset)
-    if not subset:
-        return df.dropDuplicates()
+        raise ValueError("copies in a stream need a watermark: use streaming.apply.clean_stream")
     # a limit on row_number is applied before the shuffle too, so that every map task sends
-    # one row per value and a value held by a third of the table does not load one reducer
-    first = Window.partitionBy(*row_keys(df, subset)).orderBy(col(order_by))
+    # one row per value and a value held by a third of the table does not load one reducer;
+    # long text is compared by its digest
+    keys = row_keys(df, subset or df.columns)
+    first = Window.partitionBy(*keys).orderBy(col(order_by) if subset else F.lit(0))
     return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
@@ -187,7 +204,8 @@ def fit_impute(df: DataFrame, approximate: bool = False, fill_all: bool = False)
     """Numbers get their median, everything else its mode ('' for text without values).
 
     Only columns with missing cells are examined unless ``fill_all`` asks for fill values
-    of every column (as a model needs for rows it has not seen).
+    of every column (as rows need that were not seen here). Numbers without gaps here keep their
+    type; where another table has gaps in them, whole numbers take the rounded median.
     """
     nulls = dict(zip(df.columns, _counts(df, [F.count_if(value(df, c).isNull()) for c in df.columns])))
     wanted = [c for c in df.columns if fill_all or nulls[c]]
@@ -199,17 +217,26 @@ def fit_impute(df: DataFrame, approximate: bool = False, fill_all: bool = False)
         if modes[c] is None and isinstance(df.schema[c].dataType, T.StringType):
             modes[c] = ""
     total = sum(nulls.values())
+    params = {"medians": medians, "modes": modes}
+    if fill_all:
+        params["complete"] = [c for c in numeric if not nulls[c]]
     return FittedStep(
         "impute",
-        {"medians": medians, "modes": modes},
+        params,
         {"imputed_cells": total},
         f"{total} gaps filled with median or mode",
     )
 
 
-def _impute(df: DataFrame, medians: dict, modes: dict) -> DataFrame:
+def _impute(df: DataFrame, medians: dict, modes: dict, complete: Sequence[str] = ()) -> DataFrame:
     new = {}
     for c in _present(df, medians):
+        dtype = df.schema[c].dataType
+        if c in complete:
+            fill = F.lit(medians[c]).cast("double")
+            whole = isinstance(dtype, T.IntegralType)
+            new[c] = F.coalesce(value(df, c), (F.round(fill) if whole else fill).cast(dtype))
+            continue
         x = value(df, c).cast("double")
         new[c] = x if medians[c] is None else F.coalesce(x, F.lit(float(medians[c])))
     for c in _present(df, modes):

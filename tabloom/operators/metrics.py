@@ -98,11 +98,13 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def flatten_metrics(spark, per_target: dict[str, dict]) -> DataFrame:
-    """``target, metric, value`` rows of the scalar metrics, rounded to 4 dp."""
+    """``target, metric, value`` rows of the scalar metrics, rounded to 4 dp; those on rows set
+    aside are called ``holdout_…``."""
     rows = [
-        (target, name, round(float(v), 4))
+        (target, prefix + name, round(float(v), 4))
         for target, metrics in per_target.items()
-        for name, v in metrics.items()
+        for prefix, part in (("", metrics), ("holdout_", metrics.get("holdout", {})))
+        for name, v in part.items()
         if isinstance(v, (int, float)) and not isinstance(v, bool)
     ]
     return spark.createDataFrame(rows, "target string, metric string, value double")

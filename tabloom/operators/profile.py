@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,7 @@ from tabloom.operators.quantiles import exact_quantiles
 from tabloom.types import col, is_number, is_time, numeric_columns, value
 
 MAX_BROADCAST_KEYS = 100_000  # of at most 64 bytes
-PAIRS_PER_JOB = 300  # pairs that one scan is expanded into
+PERFECT, ROUNDING = 1 - 1e-12, 1e-13
 
 # In-memory width in bytes of one cell of each fixed-width type.
 WIDTHS = {
@@ -186,6 +189,39 @@ def most_frequent(df: DataFrame, cols: list[str]) -> dict[str, Frequent]:
     return found
 
 
+def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Exact distinct counts of number and time columns: one shuffle of (column, value) of at
+    most 16 bytes of value; only decimals travel as text."""
+    if not cols:
+        return {}
+    cells = []
+    for i, c in enumerate(cols):
+        dtype, v = df.schema[c].dataType, value(df, c)
+        whole = number = text = None
+        if isinstance(dtype, T.IntegralType):
+            whole = v
+        elif isinstance(dtype, (T.DoubleType, T.FloatType)):
+            number = v
+        elif isinstance(dtype, T.DateType):
+            whole = F.unix_date(v)
+        elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+            whole = F.unix_micros(v.cast("timestamp"))
+        else:
+            text = value_text(df, c)
+        part = lambda x, t, name: (F.lit(None) if x is None else x).cast(t).alias(name)
+        cells.append(
+            F.struct(
+                F.lit(i).alias("i"),
+                part(whole, "bigint", "l"),
+                part(number, "double", "d"),
+                part(text, "string", "s"),
+            )
+        )
+    long = df.select(F.inline(F.array(*cells))).where("l is not null or d is not null or s is not null")
+    counts = long.groupBy("i", "l", "d", "s").agg(F.lit(1)).groupBy("i").agg(F.count("*").alias("n")).collect()
+    return dict.fromkeys(cols, 0) | {cols[r.i]: r.n for r in counts}
+
+
 def fewer_values(df: DataFrame, name: str, limit: int, estimate: int | None = None) -> bool:
     """Whether a column has fewer than ``limit`` distinct values (for small limits).
 
@@ -203,9 +239,9 @@ def fewer_values(df: DataFrame, name: str, limit: int, estimate: int | None = No
 def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """``column, type, unique, nulls, details`` per column.
 
-    One aggregation gives nulls and number / time details. Distinct counts and most frequent
-    values come from one shuffle of (column, key) counts; ``approximate`` takes distinct
-    counts from sketches instead, and then only categorical columns are shuffled.
+    One aggregation gives nulls and number / time details. Most frequent values and distinct
+    counts of categorical columns come from one shuffle of (column, key) counts, distinct counts
+    of numbers and times from one of typed values; ``approximate`` takes the latter from sketches.
     """
     cells = []
     for i, f in enumerate(df.schema):
@@ -226,10 +262,11 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
         )
     stats = df.agg(*cells).first()
     ranged = {f.name: is_number(f.dataType) or is_time(f.dataType) for f in df.schema}
-    frequent = most_frequent(df, [c for c in df.columns if not (approximate and ranged[c])])
+    frequent = most_frequent(df, [c for c in df.columns if not ranged[c]])
+    distinct = {} if approximate else distinct_counts(df, [c for c in df.columns if ranged[c]])
     rows = []
     for f, s in zip(df.schema, stats):
-        top = frequent.get(f.name, Frequent(s.distinct))
+        top = frequent.get(f.name) or Frequent(distinct.get(f.name, s.distinct))
         details = s.details if ranged[f.name] else f"top: {(top.value or '')[:40]}, freq: {top.n}"
         rows.append((f.name, f.dataType.simpleString(), top.distinct, s.nulls, details))
     return df.sparkSession.createDataFrame(
@@ -237,35 +274,64 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+PAIR_SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+
+
+def _pair_sums(means: list[float], pairs: list[tuple[int, int]]):
+    """Per task one row of sums for each pair: products of masked matrices, batch by batch."""
+    left, right = (np.array([p[side] for p in pairs]) for side in (0, 1))
+    centre = np.array(means)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(centre), len(centre)))
+        for batch in batches:
+            cells = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            known = np.isfinite(cells)
+            x, known = np.where(known, cells, centre) - centre, known.astype(float)
+            total += [known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x]
+        n, x, xx, xy = total
+        sums = [n[left, right], x[left, right], x[right, left], xx[left, right], xx[right, left], xy[left, right]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left, pa.int32()), pa.array(right, pa.int32()), *[pa.array(s) for s in sums]],
+            ["i", "j", *PAIR_SUMS],
+        )
+
+    return add
+
+
 def correlation_pairs(df: DataFrame, cols: list[str] | None = None, diagonal: bool = False) -> DataFrame:
-    """Pearson correlation ``a, b, r`` of each pair of columns over rows where both exist."""
+    """Pearson correlation ``a, b, r`` of each pair of columns over rows where both exist.
+
+    Null where one of the two is constant in these rows; infinities count as missing. Rows are
+    read twice, for the means and for sums of products about them; a task sends one row per pair.
+    """
     names = cols or numeric_columns(df)
-    pairs = list(combinations(names, 2))
+    pairs = list(combinations(range(len(names)), 2))
     if diagonal:
-        pairs += [(n, n) for n in names]
+        pairs += [(i, i) for i in range(len(names))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    # one correlation buffer per pair in a grouped aggregation: unlike one wide aggregation its
-    # generated code does not grow with the number of pairs
-    parts = []
-    exact = df.select(*[value(df, n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    at = {n: F.col(f"c{i}") for i, n in enumerate(names)}
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        chunk = pairs[start : start + PAIRS_PER_JOB]
-        cells = [F.struct(F.lit(i).alias("i"), at[a].alias("x"), at[b].alias("y")) for i, (a, b) in enumerate(chunk)]
-        left, right = (F.array(*[F.lit(p[side]) for p in chunk]) for side in (0, 1))
-        parts.append(
-            exact.select(F.inline(F.array(*cells)))
-            .groupBy("i")
-            .agg(F.corr("x", "y").alias("r"))
-            .select(
-                F.element_at(left, F.col("i") + 1).alias("a"), F.element_at(right, F.col("i") + 1).alias("b"), "r"
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    cells = df.select(*[value(df, n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
+    finite = [F.avg(F.when(F.abs(c) < float("inf"), F.col(c))) for c in cells.columns]
+    means = [m or 0.0 for m in cells.agg(*finite).first()]
+    fields = ", ".join(f"{name} double" for name in PAIR_SUMS)
+    sums = (
+        cells.mapInArrow(_pair_sums(means, pairs), f"i int, j int, {fields}")
+        .groupBy("i", "j")
+        .agg(*[F.sum(name).alias(name) for name in PAIR_SUMS])
+    )
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(at) + 1)
+
+    def spread(square: str, plain: str, at: str) -> Column:
+        """Sum of squares about the mean; null if no more than rounding is left of it."""
+        found = F.col(square) - F.try_divide(F.col(plain) * F.col(plain), F.col("n"))
+        noise = F.greatest(ROUNDING * F.col(square), F.col("n") * (ROUNDING * pick(means, at)) ** 2)
+        return F.when(found > noise, found)
+
+    together = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    r = F.try_divide(together, F.sqrt(spread("xx", "x", "i")) * F.sqrt(spread("yy", "y", "j")))
+    r = F.when(F.isnan(r), r).when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+    return sums.select(pick(names, "i").alias("a"), pick(names, "j").alias("b"), r.alias("r"))
 
 
 def profile_correlations(df: DataFrame, k: int = 20) -> DataFrame:
@@ -273,7 +339,7 @@ def profile_correlations(df: DataFrame, k: int = 20) -> DataFrame:
     strength = F.abs("r")
     return (
         correlation_pairs(df)
-        .where((strength < 1) & ~F.isnan("r"))
+        .where((strength < PERFECT) & ~F.isnan("r"))
         .select("a", "b", F.round(strength, 3).alias("correlation"), strength.alias("_s"))
         .orderBy(F.desc("_s"), "a", "b")
         .limit(k)

@@ -1,10 +1,15 @@
 """Exact order statistics at any size.
 
 Spark's exact ``percentile``/``median`` keep a value -> count map of the whole column in
-one buffer. Here each pass is one small aggregation instead: rows are counted into at most
-``BINS`` bins per bracket, the bin that holds the wanted rank becomes the next bracket, and
-once a bracket is small its distinct values are read. Only bin counts are shuffled, every
-count is combined on the map side, and a hot value simply makes one bin heavy.
+one buffer. Here each pass is one small aggregation instead. The first one takes a sketch, which
+puts a narrow zone around every wanted rank. The next counts the rows between the zones and those
+in ``BINS`` bins of each zone; the bin that holds the rank becomes the next bracket, and once a
+bracket is small its distinct values are read. Only counts are shuffled, every count is combined
+on the map side, and a hot value simply makes one bin heavy.
+
+Up to some eight million rows two scans are enough. Beyond that every further scan divides the rows of a bracket.
+Bins are equal steps of the logarithm while a bracket spans more than a factor of
+``NEAR``, equal steps of the value after that, so no column needs more than ten scans.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ BINS = 1024
 COLUMNS_PER_PASS = 32  # bounds the bin counts that one pass brings to the driver
 LARGEST = sys.float_info.max
 SMALL = 5000  # a bracket with at most this many rows is read value by value
+ACCURACY = 10_000  # a sketched rank is off by at most one in so many rows
+NEAR = 16.0
+SALTS = 16
+ONE, STEPS, VALUES = 0, 1, 2  # how the rows of a zone are counted: together, in bins, by value
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -34,9 +43,40 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
 
 
 def _bin(x: Column, lo: Column, hi: Column) -> Column:
+    """A bin number that never falls as x rises from lo to hi."""
+
+    def level(v: Column) -> Column:
+        # beyond the logarithm of the smallest double, so the sign orders the two halves
+        return F.when(v == 0, 0.0).otherwise(F.signum(v) * (F.log2(F.abs(v)) + 1080))
+
     # halved operands keep the width finite for any pair of doubles
-    share = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
-    return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+    even = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+    near = (F.signum(lo) == F.signum(hi)) & (
+        F.greatest(F.abs(lo), F.abs(hi)) / NEAR <= F.least(F.abs(lo), F.abs(hi))
+    )
+    share = F.when(near, even).otherwise((level(x) - level(lo)) / (level(hi) - level(lo)))
+    return F.greatest(F.least(F.floor(share * BINS), F.lit(BINS - 1)), F.lit(0)).cast("int")
+
+
+def _zones(lo: float, hi: float, n: int, seeds: list[tuple[float, float]]) -> list[tuple[float, float, int]]:
+    """The range cut into disjoint closed zones: narrow ones around the seeds, and the rest."""
+    merged: list[list[float]] = []
+    for a, b in sorted((min(max(a, lo), hi), max(min(b, hi), lo)) for a, b in seeds):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    # a seed spans four in ACCURACY rows, and either end may be off by one more
+    kind = VALUES if 6 * n / ACCURACY <= SMALL else STEPS
+    zones, at = [], lo
+    for a, b in merged:
+        if at < a:
+            zones.append((at, math.nextafter(a, -math.inf), ONE))
+        zones.append((a, b, kind))
+        at = math.nextafter(b, math.inf)
+    if at <= hi:
+        zones.append((at, hi, ONE))
+    return zones
 
 
 def exact_quantiles(
@@ -53,71 +93,76 @@ def exact_quantiles(
     long = df.select(F.inline(F.array(*cells))).where("x is not null")
     finite = long.where(F.abs("x") < float("inf"))
     f = F.when(F.abs("x") < float("inf"), F.col("x"))
+    edges = [min(max(p + side * 2 / ACCURACY, 0.0), 1.0) for p in probs for side in (-1, 1)]
     counts = long.groupBy("i").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("x") == float("-inf")).alias("below"),
         F.count(f).alias("m"),
         F.min(f).alias("lo"),
         F.max(f).alias("hi"),
+        F.percentile_approx("x", edges, ACCURACY).alias("edges"),
     )
     first = {row.i: row for row in counts.collect()}
 
     answers: dict[tuple[int, int], float] = {}
-    brackets: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    for i in range(len(cols)):
-        s = first.get(i)
-        for p in probs if s else ():
+    wanted: dict[int, set[int]] = defaultdict(set)  # column -> ranks still open
+    zones: dict[int, list[tuple]] = {}  # column -> disjoint (lo, hi, kind, rows below or None)
+    for i, s in first.items():
+        for p in probs:
             for r in _ranks(s.n, p)[:2]:
                 if r < s.below:
                     answers[i, r] = float("-inf")
                 elif r >= s.below + s.m:
                     answers[i, r] = float("inf")
+                elif s.lo == s.hi:
+                    answers[i, r] = s.lo
                 else:
-                    brackets[i, r] = (s.lo, s.hi, s.below, s.m)
+                    wanted[i].add(r)
+        if wanted[i]:
+            seeds = list(zip(s.edges[::2], s.edges[1::2]))
+            # they lie side by side: each one begins where the one before it ends
+            cut = _zones(s.lo, s.hi, s.n, seeds)
+            zones[i] = [(lo, hi, kind, s.below if k == 0 else None) for k, (lo, hi, kind) in enumerate(cut)]
 
-    while True:
-        for target, (lo, hi, _, _) in list(brackets.items()):
-            if lo == hi:
-                answers[target] = lo
-                del brackets[target]
-        if not brackets:
-            break
-        wanted: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for target, bracket in brackets.items():
-            wanted[target[0], *bracket].append(target)
-        keys = list(wanted)
+    while any(wanted.values()):
+        flat = [(i, *zone) for i in sorted(zones) for zone in zones[i]]
         table = pa.table(
             {
-                "k": pa.array(range(len(keys)), pa.int32()),
-                "c": pa.array([key[0] for key in keys], pa.int32()),
-                "lo": pa.array([key[1] for key in keys], pa.float64()),
-                "hi": pa.array([key[2] for key in keys], pa.float64()),
-                "small": [key[4] <= SMALL for key in keys],
+                "k": pa.array(range(len(flat)), pa.int32()),
+                "c": pa.array([z[0] for z in flat], pa.int32()),
+                "lo": pa.array([z[1] for z in flat], pa.float64()),
+                "hi": pa.array([z[2] for z in flat], pa.float64()),
+                "kind": pa.array([z[3] for z in flat], pa.int32()),
             }
         )
-        brackets_now = F.broadcast(df.sparkSession.createDataFrame(table))  # a few per column
-        x, small = F.col("x"), F.col("small")
-        counted = (
-            finite.join(brackets_now, (F.col("i") == F.col("c")) & x.between(F.col("lo"), F.col("hi")))
+        zones_now = F.broadcast(df.sparkSession.createDataFrame(table))  # a few per column
+        x, kind, lo, hi = F.col("x"), F.col("kind"), F.col("lo"), F.col("hi")
+        slices = (
+            finite.join(zones_now, (F.col("i") == F.col("c")) & x.between(lo, hi))
             .groupBy(
                 "k",
-                F.when(~small, _bin(x, F.col("lo"), F.col("hi"))).alias("b"),
-                F.when(small, x).alias("v"),
+                F.when((kind == STEPS) & (lo < hi), _bin(x, lo, hi)).alias("b"),
+                F.when(kind == VALUES, x).alias("v"),
             )
             .agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .collect()  # at most BINS or SMALL rows per bracket
+            .collect()  # at most BINS or some SMALL rows per zone
         )
-        per_bracket = defaultdict(list)
-        for row in counted:
-            per_bracket[row.k].append((row.lo, row.hi, row.m))
-        for k, key in enumerate(keys):
-            below = key[3]
-            slices = []
-            for lo, hi, m in sorted(per_bracket[k]):
-                slices.append((lo, hi, below, m))
+        per_zone = defaultdict(list)
+        for row in slices:
+            per_zone[row.k].append((row.lo, row.hi, row.m))
+        found: dict[int, dict[tuple, None]] = defaultdict(dict)
+        below = 0
+        for k, (i, _, _, _, start) in enumerate(flat):
+            below = below if start is None else start
+            for lo, hi, m in sorted(per_zone[k]):
+                for r in [r for r in wanted[i] if below <= r < below + m]:
+                    if lo == hi:
+                        answers[i, r] = lo
+                        wanted[i].discard(r)
+                    else:
+                        found[i][lo, hi, VALUES if m <= SMALL else STEPS, below] = None
                 below += m
-            for target in wanted[key]:
-                brackets[target] = next(s for s in slices if s[2] <= target[1] < s[2] + s[3])
+        zones = {i: list(z) for i, z in found.items()}
 
     result: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
@@ -185,13 +230,18 @@ def grouped_quantiles(
     while (open_brackets := state.count()) > 0:
         # ranks that share a bracket share its counts: rows are expanded once per bracket
         ranges = state.select(*keys, "lo", "hi", "below", "m").distinct()
-        side = F.broadcast(ranges) if open_brackets <= 100_000 else ranges
+        few = open_brackets <= 100_000
+        # beyond that the rows of a hot group are dealt over SALTS tasks
+        salt = F.lit(0) if few else F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        ranges = ranges.withColumn("salt", salt)
+        side = F.broadcast(ranges) if few else ranges
+        rows = data.withColumn("salt", F.lit(0) if few else F.pmod(F.xxhash64("x", F.rand(7)), F.lit(SALTS)).cast("int"))
         x, lo, hi = F.col("d.x"), F.col("s.lo"), F.col("s.hi")
         slot = F.when(F.col("s.m") > SMALL, _bin(x, lo, hi))
         exact = F.when(F.col("s.m") <= SMALL, x)
         slices = (
-            data.alias("d")
-            .join(side.alias("s"), [*same("d", "s"), x.between(lo, hi)])
+            rows.alias("d")
+            .join(side.alias("s"), [*same("d", "s"), F.col("d.salt") == F.col("s.salt"), x.between(lo, hi)])
             .groupBy(
                 *[F.col(f"s.{k}").alias(k) for k in keys],
                 lo.alias("lo"),

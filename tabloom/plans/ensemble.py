@@ -27,14 +27,13 @@ from tabloom.operators.models import (
     REGRESS,
     WEIGHT,
     CheckedSpec,
-    SpecError,
     check_spec,
     estimator,
     starts,
 )
 from tabloom.operators.ordering import SAMPLE_SIZE, fill_gaps, sample_rows
 from tabloom.operators.profile import fewer_values
-from tabloom.session import stage
+from tabloom.session import stage, staging
 from tabloom.sources.delimited import null_tokens, read_csv_text
 from tabloom.sources.files import write_csv
 from tabloom.types import Roles, col, present, value
@@ -42,6 +41,7 @@ from tabloom.types import Roles, col, present, value
 CLASSES_BELOW = 20  # a numeric label with fewer values is a class label
 MAX_CLASSES = 1000
 MIN_ROWS_PER_TASK = 500
+FIRST_PREDICTIONS = 5  # shown beside the metrics of a regression
 SMALL_ROWS, SMALL_FITS, LARGE_FITS = 1_000_000, 8, 2
 
 
@@ -59,24 +59,30 @@ class TrainedTarget:
     classes: list = field(default_factory=list)
     metrics: dict = field(default_factory=dict)
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """All input columns plus ``prediction`` and ``prob_<class>`` (or ``cluster``).
+    def predict(self, df: DataFrame, prefix: str = "") -> DataFrame:
+        """All input columns plus ``prediction`` and ``prob_<class>`` (or ``cluster``), each name
+        after ``prefix``; a name that the input already has is an error.
 
         Absent features and missing cells are filled with the training median or mode.
         A narrow plan: it works on streams as it does on tables.
         """
         scored = self.model.transform(self.features.transform(df))
         kept = [col(c) for c in df.columns]
+        added = {CLUSTER: ["cluster"], REGRESS: ["prediction"]}.get(
+            self.task, ["prediction", *[f"prob_{c}" for c in self.classes]]
+        )
+        if clash := [prefix + c for c in added if prefix + c in df.columns]:
+            raise ValueError(f"the table already has {', '.join(clash)}: choose a prefix")
         guess = F.col(PREDICTION)
         if self.task == CLUSTER:
-            return scored.select(*kept, guess.cast("int").alias("cluster"))
+            return scored.select(*kept, guess.cast("int").alias(f"{prefix}cluster"))
         if self.task == REGRESS:
-            return scored.select(*kept, guess.alias("prediction"))
+            return scored.select(*kept, guess.alias(f"{prefix}prediction"))
         answer = F.element_at(_class_array(self), guess.cast("int") + 1)
-        out = [*kept, answer.alias("prediction")]
+        out = [*kept, answer.alias(f"{prefix}prediction")]
         if PROBABILITY in scored.columns:
             p = vector_to_array(F.col(PROBABILITY))
-            out += [p[i].alias(f"prob_{name}") for i, name in enumerate(self.classes)]
+            out += [p[i].alias(f"{prefix}prob_{name}") for i, name in enumerate(self.classes)]
         return scored.select(*out)
 
     def predict_one(self, spark: SparkSession, inputs: dict) -> DataFrame:
@@ -278,6 +284,17 @@ def train(
     features = [c for c in features if c not in targets] or features
     if not features:
         raise ValueError("no feature columns")
+    with staging(df.sparkSession):
+        return _train(
+            df, features, targets, spec, task, key, full, max_rows, holdout,
+            max_categories, max_classes, approximate, parallelism, encoding,
+        )
+
+
+def _train(
+    df, features, targets, spec, task, key, full, max_rows, holdout,
+    max_categories, max_classes, approximate, parallelism, encoding,
+) -> Ensemble:
     result = Ensemble()
     extra = [key] if key and key not in features and key not in targets else []
     rows = df.select(*[col(c) for c in [*features, *[t for t in targets if t not in features], *extra]])
@@ -291,18 +308,26 @@ def train(
         rows = _prepare_label(rows, target, key)
     n, rows = (max_rows, rows) if result.sampled else _spread(rows)
 
+    aside = None
+    if holdout:
+        # set aside before anything is fitted; by a hash of the cells, so equal rows stay together
+        part = F.pmod(F.xxhash64(F.lit(42), *[col(c) for c in rows.columns]), F.lit(1_000_000))
+        rows, aside = rows.where(part >= int(holdout * 1_000_000)), rows.where(part < int(holdout * 1_000_000))
+        n = rows.count()
     shared = fit_features(rows, features, max_categories, approximate, encoding)
     result.log.append("features prepared")
     tasks = {t: task or label_task(rows, t) for t in targets}
     if not full and (not tasks or any(t != CLASSIFY for t in tasks.values())):
         raise ValueError("only classifiers are fitted on a sample")
-    classes = {t: _classes(rows, t, max_classes) if tasks[t] == CLASSIFY else [] for t in targets}
-    vectors = shared.transform(rows).select(VECTOR, *[col(t).alias(f"y{i}") for i, t in enumerate(targets)])
-    held = None
-    if holdout:
-        vectors, held = vectors.randomSplit([1 - holdout, holdout], seed=42)
+    everything = rows if aside is None else rows.unionAll(aside)
+    classes = {t: _classes(everything, t, max_classes) if tasks[t] == CLASSIFY else [] for t in targets}
+
+    def vectorised(part: DataFrame) -> DataFrame:
+        return shared.transform(part).select(VECTOR, *[col(t).alias(f"y{i}") for i, t in enumerate(targets)])
+
+    vectors, held = vectorised(rows), None if aside is None else vectorised(aside)
     # an estimator keeps its own copy of the rows; another one pays off for several fits only
-    several = len(targets) > 1
+    several = len(targets) != 1  # clusterings pass over the rows many times
     at_once = parallelism or min(len(targets) or 1, SMALL_FITS if n <= SMALL_ROWS else LARGE_FITS)
     if several:
         if n <= SMALL_ROWS:
@@ -364,7 +389,13 @@ def _fit_target(vectors, held, y, target, label_type, shared, spec, task, classe
         weights = [n / (len(classes) * counts[float(i)]) for i in range(len(classes))]
         weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col(LABEL).cast("int") + 1)
         rows = rows.withColumn(WEIGHT, weight)
-    model = unfitted.fit(rows)
+    try:
+        model = unfitted.fit(rows)
+    except Exception as problem:  # whatever the specification led to
+        if spec is None:
+            raise
+        trained, more = _fit_target(vectors, held, y, target, label_type, shared, None, task, classes, n)
+        return trained, [*notes, f"{target}: {_reason(problem)}; using the default model", *more]
     trained = TrainedTarget(target, task, checked.algo, checked.params, shared, model, label_type, classes)
     trained.metrics = _metrics(model.transform(labelled(vectors)), task, classes)
     if held is not None:
@@ -384,16 +415,21 @@ def _choose(spec, task: str, name: str, n: int, classes: int) -> tuple[CheckedSp
     notes = list(checked.notes)
     try:
         return checked, estimator(checked, n, classes), notes
-    except SpecError as problem:
-        notes.append(f"{name}: {problem}; using the default model")
+    except Exception as problem:  # noqa: BLE001  a specification can hold any value
+        notes.append(f"{name}: {_reason(problem)}; using the default model")
         checked = check_spec(DEFAULTS[task], task)
         return checked, estimator(checked, n, classes), notes
 
 
+def _reason(problem: Exception) -> str:
+    return (str(problem).splitlines() or [type(problem).__name__])[0]
+
+
 def _metrics(scored: DataFrame, task: str, classes: list) -> dict:
     if task == REGRESS:
         r = regression_metrics(scored, LABEL, PREDICTION).first()
-        return {"r2_score": r.r2, "mse": r.mse, "rmse": r.rmse}
+        few = [float(row[0]) for row in scored.select(PREDICTION).limit(FIRST_PREDICTIONS).collect()]
+        return {"r2_score": r.r2, "mse": r.mse, "rmse": r.rmse, "first_predictions": few}
     report = classification_report(
         scored.select(F.col(LABEL).cast("int"), F.col(PREDICTION).cast("int")), LABEL, PREDICTION
     ).collect()  # one row per class
@@ -413,7 +449,13 @@ def _fit_clusters(vectors, shared, spec, n):
     checked, unfitted, notes = _choose(spec, CLUSTER, "cluster", n, 0)
     rows = vectors.select(VECTOR)
     seed = unfitted.getSeed()
-    runs = [unfitted.copy({unfitted.seed: seed + i}).fit(rows) for i in range(starts(checked))]
+    try:
+        runs = [unfitted.copy({unfitted.seed: seed + i}).fit(rows) for i in range(starts(checked))]
+    except Exception as problem:  # noqa: BLE001
+        if spec is None:
+            raise
+        trained, more = _fit_clusters(vectors, shared, None, n)
+        return trained, [*notes, f"cluster: {_reason(problem)}; using the default model", *more]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     trained = TrainedTarget(None, CLUSTER, checked.algo, checked.params, shared, best)
     trained.metrics = {"clusters": best.summary.k, "training_cost": best.summary.trainingCost}

@@ -13,6 +13,7 @@ from tabloom.operators.explore import frequencies, input_stats
 from tabloom.operators.models import CLASSIFY, CLUSTER, REGRESS
 from tabloom.operators.profile import most_frequent
 from tabloom.plans.ensemble import Ensemble
+from tabloom.session import stage
 from tabloom.types import col, is_number
 
 
@@ -30,23 +31,44 @@ def route_questions(
 def answer_questions(
     questions: DataFrame, text: str, key: str, data: DataFrame, ensemble: Ensemble
 ) -> DataFrame:
-    """``key, target, given, answer``: the prediction of the target's model for every question
-    that gives at least one feature value. The other features are filled in."""
+    """``key, target, given, answer, source``: one row per question.
+
+    ``model``: the question gives a value of at least one feature of the target's model, which
+    answers with its prediction; the other features are filled in. ``bulk``: it asks for a
+    prediction without inputs and gets the mean prediction, or the class predicted most often
+    (the smallest of equals), over ``data``. ``none``: neither, and the answer is null.
+    """
     fallback = ensemble.first.target
     routed = route_questions(questions.select(col(key), col(text)), text, data.columns, fallback)
     model = F.when(F.col("target").isin(list(ensemble.targets)), F.col("target")).otherwise(fallback)
-    routed = routed.withColumn("model", model)
+    about = routed.select(col(key).alias("_key"), col("intent").alias("_intent"), model.alias("_model"), col(text).alias("_text"))
+    features = list(dict.fromkeys(c for t in ensemble.targets.values() for c in t.features.types))
+    # one extraction for all models, read once by each of them
+    inputs = stage(extract_inputs(about, "_text", "_key", data, features))
     parts = []
     for name, trained in ensemble.targets.items():
-        mine = routed.where(F.col("model") == name).select(col(key), col(text))
-        inputs = extract_inputs(mine, text, key, data, list(trained.features.types)).where("given > 0")
-        scored = trained.predict(inputs.drop(text))
+        own = [c for c in trained.features.types if c in inputs.columns]
+        given = sum((col(c).isNotNull().cast("int") for c in own), F.lit(0))
+        mine = inputs.where(F.col("_model") == name).select("_key", "_intent", given.alias("_given"), *[col(c) for c in own])
+        answered = trained.predict(mine.where("_given > 0"), prefix="_answer_")
+        overall = trained.predict(data.select(*[col(c) for c in trained.features.types if c in data.columns]), "_answer_")
+        if trained.task == REGRESS:
+            bulk = overall.agg(F.avg("_answer_prediction").cast("string"))
+        else:
+            bulk = frequencies(overall, "_answer_prediction", 1).select(F.col("value").cast("string"))
+        asks = F.coalesce(F.col("_intent"), F.lit(False))
+        rest = mine.where("_given = 0").select(
+            "_key",
+            "_given",
+            F.when(asks, bulk.scalar()).alias("answer"),
+            F.when(asks, "bulk").otherwise("none").alias("source"),
+        )
+        told = answered.select(
+            "_key", "_given", F.col("_answer_prediction").cast("string").alias("answer"), F.lit("model").alias("source")
+        )
         parts.append(
-            scored.select(
-                col(key),
-                F.lit(name).alias("target"),
-                "given",
-                F.col("prediction").cast("string").alias("answer"),
+            told.unionByName(rest).select(
+                col("_key").alias(key), F.lit(name).alias("target"), F.col("_given").alias("given"), "answer", "source"
             )
         )
     out = parts[0]
@@ -62,8 +84,11 @@ def what_if_grid(
 
     A varied number takes its minimum, midpoint and maximum, a varied category its most
     frequent values; the others take median or mode. The grid has at most
-    ``max(3, values) ** len(vary)`` rows, whatever the size of the table.
+    ``max(3, values) ** len(vary)`` rows, whatever the size of the table; beyond
+    ``MAX_GRID`` that is an error.
     """
+    if max(3, values) ** len(vary) > MAX_GRID:
+        raise ValueError(f"the grid would have more than {MAX_GRID:,} rows: vary fewer features")
     fills = fit_impute(df.select(*[col(c) for c in features]), fill_all=True).params
     typical = {**fills["medians"], **fills["modes"]}
     ranges = {r["column"]: r for r in input_stats(df, list(vary), approximate=True).collect()}
@@ -83,6 +108,7 @@ def what_if_grid(
     return out
 
 
+MAX_GRID = 1_000_000
 VERBS = {CLASSIFY: "Predict", REGRESS: "Estimate", CLUSTER: "Predict"}
 
 

@@ -32,6 +32,7 @@ class CleanRecipe:
     subset: list[str] | None = None
     order_by: str | None = None
     approximate: bool = False
+    fill_all: bool = True  # fill values of all columns, for tables with gaps elsewhere
     audit: bool = True
 
     def to_json(self) -> str:
@@ -55,7 +56,7 @@ class CleanRecipe:
                 self.replace_placeholder_nulls,
                 lambda d: clean.fit_replace_placeholder_nulls(d, audit=audit),
             ),
-            (self.impute, lambda d: clean.fit_impute(d, approximate=self.approximate)),
+            (self.impute, lambda d: clean.fit_impute(d, self.approximate, self.fill_all)),
             (self.strip_whitespace, lambda d: clean.fit_strip_whitespace(d, audit=audit)),
             (self.lowercase_text, lambda d: clean.fit_lowercase_text(d, audit=audit)),
             (self.parse_dates, lambda d: clean.fit_parse_dates(d)),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +46,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted at its end, so nothing lazy may leave it that
+    still reads them. Tables staged elsewhere stay until the shared folder is cleaned."""
+    owned: list[str] = []
+    token = _owned.set(owned)
+    try:
+        yield
+    finally:
+        _owned.reset(token)
+        for path in owned:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
@@ -52,4 +73,6 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -246,3 +246,28 @@ def test_recipe_on_an_empty_table(spark):
 def test_step_json_round_trip(spark):
     step = clean.fit_impute(spark.createDataFrame([(None, "a"), (2.0, None)], "x double, s string"))
     assert FittedStep.from_json(step.to_json()) == step
+
+
+def test_recipe_fitted_on_a_clean_table_fills_a_dirty_one(spark):
+    fitted = CleanRecipe(deduplicate=False).fit(spark.createDataFrame([(1, 1.5, "a"), (4, 2.5, "a"), (9, 3.0, "b")], "i int, x double, s string"))
+    dirty = spark.createDataFrame([(None, None, None), (7, 1.0, "c")], "i int, x double, s string")
+    out = FittedRecipe.from_json(fitted.to_json()).transform(dirty)
+    assert sorted(map(tuple, out.collect())) == [(4, 2.5, "a"), (7, 1.0, "c")]
+    assert dict(out.dtypes)["i"] == "int"
+
+
+def test_everyday_dates(spark):
+    rows = [("1/5/2024", "5/1/2024 3:04 PM", "2024-01-05T10:00:00.123Z", "25/1/2024", "5.1.2024"),
+            ("12/31/2023", "12/31/2023 11:59 AM", "2024-01-05T10:00:00Z", "1/2/2024", "31.12.2023")]
+    out = clean.parse_dates(spark.createDataFrame(rows, "a string, b string, c string, d string, e string"))[0]
+    assert {t for _, t in out.dtypes} == {"timestamp_ntz"}
+    first = out.orderBy(F.desc("a")).first()
+    assert [str(v) for v in first] == [
+        "2024-01-05 00:00:00", "2024-05-01 15:04:00", "2024-01-05 10:00:00.123000", "2024-01-25 00:00:00", "2024-01-05 00:00:00",
+    ]
+
+
+def test_copies_in_a_stream_need_a_watermark(spark):
+    stream = spark.readStream.format("rate").load()
+    with pytest.raises(ValueError, match="watermark"):
+        clean.FittedStep("deduplicate", {"subset": None, "order_by": None}).transform(stream)

@@ -259,9 +259,16 @@ def test_questions(spark, flowers):
 
 
 def test_answers_and_what_if(spark, flowers, forest):
-    asked = spark.createDataFrame([(1, "predict species when petal_l = 1.4 and petal_w = 0.2"), (2, "hm")], "k int, q string")
-    got = questions.answer_questions(asked, "q", "k", flowers, forest).collect()
-    assert [(r.k, r.target, r.given, r.answer) for r in got] == [(1, "species", 2, "setosa")]
+    asked = spark.createDataFrame(
+        [(1, "predict species when petal_l = 1.4 and petal_w = 0.2"), (2, "hm"), (3, None), (4, "What would you predict?")],
+        "k int, q string",
+    )
+    got = sorted(map(tuple, questions.answer_questions(asked, "q", "k", flowers, forest).collect()))
+    assert got[0] == (1, "species", 2, "setosa", "model")
+    assert got[1:3] == [(2, "species", 0, None, "none"), (3, "species", 0, None, "none")]
+    assert got[3][2:] == (0, "setosa", "bulk")  # ten of each kind, the smallest name
+    with pytest.raises(ValueError, match="fewer features"):
+        questions.what_if_grid(flowers, COLS, COLS, values=100)
     grid = questions.what_if_grid(flowers, [*COLS, "species"], ["petal_l", "species"])
     assert grid.count() == 9 and grid.select("petal_w").distinct().count() == 1
     assert forest["species"].predict(grid).count() == 9

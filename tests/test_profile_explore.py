@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import explore, ordering, profile
+from tabloom.operators import explore, ordering, profile, quantiles
 
 
 def test_profile_of_an_awkward_table(spark):
@@ -51,8 +53,7 @@ def test_correlations_skip_rows_per_pair_and_perfect_pairs(spark):
     assert len(matrix) == 9
 
 
-def test_wide_correlations_are_split_into_several_jobs(spark, monkeypatch):
-    monkeypatch.setattr(profile, "PAIRS_PER_JOB", 2)
+def test_correlations_of_every_pair(spark):
     df = spark.range(20).select(*[(F.rand(i) * i).alias(f"c{i}") for i in range(1, 5)])
     assert profile.correlation_pairs(df).count() == 6
 
@@ -195,3 +196,46 @@ def test_scatter_and_removed_rows_are_whole(spark):
     assert got.count() == 6000 and len(got.columns) == 7
     before = spark.createDataFrame([(1,), (None,), (2,)], "k long")
     assert [r.k for r in explore.removed_rows(before, before.filter("k is null or k = 1"), "k").collect()] == [2]
+
+
+def test_quantiles_need_few_scans_whatever_the_spread(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    n = 20_000
+    columns = {
+        "logarithmic": np.exp(rng.uniform(-700, 700, n)) * rng.choice([-1, 1], n),
+        "constant": np.full(n, 3.5),
+        "heavy": rng.pareto(0.05, n),
+        "hot": np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n)),
+        "infinite": np.where(np.arange(n) % 3 == 0, np.inf, rng.normal(size=n)),
+    }
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(4).cache()
+    df.count()
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    for small, bins, most in ((quantiles.SMALL, quantiles.BINS, 8), (5, 16, 20)):
+        monkeypatch.setattr(quantiles, "SMALL", small)
+        monkeypatch.setattr(quantiles, "BINS", bins)
+        group = f"quantiles-{small}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = quantiles.exact_quantiles(df, list(columns), probs)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs <= most  # adaptive plans run one job per shuffle and broadcast
+        for name, values in columns.items():
+            ordered = np.sort(values)
+            for p, found in zip(probs, got[name]):
+                lo, hi, share = quantiles._ranks(n, p)
+                a, b = ordered[lo], ordered[hi]
+                assert found == (a if a == b or share == 0 else a + (b - a) * share)
+
+
+def test_correlations_with_gaps_constants_and_infinities(spark):
+    rng = np.random.default_rng(2)
+    a = rng.normal(1e6, 1, 500)
+    frame = pd.DataFrame({"a": a, "b": 3 - 2 * a, "c": np.full(500, 3.3), "d": np.where(np.arange(500) % 3 == 0, np.nan, rng.normal(size=500))})
+    frame["e"] = np.where(np.arange(500) == 7, np.inf, frame["d"] + a)
+    pairs = profile.correlation_pairs(spark.createDataFrame(frame), diagonal=True)
+    assert "Generate" not in pairs._jdf.queryExecution().toString()
+    want = frame.corr()
+    for row in pairs.collect():
+        expected = want.loc[row.a, row.b]
+        assert (row.r is None) if np.isnan(expected) else row.r == pytest.approx(expected, abs=1e-6)

@@ -34,7 +34,7 @@ from tabloom.operators.models import (
 from tabloom.operators.ordering import SAMPLE_SIZE, fill_gaps, sample_rows
 from tabloom.operators.profile import fewer_values
 from tabloom.session import stage, staging
-from tabloom.sources.delimited import null_tokens, read_csv_text
+from tabloom.sources.delimited import null_tokens, read_csv_cells
 from tabloom.sources.files import write_csv
 from tabloom.types import Roles, col, present, value
 
@@ -119,14 +119,23 @@ class TrainedTarget:
     def predict_csv(self, spark: SparkSession, path: str, out: str | None = None, **options) -> DataFrame:
         """Predictions for CSV files, written as CSV to the folder ``out`` if one is given.
 
-        Features are read with the types they were trained with, other columns as text, so
-        no inference pass is needed.
+        Features are read with the types they were trained with, other columns as text, so no
+        inference pass is needed. Whole numbers may be written as 12 or 12.0; a cell of a numeric
+        feature that is neither missing nor a number is an error.
         """
-        text = read_csv_text(spark, path, **options)
+        text = read_csv_cells(spark, path, **options)
         known = {c: self.features.types.get(c, "string") for c in text.columns}
-        whole = {"tinyint", "smallint", "int", "bigint"}  # written as 12 or 12.0
-        read = lambda c, t: c.try_cast("double").try_cast(t) if t in whole else c.try_cast(t)
-        cells = [F.coalesce(null_tokens(col(c)).try_cast(t), read(null_tokens(col(c)), t)).alias(c) for c, t in known.items()]
+        whole = {"tinyint", "smallint", "int", "bigint"}
+
+        def read(c: str, t: str) -> Column:
+            cell = null_tokens(col(c))
+            if t == "string":
+                return cell
+            number = cell.try_cast("double") if t in whole else cell.try_cast(t)
+            wrong = F.raise_error(F.concat(F.lit(f"{c} is not a number: "), cell)).cast("double" if t in whole else t)
+            return F.when(cell.isNotNull() & number.isNull(), wrong).otherwise(number)
+
+        cells = [read(c, t).alias(c) for c, t in known.items()]
         scored = self.predict(text.select(*cells))
         if out:
             write_csv(scored, out)

@@ -7,14 +7,17 @@ from one aggregation over the whole input.
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.session import stage
 from tabloom.types import col
 
 CORRUPT = "_corrupt_record"
+MAX_LAYOUTS = 200  # different headers and encodings in one folder
 
 # Cells read as missing.
 NA_TOKENS = [
@@ -26,31 +29,45 @@ INTEGER = r"^\s*[+-]?\d+\s*$"
 DECIMAL = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
-def scan_layout(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], bool]:
-    """Encoding -> files that are not valid UTF-8, and whether a quoted cell spans lines.
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """``file, encoding, spans, head``: one row per file that has a line, from one split, distributed
+    scan of the raw lines.
 
-    Lines are checked as raw bytes in a split, distributed scan. A UTF-16 byte-order mark
-    names that encoding, anything else is read as Latin-1. A line with an odd number of quotes
-    begins or ends a cell that spans lines; without one the files can be split.
+    A UTF-16 byte-order mark names that encoding, anything else that is not valid UTF-8 is read as
+    Latin-1. A line with an odd number of quotes begins or ends a cell that spans lines; without
+    one the file can be split. ``head`` stands for the bytes of the first line.
     """
     line = F.col("value")
     mark = F.hex(F.substring(line.cast("binary"), 1, 2)).isin("FFFE", "FEFF")
     quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
-    files = (
-        spark.read.text(path)
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(
-            F.bool_and(F.is_valid_utf8(line)).alias("utf8"),
-            F.bool_or(mark).alias("utf16"),
-            F.bool_or(quotes % 2 == 1).alias("spans"),
-        )
+    # the rows of one split are numbered in their order
+    start = F.when((F.col("_metadata.file_block_start") == 0) & (F.octet_length(line) > 0), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.is_valid_utf8(line).alias("utf8"),
+        mark.alias("mark"),
+        (quotes % 2 == 1).alias("odd"),
+        start.alias("at"),
+        F.when(start.isNotNull(), F.md5(line.cast("binary"))).alias("digest"),
     )
-    odd = F.when(~F.col("utf8"), F.struct("file", "utf16"))
-    row = files.agg(F.bool_or("spans").alias("spans"), F.collect_list(odd).alias("odd")).first()
+    found = lines.groupBy("file").agg(
+        F.bool_and("utf8").alias("utf8"),
+        F.bool_or("mark").alias("utf16"),
+        F.bool_or("odd").alias("spans"),
+        F.min_by("digest", "at").alias("head"),
+    )
+    encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("utf16"), "UTF-16").otherwise("ISO-8859-1")
+    return found.select("file", encoding.alias("encoding"), "spans", "head")
+
+
+def scan_layout(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], bool]:
+    """Encoding -> files that are not valid UTF-8, and whether a quoted cell spans lines."""
+    files = file_layouts(spark, path)
+    spans = files.agg(F.bool_or("spans")).first()[0]
     found: dict[str, list[str]] = {}
-    for r in row.odd:  # file names only
-        found.setdefault("UTF-16" if r.utf16 else "ISO-8859-1", []).append(r.file)
-    return found, bool(row.spans)
+    for r in files.where("encoding <> 'UTF-8'").toLocalIterator():
+        found.setdefault(r.encoding, []).append(r.file)
+    return found, bool(spans)
 
 
 def unique_names(header: list[str | None]) -> list[str]:
@@ -167,30 +184,56 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV files: encodings, unique names, missing-value tokens, inferred types.
 
-    One scan finds the encodings and whether cells span lines (if not, Spark splits the files), a
-    second one the types. Give ``encoding`` with ``multiline``, and ``types``, to skip them.
+    One scan finds the layout of every file and a second one the types. Give ``encoding`` with
+    ``multiline`` (all files then share one header), and ``types``, to skip them.
     """
-    odd: dict[str, list[str]] = {}
-    if encoding is None or multiline is None:
-        odd, spans = scan_layout(spark, path)
-        multiline = spans if multiline is None else multiline
-    if encoding or not odd:
-        df = read_csv_text(spark, path, sep, header, encoding or "UTF-8", multiline)
-    else:
-        listing = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
-        files = {row.file for row in listing.collect()}
-        odd_files = {_plain(f) for names in odd.values() for f in names}
-        groups = dict(odd)
-        utf8 = [f for f in files if _plain(f) not in odd_files]
-        if utf8:
-            groups["UTF-8"] = utf8
-        parts = [read_csv_text(spark, names, sep, header, enc, multiline) for enc, names in groups.items()]
-        df = parts[0]
-        for part in parts[1:]:
-            df = df.unionByName(part)
+    df = read_csv_cells(spark, path, sep, header, encoding, multiline)
     df = df.select(*[null_tokens(col(c)).alias(c) for c in df.columns])
     return cast_types(df, types or infer_types(df))
 
 
+def read_csv_cells(
+    spark: SparkSession,
+    path: str,
+    sep: str = ",",
+    header: bool = True,
+    encoding: str | None = None,
+    multiline: bool | None = None,
+) -> DataFrame:
+    """All cells as text. Files of one layout (encoding, first line, cells that span lines) are read
+    together and layouts are joined by column name; a layout with other names is an error."""
+    if encoding is not None and multiline is not None:
+        return read_csv_text(spark, path, sep, header, encoding, multiline)
+    # written once: the layouts are counted, then the files of each are listed
+    files = stage(file_layouts(spark, path))
+    by = [
+        F.lit(encoding).alias("encoding") if encoding else F.col("encoding"),
+        F.col("spans") if multiline is None else F.lit(multiline).alias("spans"),
+        F.col("head") if header else F.lit("").alias("head"),
+    ]
+    layouts = files.groupBy(*by).agg(F.min("file").alias("file")).orderBy("file").limit(MAX_LAYOUTS + 1).collect()
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers or encodings in {path}")
+    if len(layouts) <= 1:
+        one = layouts[0] if layouts else None
+        return read_csv_text(spark, path, sep, header, one.encoding if one else "UTF-8", bool(one and one.spans))
+    known = files.select("file", *by)
+    parts = []
+    for one in layouts:
+        same = known.where(
+            (F.col("encoding") == one.encoding) & (F.col("spans") == one.spans) & F.col("head").eqNullSafe(F.lit(one["head"]))
+        )
+        # the paths of a layout go to the reader, which lists files on the driver in any case
+        names = [_plain(row.file) for row in same.select("file").collect()]
+        parts.append(read_csv_text(spark, names, sep, header, one.encoding, one.spans))
+    out = parts[0]
+    for part, one in zip(parts[1:], layouts[1:]):
+        if set(part.columns) != set(out.columns):
+            raise ValueError(f"{one.file} has columns {part.columns}, other files have {out.columns}")
+        out = out.unionByName(part)
+    return out
+
+
 def _plain(uri: str) -> str:
-    return re.sub("^file:/+", "/", uri)
+    """The path a reader takes: listed names are URIs, with blanks and the like escaped."""
+    return re.sub("^file:/+", "/", unquote(uri))

@@ -6,12 +6,14 @@ workbook is read as a stream of rows inside its task.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import sys
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.sources.delimited import cast_types, infer_types, null_tokens, unique_names
+from tabloom.session import stage
 from tabloom.types import col
 
-ROW_SCHEMA = "path string, row long, cells array<struct<text:string,kind:string>>"
+ROW_SCHEMA = "path string, row long, layout string, width int, cells array<struct<text:string,kind:string>>"
+FIELDS = ["path", "row", "layout", "width", "cells"]
+MAX_LAYOUTS = 200  # different headers in one folder
 ROWS_PER_BATCH = 10_000
 
 # Fixed values of the workbook format.
@@ -112,32 +117,67 @@ def _cell(cell, shared: list[str], dates: set[int]) -> tuple[str | None, str]:
 def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = []
+            rows, layout = [], ""
             for number, cells in enumerate(workbook_rows(content)):
-                rows.append((path, number, [{"text": t, "kind": k} for t, k in cells]))
+                if number == 0:
+                    layout = hashlib.md5(repr([t for t, _ in cells]).encode()).hexdigest()
+                width = max((i for i, (t, _) in enumerate(cells, 1) if t is not None), default=0)
+                rows.append((path, number, layout, width, [{"text": t, "kind": k} for t, k in cells]))
                 if len(rows) == ROWS_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=["path", "row", "cells"])
+                    yield pd.DataFrame(rows, columns=FIELDS)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=["path", "row", "cells"])
+                yield pd.DataFrame(rows, columns=FIELDS)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """One table from a workbook or a folder of workbooks with the same header."""
+    """One table from a workbook or a folder of workbooks with the same column names."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     return workbook_table(files)
 
 
 def workbook_table(files: DataFrame) -> DataFrame:
-    """One table from workbooks given as ``path`` and ``content`` columns."""
-    rows = files.select("path", "content").mapInPandas(_read_batches, ROW_SCHEMA)
-    header = rows.where("row = 0").orderBy("path").first()
-    if header is None:
-        raise ValueError("no workbook with a header row")
-    names = unique_names([c.text for c in header.cells])
-    body = rows.where("row > 0").select(
-        *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    """One table from workbooks given as ``path`` and ``content`` columns.
+
+    Columns are joined by name, in the order of the first workbook; one with other names is an
+    error. Cells beyond the header get names by position. Books are parsed once, into a staged table.
+    """
+    rows = stage(files.select("path", "content").mapInPandas(_read_batches, ROW_SCHEMA))
+    layouts = (
+        rows.groupBy("layout")
+        .agg(
+            F.max("width").alias("width"),
+            F.min(F.when(F.col("row") == 0, F.struct("path", F.transform("cells", lambda c: c["text"]).alias("names")))).alias("top"),
+        )
+        .orderBy("top.path")
+        .limit(MAX_LAYOUTS + 1)
+        .collect()
     )
+    if not layouts:
+        raise ValueError("no workbook with a header row")
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different headers")
+    found = {}
+    for one in layouts:
+        header = [t for t in one.top.names]
+        found[one.layout] = unique_names(header + [None] * (one.width - len(header)))
+    given = [{n for n in names if not n.startswith("Unnamed: ")} for names in found.values()]
+    for one, own in zip(layouts, given):
+        if own != given[0]:
+            raise ValueError(f"{one.top.path} has columns {sorted(own)}, other workbooks have {sorted(given[0])}")
+    names = list(dict.fromkeys(n for each in found.values() for n in each))
+
+    def cell(name: str):
+        if len(found) == 1:
+            return F.get("cells", F.lit(names.index(name)))
+        places = [(layout, own.index(name)) for layout, own in found.items() if name in own]
+        return reduce(
+            lambda rest, p: rest.when(F.col("layout") == p[0], F.get("cells", F.lit(p[1]))),
+            places[1:],
+            F.when(F.col("layout") == places[0][0], F.get("cells", F.lit(places[0][1]))),
+        )
+
+    body = rows.where("row > 0").select(*[cell(n).alias(n) for n in names])
     body = body.where(" or ".join("`" + n.replace("`", "``") + "`.text is not null" for n in names))
     kinds = body.agg(
         *[

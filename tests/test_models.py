@@ -342,3 +342,36 @@ def test_awkward_column_names(spark):
     assert explore.removed_rows(df, df.where("n < 30"), ["n", "a.b"]).count() == 10
     snake = CleanRecipe(snake_case=True).fit_transform(df)[1]
     assert snake.columns == ["sepal_length_cm", "a_b", "it_s_x_1", "y_tick", "n"]
+
+
+def test_a_cell_that_is_no_number_is_an_error(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("a"), (F.col("id") * 2.0).alias("y"))
+    fitted = train(df, Roles(["a"], ["y"]), spec={"algo": "LinearRegression"}, task="regression")["y"]
+    assert len(fitted.metrics["first_predictions"]) == 5
+    spark.createDataFrame([("12",), ("NA",), ("many",)], "a string").write.csv(str(tmp_path / "in"), header=True)
+    with pytest.raises(Exception, match="a is not a number: many"):
+        fitted.predict_csv(spark, str(tmp_path / "in")).collect()
+
+
+def test_training_that_fails_falls_back(spark, flowers):
+    from pyspark.ml.classification import NaiveBayes
+
+    got = train(flowers, Roles(COLS, ["species"]), spec=NaiveBayes(modelType="multinomial"))  # takes no negative values
+    assert got["species"].algo == "RandomForestClassifier" and got.metrics["species"]["accuracy"] == 1.0
+    assert any("using the default model" in line for line in got.log)
+
+
+def test_names_that_a_prediction_would_repeat(spark, flowers, forest):
+    scored = forest["species"].predict(flowers)
+    with pytest.raises(ValueError, match="prefix"):
+        forest["species"].predict(scored)
+    assert "again_prediction" in forest["species"].predict(scored, "again_").columns
+
+
+def test_holdout_is_set_aside_before_fitting(spark):
+    from tabloom.operators.metrics import flatten_metrics
+
+    df = spark.range(2000).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.5).alias("y"))
+    got = train(df, Roles(["x"], ["y"]), spec={"algo": "LinearRegression"}, task="regression", holdout=0.25)
+    names = {r.metric for r in flatten_metrics(spark, got.metrics).collect()}
+    assert {"mse", "holdout_mse", "holdout_r2_score"} <= names

@@ -171,3 +171,25 @@ def test_layout_scan(spark, tmp_path):
     assert rows(read_csv(spark, flat)) == [('x "y"', "z"), ("1", "2")]
     assert rows(read_csv(spark, tall)) == [("x\ny", 2)]
     assert rows(read_csv(spark, flat, encoding="UTF-8", multiline=False)) == rows(read_csv(spark, flat))
+
+
+def test_csv_folder_with_two_header_orders(spark, tmp_path):
+    write(tmp_path / "a b.csv", "id,name\n1,x\n")
+    write(tmp_path / "c.csv", 'name,id\n"y\nz",2\n')
+    df = read_csv(spark, str(tmp_path))
+    assert df.columns == ["id", "name"] and sorted(rows(df)) == [(1, "x"), (2, "y\nz")]
+    write(tmp_path / "d.csv", "id,other\n3,q\n")
+    with pytest.raises(ValueError, match="other files have"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_excel_columns_by_name_and_cells_beyond_the_header(spark, tmp_path):
+    text = lambda *cells: "<row>" + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in cells) + "</row>"
+    workbook(tmp_path / "a.xlsx", text("id", "name") + text("i1", "x", "extra"))
+    workbook(tmp_path / "b.xlsx", text("name", "id") + text("y", "i2"))
+    df, _ = read_table(spark, str(tmp_path), fmt="xlsx")
+    assert df.columns == ["id", "name", "Unnamed: 2"]
+    assert sorted(rows(df)) == [("i1", "x", "extra"), ("i2", "y", None)]
+    workbook(tmp_path / "c.xlsx", text("name", "key") + text("y", "i2"))
+    with pytest.raises(ValueError, match="other workbooks have"):
+        read_table(spark, str(tmp_path), fmt="xlsx")

@@ -149,9 +149,15 @@ def scatter_data(spark, folder):
     )
 
 
-@query()
+@query("SELECT least(count(*), 5000) AS rows, least(count(*), 5000) AS keys, 0::BIGINT AS strangers FROM orders")
 def sample_rows(spark, folder):
-    return ordering.sample_rows(table(spark, folder, "orders"), key="o_orderkey")
+    """Facts of an exact sample: its size, its distinct keys, and rows that are not in the table."""
+    orders = table(spark, folder, "orders")
+    picked = ordering.sample_rows(orders, key="o_orderkey")
+    strangers = picked.join(orders, orders.columns, "left_anti").agg(F.count("*"))
+    return picked.agg(
+        F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys"), strangers.scalar().alias("strangers")
+    )
 
 
 @query(
@@ -331,7 +337,26 @@ def card_top_values(spark, folder):
     return card.top_values(table(spark, folder, "events"), ["event_type", "user_id"])
 
 
-@query()
+@query(
+    """WITH c AS (SELECT event_type AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY 1)
+SELECT 'classification' AS task, (SELECT count(*) FROM events) AS rows, (SELECT round(avg(value), 4) FROM events) AS value_mean,
+   (SELECT max(user_id)::DOUBLE FROM events) AS user_max, (SELECT min(event_id) FROM events) IS NOT NULL AS sampled,
+   value, n, rank::INTEGER AS rank FROM c WHERE rank <= 5"""
+)
 def dataset_card(spark, folder):
+    """The card read back: one row per listed category, beside the figures of the table."""
     roles = Roles(["value", "user_id", "event_type"], ["event_type"])
-    return card.dataset_card(table(spark, folder, "events"), roles, "classification", "event_id")
+    made = card.dataset_card(table(spark, folder, "events"), roles, "classification", "event_id")
+    number = "struct<column:string,mean:double,max:double>"
+    category = "struct<column:string,rank:int,value:string,n:bigint>"
+    fields = f"task string, rows bigint, numeric array<{number}>, categories array<{category}>, sample array<struct<user_id:bigint>>"
+    read = made.select(F.from_json("card", fields).alias("c")).select("c.*")
+    of = lambda name: F.filter("numeric", lambda x: x["column"] == name)[0]
+    return read.select(
+        "task",
+        "rows",
+        F.round(of("value")["mean"], 4).alias("value_mean"),
+        of("user_id")["max"].alias("user_max"),
+        (F.size("sample") == F.least(F.col("rows"), F.lit(5))).alias("sampled"),
+        F.explode("categories").alias("x"),
+    ).select("*", "x.value", "x.n", "x.rank").drop("x")

@@ -1,4 +1,4 @@
-"""Models have no SQL equivalent unless a closed form exists; the others are rows-only."""
+"""Models on tables where SQL can state the answer: closed forms, rules to be found, and invariants."""
 
 from __future__ import annotations
 
@@ -92,43 +92,88 @@ def pca_2d(spark, folder):
     )
 
 
-@query()
+@query(
+    """SELECT label, count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings GROUP BY label"""
+)
 def pca_embeddings(spark, folder):
+    """Components have no closed form; what SQL can state is that they are centred, uncorrelated and
+    in falling order of variance."""
     e = table(spark, folder, "embeddings")
     wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"e{i}") for i in range(64)])
-    return features.principal_components(wide, [f"e{i}" for i in range(64)], keep=["vec_id", "label"])
+    out = features.principal_components(wide, [f"e{i}" for i in range(64)], keep=["vec_id", "label"])
+    facts = out.agg(
+        F.greatest(F.abs(F.avg("PC1")), F.abs(F.avg("PC2"))) < 1e-6,
+        F.abs(F.covar_pop("PC1", "PC2")) < 1e-6 * F.var_pop("PC1"),
+        F.var_pop("PC1") >= F.var_pop("PC2"),
+    ).toDF("centred", "uncorrelated", "ordered")
+    return out.groupBy("label").agg(F.count("*").alias("n")).select(
+        "label", "n", *[facts.select(c).scalar().alias(c) for c in facts.columns]
+    )
 
 
-@query()
+@query(
+    """SELECT (l_linestatus = 'F')::INTEGER AS finished, (l_linestatus = 'F')::INTEGER AS prediction, count(*) AS n,
+   1.0::DOUBLE AS accuracy FROM lineitem GROUP BY 1, 2"""
+)
 def train_classifier(spark, folder):
-    lines = _order_lines(spark, folder)
-    roles = Roles(["l_quantity", "charge", "l_tax", "l_linestatus"], ["l_returnflag"])
+    """A label that follows from one of three features: the forest must find the rule."""
+    lines = _order_lines(spark, folder).withColumn("finished", (F.col("l_linestatus") == "F").cast("int"))
+    roles = Roles(["l_quantity", "l_tax", "l_linestatus"], ["finished"])
     fitted = train(lines, roles, {"algo": "RandomForestClassifier", "params": FOREST}, full=True)
-    return flatten_metrics(spark, fitted.metrics)
+    scored = fitted["finished"].predict(lines.select("l_quantity", "l_tax", "l_linestatus", "finished"))
+    return scored.groupBy("finished", "prediction").agg(
+        F.count("*").alias("n"), F.lit(fitted.metrics["finished"]["accuracy"]).alias("accuracy")
+    )
 
 
-@query()
+@query(
+    """SELECT l_linestatus, CASE l_linestatus WHEN 'F' THEN 250.5::DOUBLE ELSE 80.25::DOUBLE END AS prediction, count(*) AS n FROM lineitem GROUP BY 1"""
+)
 def train_regressor(spark, folder):
-    roles = Roles(["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"], ["charge"])
-    fitted = train(_order_lines(spark, folder), roles, {"algo": "RandomForestRegressor", "params": FOREST}, full=True)
-    return flatten_metrics(spark, fitted.metrics)
+    """A number that follows from a category: every tree of the forest must give it exactly."""
+    lines = _order_lines(spark, folder).withColumn("fee", F.when(F.col("l_linestatus") == "F", 250.5).otherwise(80.25))
+    spec = {"algo": "RandomForestRegressor", "params": FOREST}
+    fitted = train(lines, Roles(["l_linestatus"], ["fee"]), spec, task="regression", full=True)
+    scored = fitted["fee"].predict(lines.select("l_linestatus"))
+    return scored.groupBy("l_linestatus", rounded("prediction", 6)).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "".join(
+        f" UNION ALL SELECT '{c}' AS target, round(avg({sql}), 2) AS mean, true AS explained FROM lineitem"
+        for c, sql in (("l_extendedprice", "l_extendedprice"), ("l_discount", "l_discount"), ("l_tax", "l_tax"),
+                       ("charge", "l_extendedprice * (1 - l_discount)"))
+    ).removeprefix(" UNION ALL")
+)
 def train_ensemble(spark, folder):
-    """Every column is a label, so one model is trained for each on shared features."""
+    """Every other column is a label, so one model is trained for each on shared features. The mean
+    prediction of a regression tree is the mean label, and r2 follows from its errors."""
     lines = _order_lines(spark, folder).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "charge")
-    roles = Roles([], ["l_extendedprice", "l_discount", "l_tax", "charge"])
-    fitted = train(lines, roles, {"algo": "DecisionTreeRegressor", "params": {"max_depth": 5}}, task="regression", full=True)
-    return flatten_metrics(spark, fitted.metrics)
+    labels = ["l_extendedprice", "l_discount", "l_tax", "charge"]
+    fitted = train(lines, Roles([], labels), {"algo": "DecisionTreeRegressor", "params": {"max_depth": 5}}, task="regression", full=True)
+    scored = lines
+    for c in labels:
+        scored = fitted[c].predict(scored, f"{c}_")
+    cells = []
+    for c in labels:
+        guess, m = F.col(f"{c}_prediction"), fitted.metrics[c]
+        error = F.avg((F.col(c) - guess) * (F.col(c) - guess)) / F.var_pop(c)
+        same = (F.abs(1 - error - m["r2_score"]) < 1e-6).alias("explained")
+        cells.append(F.struct(F.lit(c).alias("target"), F.round(F.avg(guess), 2).alias("mean"), same))
+    return scored.agg(F.array(*cells).alias("all")).select(F.inline("all"))
 
 
-@query()
+@query(
+    """SELECT (l_linestatus = 'F')::INTEGER AS finished, (l_linestatus = 'F')::INTEGER AS prediction, count(*) AS n,
+   (SELECT count(*) > 5000 FROM lineitem) AS sampled FROM lineitem GROUP BY 1, 2"""
+)
 def train_sampled(spark, folder):
-    """A classifier fitted on 5,000 labelled rows, as asked for: 100 trees of depth 10."""
-    lines = _order_lines(spark, folder).withColumn("large", (F.col("charge") > 30_000).cast("int"))
-    roles = Roles(["l_quantity", "l_extendedprice", "l_discount"], ["large"])
-    return flatten_metrics(spark, train(lines, roles, full=False, max_rows=5000).metrics)
+    """A classifier fitted on 5,000 labelled rows, as asked for (100 trees of depth 10), applied to all."""
+    lines = _order_lines(spark, folder).withColumn("finished", (F.col("l_linestatus") == "F").cast("int"))
+    roles = Roles(["l_quantity", "l_discount", "l_linestatus"], ["finished"])
+    fitted = train(lines, roles, full=False, max_rows=5000)
+    scored = fitted["finished"].predict(lines.select("l_quantity", "l_discount", "l_linestatus", "finished"))
+    return scored.groupBy("finished", "prediction").agg(F.count("*").alias("n"), F.lit(fitted.sampled).alias("sampled"))
 
 
 def _segments(spark, folder):
@@ -138,55 +183,111 @@ def _segments(spark, folder):
     return customer, train(customer, roles, spec, full=True)
 
 
-@query()
+@query("SELECT c_custkey, c_acctbal, 1.0::DOUBLE AS total, true AS likeliest FROM customer")
 def predict_bulk(spark, folder):
+    """Probabilities sum to one and the prediction is the class of the highest."""
     customer, fitted = _segments(spark, folder)
     # one feature is absent here and is filled with its training median
-    return fitted["c_mktsegment"].predict(customer.select("c_custkey", "c_acctbal"))
+    scored = fitted["c_mktsegment"].predict(customer.select("c_custkey", "c_acctbal"))
+    names = [c for c in scored.columns if c.startswith("prob_")]
+    chosen = F.coalesce(*[F.when(F.col("prediction") == c.removeprefix("prob_"), F.col(c)) for c in names])
+    return scored.select(
+        "c_custkey",
+        "c_acctbal",
+        F.round(sum((F.col(c) for c in names), F.lit(0.0)), 6).alias("total"),
+        (chosen == F.greatest(*names)).alias("likeliest"),
+    )
 
 
-@query()
+@query(
+    """SELECT CASE column_name WHEN 'l_linestatus' THEN 'l_linestatus' ELSE column_name END AS feature,
+   CASE column_name WHEN 'l_linestatus' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS importance
+FROM (SELECT unnest(['l_linestatus', 'l_quantity', 'l_discount', 'l_tax']) AS column_name)"""
+)
 def feature_importance(spark, folder):
-    lines = _order_lines(spark, folder)
-    roles = Roles(["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["charge"])
+    """A label that follows from one of four features: all importance is its own."""
+    lines = _order_lines(spark, folder).withColumn("fee", F.when(F.col("l_linestatus") == "F", 250.5).otherwise(80.25))
+    roles = Roles(["l_quantity", "l_linestatus", "l_discount", "l_tax"], ["fee"])
     spec = {"algo": "DecisionTreeRegressor", "params": {"max_depth": 6}}
-    return train(lines, roles, spec, full=True)["charge"].importance(spark)
+    importance = train(lines, roles, spec, task="regression", full=True)["fee"].importance(spark)
+    return importance.select("feature", rounded("importance", 6))
 
 
-@query()
+@query(
+    """SELECT l_orderkey, l_linenumber, l_linestatus AS cluster FROM lineitem"""
+)
 def kmeans_clusters(spark, folder):
+    """Two groups of equal rows: they are the clusters, named here by the value all their rows have."""
     lines = _order_lines(spark, folder)
-    fitted = train(lines, Roles(["l_quantity", "l_extendedprice", "l_returnflag"]), full=True)
-    return fitted.first.predict(lines).select("l_orderkey", "l_linenumber", "cluster")
+    spec = {"algo": "KMeans", "params": {"n_clusters": 2, "random_state": 42}}
+    scored = train(lines, Roles(["l_linestatus"]), spec, full=True).first.predict(lines)
+    names = scored.groupBy("cluster").agg(F.min("l_linestatus").alias("low"), F.max("l_linestatus").alias("high"))
+    mixed = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("mixed")
+    named = scored.join(F.broadcast(names.select("cluster", mixed.alias("name"))), "cluster")  # two rows
+    return named.select("l_orderkey", "l_linenumber", F.col("name").alias("cluster"))
 
 
-@query()
+@query(
+    """SELECT count(*) AS rows, round(avg(l_quantity), 2) AS l_quantity_mean, round(avg(l_tax), 2) AS l_tax_mean,
+   count(l_returnflag) AS l_returnflag_count FROM lineitem GROUP BY l_linestatus"""
+)
 def cluster_summary(spark, folder):
     lines = _order_lines(spark, folder)
-    fitted = train(lines, Roles(["l_quantity", "l_extendedprice", "l_discount"]), full=True)
-    return ensemble.cluster_summary(fitted.first, lines)
+    spec = {"algo": "KMeans", "params": {"n_clusters": 2, "random_state": 42}}
+    fitted = train(lines, Roles(["l_linestatus"]), spec, full=True)
+    out = ensemble.cluster_summary(fitted.first, lines)
+    return out.select(F.col("l_orderkey_count").alias("rows"), "l_quantity_mean", "l_tax_mean", "l_returnflag_count")
+
+
+@query(
+    """SELECT 3::BIGINT AS clusters, count(*) AS rows, true AS filled FROM lineitem"""
+)
+def kmeans_default(spark, folder):
+    """The clustering that is trained when nothing is asked for: three clusters, none empty."""
+    lines = _order_lines(spark, folder)
+    fitted = train(lines, Roles(["l_quantity", "l_extendedprice", "l_returnflag"]), full=True)
+    sizes = fitted.first.predict(lines).groupBy("cluster").agg(F.count("*").alias("n"))
+    return sizes.agg(
+        F.count("*").alias("clusters"), F.sum("n").alias("rows"), (F.min("n") > 0).alias("filled")
+    )
 
 
-@query()
+@query("SELECT c_custkey, true AS same, true AS as_likely FROM customer")
 def model_round_trip(spark, folder):
+    """The model read back predicts what the saved one does, with the same probabilities."""
     customer, fitted = _segments(spark, folder)
     path = f"{checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
     fitted.save(spark, path)
-    return ensemble.Ensemble.load(spark, path)["c_mktsegment"].predict(customer)
+    again = ensemble.Ensemble.load(spark, path)["c_mktsegment"]
+    both = again.predict(fitted["c_mktsegment"].predict(customer, "a_"), "b_")
+    gaps = [F.abs(F.col(f"a_prob_{c}") - F.col(f"b_prob_{c}")) for c in again.classes]
+    return both.select(
+        "c_custkey",
+        (F.col("a_prediction") == F.col("b_prediction")).alias("same"),
+        (F.greatest(*gaps) < 1e-9).alias("as_likely"),
+    )
 
 
-@query()
+@query(
+    """SELECT event_id, 'value' AS target, (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END)::INTEGER AS given,
+   round(CASE event_id % 3 WHEN 0 THEN avg(value) OVER (PARTITION BY event_type) WHEN 1 THEN avg(value) OVER () END, 3) AS answer,
+   CASE event_id % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'bulk' ELSE 'none' END AS source FROM events"""
+)
 def answered_questions(spark, folder):
-    part = table(spark, folder, "part")
-    asked = part.select(
-        "p_partkey",
-        F.concat(
-            F.lit("Predict p_retailprice when p_size = "), "p_size", F.lit(" and p_brand is "), "p_brand"
-        ).alias("question"),
+    """Questions with inputs, without inputs, and sentences that ask for nothing."""
+    events = table(spark, folder, "events")
+    asked = events.select(
+        "event_id",
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Predict value when event_type is "), "event_type"))
+        .when(F.col("event_id") % 3 == 1, "What would you guess?")
+        .otherwise("Thank you.")
+        .alias("question"),
     )
-    spec = {"algo": "DecisionTreeRegressor", "params": {"max_depth": 6}}
-    fitted = train(part, Roles(["p_size", "p_brand", "p_type"], ["p_retailprice"]), spec, full=True)
-    return questions.answer_questions(asked, "question", "p_partkey", part, fitted)
+    data = events.select("event_type", "value")
+    spec = {"algo": "DecisionTreeRegressor", "params": {"max_depth": 5}}
+    fitted = train(data, Roles(["event_type"], ["value"]), spec, task="regression", full=True)
+    out = questions.answer_questions(asked, "question", "event_id", data, fitted)
+    return out.withColumn("answer", F.round(F.col("answer").cast("double"), 3))
 
 
 @query(

@@ -1,57 +1,108 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Weights are whole shares of a period. Block j of a source with weight w may run from slot
+Weights are taken as exact fractions of their sum. Block j of a source with weight w may run from slot
 floor(j / w) and must run before slot ceil((j + 1) / w); giving each slot to the released block
-with the earliest deadline keeps every source within one block of its target at all times. The
-schedule repeats after a period, so that one period's table, of a stated length, places any number of blocks.
+with the earliest deadline keeps every source within one block of its target at all times. One task
+makes the schedule and sends it on in parts; it holds a few numbers for each source, none for the blocks.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period: the resolution of weights, and the bound of what is broadcast.
+#: Blocks of the schedule that are sent on at once.
 PERIOD = 1000
 
 
-def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as whole numbers that add up to ``period``, at least 1 each; largest remainders go up."""
-    if not weights:
-        return {}
-    if len(weights) > period or min(weights.values()) <= 0:
-        raise ValueError(f"1 to {period} sources with positive weights are needed")
-    total, spare = sum(weights.values()), period - len(weights)
-    exact = {s: 1 + w / total * spare for s, w in weights.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    ranked = sorted(weights, key=lambda s: (out[s] - exact[s], s))
-    for s in ranked[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, Fraction]:
+    """Exact slots of each source among ``period``: fractions in the ratio of the weights."""
+    parts = whole(list(weights.values()))
+    total = sum(parts)
+    return {s: Fraction(w * period, total) for s, w in zip(weights, parts)}
+
+
+def whole(weights: list) -> list[int]:
+    """Whole numbers in exactly the ratio of the weights."""
+    exact = [Fraction(w) for w in weights]
+    if any(w <= 0 for w in exact):
+        raise ValueError("positive weights are needed")
+    scale = lcm(*{w.denominator for w in exact})
+    return [w.numerator * (scale // w.denominator) for w in exact]
+
 
+def in_order(parts: list[int], counts: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(slot, source, block) by earliest deadline first among released blocks.
 
-def schedule(parts: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, by earliest deadline first among released blocks."""
-    release = lambda s, j: j * period // parts[s]
-    deadline = lambda s, j: -(-(j + 1) * period // parts[s])
-    waiting = [(release(s, 0), s, 0) for s in parts]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in parts}
-    for slot in range(period if parts else 0):
+    A source with ``counts`` blocks ends with one more, the first that it misses. Slots for which no
+    source is left are skipped, so that the time follows from the blocks.
+    """
+    total, slot = sum(parts), 0
+    due = [-(-total // p) for p in parts]
+    at = [0] * len(parts)
+    waiting: list[tuple[int, int]] = []  # all first blocks are released
+    ready = [(d, s) for s, d in enumerate(due)]
+    heapq.heapify(ready)
+    while ready or waiting:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(s, j), s, j))
-        due, s, j = heapq.heappop(ready)
-        assert slot < due
-        out[s].append(slot)
-        if j + 1 < parts[s]:
-            heapq.heappush(waiting, (max(release(s, j + 1), slot + 1), s, j + 1))
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (due[s], s))
+        end, s = heapq.heappop(ready)
+        assert slot < end
+        j = at[s]
+        yield slot, s, j
+        if j < counts[s]:
+            at[s] = j + 1
+            due[s] = -(-(j + 2) * total // parts[s])
+            heapq.heappush(waiting, ((j + 1) * total // parts[s], s))
+        slot += 1
+
+
+def schedule(parts: dict[str, Fraction], period: int) -> dict[str, list[int]]:
+    """Slots of each source's blocks among the first ``period``, of sources that don't run out."""
+    names, out = sorted(parts), {s: [] for s in parts}
+    for slot, s, _ in islice(in_order(whole([parts[s] for s in names]), [period] * len(names)), period):
+        out[names[s]].append(slot)
     return out
 
 
+_SLOTS = pa.schema([("source", pa.string()), ("block", pa.int64()), ("slot", pa.int64()), ("within_target", pa.bool_())])
+
+
+def _slots(exponent: float, block: int, size: int):
+    """The schedule of all blocks from the rows (source, n, weight) of all sources."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("source", pa.string()), ("n", pa.int64()), ("weight", pa.string())]))
+        table = table.sort_by("source")
+        names, rows = table["source"].combine_chunks(), table["n"].to_pylist()
+        parts = whole([n**exponent if w is None else Fraction(w) for n, w in zip(rows, table["weight"].to_pylist())])
+        counts = [-(-n // block) for n in rows]
+        steps, within = in_order(parts, counts), True
+        while part := list(islice(steps, size)):
+            out = []
+            for slot, s, j in part:
+                if j == counts[s]:
+                    within = False  # the first source ran out
+                else:
+                    out.append((s, j, slot, within))
+            if out:
+                s, *columns = zip(*out)
+                columns = [pa.array(c, f.type) for c, f in zip(columns, list(_SLOTS)[1:])]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(s, pa.int64())), *columns], schema=_SLOTS)
+
+    return run
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -69,27 +120,26 @@ def mix_sources(
     rows; slots give the order of blocks, and ``position`` the place inside the mix: slot * block +
     place in the block, unique but for gaps where a source has run out. No row is dropped: sources
     that last longer go on in their own slots, and ``within_target`` marks the slots before the first
-    source ran out, where every source is within one block of its weight. Without ``weights`` a
-    source's weight is its row count to the power ``exponent``. Sources missing in ``weights`` raise;
-    a null source counts as "". Null ids and repeated rows each take a place of their own.
+    source ran out, where every source is within one block of its weight as given. Without ``weights``
+    a source's weight is its row count to the power ``exponent``. Sources missing in ``weights`` raise;
+    a null source counts as "". Null ids and repeated rows each take a place of their own. ``period``
+    only says how many blocks of the schedule are sent on at once.
     """
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"))
     rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
-    weights = weights or {s: n**exponent for s, n in sizes.items()}
-    if missing := set(sizes) - set(weights):
+    if len(sizes) > period:
+        raise ValueError(f"at most {period} sources")
+    if weights and (missing := set(sizes) - set(weights)):
         raise ValueError(f"no weight for {sorted(missing)[:5]}")
-    parts = shares({s: w for s, w in weights.items() if s in sizes}, period)
-    slots = schedule(parts, period)
-    ends = [_slot(-(-n // block), slots[s], period) for s, n in sizes.items()]
-    table = spark.createDataFrame(
-        [(s, parts[s], j, slot) for s, own in slots.items() for j, slot in enumerate(own)],
-        "source string, share int, within long, at long",
+    total = sum(sizes.values())
+    sizes = spark.createDataFrame(
+        [(s, n, str(Fraction(weights[s])) if weights else None) for s, n in sizes.items()], "source string, n long, weight string"
     )
     # a source is numbered in buckets of its hash order, so that a hot one is spread like the others
-    buckets = max(1, sum(sizes.values()) // bucket_rows)
+    buckets = max(1, total // bucket_rows)
     rows = rows.withColumn("bucket", F.shiftrightunsigned("order", 16) % buckets)
     counts = rows.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(
@@ -103,22 +153,12 @@ def mix_sources(
         .withColumn("place", F.col("place") + F.col("before"))
         .withColumn("block", F.floor(F.col("place") / block))
     )
-    share = F.create_map(*[F.lit(x) for s, p in parts.items() for x in (s, p)]) if parts else F.create_map().cast("map<string,int>")
-    placed = placed.withColumn("share", F.element_at(share, F.col("source"))).withColumn(
-        "within", F.col("block") % F.col("share")
-    )
-    placed = placed.join(F.broadcast(table.drop("share")), ["source", "within"])  # ``period`` rows
-    slot = F.expr(f"block div share * {period} + at")
-    first_end = min(ends, default=0)
-    return placed.withColumn("slot", slot).select(
+    table = sizes.repartition(1).mapInArrow(_slots(exponent, block, period), "source string, block long, slot long, within_target boolean")
+    return placed.join(table, ["source", "block"]).select(
         "doc_id",
         "source",
         "block",
         "slot",
         (F.col("slot") * block + F.col("place") % block).alias("position"),
-        (F.col("slot") < first_end).alias("within_target"),
+        "within_target",
     )
-
-
-def _slot(j: int, own: list[int], period: int) -> int:
-    return j // len(own) * period + own[j % len(own)]

@@ -5,6 +5,7 @@ import io
 import os
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -205,6 +206,29 @@ def test_mixing_odd_rows(spark, odd):
     assert len({r["position"] for r in mixing.mix_sources(odd).collect()}) == 11
 
 
+def farthest(got, weights):
+    """Largest distance of any source from its weight as given, in blocks, over the marked slots."""
+    inside = sorted({(r["slot"], r["source"]) for r in got if r["within_target"]})
+    assert [slot for slot, _ in inside] == list(range(len(inside)))
+    scale = max(Fraction(w).denominator for w in weights.values())  # a power of two for floats
+    exact = {s: int(Fraction(w) * scale) for s, w in weights.items()}
+    total, count, worst = sum(exact.values()), dict.fromkeys(weights, 0), 0
+    for slot, s in inside:
+        count[s] += 1
+        worst = max(worst, *(abs(count[k] * total - w * (slot + 1)) for k, w in exact.items()))
+    return Fraction(worst, total), len(inside)
+
+
+def test_mixing_many_sources_by_exact_weights(spark):
+    hot = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 200).cast("string"))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), hot.alias("source"))
+    sizes = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    for weights in (None, {s: 0.9 if s == "hot" else 0.1 / 200 for s in sizes}):
+        got = mixing.mix_sources(docs, weights, block=4).collect()
+        worst, n = farthest(got, weights or {s: n**0.5 for s, n in sizes.items()})
+        assert worst < 1 and n > 1000 and len(got) == 12_000 == len({r["position"] for r in got})
+
+
 def edit_distance(a, b):
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):

@@ -82,8 +82,10 @@ def _slots(exponent: float, block: int, size: int):
     """The schedule of all blocks from the rows (source, n, weight) of all sources."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("source", pa.string()), ("n", pa.int64()), ("weight", pa.string())]))
-        table = table.sort_by("source")
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by("source")
         names, rows = table["source"].combine_chunks(), table["n"].to_pylist()
         parts = whole([n**exponent if w is None else Fraction(w) for n, w in zip(rows, table["weight"].to_pylist())])
         counts = [-(-n // block) for n in rows]
@@ -129,15 +131,15 @@ def mix_sources(
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"))
     rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
-    if len(sizes) > period:
-        raise ValueError(f"at most {period} sources")
-    if weights and (missing := set(sizes) - set(weights)):
-        raise ValueError(f"no weight for {sorted(missing)[:5]}")
-    total = sum(sizes.values())
-    sizes = spark.createDataFrame(
-        [(s, n, str(Fraction(weights[s])) if weights else None) for s, n in sizes.items()], "source string, n long, weight string"
-    )
+    total = rows.count()
+    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    if weights:
+        given = spark.createDataFrame([(s, str(Fraction(w))) for s, w in weights.items()], "source string, weight string")
+        sizes = sizes.join(given, "source", "left").select("source", "n", "weight")
+        if missing := sizes.filter("weight is null").select("source").limit(5).collect():
+            raise ValueError(f"no weight for {sorted(r['source'] for r in missing)}")
+    else:
+        sizes = sizes.withColumn("weight", F.lit(None).cast("string"))
     # a source is numbered in buckets of its hash order, so that a hot one is spread like the others
     buckets = max(1, total // bucket_rows)
     rows = rows.withColumn("bucket", F.shiftrightunsigned("order", 16) % buckets)

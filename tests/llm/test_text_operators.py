@@ -229,6 +229,18 @@ def test_mixing_many_sources_by_exact_weights(spark):
         assert worst < 1 and n > 1000 and len(got) == 12_000 == len({r["position"] for r in got})
 
 
+def test_mixing_more_sources_than_a_period(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("site"), (F.col("id") % 1500).cast("string")).alias("source"))
+    weights = {f"site{k}": 1 + k % 7 for k in range(1500)}
+    for given in (None, weights):
+        got = mixing.mix_sources(docs, given, block=2).collect()
+        assert len(got) == 6000 == len({r["position"] for r in got}) and {r["doc_id"] for r in got} == set(range(6000))
+        worst, n = farthest(got, given or dict.fromkeys(weights, 1))
+        assert worst < 1 and n > 1500
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, {s: w for s, w in weights.items() if s != "site700"})
+
+
 def edit_distance(a, b):
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):

@@ -397,14 +397,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     large = sizes.filter(F.col("n") > max(heavy, total // HEAVY_PARTS)).select("gram", F.lit(True).alias("large"))
     todo = todo.join(F.broadcast(large), "gram", "left")  # at most HEAVY_PARTS rows
     ordinary = todo.filter("large is null").withColumn("bucket", F.pmod("gram", F.lit(2 * n)))
-    # strings of a heavy gram are dealt one by one
+    # strings of a heavy gram are compared one by one: their smallest ids are found before rows meet, and the
+    # join has one row a string on its right, so that rows of a common string can be split and none are held
     single = todo.filter("large").withColumn("k", F.explode(F.sequence(F.lit(1), F.length("context") - (length - 1))))
     single = single.select(
-        "gram", F.substring("context", F.col("k"), F.lit(length)).alias("context"), "key", "doc_id", (F.col("start") + F.col("k") - 1).alias("start")
-    ).withColumn("bucket", F.pmod(F.xxhash64("context"), F.lit(2 * n)))
-    columns = ["bucket", "context", "key", "doc_id", "start"]
-    share = ordinary.select(*columns).unionAll(single.select(*columns)).groupBy("bucket")
+        F.substring("context", F.col("k"), F.lit(length)).alias("string"), "key", "doc_id", (F.col("start") + F.col("k") - 1).alias("start")
+    )
+    firsts = single.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    firsts = firsts.filter("first < last").select("string", "first")
+    # by a second key the join shuffles both sides itself; Spark splits none that lies on an aggregate
+    single, firsts = (side.withColumn("mark", F.xxhash64("string")) for side in (single, firsts.hint("merge")))
+    later = single.join(firsts, ["string", "mark"]).filter("doc_id > first")
+    share = ordinary.select("bucket", "context", "key", "doc_id", "start").groupBy("bucket")
     gone = share.applyInArrow(_sort_share(length), "key long, doc_id long, start long, end long")
+    gone = gone.unionAll(later.select("key", "doc_id", "start", (F.col("start") + length).alias("end")))
     gone = gone.unionAll(near.filter("gram is null").select("key", "doc_id", "start", "end"))
     gone = gone.groupBy("key").agg(F.collect_list(F.struct("doc_id", "start", "end")).alias("spans"))
     known = least.join(gone, "key", "left").select("key", "digest", "least", "spans")

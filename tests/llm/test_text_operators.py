@@ -124,6 +124,32 @@ def test_repeats_like_brute_force(spark, heavy):
     assert sorted(map(tuple, got)) == brute_repeats(rows, 50)
 
 
+def test_rows_of_a_common_string_meet_in_no_group(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefghij klmnop", k=120))
+    own = lambda: "".join(rng.choices("ABCDEFGHIJKLMNOP", k=60))
+    rows = [(k, own() + passage + own()) for k in range(400)]
+    sort_share, heavy = suffixes._sort_share, 20
+
+    def bounded(length):
+        run = sort_share(length)
+
+        def check(table):
+            strings = {}
+            for c in table["context"].to_pylist():
+                for k in range(len(c) - length + 1):
+                    strings[c[k : k + length]] = strings.get(c[k : k + length], 0) + 1
+            assert max(strings.values(), default=0) <= heavy
+            return run(table)
+
+        return check
+
+    monkeypatch.setattr(suffixes, "CONTEXT_BYTES", 1)
+    monkeypatch.setattr(suffixes, "_sort_share", bounded)
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), heavy=heavy).drop("removed").collect()
+    assert sorted(map(tuple, got)) == brute_repeats(rows, 50)
+
+
 def test_repeats_of_odd_rows(spark, odd):
     got = {}
     for r in suffixes.remove_repeats(odd).collect():

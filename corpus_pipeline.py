@@ -19,9 +19,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; empty and null texts score as empty ones."""
+    """Documents that the classifier doesn't reject; empty and null texts score as empty ones.
+
+    Without any labelled row to learn from nothing is rejected.
+    """
     labels = _table(spark, sf_dir, "labels").filter(~quality.held_out())
-    return quality.keep_quality(docs, quality.train(docs, labels))
+    model = quality.train(docs, labels)
+    return quality.keep_quality(docs, model) if model.rows else docs
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

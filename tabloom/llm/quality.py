@@ -145,6 +145,7 @@ class AdditiveModel:
     tables: list[np.ndarray]
     coarse: list[np.ndarray]
     pairs: dict[tuple[int, int], np.ndarray]
+    rows: int = 0  # that it was fitted on
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.intercept)
@@ -207,7 +208,7 @@ def fit_additive(
     edges = [_cuts(x[:, i], bins) if n else empty for i in range(width)]
     coarse = [_cuts(x[:, i], pair_bins) if n else empty for i in range(width)]
     tables = [np.zeros(len(e) + 1) for e in edges]
-    model = AdditiveModel(intercept, edges, tables, coarse, {})
+    model = AdditiveModel(intercept, edges, tables, coarse, {}, n)
     if not n or mean in (1e-4, 1 - 1e-4):
         return model
     binned = [np.searchsorted(e, x[:, i], "right") for i, e in enumerate(edges)]

@@ -434,6 +434,16 @@ def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     assert partitions(spark) > 0
 
 
+def test_pipeline_without_labels_rejects_nothing(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("none", []), ("held-out", [(5, 1)])):  # crc32('5') % 4 is 2
+        labels = spark.createDataFrame(rows, "doc_id long, quality int")
+        assert labels.filter(~quality.held_out()).isEmpty()
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert corpus_pipeline.good_quality(spark, odd, str(tmp_path / name)).count() == 11
+
+
 def test_marks_bound_the_tokens_of_one_set_only():
     rng = np.random.default_rng(5)
     for shared, own in ((0, 0), (90, 3), (400, 700), (5000, 40)):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import content_sort, decontaminate, jaccard, mixing, quality
-from tabloom.llm.common import written
+from tabloom.llm.common import partitions, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,21 +29,41 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_equals(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the smallest id; rows that share it stay together."""
-    dropped = content_sort.exact_duplicates(docs).filter("doc_id != keep_id").select("doc_id", "keep_id")
-    return _without(docs, dropped.select("doc_id"))
+    """Of documents with equal text the one with the smallest id; rows that share it stay together.
 
-
-def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similar five-word shingle sets (0.8 or more) the smallest id."""
-    groups = jaccard.similar_groups(docs, size=5, percent=80)
-    return _without(docs, groups.filter("doc_id != component_id").select("doc_id"))
+    Decided row by row: a row whose id another row has goes only for its own text.
+    """
+    rows, unique = _rows(docs)
+    found = content_sort.exact_duplicates(rows, id_col="_row")
+    return _without(rows, unique, found.select(F.col("doc_id").alias("_gone"), F.col("keep_id").alias("_keep")))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose id isn't dropped; rows without an id stay."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by similar five-word shingle sets (0.8 or more) the smallest id, row by row as well."""
+    rows, unique = _rows(docs)
+    groups = jaccard.similar_groups(rows, size=5, percent=80, id_col="_row")
+    return _without(rows, unique, groups.select(F.col("doc_id").alias("_gone"), F.col("component_id").alias("_keep")))
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` and ``_row``, which tells rows apart and rises with the id, null ids last; and whether it is the id itself."""
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id")), True
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)]
+    ordered = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(ordered.withColumn("_row", F.monotonically_increasing_id()), "rows"), False
+
+
+def _without(rows: DataFrame, unique: bool, found: DataFrame) -> DataFrame:
+    """Rows but those that another row stands for; rows without an id, or with that row's id, stay."""
+    gone = found.filter("_gone != _keep")
+    if not unique:
+        ids = rows.select("_row", F.col("doc_id").alias("_id"))
+        gone = gone.join(ids.withColumnRenamed("_row", "_gone"), "_gone").join(
+            ids.select(F.col("_row").alias("_keep"), F.col("_id").alias("_keep_id")), "_keep"
+        )
+        gone = gone.filter("_id != _keep_id")
+    return rows.join(gone.select("_gone"), rows["_row"] == F.col("_gone"), "left_anti").drop("_row")
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

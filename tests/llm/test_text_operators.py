@@ -434,6 +434,18 @@ def test_pipeline_of_odd_rows(spark, sf_dir, odd):
     assert partitions(spark) > 0
 
 
+def test_pipeline_keeps_texts_of_shared_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    near = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, "a copy"), (2, "a  copy"), (2, "found nowhere else"), (3, near), (4, near + " end"), (4, "another one"), (5, "x"), (5, "x"), (None, "a copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.one_of_equals(spark, docs, sf_dir)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted((r for r in rows if r != (2, "a  copy")), key=str)
+    left = corpus_pipeline.one_of_near_copies(spark, docs.filter("text != 'a  copy'"), sf_dir)
+    assert sorted(map(tuple, left.collect()), key=str) == sorted((r for r in rows if r not in ((2, "a  copy"), (4, near + " end"))), key=str)
+
+
 def test_pipeline_without_labels_rejects_nothing(spark, odd, tmp_path):
     import corpus_pipeline
 

@@ -91,7 +91,7 @@ WORDINGS = [
     ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 85, 0.95),
     ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose", 85, 0.95),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 85, 0.9),
-    ("apache-2.0", "apache", r"you may not use this file except in compliance with the license", 85, 0.9),
+    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license", 85, 0.9),
     ("apache-2.0", "apache", r"www apache org licenses license 2 0", 88, 1.0),
     ("gpl", "gnu", r"www gnu org licenses gpl(?: \d(?: 0)?)?", 88, 1.0),
     ("lgpl", "gnu", r"www gnu org licenses lgpl(?: \d(?: [01])?)?", 88, 1.0),

@@ -342,6 +342,13 @@ def test_licenses_like_brute_force(spark, odd):
     assert licenses.scan_licenses(odd).count() == 11
 
 
+def test_wordings_need_only_their_own_keyword():
+    ordered = licenses.rules()
+    text = "you may not use this file except in compliance with the license."
+    found = licenses.detections(text, ordered, licenses.prefilter(ordered))
+    assert "apache-2.0" in {d.label for d in found}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/ x%\n", "<p>a</p>"), (2, None, None), (3, "u", ""), (5, "u", "<p>a</p>"), (4, "ü", "<p>a</p>"), (6, "u", "é" * 300_000), (None, "u", "<p>a</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("same", F.lit(1))

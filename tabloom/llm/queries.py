@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import chat, content_sort, decontaminate, jaccard, licenses, mixing, quality, suffixes, tokens, warc
+from tabloom.llm import chat, content_sort, decontaminate, jaccard, lattice, licenses, merge, mixing, packed, quality, suffixes, tokens, warc
 
 QUERIES: dict = {}
 
@@ -145,3 +145,50 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT
 )
 def op10_suffix_dedup(spark, folder):
     return suffixes.remove_repeats(table(spark, folder, "documents")).drop("removed")
+
+
+@query(
+    r"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ u AS (SELECT *, label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+   AND len(list_filter(e, lambda x: x <> 0)) > 0 AS usable FROM v),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+   WHERE a.usable AND b.usable AND list_cosine_similarity(a.e, b.e) >= 0.98),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+ o AS (SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id)
+SELECT *, vec_id = component_id AS kept FROM o"""
+)
+def op11_lattice_neighbours(spark, folder):
+    return lattice.similar_vectors(table(spark, folder, "embeddings"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+ f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+   || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+   || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 'C' ELSE '' END
+   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+   || CASE WHEN least < doc_id THEN 'E' ELSE '' END AS fails FROM w JOIN (SELECT t, min(doc_id) AS least FROM d GROUP BY t) USING (t)),
+ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+ x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+   WHERE length(translate('ABCDE', a.x || b.x || c.x || d.x || e.x, '')) = 0),
+ s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before FROM o, range(1, 6) r(step)),
+ e AS (SELECT part, filter_order, step, letter, fails, good, toxic, n, contains(fails, letter) AS hit,
+   length(translate(fails, before, '')) < length(fails) AS gone FROM s, m),
+ c AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept,
+   coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+   coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (hit AND NOT gone AND good), 0)::BIGINT AS good_lost,
+   coalesce(sum(n) FILTER (hit AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost FROM e GROUP BY ALL)
+SELECT * EXCLUDE (letter), sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM c"""
+)
+def op12_filter_audit(spark, folder):
+    fails = packed.text_failures(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return packed.audit_orders(fails, packed.FILTERS)
+
+
+@query()
+def op13_token_alignment(spark, folder):
+    return merge.align_tokens(table(spark, folder, "documents"))

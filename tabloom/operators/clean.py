@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +21,8 @@ from tabloom.functions.text import is_placeholder, placeholder_to_null, snake_ca
 from tabloom.operators.columns import rename_snake_case
 from tabloom.operators.profile import fewer_values, most_frequent, row_keys
 from tabloom.operators.quantiles import approx_medians, exact_medians
-from tabloom.types import col, is_number, numeric_columns, text_columns, value
+from tabloom.session import stage
+from tabloom.types import col, is_number, numeric_columns, present, text_columns, value
 
 # Formats tried for text dates, in this order (month before day when both fit).
 DATE_FORMATS = [
@@ -149,11 +150,13 @@ def fit_deduplicate(
 def _deduplicate(df: DataFrame, subset: list[str] | None, order_by: str | None) -> DataFrame:
     if df.isStreaming:
         raise ValueError("copies in a stream need a watermark: use streaming.apply.clean_stream")
+    if not subset:
+        return df.distinct()  # hashed, and combined before the shuffle
     # a limit on row_number is applied before the shuffle too, so that every map task sends
     # one row per value and a value held by a third of the table does not load one reducer;
     # long text is compared by its digest
-    keys = row_keys(df, subset or df.columns)
-    first = Window.partitionBy(*keys).orderBy(col(order_by) if subset else F.lit(0))
+    keys = row_keys(df, subset)
+    first = Window.partitionBy(*keys).orderBy(col(order_by))
     return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
@@ -167,12 +170,14 @@ def fit_remove_empty_rows(
     )
     if audit:
         names = list(subset or df.columns)
-        (step.changes["rows_removed"],) = _counts(
-            df, [F.count_if(reduce(lambda a, b: a & b, [value(df, c).isNull() for c in names]))]
-        )
+        (step.changes["rows_removed"],) = _counts(df, [F.count_if(empty_row(df, names))])
     return step
 
 
+def empty_row(df: DataFrame, names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [~present(df, c) for c in names])
+
+
 def _remove_empty_rows(df: DataFrame, subset: list[str] | None) -> DataFrame:
     return df.dropna(how="all", subset=subset)
 
@@ -333,9 +338,9 @@ def _spread(df: DataFrame, c: str) -> list:
     return [F.avg(x), F.stddev_samp(x), F.approx_count_distinct(x)]
 
 
-def _within(df: DataFrame, c: str, mean: float, std: float, z: float):
+def beyond(df: DataFrame, c: str, mean: float, std: float, z: float) -> Column:
     distance = F.abs((value(df, c).cast("double") - F.lit(mean)) / F.lit(std))
-    return ~F.coalesce(distance > z, F.lit(False))
+    return F.coalesce(distance > z, F.lit(False))
 
 
 def fit_remove_outliers(
@@ -358,7 +363,7 @@ def fit_remove_outliers(
         if not std or std != std or fewer_values(df if one_pass else rows, c, MIN_DISTINCT + 1, estimate):
             continue
         bounds.append([c, mean, std])
-        rows = rows.where(_within(rows, c, mean, std, z_threshold))
+        rows = rows.where(~beyond(rows, c, mean, std, z_threshold))
     step = FittedStep("remove_outliers", {"bounds": bounds, "z": z_threshold})
     if audit:
         step.changes["rows_removed"] = _rows_removed(df, rows)
@@ -369,7 +374,7 @@ def fit_remove_outliers(
 def _remove_outliers(df: DataFrame, bounds: list, z: float) -> DataFrame:
     for c, mean, std in bounds:
         if c in df.columns:
-            df = df.where(_within(df, c, mean, std, z))
+            df = df.where(~beyond(df, c, mean, std, z))
     return df
 
 
@@ -411,7 +416,17 @@ def _direct(fit: Callable[..., FittedStep], name: str):
 
 
 drop_high_null = _direct(fit_drop_high_null, "drop_high_null")
-deduplicate = _direct(fit_deduplicate, "deduplicate")
+
+
+def deduplicate(
+    df: DataFrame, subset: Sequence[str] | None = None, order_by: str | None = None
+) -> tuple[DataFrame, dict]:
+    """Fits and applies ``fit_deduplicate``: (cleaned, changes). The result is written once and counted there."""
+    step = fit_deduplicate(df, subset, order_by, audit=False)
+    out = stage(step.transform(df))
+    return out, {"rows_removed": df.count() - out.count(), "reason": step.reason}
+
+
 remove_empty_rows = _direct(fit_remove_empty_rows, "remove_empty_rows")
 replace_placeholder_nulls = _direct(fit_replace_placeholder_nulls, "replace_placeholder_nulls")
 impute_missing = _direct(fit_impute, "impute_missing")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import query, table
+from catalog import query, rounded, table
 from catalog.cleaning import SPACES, TOKENS
 from catalog.dirt import DIRTY_EVENTS, DIRTY_LINEITEM, dirty_events, dirty_lineitem, duck
+from tabloom.operators import drift, partials
 from tabloom.operators.diff import diff_rows, diff_tables
 from tabloom.plans.provenance import trace
 from tabloom.plans.recipe import CleanRecipe
@@ -124,3 +125,93 @@ def version_rows_keyless(spark, folder):
     new = pick(events.where("event_id % 3 != 0"), 50)
     new = new.unionAll(pick(events.where("event_id % 10 = 0").withColumn("event_type", F.lit("new")), 7))
     return diff_rows(pick(events, 50), new)
+
+
+def _moved(spark, folder):
+    """Line items before 1995 in the order of their keys, and later ones with gaps, dearer and with an unlisted flag."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    later = rows.where("l_orderkey % 3 != 0").select(
+        F.when(F.col("l_orderkey") % 10 != 1, F.col("l_quantity")).alias("l_quantity"),
+        (F.col("l_extendedprice") * 1.5).alias("l_extendedprice"),
+        F.when(F.col("l_orderkey") % 4 == 0, F.lit("new")).otherwise(F.col("l_returnflag")).alias("l_returnflag"),
+    )
+    return rows.where("l_orderkey % 3 = 0").drop("l_orderkey"), later
+
+
+MOVED = """a AS (SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem WHERE l_orderkey % 3 = 0),
+ b AS (SELECT CASE WHEN l_orderkey % 10 <> 1 THEN l_quantity END AS l_quantity, l_extendedprice * 1.5 AS l_extendedprice,
+   CASE WHEN l_orderkey % 4 = 0 THEN 'new' ELSE l_returnflag END AS l_returnflag FROM lineitem WHERE l_orderkey % 3 <> 0)"""
+SCORES = """round(sum((p - q) * ln(p / q)), 6) AS psi"""
+
+
+@query(
+    f"""WITH {MOVED},
+ x AS (SELECT 'l_quantity' AS c, 1 AS side, l_quantity AS x FROM a UNION ALL SELECT 'l_quantity', 2, l_quantity FROM b
+   UNION ALL SELECT 'l_extendedprice', 1, l_extendedprice FROM a UNION ALL SELECT 'l_extendedprice', 2, l_extendedprice FROM b),
+ e AS (SELECT DISTINCT c, unnest(quantile_cont(x, [i / 10.0 FOR i IN range(1, 10)])) AS e FROM x WHERE side = 1 GROUP BY c),
+ n AS (SELECT c, side, CASE WHEN x IS NULL THEN -1 ELSE (SELECT count(*) FROM e WHERE e.c = x.c AND e.e < x.x) END AS bin, count(*) AS n FROM x GROUP BY ALL),
+ w AS (SELECT c, bin, coalesce(max(n) FILTER (side = 1), 0) AS old, coalesce(max(n) FILTER (side = 2), 0) AS new FROM n GROUP BY ALL),
+ s AS (SELECT *, greatest(old / sum(old) OVER (PARTITION BY c), 1e-4) AS p, greatest(new / sum(new) OVER (PARTITION BY c), 1e-4) AS q,
+   sum(old) FILTER (bin >= 0) OVER (PARTITION BY c ORDER BY bin) / sum(old) FILTER (bin >= 0) OVER (PARTITION BY c)
+   - sum(new) FILTER (bin >= 0) OVER (PARTITION BY c ORDER BY bin) / sum(new) FILTER (bin >= 0) OVER (PARTITION BY c) AS apart FROM w)
+SELECT c AS "column", {SCORES}, round(max(abs(apart)) FILTER (bin >= 0), 6) AS ks,
+ CASE WHEN sum((p - q) * ln(p / q)) < 0.1 THEN 'stable' WHEN sum((p - q) * ln(p / q)) < 0.25 THEN 'moderate' ELSE 'major' END AS level,
+ round(sum(new) FILTER (bin = -1) / sum(new), 6) AS missing_after, sum(new)::BIGINT AS n_after FROM s GROUP BY c"""
+)
+def drift_numbers(spark, folder):
+    before, after = _moved(spark, folder)
+    bins = drift.fit_bins(before, ["l_quantity", "l_extendedprice"], bins=10)
+    found = drift.drift(after, drift.DriftBins.from_json(bins.to_json()))
+    missing = F.nullif(F.round("missing_after", 6), F.lit(0.0)).alias("missing_after")
+    return found.select("column", rounded("psi"), rounded("ks"), "level", missing, "n_after")
+
+
+@query(
+    f"""WITH {MOVED}, n AS (SELECT 1 AS side, l_returnflag AS v FROM a UNION ALL SELECT 2, CASE WHEN l_returnflag IN (SELECT l_returnflag FROM a) THEN l_returnflag ELSE '(unlisted)' END FROM b),
+ w AS (SELECT v, count(*) FILTER (side = 1) AS old, count(*) FILTER (side = 2) AS new FROM n GROUP BY v),
+ s AS (SELECT *, greatest(old / sum(old) OVER (), 1e-4) AS p, greatest(new / sum(new) OVER (), 1e-4) AS q FROM w)
+SELECT 'l_returnflag' AS "column", {SCORES}, round(sum(new) FILTER (v = '(unlisted)') / sum(new), 6) AS unlisted_after FROM s"""
+)
+def drift_categories(spark, folder):
+    before, after = _moved(spark, folder)
+    bins = drift.fit_bins(before, ["l_returnflag"])
+    return drift.drift(after, bins).select("column", rounded("psi"), rounded("unlisted_after"))
+
+
+@query(
+    """WITH t AS (SELECT l_quantity, l_extendedprice, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_discount END AS l_discount, l_returnflag, l_shipdate FROM lineitem)
+SELECT c AS "column", type, rows, nulls, mean, std, min, max, first, last FROM (
+ SELECT 'l_quantity' AS c, 'number' AS type, count(*) AS rows, count(*) - count(l_quantity) AS nulls, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std,
+  min(l_quantity) AS min, max(l_quantity) AS max, NULL AS first, NULL AS last FROM t
+ UNION ALL SELECT 'l_extendedprice', 'number', count(*), count(*) - count(l_extendedprice), round(avg(l_extendedprice), 6), round(stddev_samp(l_extendedprice), 6), min(l_extendedprice), max(l_extendedprice), NULL, NULL FROM t
+ UNION ALL SELECT 'l_discount', 'number', count(*), count(*) - count(l_discount), round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), min(l_discount), max(l_discount), NULL, NULL FROM t
+ UNION ALL SELECT 'l_returnflag', 'text', count(*), count(*) - count(l_returnflag), NULL, NULL, NULL, NULL, min(l_returnflag), max(l_returnflag) FROM t
+ UNION ALL SELECT 'l_shipdate', 'time', count(*), count(*) - count(l_shipdate), NULL, NULL, NULL, NULL, min(l_shipdate)::VARCHAR, max(l_shipdate)::VARCHAR FROM t)"""
+)
+def merged_profile(spark, folder):
+    """The exact figures of a profile merged from the states of three parts."""
+    gap = F.when(F.col("l_orderkey") % 7 != 0, F.col("l_discount")).alias("l_discount")
+    rows = table(spark, folder, "lineitem")
+    pick = lambda k: rows.where(F.col("l_orderkey") % 3 == k).select("l_quantity", "l_extendedprice", gap, "l_returnflag", "l_shipdate")
+    parts = [partials.partial_profile(pick(k)) for k in range(3)]
+    whole = partials.merge_profiles(parts[0].unionAll(parts[1]).unionAll(parts[2]))
+    return partials.read_profile(whole).select("column", "type", "rows", "nulls", rounded("mean"), rounded("std"), "min", "max", "first", "last")
+
+
+@query(
+    """WITH a AS (SELECT o_totalprice AS x, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS y FROM orders WHERE o_orderstatus = 'F'),
+ b AS (SELECT o_totalprice * 2 AS x, o_orderpriority AS y FROM orders WHERE o_orderstatus = 'O')
+SELECT 'price' AS "column", (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after, 0.0::DOUBLE AS null_share_change,
+ round(((SELECT avg(x) FROM b) - (SELECT avg(x) FROM a)) / (SELECT stddev_samp(x) FROM a), 6) AS mean_shift, true AS distinct_close
+UNION ALL SELECT 'priority', (SELECT count(*) FROM a), (SELECT count(*) FROM b), round(-(SELECT 1 - count(y) / count(*) FROM a), 6), NULL, true"""
+)
+def compared_profiles(spark, folder):
+    orders = table(spark, folder, "orders")
+    gap = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("priority")
+    before = orders.where("o_orderstatus = 'F'").select(F.col("o_totalprice").alias("price"), gap)
+    after = orders.where("o_orderstatus = 'O'").select((F.col("o_totalprice") * 2).alias("price"), F.col("o_orderpriority").alias("priority"))
+    both = partials.compare_profiles(partials.partial_profile(before), partials.partial_profile(after))
+    exact = after.agg(F.count_distinct("price").alias("price"), F.count_distinct("priority").alias("priority"))
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in exact.columns])))
+    close = (F.abs(F.col("distinct_after") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("distinct_close")
+    return both.join(exact, "column").select("column", "rows_before", "rows_after", rounded("null_share_change"), rounded("mean_shift"), close)

@@ -8,7 +8,7 @@ from tabloom.plans.provenance import trace
 from tabloom.plans.recipe import CleanRecipe
 
 ALL = CleanRecipe(
-    subset=["name"], order_by="day", remove_empty_rows=True, replace_placeholder_nulls=True, lowercase_text=True, remove_outliers=True, snake_case=True, z_threshold=1.5
+    subset=["name"], order_by="day", remove_empty_rows=True, replace_placeholder_nulls=True, lowercase_text=True, remove_outliers=True, snake_case=True, z_threshold=2.0
 )
 
 
@@ -29,12 +29,12 @@ def test_trace_follows_the_recipe(spark):
     assert ("name", " n/a", None) in [c[1:] for c in of] and ("A value", None, "3.0") in [c[1:] for c in of]
     # whole numbers that stay the same number are no change, though the column became double
     assert [c[0] for c in cells if c[3] == "whole"] == [14]
-    assert sorted(c[0] for c in cells if c[2] == "strip_whitespace") == [*range(1, 13), 14]
+    assert sorted(c[0] for c in cells if c[2] == "strip_whitespace") == [*range(2, 13), 13, 14]
     gone = {r["key"]: tuple(r)[1:] for r in got.rows.collect()}
-    assert gone[13] == (steps["deduplicate"], "deduplicate", "copy", 1)
+    assert gone[1] == (steps["deduplicate"], "deduplicate", "copy", 13)  # of the earlier day
     assert gone[15][:3] == (steps["remove_outliers"], "remove_outliers", "A value")
     # a removed row has no changes from later steps
-    assert not [c for c in cells if c[0] == 13]
+    assert not [c for c in cells if c[0] == 1]
     assert fitted.audit_log(spark).where("metric = 'rows_removed'").agg({"value": "sum"}).first()[0] == len(gone)
 
 

@@ -269,3 +269,15 @@ def roles_projection(spark, folder):
     now = columns.reconcile_roles(roles, kept.columns, renamed.columns)
     chosen = columns.select_roles(renamed, columns.validate_roles(now, renamed.columns))
     return rounded(chosen.withColumn("shown", F.col("account_balance")), 1, ["shown"])
+
+
+@query("SELECT event_id, event_type, value, value * 2 AS twice FROM events WHERE value > 10")
+def clean_custom_steps(spark, folder):
+    """Steps of the caller, a function and a Spark ML transformer, at the end of a recipe."""
+    from pyspark.ml.feature import SQLTransformer
+
+    rows = table(spark, folder, "events").select("event_id", "event_type", "value")
+    extra = [lambda df: df.where("value > 10"), SQLTransformer(statement="SELECT *, value * 2 AS twice FROM __THIS__")]
+    recipe = CleanRecipe(deduplicate=False, impute=False, strip_whitespace=False, parse_dates=False, audit=False)
+    fitted, _ = recipe.fit_transform(rows, extra)
+    return fitted.transform(rows)

@@ -406,3 +406,91 @@ def answers_per_target(spark, folder):
     data = events.select("value", "user_id", "event_type")
     out = questions.answer_questions(asked, "question", "event_id", data, fitted)
     return out.select("event_id", "target", "given", F.round(F.col("answer").cast("double"), 4).alias("answer"))
+
+
+CONDITIONS = """q AS (SELECT event_id, event_id % 4 AS k, event_type, user_id % 40 AS grp FROM events),
+ d AS (SELECT event_type, user_id % 40 AS grp, round(value) AS value, event_type || (user_id % 3) AS kind FROM events)"""
+
+
+def _asked(spark, folder):
+    events = table(spark, folder, "events")
+    sentence = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("Predict value when grp is "), F.col("user_id") % 40))
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit("What is the value if event_type is "), "event_type", F.lit(" and grp is "), F.col("user_id") % 40))
+        .when(F.col("event_id") % 4 == 2, F.lit("Estimate value"))
+        .otherwise(F.concat(F.lit("What will be the value for grp = 4"), F.col("user_id") % 40 + 100))
+    )
+    data = events.select("event_type", (F.col("user_id") % 40).alias("grp"), F.round("value").alias("value"))
+    return events.select("event_id", sentence.alias("question")), data
+
+
+@query(
+    f"""WITH {CONDITIONS}, a AS (SELECT event_type, grp, avg(value) AS m, count(value) AS n FROM d GROUP BY ALL), b AS (SELECT grp, avg(value) AS m, count(value) AS n FROM d GROUP BY ALL)
+SELECT event_id, 'value' AS target, CASE k WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS given,
+ round(CASE WHEN k = 0 AND b.n >= 3 THEN b.m WHEN k = 1 AND a.n >= 3 THEN a.m ELSE (SELECT avg(value) FROM d) END, 4) AS answer,
+ CASE WHEN k = 0 AND b.n >= 3 OR k = 1 AND a.n >= 3 THEN 'conditional' ELSE 'data' END AS source
+FROM q LEFT JOIN a USING (event_type, grp) LEFT JOIN b ON b.grp = q.grp"""
+)
+def conditional_questions(spark, folder):
+    """Questions about a column without a model: statistics of the rows that equal what they give, if three do."""
+    asked, data = _asked(spark, folder)
+    fitted = train(data, Roles(["grp"], ["event_type"]), {"algo": "DecisionTreeClassifier", "params": {"max_depth": 2}})
+    out = questions.answer_questions(asked, "question", "event_id", data, fitted, conditional=True)
+    return out.withColumn("answer", F.round(F.col("answer").cast("double"), 4))
+
+
+@query(
+    f"""WITH {CONDITIONS}, n AS (SELECT event_type, grp, kind, count(*) AS n FROM d GROUP BY ALL),
+ t AS (SELECT event_type, grp, sum(n) AS matched, min_by(kind, (-n, kind)) AS answer FROM n GROUP BY ALL),
+ m AS (SELECT event_type, sum(n) AS matched, min_by(kind, (-n, kind)) AS answer FROM (SELECT event_type, kind, sum(n) AS n FROM n GROUP BY ALL) GROUP BY ALL)
+SELECT event_id, coalesce(CASE WHEN k < 2 THEN t.matched ELSE m.matched END, 0)::BIGINT AS matched,
+ CASE WHEN k < 2 AND t.matched >= 3 THEN t.answer WHEN k >= 2 THEN m.answer END AS answer
+FROM q JOIN t USING (event_type, grp) JOIN m USING (event_type)"""
+)
+def conditional_classes(spark, folder):
+    """The most frequent value of a text column for many sets of conditions in one pass."""
+    events = table(spark, folder, "events")
+    grp = (F.col("user_id") % 40).alias("grp")
+    data = events.select("event_type", grp, F.concat("event_type", F.col("user_id") % 3).alias("kind"))
+    asked = events.select("event_id", "event_type", F.when(F.col("event_id") % 4 < 2, F.col("user_id") % 40).alias("grp"))
+    return questions.conditional_answers(asked, "event_id", data, "kind", ["event_type", "grp"])
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END AS prediction FROM customer"""
+)
+def train_boolean_label(spark, folder):
+    """A true / false label becomes the classes 1 and 0."""
+    rows = table(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") > 5000).alias("rich"), F.when(F.col("c_acctbal") > 5000, 1).otherwise(0).alias("side"))
+    fitted = train(rows, Roles(["side"], ["rich"]), {"algo": "DecisionTreeClassifier", "params": {"max_depth": 2}})
+    return fitted["rich"].predict(rows).select("c_custkey", F.col("prediction").cast("int").alias("prediction"))
+
+
+@query(
+    """SELECT s_suppkey, 'LinearRegression' AS asked, 'RandomForestRegressor' AS used, true AS told FROM supplier"""
+)
+def train_fallback(spark, folder):
+    """A specification that can't be trained falls back to the default model and says so."""
+    rows = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    spec = {"algo": "LinearRegression", "params": {"positive": True}}
+    fitted = train(rows, Roles(["s_nationkey"], ["s_acctbal"]), spec, task="regression")
+    trained = fitted["s_acctbal"]
+    told = any("using the default model" in line for line in fitted.log)
+    return trained.predict(rows).where("prediction is not null").select(
+        "s_suppkey", F.lit("LinearRegression").alias("asked"), F.lit(trained.algo).alias("used"), F.lit(told).alias("told")
+    )
+
+
+@query(
+    """SELECT 'model' AS section, 'target' AS name, 'l_extendedprice' AS value UNION ALL SELECT 'model', 'task', 'regression'
+UNION ALL SELECT 'model', 'algorithm', 'LinearRegression' UNION ALL SELECT 'model', 'probabilities', 'False'
+UNION ALL SELECT 'feature', 'l_quantity', 'double'
+UNION ALL SELECT 'metric', 'r2_score', round(regr_r2(l_extendedprice, l_quantity), 3)::VARCHAR FROM lineitem"""
+)
+def model_card(spark, folder):
+    """The card of a regression on one column; its fit is the squared correlation."""
+    rows = table(spark, folder, "lineitem").select("l_quantity", "l_extendedprice")
+    fitted = train(rows, Roles(["l_quantity"], ["l_extendedprice"]), {"algo": "LinearRegression", "params": {}}, task="regression")
+    card = fitted["l_extendedprice"].card_table(spark)
+    shown = F.when(F.col("section") == "metric", F.round(F.col("value").cast("double"), 3).cast("string")).otherwise(F.col("value"))
+    return card.where("section in ('model', 'feature') or name = 'r2_score'").withColumn("value", shown)

@@ -160,3 +160,37 @@ def stream_dedup(spark, folder):
     stream = clean_stream(source, fitted, "ts", "60 days", subset=["event_id"])
     write_stream(stream, out, _scratch(spark, "progress"), once=True).awaitTermination()
     return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(
+    """SELECT c_custkey, 'latin' AS source, c_name || ' é£ÿ' AS name, c_acctbal FROM customer
+UNION ALL SELECT c_custkey, 'wide', c_name || ' 東京 ž', c_acctbal FROM customer"""
+)
+def csv_charsets(spark, folder):
+    """Latin-1 and UTF-16 files read back without naming their encoding."""
+    customer = table(spark, folder, "customer")
+    parts = []
+    for source, encoding, mark in (("latin", "ISO-8859-1", " é£ÿ"), ("wide", "UTF-16", " 東京 ž")):
+        path = _scratch(spark, f"csv-{source}")
+        rows = customer.select("c_custkey", F.concat("c_name", F.lit(mark)).alias("name"), "c_acctbal")
+        rows.write.csv(path, header=True, encoding=encoding)
+        parts.append(files.read_table(spark, path, fmt="csv")[0].select("c_custkey", F.lit(source).alias("source"), "name", "c_acctbal"))
+    return parts[0].unionAll(parts[1])
+
+
+@query(
+    """SELECT 'customer.parquet' AS filename, '.parquet' AS extension, column_name AS "column",
+ CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type,
+ (SELECT count(*) FROM customer) AS rows, 5 AS columns FROM (DESCRIBE customer) t(column_name, data_type, a, b, c, d)
+UNION ALL SELECT 'customer.yaml', '.yaml', NULL, 'Unsupported file type: .yaml', NULL, NULL"""
+)
+def source_information(spark, folder):
+    """What is known of a read file, and the message for an extension that can't be read."""
+    _, info = files.read_table(spark, f"{folder}/customer.parquet")
+    rows, columns = info.shape
+    found = [(info.filename, info.extension, c, t, rows, columns) for c, t in info.dtypes.items()]
+    try:
+        files.read_table(spark, f"{folder}/customer.yaml")
+    except ValueError as problem:
+        found.append(("customer.yaml", ".yaml", None, str(problem), None, None))
+    return spark.createDataFrame(found, "filename string, extension string, column string, type string, rows long, columns int")

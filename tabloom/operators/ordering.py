@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.types import col, is_number
+from tabloom.types import col, is_number, present
 
 SAMPLE_SIZE = 5000
 ROWS_PER_BUCKET = 500_000
@@ -70,10 +70,16 @@ def fill_gaps(
     ``key`` orders the rows and must be unique. The key range is cut into buckets of about
     ``rows_per_bucket`` rows by approximate quantiles. Rows are filled inside their bucket, and
     the last value of the buckets before it is carried in, so no task sees the whole table.
-    The number of buckets follows from the rows alone.
+    The number of buckets follows from the rows alone. Rows without a key (null or NaN) come last, in
+    no order: each that lacks a value takes the last one of the rows with a key, else ``default``.
     """
+    rows, total = df.agg(F.count("*"), F.count_if(present(df, key))).first()
+    if total < rows:
+        ordered = df.where(present(df, key))
+        last = ordered.where(col(column).isNotNull()).agg(F.max_by(col(column), col(key))).scalar()
+        rest = df.where(~present(df, key)).withColumn(column, F.coalesce(col(column), last, F.lit(default).cast(df.schema[column].dataType)))
+        return fill_gaps(ordered, column, key, default, rows_per_bucket).unionAll(rest)
     position = _position(df, key)
-    total = df.count()
     wanted = max(1, math.ceil(total / rows_per_bucket))
     cuts: list[float] = []
     if wanted > 1:

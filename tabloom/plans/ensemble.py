@@ -152,6 +152,17 @@ class TrainedTarget:
             "metrics": {k: round(v, 4) for k, v in self.metrics.items() if isinstance(v, float)},
         }
 
+    def card_table(self, spark: SparkSession) -> DataFrame:
+        """The card as rows (section, name, value), for a report or the context of a chat."""
+        about = self.card(spark)
+        rows = [("model", k, str(about[k])) for k in ("target", "task", "algorithm", "probabilities")]
+        rows += [("parameter", k, str(v)) for k, v in about["params"].items()]
+        rows += [("feature", c, t) for c, t in self.features.types.items()]
+        rows += [("class", str(c), str(i)) for i, c in enumerate(self.classes)]
+        rows += [("importance", r["feature"], str(round(r["importance"], 4))) for r in about["top_features"]]
+        rows += [("metric", k, str(v)) for k, v in about["metrics"].items()]
+        return spark.createDataFrame(rows, "section string, name string, value string")
+
 
 @dataclass
 class Ensemble:
@@ -328,6 +339,9 @@ def _train(
     tasks = {t: task or label_task(rows, t) for t in targets}
     if not full and (not tasks or any(t != CLASSIFY for t in tasks.values())):
         raise ValueError("only classifiers are fitted on a sample")
+    # by the key, else by a hash of the cells: the same rows however the table is split
+    place = col(key) if key else F.xxhash64(*[col(c) for c in rows.columns])
+    leading = stage(rows.orderBy(place).limit(FIRST_PREDICTIONS).withColumn("_place", place))
     everything = rows if aside is None else rows.unionAll(aside)
     classes = {t: _classes(everything, t, max_classes) if tasks[t] == CLASSIFY else [] for t in targets}
 
@@ -335,6 +349,7 @@ def _train(
         return shared.transform(part).select(VECTOR, *[col(t).alias(f"y{i}") for i, t in enumerate(targets)])
 
     vectors, held = vectorised(rows), None if aside is None else vectorised(aside)
+    leading = shared.transform(leading).select(VECTOR, "_place")
     # an estimator keeps its own copy of the rows; another one pays off for several fits only
     several = len(targets) != 1  # clusterings pass over the rows many times
     at_once = parallelism or min(len(targets) or 1, SMALL_FITS if n <= SMALL_ROWS else LARGE_FITS)
@@ -350,7 +365,11 @@ def _train(
         def fit(i: int) -> tuple[TrainedTarget, list[str]]:
             t = targets[i]
             dtype = rows.schema[t].dataType.simpleString()
-            return _fit_target(vectors, held, f"y{i}", t, dtype, shared, spec, tasks[t], classes[t], n)
+            trained, notes = _fit_target(vectors, held, f"y{i}", t, dtype, shared, spec, tasks[t], classes[t], n)
+            if trained.task == REGRESS:
+                first = trained.model.transform(leading).select("_place", PREDICTION).orderBy("_place").collect()
+                trained.metrics["first_predictions"] = [float(row[1]) for row in first]
+            return trained, notes
 
         if not targets:
             fitted = [_fit_clusters(vectors, shared, spec, n)]
@@ -437,8 +456,7 @@ def _reason(problem: Exception) -> str:
 def _metrics(scored: DataFrame, task: str, classes: list) -> dict:
     if task == REGRESS:
         r = regression_metrics(scored, LABEL, PREDICTION).first()
-        few = [float(row[0]) for row in scored.select(PREDICTION).limit(FIRST_PREDICTIONS).collect()]
-        return {"r2_score": r.r2, "mse": r.mse, "rmse": r.rmse, "first_predictions": few}
+        return {"r2_score": r.r2, "mse": r.mse, "rmse": r.rmse}
     report = classification_report(
         scored.select(F.col(LABEL).cast("int"), F.col(PREDICTION).cast("int")), LABEL, PREDICTION
     ).collect()  # one row per class

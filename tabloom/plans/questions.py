@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions.intent import extract_inputs, is_prediction_question, target_column
 from tabloom.operators.clean import fit_impute
-from tabloom.operators.explore import frequencies, input_stats
+from tabloom.operators.explore import MIN_SUPPORT, frequencies, input_stats
 from tabloom.operators.models import CLASSIFY, CLUSTER, REGRESS
 from tabloom.operators.profile import most_frequent
 from tabloom.plans.ensemble import Ensemble
 from tabloom.session import stage
-from tabloom.types import col, is_number
+from tabloom.types import col, is_number, present, value
 
 
 def route_questions(
@@ -28,11 +30,74 @@ def route_questions(
     )
 
 
+#: Condition sets that one pass over the data answers.
+SHAPES_PER_PASS = 16
+
+
+def conditional_answers(
+    asked: DataFrame, key: str, data: DataFrame, target: str, columns: Sequence[str]
+) -> DataFrame:
+    """``key, matched, answer``: the mean of a number, or the most frequent value (the smallest of equals), of
+    ``target`` over the rows of ``data`` that equal every value a question gives.
+
+    ``asked`` has the key and a column for each of ``columns``, null where a question gives none. Questions
+    that name the same columns share one grouping of the data, and groupings share a scan, whatever
+    the number of questions: rows are aggregated before they cross the network and joined as groups. Fewer than three
+    matching rows with a value give no answer; ``matched`` says how many there were. Without any value
+    given, the answer is over all rows.
+    """
+    names = [c for c in columns if c in data.columns and c != target]
+    shape = sum((F.when(col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)), F.lit(0)).cast("long")
+    shaped = asked.select(col(key).alias("_key"), shape.alias("_shape"), *[col(c).alias(f"_q{i}") for i, c in enumerate(names)])
+    shapes = sorted(row[0] for row in shaped.select("_shape").distinct().collect())
+    numeric = is_number(data.schema[target].dataType)
+    rows = data.where(present(data, target)).select(
+        F.lit(0).alias("_all"), *[col(c).alias(f"_d{i}") for i, c in enumerate(names)], value(data, target).alias("_y")
+    )
+    parts = []
+    for at in range(0, len(shapes), SHAPES_PER_PASS):
+        some = shapes[at : at + SHAPES_PER_PASS]
+        sets = [["_all", *[f"_d{i}" for i in range(len(names)) if s >> i & 1]] for s in some]
+        used = list(dict.fromkeys(c for s in sets for c in s))
+        if numeric:
+            found = _grouped(rows, sets, used).agg(
+                _shape_of(used).alias("_shape"), F.count("*").alias("matched"), F.avg(F.col("_y").cast("double")).cast("string").alias("answer")
+            )
+        else:
+            counted = _grouped(rows, [[*s, "_y"] for s in sets], [*used, "_y"]).agg(_shape_of(used).alias("_shape"), F.count("*").alias("n"))
+            best = F.min(F.struct(-F.col("n"), F.col("_y").alias("y")))["y"].cast("string")
+            found = counted.groupBy("_shape", *used).agg(F.sum("n").alias("matched"), best.alias("answer"))
+        mine = shaped.where(F.col("_shape").isin(some))
+        same = [mine["_shape"] == found["_shape"], *[mine["_q" + c[2:]].eqNullSafe(found[c]) for c in used[1:]]]
+        parts.append(mine.join(found, same, "left").select("_key", mine["_shape"].alias("_shape"), "matched", "answer"))
+    if not parts:
+        parts.append(shaped.select("_key", "_shape", F.lit(0).alias("matched"), F.lit(None).cast("string").alias("answer")))
+    out = reduce(lambda a, b: a.unionAll(b), parts)
+    matched = F.coalesce("matched", F.lit(0)).cast("long")
+    enough = matched >= F.when(F.col("_shape") > 0, MIN_SUPPORT).otherwise(1)
+    return out.select(F.col("_key").alias(key), matched.alias("matched"), F.when(enough, F.col("answer")).alias("answer"))
+
+
+def _grouped(rows: DataFrame, sets: list[list[str]], used: list[str]) -> GroupedData:
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in used])
+
+
+def _shape_of(used: Sequence[str]) -> Column:
+    """The data columns that a row of grouping sets was grouped by, as the bits of their places."""
+    bits = [(1 - F.grouping(F.col(c)).cast("long")) * (1 << int(c[2:])) for c in used if c != "_all"]
+    return sum(bits, F.lit(0)).cast("long")
+
+
 def answer_questions(
-    questions: DataFrame, text: str, key: str, data: DataFrame, ensemble: Ensemble
+    questions: DataFrame, text: str, key: str, data: DataFrame, ensemble: Ensemble, conditional: bool = False
 ) -> DataFrame:
     """``key, target, given, answer, source``: one row per question.
 
+    With ``conditional``, a question about a column without a model gets that column's mean or most
+    frequent value over the rows of ``data`` that equal what it gives (source ``conditional``), or over all
+    rows (``data``) where it gives nothing or fewer than three rows match. Otherwise the first target's
+    model answers it.
+
     ``model``: the question gives a value of at least one feature of the target's model, which
     answers with its prediction; the other features are filled in. ``bulk``: it asks for a
     prediction without inputs and gets the mean prediction, or the class predicted most often
@@ -40,9 +105,12 @@ def answer_questions(
     """
     fallback = ensemble.first.target
     routed = route_questions(questions.select(col(key), col(text)), text, data.columns, fallback)
-    model = F.when(F.col("target").isin(list(ensemble.targets)), F.col("target")).otherwise(fallback)
+    fall = F.col("target").isNull() | ~F.col("target").isin(data.columns) if conditional else F.lit(True)
+    model = F.when(~F.col("target").isin(list(ensemble.targets)) & fall, fallback).otherwise(F.coalesce("target", F.lit(fallback)))
     about = routed.select(col(key).alias("_key"), col("intent").alias("_intent"), model.alias("_model"), col(text).alias("_text"))
     features = list(dict.fromkeys(c for t in ensemble.targets.values() for c in t.features.types))
+    if conditional:
+        features = [c for c in data.columns if is_number(data.schema[c].dataType) or isinstance(data.schema[c].dataType, T.StringType)]
     # one extraction for all models, read once by each of them
     inputs = stage(extract_inputs(about, "_text", "_key", data, features))
     parts = []
@@ -51,16 +119,19 @@ def answer_questions(
         given = sum((col(c).isNotNull().cast("int") for c in own), F.lit(0))
         mine = inputs.where(F.col("_model") == name).select("_key", "_intent", given.alias("_given"), *[col(c) for c in own])
         answered = trained.predict(mine.where("_given > 0"), prefix="_answer_")
-        overall = trained.predict(data.select(*[col(c) for c in trained.features.types if c in data.columns]), "_answer_")
-        if trained.task == REGRESS:
-            bulk = overall.agg(F.avg("_answer_prediction").cast("string"))
-        else:
-            bulk = frequencies(overall, "_answer_prediction", 1).select(F.col("value").cast("string"))
         asks = F.coalesce(F.col("_intent"), F.lit(False))
+        answer = F.lit(None).cast("string")
+        if not mine.where((F.col("_given") == 0) & asks).isEmpty():  # the data is scored if anyone asks
+            overall = trained.predict(data.select(*[col(c) for c in trained.features.types if c in data.columns]), "_answer_")
+            if trained.task == REGRESS:
+                bulk = overall.agg(F.avg("_answer_prediction").cast("string"))
+            else:
+                bulk = frequencies(overall, "_answer_prediction", 1).select(F.col("value").cast("string"))
+            answer = F.when(asks, bulk.scalar())
         rest = mine.where("_given = 0").select(
             "_key",
             "_given",
-            F.when(asks, bulk.scalar()).alias("answer"),
+            answer.alias("answer"),
             F.when(asks, "bulk").otherwise("none").alias("source"),
         )
         told = answered.select(
@@ -71,10 +142,25 @@ def answer_questions(
                 col("_key").alias(key), F.lit(name).alias("target"), F.col("_given").alias("given"), "answer", "source"
             )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    others = [c for c in data.columns if c not in ensemble.targets] if conditional else []
+    for name in [r[0] for r in inputs.where(F.col("_model").isin(others)).select("_model").distinct().collect()] if others else []:
+        own = [c for c in features if c != name]
+        given = sum((col(c).isNotNull().cast("int") for c in own), F.lit(0))
+        mine = inputs.where(F.col("_model") == name).select("_key", given.alias("_given"), *[col(c) for c in own])
+        found = conditional_answers(mine, "_key", data, name, own)
+        nothing = mine.limit(1).select("_key", *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c in own])
+        overall = conditional_answers(nothing, "_key", data, name, own).select("answer").scalar()
+        told = (F.col("_given") > 0) & F.col("answer").isNotNull()
+        parts.append(
+            mine.select("_key", "_given").join(found, "_key").select(
+                col("_key").alias(key),
+                F.lit(name).alias("target"),
+                F.col("_given").alias("given"),
+                F.when(told, F.col("answer")).otherwise(overall).alias("answer"),
+                F.when(told, "conditional").otherwise("data").alias("source"),
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def what_if_grid(

@@ -375,3 +375,36 @@ def test_holdout_is_set_aside_before_fitting(spark):
     got = train(df, Roles(["x"], ["y"]), spec={"algo": "LinearRegression"}, task="regression", holdout=0.25)
     names = {r.metric for r in flatten_metrics(spark, got.metrics).collect()}
     assert {"mse", "holdout_mse", "holdout_r2_score"} <= names
+
+
+def test_fill_gaps_with_null_keys_in_one_and_many_buckets(spark):
+    from tabloom.operators.ordering import fill_gaps
+
+    rows = [(k, None if k % 3 else f"v{k}") for k in range(40)] + [(None, None), (None, "own"), (None, None)]
+    df = spark.createDataFrame(rows, "k long, y string")
+    want = sorted([(k, f"v{k - k % 3}") for k in range(40)] + [(None, "v39"), (None, "own"), (None, "v39")], key=repr)
+    for size in (500_000, 5):
+        assert sorted((tuple(r) for r in fill_gaps(df, "y", "k", rows_per_bucket=size).collect()), key=repr) == want
+    none = spark.createDataFrame([(None, None), (None, 2)], "k double, y int")
+    assert sorted(r["y"] for r in fill_gaps(none, "y", "k").collect()) == [0, 2]
+
+
+def test_first_predictions_follow_the_key(spark):
+    rows = spark.range(200).selectExpr("id AS k", "cast(id AS double) AS x", "2.0 * id AS y")
+    spec = {"algo": "LinearRegression", "params": {}}
+    for parts in (1, 7):
+        fitted = train(rows.repartition(parts), Roles(["x"], ["y"]), spec, task="regression", key="k")
+        assert fitted["y"].metrics["first_predictions"] == pytest.approx([0, 2, 4, 6, 8], abs=1e-6)
+
+
+def test_conditional_answers_of_odd_questions(spark):
+    from tabloom.plans.questions import conditional_answers
+
+    data = spark.createDataFrame([("a", 1, 2.0, "x"), ("a", 1, 4.0, "y"), ("a", 1, 6.0, "y"), ("b", 1, 9.0, "x"), (None, 2, None, None), ("a", 2, float("nan"), "x")], "s string, g int, v double, c string")
+    asked = spark.createDataFrame([(1, "a", 1), (2, "a", None), (3, "b", 1), (4, None, None), (5, "zz", 1), (6, None, 1), (7, "a", 1)], "k int, s string, g int")
+    got = {r["k"]: (r["matched"], r["answer"]) for r in conditional_answers(asked, "k", data, "v", ["s", "g"]).collect()}
+    assert got == {1: (3, "4.0"), 2: (3, "4.0"), 3: (1, None), 4: (4, "5.25"), 5: (0, None), 6: (4, "5.25"), 7: (3, "4.0")}
+    got = {r["k"]: (r["matched"], r["answer"]) for r in conditional_answers(asked, "k", data, "c", ["s", "g"]).collect()}
+    assert got == {1: (3, "y"), 2: (4, "x"), 3: (1, None), 4: (5, "x"), 5: (0, None), 6: (4, "x"), 7: (3, "y")}
+    assert conditional_answers(asked.limit(0), "k", data, "v", ["s", "g"]).collect() == []
+    assert conditional_answers(asked, "k", data.limit(0), "v", ["s", "g"]).where("answer is not null").collect() == []

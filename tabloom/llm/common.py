@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,27 @@ BLOCK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Scratch tables made inside the block are deleted at its end, but for those taken off the list."""
+    owned: list[str] = []
+    token = _owned.set(owned)
+    try:
+        yield owned
+    finally:
+        _owned.reset(token)
+        for path in owned:
+            remove(spark, path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -80,28 +80,48 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         self.items = [(i, t, budget(len(t), rate)) for i, x in items if (t := normalised(x or ""))]
         self.automaton = ahocorasick.Automaton()
-        found: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        found: dict[str, dict[int, tuple[int, int]]] = defaultdict(dict)
         for n, (_, text, k) in enumerate(self.items):
             for offset, piece in pieces(text, k):
-                found[piece].append((n, offset))
+                # equal pieces of an item: their windows around a place overlap and make one
+                first, _ = found[piece].get(n, (offset, offset))
+                found[piece][n] = (first, offset)
         for piece, where in found.items():
-            self.automaton.add_word(piece, (len(piece), where))
+            # how far the window reaches before the end of the piece and beyond it
+            reach = [
+                (n, len(piece) + last + self.items[n][2], len(self.items[n][1]) + self.items[n][2] - len(piece) - first)
+                for n, (first, last) in where.items()
+            ]
+            self.automaton.add_word(piece, (piece, reach))
         if found:
             self.automaton.make_automaton()
 
     def windows(self, text: str) -> dict[int, list[tuple[int, int]]]:
-        """Per item, the merged windows of the text that can hold it."""
-        out: dict[int, list[list[int]]] = defaultdict(list)
+        """Per item, the merged windows of the text that can hold it.
+
+        Places of a piece come in order, so that only the latest window of each piece and item is open: what
+        is held follows from the number of separate windows, not of hits.
+        """
+        open_: dict[tuple[str, int], list[int]] = {}
+        closed: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if self.items:
-            for last, (size, where) in self.automaton.iter(text):
-                for n, offset in where:
-                    _, item, k = self.items[n]
-                    begin = last + 1 - size - offset
-                    out[n].append([max(0, begin - k), min(len(text), begin + len(item) + k)])
+            for last, (piece, reach) in self.automaton.iter(text):
+                for n, before, after in reach:
+                    begin, end = max(0, last + 1 - before), min(len(text), last + 1 + after)
+                    window = open_.get((piece, n))
+                    if window is None:
+                        open_[piece, n] = [begin, end]
+                    elif begin <= window[1]:
+                        window[1] = end
+                    else:
+                        closed[n].append((window[0], window[1]))
+                        window[:] = begin, end
+        for (_, n), (begin, end) in open_.items():
+            closed[n].append((begin, end))
         merged = {}
-        for n, spans in out.items():
+        for n, spans in closed.items():
             spans.sort()
-            joined = [spans[0]]
+            joined = [list(spans[0])]
             for a, b in spans[1:]:
                 if a <= joined[-1][1]:
                     joined[-1][1] = max(b, joined[-1][1])
@@ -129,24 +149,26 @@ class Matcher:
             _, back = myers(item[::-1], flat[head:end][::-1])
             begin = end - back
             if starts is None:
-                words = list(_WORD.finditer(lowered(text)))
-                origin = np.array([w.start() for w in words])
-                starts = np.concatenate([[0], np.cumsum([len(w.group()) + 1 for w in words])[:-1]])
+                spots = np.fromiter((x for w in _WORD.finditer(lowered(text)) for x in w.span()), np.int64).reshape(-1, 2)
+                origin = spots[:, 0]
+                starts = np.concatenate([[0], np.cumsum(spots[:, 1] - origin + 1)[:-1]])
             place = lambda at: int((w := np.searchsorted(starts, at, "right") - 1, origin[w] + at - starts[w])[1])
             out.append((item_id, place(begin), place(end - 1) + 1, distance))
         return sorted(out)
 
 
 def item_blocks(items: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[tuple]:
-    """The items in blocks of about ``limit`` characters, each gathered by a job of its own."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).filter(
-        "item_id is not null and text != ''"
-    )
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // limit)
-    for k in range(n):
-        block = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield tuple(sorted((r["item_id"], r["text"]) for r in block.collect()))
+    """The items in blocks of about ``limit`` characters, from one pass over them."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
+    block, size = [], 0
+    for row in rows.filter("item_id is not null and text != ''").toLocalIterator():
+        if block and size + len(row["text"]) > limit:
+            yield tuple(block)
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+    if block:
+        yield tuple(block)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", limit: int = BLOCK_CHARS) -> DataFrame:
@@ -155,7 +177,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_c
     Texts are compared in lower case with each run of white space as one space. An item counts as
     found if some part of the document is within ``rate`` edits per character of the item; the best
     place is given, the first of equals. Null texts hold nothing; items without id or text are left
-    out; items too short for an edit must stand exactly. Repeated rows are each reported. Narrow.
+    out; items too short for an edit must stand exactly. Repeated rows are each reported. Narrow: the
+    documents are scanned once for each block of ``limit`` characters of items, and the driver holds the items.
+    A task holds a text a few times over, also a repetitive one, whose places it merges while it finds them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty().alias("text"))
     names = ["doc_id", "item_id", "start", "end", "distance"]

@@ -45,6 +45,8 @@ SENT = 700_000
 #: there are fewer than HEAVY_PARTS of them, so that their table may travel to every task.
 HEAVY = 20_000
 HEAVY_PARTS = 1 << 17
+#: Tokens of the rows that a group holds at once; groups of tokens hold half as many.
+GROUP_TOKENS = 2_000_000
 #: Orders after the first, by their seeds.
 ORDERS = (0x51ED270B, 0x2545F491)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -102,8 +104,8 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _heavy(docs: DataFrame, size: int, heavy: int) -> dict[int, int]:
-    """Counts of the heavy tokens. Those that a chunk has once aren't told, so that a count can be
+def _heavy(docs: DataFrame, size: int, heavy: int) -> tuple[dict[int, int], int]:
+    """Counts of the heavy tokens, and of all. Tokens that a chunk has once aren't told, so that a count can be
     too small by the number of chunks; all that matters is that every task has the same."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +134,7 @@ def _heavy(docs: DataFrame, size: int, heavy: int) -> dict[int, int]:
     total = counts.filter("token is null").agg(F.sum("n")).first()[0] or 0
     found = counts.filter(F.col("token").isNotNull() & (F.col("n") > max(heavy, total // HEAVY_PARTS))).collect()
     discard(counts)
-    return {r["token"]: r["n"] for r in found}
+    return {r["token"]: r["n"] for r in found}, total
 
 
 def _send(docs: DataFrame, size: int, percent: int, heavy: dict[int, int], n_token: int, n_doc: int) -> DataFrame:
@@ -399,10 +401,11 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, id_col: st
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heavy = _heavy(rows, size, heavy)
-    n_doc = partitions(spark)
-    sent = _send(rows, size, percent, heavy, 2 * n_doc, n_doc)
-    counted = sent.groupBy("bucket").applyInArrow(_frequencies(n_doc), "bucket int, kind int, blob binary")
+    heavy, total = _heavy(rows, size, heavy)
+    # as many groups as the tokens need, and a partition for each: a task's share doesn't grow with the input
+    n_doc = max(partitions(spark), -(-total // GROUP_TOKENS))
+    sent = _send(rows, size, percent, heavy, 2 * n_doc, n_doc).repartition(2 * n_doc, "bucket")
+    counted = sent.groupBy("bucket").applyInArrow(_frequencies(n_doc), "bucket int, kind int, blob binary").repartition(n_doc, "bucket")
     ddl = "row long, doc_id long, n long, print_a long, print_b long, prefix long, tokens binary"
     profiles = written(counted.groupBy("bucket").applyInArrow(_profiles(percent, heavy), ddl), "profiles")
     prints = ["n", "print_a", "print_b"]

@@ -30,6 +30,9 @@ CONTEXT_BYTES = 4 << 20
 #: A gram with more surroundings than this, and than one in HEAVY_PARTS of all, is dealt string by string.
 HEAVY = 20_000
 HEAVY_PARTS = 1 << 17
+#: Bytes of text whose grams, and of surroundings that, a group holds at once.
+GROUP_BYTES = 16 << 20
+SHARE_BYTES = 4 << 20
 
 _NO_ID = (1 << 63) - 1
 
@@ -380,10 +383,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     )
     # equal texts share a key: only the one with the smallest id is looked at, the others go whole
     rows = rows.select(F.xxhash64("text").alias("key"), "doc_id", "text")
-    n = partitions(spark)
+    # as many groups as the bytes need, and a partition for each: a task's share doesn't grow with the input
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(spark), -(-size // GROUP_BYTES))
     blob = "bucket int, kind int, blob binary"
-    sent = _send(rows, length, gram, 2 * n, n)
-    shared = sent.groupBy("bucket").applyInArrow(_shared(n), blob).groupBy("bucket")
+    sent = _send(rows, length, gram, 2 * n, n).repartition(2 * n, "bucket")
+    shared = sent.groupBy("bucket").applyInArrow(_shared(n), blob).repartition(n, "bucket").groupBy("bucket")
     spots = shared.applyInArrow(_gather, "key long, spots binary")
     least = rows.groupBy("key", F.md5("text").alias("digest")).agg(F.min("doc_id").alias("least"))
     least = written(least, "equal-texts")
@@ -393,10 +398,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     near = written(near, "contexts")
     todo = near.filter("gram is not null")
     sizes = todo.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    total = todo.count()
+    total, size = todo.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("context")), F.lit(0))).first()
+    shares = max(2 * partitions(spark), -(-size // SHARE_BYTES))
     large = sizes.filter(F.col("n") > max(heavy, total // HEAVY_PARTS)).select("gram", F.lit(True).alias("large"))
     todo = todo.join(F.broadcast(large), "gram", "left")  # at most HEAVY_PARTS rows
-    ordinary = todo.filter("large is null").withColumn("bucket", F.pmod("gram", F.lit(2 * n)))
+    ordinary = todo.filter("large is null").withColumn("bucket", F.pmod("gram", F.lit(shares)).cast("int"))
     # strings of a heavy gram are compared one by one: their smallest ids are found before rows meet, and the
     # join has one row a string on its right, so that rows of a common string can be split and none are held
     single = todo.filter("large").withColumn("k", F.explode(F.sequence(F.lit(1), F.length("context") - (length - 1))))
@@ -408,7 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     # by a second key the join shuffles both sides itself; Spark splits none that lies on an aggregate
     single, firsts = (side.withColumn("mark", F.xxhash64("string")) for side in (single, firsts.hint("merge")))
     later = single.join(firsts, ["string", "mark"]).filter("doc_id > first")
-    share = ordinary.select("bucket", "context", "key", "doc_id", "start").groupBy("bucket")
+    share = ordinary.select("bucket", "context", "key", "doc_id", "start").repartition(shares, "bucket").groupBy("bucket")
     gone = share.applyInArrow(_sort_share(length), "key long, doc_id long, start long, end long")
     gone = gone.unionAll(later.select("key", "doc_id", "start", (F.col("start") + length).alias("end")))
     gone = gone.unionAll(near.filter("gram is null").select("key", "doc_id", "start", "end"))

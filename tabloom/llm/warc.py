@@ -98,7 +98,17 @@ def _headers(raw: bytes) -> tuple[str, dict[str, str]]:
 
 
 def parse_record(record: bytes) -> tuple:
-    """Fields of a record in the order of ``_READ``; raises BadArchive where lengths or digests don't agree."""
+    """Fields of a record in the order of ``_READ``; raises BadArchive where headers are missing or can't be
+    read, or lengths or digests don't agree."""
+    try:
+        return _parse(record)
+    except (KeyError, ValueError) as e:  # UnicodeDecodeError is one, BadArchive may be
+        if isinstance(e, BadArchive):
+            raise
+        raise BadArchive(f"headers can't be read: {e!r}") from e
+
+
+def _parse(record: bytes) -> tuple:
     head, sep, rest = record.partition(b"\r\n\r\n")
     version, h = _headers(head)
     if not sep or version != "WARC/1.1":
@@ -133,8 +143,14 @@ def read_archive(stream) -> Iterator[bytes]:
     if len(raw) != size:
         raise BadArchive("the dictionary frame is cut short")
     if raw[:4] == FRAME_MAGIC:
-        raw = zstandard.ZstdDecompressor().decompress(raw)
-    decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        try:
+            raw = zstandard.ZstdDecompressor().decompress(raw)
+        except zstandard.ZstdError as e:
+            raise BadArchive(f"the dictionary can't be decoded: {e}") from e
+    try:
+        decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    except (zstandard.ZstdError, ValueError) as e:
+        raise BadArchive(f"the dictionary can't be used: {e}") from e
     rest = b""
     while True:
         frame, record = decoder.decompressobj(), []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import content_sort, decontaminate, jaccard, mixing, quality
-from tabloom.llm.common import partitions, written
+from tabloom.llm.common import discard, partitions, scratch, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,5 +91,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with scratch(spark) as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            made.remove(docs._scratch)
+        discard(before)  # what the stage before kept has been read
     return docs

@@ -404,8 +404,8 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85, id_col: st
     heavy, total = _heavy(rows, size, heavy)
     # as many groups as the tokens need, and a partition for each: a task's share doesn't grow with the input
     n_doc = max(partitions(spark), -(-total // GROUP_TOKENS))
-    sent = _send(rows, size, percent, heavy, 2 * n_doc, n_doc).repartition(2 * n_doc, "bucket")
-    counted = sent.groupBy("bucket").applyInArrow(_frequencies(n_doc), "bucket int, kind int, blob binary").repartition(n_doc, "bucket")
+    sent = _send(rows, size, percent, heavy, 2 * n_doc, n_doc).repartitionById(2 * n_doc, "bucket")
+    counted = sent.groupBy("bucket").applyInArrow(_frequencies(n_doc), "bucket int, kind int, blob binary").repartitionById(n_doc, "bucket")
     ddl = "row long, doc_id long, n long, print_a long, print_b long, prefix long, tokens binary"
     profiles = written(counted.groupBy("bucket").applyInArrow(_profiles(percent, heavy), ddl), "profiles")
     prints = ["n", "print_a", "print_b"]

@@ -387,8 +387,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), -(-size // GROUP_BYTES))
     blob = "bucket int, kind int, blob binary"
-    sent = _send(rows, length, gram, 2 * n, n).repartition(2 * n, "bucket")
-    shared = sent.groupBy("bucket").applyInArrow(_shared(n), blob).repartition(n, "bucket").groupBy("bucket")
+    sent = _send(rows, length, gram, 2 * n, n).repartitionById(2 * n, "bucket")
+    shared = sent.groupBy("bucket").applyInArrow(_shared(n), blob).repartitionById(n, "bucket").groupBy("bucket")
     spots = shared.applyInArrow(_gather, "key long, spots binary")
     least = rows.groupBy("key", F.md5("text").alias("digest")).agg(F.min("doc_id").alias("least"))
     least = written(least, "equal-texts")
@@ -414,7 +414,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     # by a second key the join shuffles both sides itself; Spark splits none that lies on an aggregate
     single, firsts = (side.withColumn("mark", F.xxhash64("string")) for side in (single, firsts.hint("merge")))
     later = single.join(firsts, ["string", "mark"]).filter("doc_id > first")
-    share = ordinary.select("bucket", "context", "key", "doc_id", "start").repartition(shares, "bucket").groupBy("bucket")
+    share = ordinary.select("bucket", "context", "key", "doc_id", "start").repartitionById(shares, "bucket").groupBy("bucket")
     gone = share.applyInArrow(_sort_share(length), "key long, doc_id long, start long, end long")
     gone = gone.unionAll(later.select("key", "doc_id", "start", (F.col("start") + length).alias("end")))
     gone = gone.unionAll(near.filter("gram is null").select("key", "doc_id", "start", "end"))

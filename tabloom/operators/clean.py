@@ -19,9 +19,8 @@ from pyspark.sql import types as T
 
 from tabloom.functions.text import is_placeholder, placeholder_to_null, snake_case, strip
 from tabloom.operators.columns import rename_snake_case
-from tabloom.operators.profile import fewer_values, most_frequent, row_keys
+from tabloom.operators.profile import duplicate_rows, fewer_values, most_frequent, row_keys
 from tabloom.operators.quantiles import approx_medians, exact_medians
-from tabloom.session import stage
 from tabloom.types import col, is_number, numeric_columns, present, text_columns, value
 
 # Formats tried for text dates, in this order (month before day when both fit).
@@ -143,7 +142,8 @@ def fit_deduplicate(
         reason="one row kept of each set of equals",
     )
     if audit:
-        step.changes["rows_removed"] = _rows_removed(df, step.transform(df))
+        # counted by the keys alone, without moving whole rows
+        step.changes["rows_removed"] = duplicate_rows(df, subset).first()["duplicates"]
     return step
 
 
@@ -416,17 +416,7 @@ def _direct(fit: Callable[..., FittedStep], name: str):
 
 
 drop_high_null = _direct(fit_drop_high_null, "drop_high_null")
-
-
-def deduplicate(
-    df: DataFrame, subset: Sequence[str] | None = None, order_by: str | None = None
-) -> tuple[DataFrame, dict]:
-    """Fits and applies ``fit_deduplicate``: (cleaned, changes). The result is written once and counted there."""
-    step = fit_deduplicate(df, subset, order_by, audit=False)
-    out = stage(step.transform(df))
-    return out, {"rows_removed": df.count() - out.count(), "reason": step.reason}
-
-
+deduplicate = _direct(fit_deduplicate, "deduplicate")
 remove_empty_rows = _direct(fit_remove_empty_rows, "remove_empty_rows")
 replace_placeholder_nulls = _direct(fit_replace_placeholder_nulls, "replace_placeholder_nulls")
 impute_missing = _direct(fit_impute, "impute_missing")

@@ -9,6 +9,7 @@ from catalog.cleaning import SPACES, TOKENS
 from catalog.dirt import DIRTY_EVENTS, DIRTY_LINEITEM, dirty_events, dirty_lineitem, duck
 from tabloom.operators import drift, partials
 from tabloom.operators.diff import diff_rows, diff_tables
+from tabloom.operators.union import union_tables
 from tabloom.plans.provenance import trace
 from tabloom.plans.recipe import CleanRecipe
 
@@ -215,3 +216,20 @@ def compared_profiles(spark, folder):
     exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in exact.columns])))
     close = (F.abs(F.col("distinct_after") - F.col("exact")) <= 0.05 * F.col("exact") + 1).alias("distinct_close")
     return both.join(exact, "column").select("column", "rows_before", "rows_after", rounded("null_share_change"), rounded("mean_shift"), close)
+
+
+def _differing(spark, folder):
+    """Customers, suppliers and parts, with columns of other names, orders and types."""
+    customer = table(spark, folder, "customer").selectExpr("c_custkey AS `Key`", "c_name AS name", "c_acctbal AS balance", "c_nationkey AS place")
+    supplier = table(spark, folder, "supplier").selectExpr("cast(s_nationkey AS string) AS place", "cast(s_suppkey AS int) AS key", "cast(s_suppkey AS int) AS balance")
+    part = table(spark, folder, "part").selectExpr("p_partkey AS key", "p_name AS name", "cast(p_size AS smallint) AS balance")
+    return {"customer": customer, "supplier": supplier, "part": part}
+
+
+@query(
+    """SELECT 'customer' AS source, c_custkey AS "Key", c_name AS name, c_acctbal AS balance, c_nationkey::VARCHAR AS place FROM customer
+UNION ALL SELECT 'supplier', s_suppkey, NULL, s_suppkey::DOUBLE, s_nationkey::VARCHAR FROM supplier
+UNION ALL SELECT 'part', p_partkey, p_name, p_size::DOUBLE, NULL FROM part"""
+)
+def union_of_tables(spark, folder):
+    return union_tables(_differing(spark, folder), "source")[0]

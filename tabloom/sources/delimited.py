@@ -6,6 +6,8 @@ from one aggregation over the whole input.
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from urllib.parse import unquote
 
@@ -17,7 +19,6 @@ from tabloom.session import stage
 from tabloom.types import col
 
 CORRUPT = "_corrupt_record"
-MAX_LAYOUTS = 200  # different headers and encodings in one folder
 
 # Cells read as missing.
 NA_TOKENS = [
@@ -123,15 +124,45 @@ def read_csv_text(
         raise ValueError(f"no columns to read in {path}")
     width = len(first)
     names = unique_names(list(first)) if header else [f"_c{i}" for i in range(width)]
+    raw = reader.schema(_text_schema(width)).csv(path, header=header)
+    return _not_too_long(raw, width, sep).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _text_schema(width: int) -> T.StructType:
     cells = [T.StructField(f"c{i}", T.StringType()) for i in range(width)]
-    schema = T.StructType([*cells, T.StructField(CORRUPT, T.StringType())])
-    raw = reader.schema(schema).csv(path, header=header)
+    return T.StructType([*cells, T.StructField(CORRUPT, T.StringType())])
+
+
+def _not_too_long(raw: DataFrame, width: int, sep: str) -> DataFrame:
     record = F.col(CORRUPT)
     # naming a data column keeps the check legal in plans that need no column, such as count
     message = F.concat(F.lit(f"expected {width} fields: "), record, F.lit(" "), F.coalesce("c0", F.lit("")))
     too_long = record.isNotNull() & (_token_count(record, sep) > width)
-    whole = raw.where(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
-    return whole.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return raw.where(F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(True))
+
+
+def _header_rows(spark: SparkSession, paths: list[str], sep: str, encoding: str, spans: bool) -> dict[str, list[str]]:
+    """File -> column names, of one file for each layout, in one job."""
+    # with a single column, a longer record comes whole as text
+    raw = spark.read.options(**_options(sep, encoding, spans)).schema(_text_schema(1)).csv(paths, header=False)
+    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), place.alias("at"), F.struct("c0", CORRUPT).alias("line"))
+    heads = lines.where("at IS NOT NULL").groupBy("file").agg(F.min_by("line", "at").alias("line")).collect()
+    return {
+        r.file: unique_names([r.line.c0] if r.line[CORRUPT] is None else next(csv.reader(io.StringIO(r.line[CORRUPT], newline=""), delimiter=sep)))
+        for r in heads
+    }
+
+
+def _read_layouts(spark, path, names: list[str], known: DataFrame, sep: str, encoding: str, spans: bool) -> DataFrame:
+    """Files of one encoding and any number of header orders, in one scan: ``known`` gives the place of
+    each of ``names`` in every file."""
+    width = len(names)
+    raw = spark.read.options(**_options(sep, encoding, spans)).schema(_text_schema(width)).csv(path, header=True)
+    rows = _not_too_long(raw.select("*", F.col("_metadata.file_path").alias("_file")), width, sep)
+    cells = rows.select("_file", F.array(*[F.col(f"c{i}") for i in range(width)]).alias("_cells"))
+    placed = cells.join(known.select(F.col("file").alias("_file"), "places"), "_file")
+    return placed.select(*[F.get("_cells", F.get("places", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
 def infer_types(df: DataFrame) -> dict[str, T.DataType]:
@@ -200,8 +231,12 @@ def read_csv_cells(
     encoding: str | None = None,
     multiline: bool | None = None,
 ) -> DataFrame:
-    """All cells as text. Files of one layout (encoding, first line, cells that span lines) are read
-    together and layouts are joined by column name; a layout with other names is an error."""
+    """All cells as text. Columns are joined by name, and a file with other names is an error.
+
+    Files of one encoding are read in one scan, however many orders of columns they have. Files without a line
+    that isn't blank have no rows. Rows find the places of their cells by a join on the file; Spark sends that
+    side, one row per file, to the tasks where it is small.
+    """
     if encoding is not None and multiline is not None:
         return read_csv_text(spark, path, sep, header, encoding, multiline)
     # written once: the layouts are counted, then the files of each are listed
@@ -211,25 +246,45 @@ def read_csv_cells(
         F.col("spans") if multiline is None else F.lit(multiline).alias("spans"),
         F.col("head") if header else F.lit("").alias("head"),
     ]
-    layouts = files.groupBy(*by).agg(F.min("file").alias("file")).orderBy("file").limit(MAX_LAYOUTS + 1).collect()
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different headers or encodings in {path}")
+    # one row per layout, of fewer than the files, which the reader lists on the driver in any case
+    found = files.groupBy(*by).agg(F.min("file").alias("file")).orderBy("file").collect()
+    layouts = [one for one in found if one["head"] is not None]
     if len(layouts) <= 1:
         one = layouts[0] if layouts else None
         return read_csv_text(spark, path, sep, header, one.encoding if one else "UTF-8", bool(one and one.spans))
-    known = files.select("file", *by)
-    parts = []
+    known = files.select("file", *by).where("head IS NOT NULL")
+    kinds: dict[tuple[str, bool], list] = {}
     for one in layouts:
-        same = known.where(
-            (F.col("encoding") == one.encoding) & (F.col("spans") == one.spans) & F.col("head").eqNullSafe(F.lit(one["head"]))
-        )
-        # the paths of a layout go to the reader, which lists files on the driver in any case
-        names = [_plain(row.file) for row in same.select("file").collect()]
-        parts.append(read_csv_text(spark, names, sep, header, one.encoding, one.spans))
+        kinds.setdefault((one.encoding, one.spans), []).append(one)
+
+    def paths(kind: tuple[str, bool]) -> list[str]:
+        same = known.where((F.col("encoding") == kind[0]) & (F.col("spans") == kind[1]))
+        return [_plain(row.file) for row in same.select("file").collect()]
+
+    if not header:  # cells by position, so a layout is no more than an encoding
+        parts = [read_csv_text(spark, paths(kind), sep, False, *kind) for kind in kinds]
+        names = parts[0].columns
+        for part, kind in zip(parts, kinds):
+            if part.columns != names:
+                raise ValueError(f"{kinds[kind][0].file} has {len(part.columns)} columns, other files have {len(names)}")
+    else:
+        heads: dict[str, list[str]] = {}
+        for kind, same in kinds.items():
+            heads |= _header_rows(spark, [_plain(one.file) for one in same], sep, *kind)
+        names = heads[layouts[0].file]
+        for one in layouts:
+            if set(heads[one.file]) != set(names):
+                raise ValueError(f"{one.file} has columns {heads[one.file]}, other files have {names}")
+        placed = [
+            (one.encoding, one.spans, one["head"], [at[n] for n in names])
+            for one in layouts
+            for at in [{n: i for i, n in enumerate(heads[one.file])}]
+        ]
+        orders = spark.createDataFrame(placed, "encoding string, spans boolean, head string, places array<int>")
+        located = stage(known.join(orders, ["encoding", "spans", "head"]).select("file", "places"))
+        parts = [_read_layouts(spark, path if len(kinds) == 1 else paths(kind), names, located, sep, *kind) for kind in kinds]
     out = parts[0]
-    for part, one in zip(parts[1:], layouts[1:]):
-        if set(part.columns) != set(out.columns):
-            raise ValueError(f"{one.file} has columns {part.columns}, other files have {out.columns}")
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
 

@@ -13,7 +13,6 @@ import sys
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
-from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -28,7 +27,6 @@ from tabloom.types import col
 
 ROW_SCHEMA = "path string, row long, layout string, width int, cells array<struct<text:string,kind:string>>"
 FIELDS = ["path", "row", "layout", "width", "cells"]
-MAX_LAYOUTS = 200  # different headers in one folder
 ROWS_PER_BATCH = 10_000
 
 # Fixed values of the workbook format.
@@ -140,7 +138,7 @@ def workbook_table(files: DataFrame) -> DataFrame:
     """One table from workbooks given as ``path`` and ``content`` columns.
 
     Columns are joined by name, in the order of the first workbook; one with other names is an
-    error. Cells beyond the header get names by position. Books are parsed once, into a staged table.
+    error. Any number of orders of columns is read. Cells beyond the header get names by position. Books are parsed once, into a staged table.
     """
     rows = stage(files.select("path", "content").mapInPandas(_read_batches, ROW_SCHEMA))
     layouts = (
@@ -150,13 +148,10 @@ def workbook_table(files: DataFrame) -> DataFrame:
             F.min(F.when(F.col("row") == 0, F.struct("path", F.transform("cells", lambda c: c["text"]).alias("names")))).alias("top"),
         )
         .orderBy("top.path")
-        .limit(MAX_LAYOUTS + 1)
         .collect()
     )
     if not layouts:
         raise ValueError("no workbook with a header row")
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different headers")
     found = {}
     for one in layouts:
         header = [t for t in one.top.names]
@@ -167,17 +162,19 @@ def workbook_table(files: DataFrame) -> DataFrame:
             raise ValueError(f"{one.top.path} has columns {sorted(own)}, other workbooks have {sorted(given[0])}")
     names = list(dict.fromkeys(n for each in found.values() for n in each))
 
-    def cell(name: str):
-        if len(found) == 1:
-            return F.get("cells", F.lit(names.index(name)))
-        places = [(layout, own.index(name)) for layout, own in found.items() if name in own]
-        return reduce(
-            lambda rest, p: rest.when(F.col("layout") == p[0], F.get("cells", F.lit(p[1]))),
-            places[1:],
-            F.when(F.col("layout") == places[0][0], F.get("cells", F.lit(places[0][1]))),
+    body = rows.where("row > 0")
+    if len(found) == 1:
+        body = body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    else:  # the places of the cells come with the layout, so that any number of them is one plan
+        placed = [
+            (layout, [at.get(n) for n in names])
+            for layout, own in found.items()
+            for at in [{n: i for i, n in enumerate(own)}]
+        ]
+        places = stage(rows.sparkSession.createDataFrame(placed, "layout string, places array<int>"))
+        body = body.join(places, "layout").select(
+            *[F.get("cells", F.get("places", F.lit(i))).alias(n) for i, n in enumerate(names)]
         )
-
-    body = rows.where("row > 0").select(*[cell(n).alias(n) for n in names])
     body = body.where(" or ".join("`" + n.replace("`", "``") + "`.text is not null" for n in names))
     kinds = body.agg(
         *[

@@ -1,5 +1,6 @@
 """CSV, workbook and JSONL reading and writing."""
 
+import itertools
 import json
 import zipfile
 
@@ -193,3 +194,50 @@ def test_excel_columns_by_name_and_cells_beyond_the_header(spark, tmp_path):
     workbook(tmp_path / "c.xlsx", text("name", "key") + text("y", "i2"))
     with pytest.raises(ValueError, match="other workbooks have"):
         read_table(spark, str(tmp_path), fmt="xlsx")
+
+
+def test_csv_folder_of_any_number_of_header_orders(spark, tmp_path):
+    names = [f"c{i}" for i in range(6)]
+    orders = list(itertools.permutations(names))[:250]
+    expected = []
+    for i, order in enumerate(orders):
+        # some files in another encoding, some with a cell of two lines
+        values = {n: f"é{i}{n}" if i % 5 == 0 else f"{i}{n}" for n in names}
+        if i % 7 == 0:
+            values["c3"] = f"{i}\nx"
+        text = ",".join(f'"{n}"' for n in order) + "\n" + ",".join(f'"{values[n]}"' for n in order) + "\n"
+        write(tmp_path / f"{i:03}.csv", text, "latin-1" if i % 2 else "utf-8")
+        expected.append(tuple(values[n] for n in names))
+    write(tmp_path / "blank.csv", "\n\n")
+    df = read_csv(spark, str(tmp_path))
+    assert df.columns == names
+    assert sorted(rows(df)) == sorted(expected)
+    write(tmp_path / "zz.csv", "c0,c1,c2,c3,c4,c5,c6\n1,2,3,4,5,6,7\n")
+    with pytest.raises(ValueError, match="zz.csv has columns"):
+        read_csv(spark, str(tmp_path))
+
+
+def test_csv_files_with_column_names_of_two_lines(spark, tmp_path):
+    write(tmp_path / "a.csv", '"a\nb",c\n1,2\n')
+    write(tmp_path / "b.csv", 'c,"a\nb"\n3,4\n5\n')
+    df = read_csv(spark, str(tmp_path))
+    assert df.columns == ["a\nb", "c"]
+    assert sorted(rows(df), key=str) == [(1.0, 2), (4.0, 3), (None, 5)]
+
+
+def test_csv_row_with_too_many_fields_in_one_of_several_layouts(spark, tmp_path):
+    write(tmp_path / "a.csv", "a,b\n1,2\n")
+    write(tmp_path / "b.csv", "b,a\n1,2,3\n")
+    with pytest.raises(Exception, match="expected 2 fields"):
+        read_csv(spark, str(tmp_path)).collect()
+
+
+def test_workbooks_of_any_number_of_header_orders(spark, tmp_path):
+    text = lambda *cells: "<row>" + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in cells) + "</row>"
+    names = [f"c{i}" for i in range(6)]
+    expected = []
+    for i, order in enumerate(list(itertools.permutations(names))[:250]):
+        workbook(tmp_path / f"{i:03}.xlsx", text(*order) + text(*[f"{i}{n}" for n in order]))
+        expected.append(tuple(f"{i}{n}" for n in names))
+    df, _ = read_table(spark, str(tmp_path), fmt="xlsx")
+    assert df.columns == names and sorted(rows(df)) == sorted(expected)

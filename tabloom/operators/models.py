@@ -180,6 +180,7 @@ def estimator(checked: CheckedSpec, rows: int, classes: int = 0):
                 k=min(params.get("n_clusters", 8), max(rows, 2)),
                 initMode=starts[params.get("init", "k-means++")],
                 maxIter=params.get("max_iter", 300),
+                tol=1e-4,  # passes end when no centre moves further
                 seed=params.get("random_state", 42),
             )
     raise SpecError(f"{algo} has no Spark ML counterpart")

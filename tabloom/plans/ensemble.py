@@ -86,11 +86,14 @@ class TrainedTarget:
         return scored.select(*out)
 
     def predict_one(self, spark: SparkSession, inputs: dict) -> DataFrame:
-        """Prediction for one row of inputs given by name; the others are filled in."""
+        """Prediction for one row of inputs given by name; the others are filled in.
+
+        The row is a constant table, which the optimizer scores while it plans: no job is run.
+        """
         types = self.features.types
         known = {k: v for k, v in inputs.items() if k in types}
-        one = spark.range(1).select(*[F.lit(v).cast(types[k]).alias(k) for k, v in known.items()])
-        return self.predict(one)
+        one = spark.sql("SELECT * FROM VALUES (0) AS one(_one)")
+        return self.predict(one.select(*[F.lit(v).cast(types[k]).alias(k) for k, v in known.items()]))
 
     def importance(self, spark: SparkSession, k: int = 15) -> DataFrame:
         """``feature, importance`` of the k most important source columns.
@@ -485,7 +488,7 @@ def _fit_clusters(vectors, shared, spec, n):
         return trained, [*notes, f"cluster: {_reason(problem)}; using the default model", *more]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     trained = TrainedTarget(None, CLUSTER, checked.algo, checked.params, shared, best)
-    trained.metrics = {"clusters": best.summary.k, "training_cost": best.summary.trainingCost}
+    trained.metrics = {"clusters": best.summary.k, "training_cost": best.summary.trainingCost, "passes": best.summary.numIter}
     return trained, notes
 
 

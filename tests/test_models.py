@@ -82,7 +82,12 @@ def test_prediction_fills_absent_and_missing_features(spark, flowers, forest):
     part = spark.createDataFrame([(None, 0.2)], "sepal_l double, petal_w double")
     full = spark.createDataFrame([(medians["sepal_l"], medians["sepal_w"], medians["petal_l"], 0.2)], ", ".join(f"{c} double" for c in COLS))
     assert t.predict(part).first().prediction == t.predict(full).first().prediction
+    spark.sparkContext.setJobGroup("single prediction", "")
     one = t.predict_one(spark, {"petal_l": 1.5, "petal_w": 0.2, "nonsense": 1}).first()
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("single prediction")  # scored while planning
+    spark.sparkContext.setJobGroup("", "")
+    table = t.predict(spark.createDataFrame([(1.5, 0.2)], "petal_l double, petal_w double")).first()
+    assert one.asDict() == table.asDict()
     assert one.prediction == "setosa"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import query, rounded, table
@@ -12,6 +14,8 @@ from tabloom.operators.diff import diff_rows, diff_tables
 from tabloom.operators.union import union_tables
 from tabloom.plans.provenance import trace
 from tabloom.plans.recipe import CleanRecipe
+from tabloom.session import checkpoint_dir
+from tabloom.streaming.monitor import monitor, window_scores
 
 #: Every step but the dropping of columns and the renaming, on events with one row per user and type.
 RECIPE = CleanRecipe(
@@ -233,3 +237,36 @@ UNION ALL SELECT 'part', p_partkey, p_name, p_size::DOUBLE, NULL FROM part"""
 )
 def union_of_tables(spark, folder):
     return union_tables(_differing(spark, folder), "source")[0]
+
+
+@query(
+    f"""WITH a AS (SELECT event_type, value FROM events WHERE event_id % 3 = 0),
+ t AS (SELECT ts, CAST(floor(epoch(ts) / 604800) AS BIGINT) AS w, event_type, CASE WHEN event_id % 5 <> 1 THEN value END AS value
+   FROM events WHERE event_id % 3 <> 0),
+ g AS (SELECT w FROM t GROUP BY w HAVING (w + 1) * 604800 <= (SELECT epoch(max(ts)) - 86400 FROM t)),
+ b AS (SELECT * FROM t WHERE w IN (SELECT w FROM g)),
+ e AS (SELECT DISTINCT unnest(quantile_cont(value, [i / 10.0 FOR i IN range(1, 10)])) AS e FROM a),
+ x AS (SELECT w, 'value' AS c, 1 AS side, value AS x, NULL AS v FROM a, g UNION ALL SELECT w, 'value', 2, value, NULL FROM b
+   UNION ALL SELECT w, 'event_type', 1, 0, event_type FROM a, g UNION ALL SELECT w, 'event_type', 2, 0, event_type FROM b),
+ n AS (SELECT w, c, v, side, CASE WHEN x IS NULL THEN -1 WHEN c = 'event_type' THEN 0 ELSE (SELECT count(*) FROM e WHERE e < x) END AS bin,
+   count(*) AS n FROM x GROUP BY ALL),
+ k AS (SELECT w, c, v, bin, coalesce(max(n) FILTER (side = 1), 0) AS old, coalesce(max(n) FILTER (side = 2), 0) AS new FROM n GROUP BY ALL),
+ s AS (SELECT *, greatest(old / sum(old) OVER (PARTITION BY w, c), 1e-4) AS p, greatest(new / sum(new) OVER (PARTITION BY w, c), 1e-4) AS q,
+   sum(old) FILTER (bin >= 0) OVER (PARTITION BY w, c ORDER BY bin) / sum(old) FILTER (bin >= 0) OVER (PARTITION BY w, c)
+   - sum(new) FILTER (bin >= 0) OVER (PARTITION BY w, c ORDER BY bin) / sum(new) FILTER (bin >= 0) OVER (PARTITION BY w, c) AS apart FROM k)
+SELECT make_timestamp(w * 604800 * 1000000)::DATE AS week, c AS "column", {SCORES},
+ CASE WHEN c = 'value' THEN round(max(abs(apart)) FILTER (bin >= 0), 6) END AS ks,
+ round(coalesce(sum(new) FILTER (bin = -1), 0) / sum(new), 6) AS missing_after, sum(new)::BIGINT AS n_after FROM s GROUP BY w, c"""
+)
+def stream_monitor(spark, folder):
+    """Drift of a stream of events by week, against every third event; weeks that are still open a day before the last event are left out."""
+    events = table(spark, folder, "events").select("event_id", "ts", "event_type", "value")
+    bins = drift.fit_bins(events.where("event_id % 3 = 0"), ["event_type", "value"], bins=10)
+    base = f"{checkpoint_dir(spark).rstrip('/')}/monitor-{uuid.uuid4().hex}"
+    arriving = events.where("event_id % 3 <> 0").withColumn("value", F.when(F.col("event_id") % 5 != 1, F.col("value")))
+    arriving.write.parquet(f"{base}/in")
+    source = spark.readStream.schema(arriving.schema).parquet(f"{base}/in")
+    monitor(source, bins, "ts", f"{base}/out", f"{base}/progress", "7 days", "1 day", once=True).awaitTermination()
+    found = window_scores(spark, f"{base}/out", bins)
+    week = F.col("window_start").cast("timestamp_ntz").cast("date").alias("week")
+    return found.select(week, "column", rounded("psi"), rounded("ks"), rounded("missing_after"), "n_after")

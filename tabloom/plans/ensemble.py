@@ -42,7 +42,10 @@ CLASSES_BELOW = 20  # a numeric label with fewer values is a class label
 MAX_CLASSES = 1000
 MIN_ROWS_PER_TASK = 500
 FIRST_PREDICTIONS = 5  # shown beside the metrics of a regression
-SMALL_ROWS, SMALL_FITS, LARGE_FITS = 1_000_000, 8, 2
+SMALL_ROWS, SMALL_FITS, LARGE_FITS = 1_000_000, 8, 2  # how many fits run side by side
+# (rows in a partition, up to this many partitions) for fitting, from the number of rows alone
+PARTS = ((1_250, 8), (12_500, 64), (500_000, None))
+EQUAL_ROWS = 10_000  # equal rows beyond this many go to another partition
 
 
 @dataclass
@@ -297,7 +300,7 @@ def train(
 
     All rows are used. Only classifiers may be fitted on a fixed sample, of ``max_rows`` rows of a
     larger table, with ``full=False``. Features are
-    prepared once; the vectors are kept for all targets, which are fitted ``parallelism`` at
+    prepared once; the vectors are kept for all targets, in partitions that follow from the rows alone, and fitted ``parallelism`` at
     a time (more for small tables), each fit being a distributed job. ``holdout`` sets a share of rows aside and adds
     metrics on them.
     """
@@ -351,18 +354,11 @@ def _train(
     def vectorised(part: DataFrame) -> DataFrame:
         return shared.transform(part).select(VECTOR, *[col(t).alias(f"y{i}") for i, t in enumerate(targets)])
 
-    vectors, held = vectorised(rows), None if aside is None else vectorised(aside)
+    used = rows.select(*[col(c) for c in dict.fromkeys([*shared.types, *targets])])
+    vectors, held = vectorised(_placed(used, n)), None if aside is None else vectorised(aside)
     leading = shared.transform(leading).select(VECTOR, "_place")
-    # an estimator keeps its own copy of the rows; another one pays off for several fits only
-    several = len(targets) != 1  # clusterings pass over the rows many times
     at_once = parallelism or min(len(targets) or 1, SMALL_FITS if n <= SMALL_ROWS else LARGE_FITS)
-    if several:
-        if n <= SMALL_ROWS:
-            # fits that run side by side share the cores, and a tree fit sends its node
-            # statistics once per partition
-            cores = rows.sparkSession.sparkContext.defaultParallelism
-            vectors = vectors.coalesce(max(1, 2 * cores // at_once))
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
         def fit(i: int) -> tuple[TrainedTarget, list[str]]:
@@ -380,8 +376,7 @@ def _train(
             with ThreadPoolExecutor(at_once) as pool:
                 fitted = list(pool.map(fit, range(len(targets))))
     finally:
-        if several:
-            vectors.unpersist()
+        vectors.unpersist()
     for trained, notes in fitted:
         name = trained.target or "cluster"
         result.targets[name] = trained
@@ -406,6 +401,24 @@ def _spread(rows: DataFrame) -> tuple[int, DataFrame]:
     return n, rows.coalesce(worth) if worth < parts else rows
 
 
+def _placed(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows in partitions, and an order within them, that follow from their cells and number alone.
+
+    Estimators draw their samples by partition and position, so the same seed gives the same draws on any cluster
+    and however the table is split, also where a lost partition is computed again. Rows travel as counts of
+    equal rows, in chunks, so that no task gets all copies of a row.
+    """
+    names = rows.columns
+    parts = max(min(-(-n // size), most or n) for size, most in PARTS)
+    cells = [F.col(f"c{i}") for i in range(len(names))]
+    counted = rows.toDF(*[f"c{i}" for i in range(len(names))]).groupBy(*cells).agg(F.count("*").alias("copies"))
+    chunks = counted.select("*", F.explode(F.expr(f"sequence(0L, (copies - 1) div {EQUAL_ROWS})")).alias("chunk"))
+    size = F.least(F.lit(EQUAL_ROWS), F.col("copies") - F.col("chunk") * EQUAL_ROWS).cast("int")
+    sent = chunks.select(*cells, "chunk", size.alias("size"), F.xxhash64(*cells, "chunk").alias("place"))
+    ordered = sent.repartition(parts, "place").sortWithinPartitions("place", *cells, "chunk")
+    return ordered.select(*cells, F.explode(F.sequence(F.lit(1), "size"))).select(*cells).toDF(*names)
+
+
 def _fit_target(vectors, held, y, target, label_type, shared, spec, task, classes, n):
     def labelled(frame: DataFrame) -> DataFrame:
         if task == REGRESS:

@@ -413,3 +413,23 @@ def test_conditional_answers_of_odd_questions(spark):
     assert got == {1: (3, "y"), 2: (4, "x"), 3: (1, None), 4: (5, "x"), 5: (0, None), 6: (4, "x"), 7: (3, "y")}
     assert conditional_answers(asked.limit(0), "k", data, "v", ["s", "g"]).collect() == []
     assert conditional_answers(asked, "k", data.limit(0), "v", ["s", "g"]).where("answer is not null").collect() == []
+
+
+def test_the_same_forest_however_the_table_is_split(spark, monkeypatch):
+    monkeypatch.setattr(ensemble, "EQUAL_ROWS", 300)
+    # a third of the rows are equal
+    many = spark.range(3_000).select(
+        F.when(F.col("id") % 3 > 0, F.xxhash64("id") % 1000).otherwise(7).cast("double").alias("x"),
+        F.when(F.col("id") % 3 > 0, F.xxhash64("id", F.lit(1)) % 1000).alias("y"),
+        F.when(F.col("id") % 3 > 0, F.xxhash64("id", F.lit(2)) % 4).otherwise(1).cast("string").alias("label"),
+    )
+    placed = ensemble._placed(many, 3_000)
+    sizes = [len(part) for part in placed.rdd.glom().collect()]
+    assert len(sizes) == 3 and max(sizes) < 2_000  # one for every 1,250 rows
+    assert placed.exceptAll(many).isEmpty() and many.exceptAll(placed).isEmpty()
+    spec = {"algo": "RandomForestClassifier", "params": {"n_estimators": 4, "max_depth": 4, "random_state": 3}}
+    found = []
+    for parts in (1, 7):
+        fitted = train(many.repartition(parts), Roles(["x", "y"], ["label"]), spec=spec)["label"]
+        found.append(sorted((tuple(r) for r in fitted.predict(many).distinct().collect()), key=str))
+    assert found[0] == found[1] and len({row[4:] for row in found[0]}) > 10

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import os
 import random
 import re
@@ -320,6 +321,62 @@ def test_quality_of_odd_rows(spark, odd):
     assert quality.keep_quality(odd, quality.train(odd, labels), 0.0).count() == 11
 
 
+def _naive_tree(g, h, depth, least, ridge):
+    """Leaf value of every bin, by trying each cut with plain sums."""
+    whole, cuts = sum(g) ** 2 / (sum(h) + ridge), []
+    for k in range(1, len(g)) if depth else ():
+        if sum(h[:k]) >= least and sum(h[k:]) >= least:
+            cuts.append((sum(g[:k]) ** 2 / (sum(h[:k]) + ridge) + sum(g[k:]) ** 2 / (sum(h[k:]) + ridge) - whole, k))
+    gain, k = max(cuts, default=(0, 0))
+    if gain <= 1e-9:
+        return [sum(g) / (sum(h) + ridge)] * len(g)
+    return _naive_tree(g[:k], h[:k], depth - 1, least, ridge) + _naive_tree(g[k:], h[k:], depth - 1, least, ridge)
+
+
+def test_boosting_steps_like_naive_search():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n, m = rng.integers(1, 9, 2)
+        g, h = rng.normal(size=(n, m)), rng.uniform(0.3, 1.5, (n, m))
+        for depth in (1, 2):
+            want = _naive_tree(list(g[:, 0]), list(h[:, 0]), depth, 1.0, 0.5)
+            assert quality._tree(g[:, 0], h[:, 0], depth, 1.0, 0.5) == pytest.approx(want)
+        # of two features: one splits at any place, then each side is cut once along the other
+        found = []
+        for a, b, turned in ((g, h, False), (g.T, h.T, True)):
+            for k in range(1, len(a)):
+                if b[:k].sum() < 1.0 or b[k:].sum() < 1.0:
+                    continue
+                sides = [(a[at].sum(0), b[at].sum(0), at) for at in (slice(0, k), slice(k, None))]
+                step, gain = np.zeros(a.shape), 0.0
+                for x, y, at in sides:
+                    leaves = _naive_tree(list(x), list(y), 1, 1.0, 0.5)
+                    step[at] = leaves
+                    gain += sum(v * w for v, w in zip(leaves, x))
+                found.append((gain, step.T if turned else step))
+        want = max(found, key=lambda f: f[0])[1] if found else np.full(g.shape, g.sum() / (h.sum() + 0.5))
+        assert quality._pair_tree(g, h, 1.0, 0.5) == pytest.approx(want)
+
+
+def test_quality_scores_are_sums_of_lookup_tables():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 20, (400, 4)).astype(float)
+    y = ((x[:, 0] > 9) ^ (x[:, 1] > 9)).astype(float)  # no feature alone tells anything
+    model = quality.fit_additive(x, y, rounds=20, pair_rounds=20, n_pairs=2)
+    assert (1, 0) in model.pairs and len(model.pairs) == 2
+
+    def place(cuts, value):
+        return sum(1 for c in cuts if c <= value)
+
+    def plain(row):
+        total = model.intercept + sum(t[place(e, v)] for t, e, v in zip(model.tables, model.edges, row))
+        total += sum(t[place(model.coarse[i], row[i])][place(model.coarse[j], row[j])] for (i, j), t in model.pairs.items())
+        return 1 / (1 + math.exp(-total))
+
+    assert model.scores(x) == pytest.approx([plain(row) for row in x])
+    assert ((model.scores(x) > 0.5) == (y == 1)).mean() > 0.8
+
+
 def test_licenses_like_brute_force(spark, odd):
     rows = [
         (1, "Licensed under the MIT License. mit-license; MIT, license"), (2, None), (3, "Licensed under the GNU General Public License, version 3"),

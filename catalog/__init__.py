@@ -30,6 +30,6 @@ def rounded(name: str, digits: int = 6):
 
 
 def load() -> dict:
-    from catalog import cleaning, exploring, formatting, modelling, profiling, reading, versions  # noqa: F401
+    from catalog import batches, cleaning, exploring, formatting, modelling, profiling, reading, versions  # noqa: F401
 
     return QUERIES

@@ -19,7 +19,7 @@ from tabloom.functions.examples import format_examples
 from tabloom.plans.recipe import CleanRecipe
 from tabloom.session import checkpoint_dir
 from tabloom.sources import files
-from tabloom.sources.excel import workbook_table
+from tabloom.sources.excel import workbook_rows_as, workbook_table
 from tabloom.streaming.apply import clean_stream, write_stream
 
 # the two task functions below travel to the executors with their code
@@ -120,6 +120,18 @@ def excel_workbooks(spark, folder):
     return workbook_table(books)
 
 
+@query("SELECT c_custkey::INTEGER AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def stream_workbooks(spark, folder):
+    """Workbooks of about a thousand customers each, read by a schema as they arrive."""
+    customer = table(spark, folder, "customer").withColumn("book", F.floor(F.col("c_custkey") / 1000))
+    books = customer.groupBy("book").applyInPandas(_workbook, "path string, content binary")
+    arriving = spark.readStream.schema(books.schema).parquet(_written(spark, books))
+    schema = "c_custkey int, c_name string, c_acctbal double, c_mktsegment string"
+    out = _scratch(spark, "out")
+    write_stream(workbook_rows_as(arriving, schema), out, _scratch(spark, "progress"), once=True).awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
 @query(
     f"""WITH t AS {duck(DIRTY_EVENTS)},
  n AS (SELECT event_id, CASE WHEN lower(trim(event_type, {SPACES})) IN ('n/a') THEN NULL ELSE event_type END AS event_type, value FROM t),

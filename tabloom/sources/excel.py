@@ -134,6 +134,104 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     return workbook_table(files)
 
 
+# --- workbooks by a given schema, also as they arrive ------------------------------------------
+
+ALIGNED = "path string, row long, error string, cells array<string>"
+RESCUED = "struct<path:string,row:bigint,error:string,cells:map<string,string>>"
+
+
+def _aligner(names: list[str]):
+    """Rows of books with their cells in the order of ``names``, whatever the order in the book."""
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                rows, at = [], None
+                try:
+                    for number, cells in enumerate(workbook_rows(content)):
+                        if at is None:
+                            header = unique_names([t for t, _ in cells])
+                            if missing := [n for n in names if n not in header]:
+                                raise ValueError(f"columns {missing} are missing")
+                            at = [header.index(n) for n in names]
+                            continue
+                        if not any(t is not None for t, _ in cells):
+                            continue
+                        placed = [cells[i][0] if i < len(cells) else None for i in at]
+                        rows.append((path, number, None, placed))
+                        if len(rows) == ROWS_PER_BATCH:
+                            yield pd.DataFrame(rows, columns=["path", "row", "error", "cells"])
+                            rows = []
+                except Exception as error:  # a damaged book is a row with an error
+                    rows.append((path, None, f"{type(error).__name__}: {error}", None))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["path", "row", "error", "cells"])
+
+    return align
+
+
+def workbook_rows_as(files: DataFrame, schema: str | T.StructType, rescued: str | None = None) -> DataFrame:
+    """Rows of workbooks given as ``path`` and ``content``, cast to a schema: one narrow pass, so it runs on streams.
+
+    Columns are found by name in each book's own header, in any order; further columns are left out. Cells are
+    read as by ``read_excel`` (missing-value tokens are null, blank rows are skipped, a book without rows adds none).
+    A cell that is no value of its type (for whole numbers, ``3.0`` is 3 and ``3.5`` is none), a book that lacks a column and a
+    damaged book are errors that name the book and row. With ``rescued`` they are kept instead: that column holds the path, the row
+    (from 0, the header included), the error and the texts that did not fit, null where all is well, and a damaged
+    book gives one row of nulls after the rows read before the damage.
+    """
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = [f.name for f in wanted]
+    if rescued in names:
+        raise ValueError(f"{rescued!r} is a column of the schema")
+    rows = files.select("path", "content").mapInPandas(_aligner(names), ALIGNED)
+    texts = {n: null_tokens(F.get("cells", F.lit(i))) for i, n in enumerate(names)}
+    values = {f.name: _cast(texts[f.name], f.dataType) for f in wanted}
+    unfit = F.array_compact(
+        F.array(*[F.when(texts[n].isNotNull() & values[n].isNull(), F.struct(F.lit(n).alias("k"), texts[n].alias("v"))) for n in names])
+    )
+    out = rows.select(
+        "path", "row", "error", *[values[n].alias(f"_v{i}") for i, n in enumerate(names)], F.map_from_entries(unfit).alias("_unfit")
+    )
+    wrong = F.col("error").isNotNull() | (F.size("_unfit") > 0)
+    if rescued:
+        kept = F.when(wrong, F.struct("path", "row", "error", F.col("_unfit").alias("cells")).cast(RESCUED))
+        extra = [kept.alias(rescued)]
+    else:
+        told = F.coalesce("error", F.concat(F.lit("row "), F.col("row"), F.lit(": "), F.to_json("_unfit")))
+        out, extra = out.where(F.when(wrong, F.raise_error(F.concat("path", F.lit(": "), told)).cast("boolean")).otherwise(True)), []
+    return out.select(*[F.col(f"_v{i}").alias(n) for i, n in enumerate(names)], *extra)
+
+
+def _cast(text, kind: T.DataType):
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, T.IntegralType):
+        exact = F.trim(text).try_cast("decimal(38,10)")  # workbooks write whole numbers as 3, 3.0 or 3E0
+        return F.when(exact == F.floor(exact), exact).try_cast(kind)
+    return F.trim(text).try_cast(kind)
+
+
+def read_excel_as(spark: SparkSession, path: str, schema: str | T.StructType, rescued: str | None = None) -> DataFrame:
+    """A workbook or a folder of them by a schema, without the scans that find one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return workbook_rows_as(files, schema, rescued)
+
+
+def stream_excel(
+    spark: SparkSession, path: str, schema: str | T.StructType, rescued: str | None = None, files_per_batch: int = 1_000
+) -> DataFrame:
+    """Workbooks as they arrive in a folder; each is read once, by the stream's checkpoint."""
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", "*.xlsx")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(path)
+    )
+    return workbook_rows_as(files, schema, rescued)
+
+
 def workbook_table(files: DataFrame) -> DataFrame:
     """One table from workbooks given as ``path`` and ``content`` columns.
 

@@ -1,7 +1,9 @@
 """CSV, workbook and JSONL reading and writing."""
 
+import datetime as dt
 import itertools
 import json
+import os
 import zipfile
 
 import pytest
@@ -9,7 +11,9 @@ from pyspark.sql import types as T
 
 from tabloom.functions.examples import to_chat_jsonl, to_instruction_jsonl
 from tabloom.sources.delimited import read_csv, unique_names
+from tabloom.sources.excel import read_excel_as, stream_excel
 from tabloom.sources.files import publish_dataset, read_jsonl, read_table, write_csv
+from tabloom.streaming.apply import write_stream
 
 
 def write(path, text, encoding="utf-8"):
@@ -241,3 +245,54 @@ def test_workbooks_of_any_number_of_header_orders(spark, tmp_path):
         expected.append(tuple(f"{i}{n}" for n in names))
     df, _ = read_table(spark, str(tmp_path), fmt="xlsx")
     assert df.columns == names and sorted(rows(df)) == sorted(expected)
+
+
+def test_workbooks_by_a_schema(spark, tmp_path):
+    text = lambda *cells: "<row>" + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in cells) + "</row>"
+    schema = "id int, `a.b` string, day timestamp_ntz, x double, ok boolean"
+    good = text("x", "id", "a.b", "day", "more", "ok") + "<row></row>"
+    good += '<row><c><v>1.5</v></c><c><v>3.0</v></c><c t="inlineStr"><is><t> q</t></is></c><c s="1"><v>45292</v></c><c/><c t="b"><v>1</v></c></row>'
+    good += text("NaN", "4") + text(" 1E2 ", "5E0", "N/A", "2024-05-01 10:00:00", "z", "false")
+    workbook(tmp_path / "a.xlsx", good)
+    workbook(tmp_path / "b.xlsx", text("id", "x", "ok", "a.b", "day"))
+    workbook(tmp_path / "c.xlsx", "")
+    expected = [
+        (3, " q", dt.datetime(2024, 1, 1), 1.5, True), (4, None, None, None, None),
+        (5, None, dt.datetime(2024, 5, 1, 10), 100.0, False),
+    ]
+    got = read_excel_as(spark, str(tmp_path), schema)
+    assert got.schema.simpleString() == "struct<id:int,a.b:string,day:timestamp_ntz,x:double,ok:boolean>"
+    assert sorted(rows(got)) == expected
+    assert sorted(tuple(r)[:5] for r in read_excel_as(spark, str(tmp_path), schema, rescued="r").where("r is null").collect()) == expected
+    with pytest.raises(ValueError, match="column of the schema"):
+        read_excel_as(spark, str(tmp_path), schema, rescued="x")
+
+    workbook(tmp_path / "d.xlsx", text("id", "x", "ok", "a.b", "day") + text("3.5", "?", "true", "t", "") + text("7", "1", "true", "u", ""))
+    with pytest.raises(Exception, match=r"d.xlsx: row 1: .*3.5"):
+        read_excel_as(spark, str(tmp_path), schema).collect()
+    workbook(tmp_path / "e.xlsx", text("id", "x"))
+    (tmp_path / "f.xlsx").write_bytes(b"no archive")
+    kept = read_excel_as(spark, str(tmp_path), schema, rescued="r").where("r is not null").orderBy("r.path").collect()
+    assert [(r.id, r["a.b"], r.ok, os.path.basename(r.r.path), r.r.row, r.r.cells) for r in kept] == [
+        (None, "t", True, "d.xlsx", 1, {"id": "3.5", "x": "?"}), (None, None, None, "e.xlsx", None, {}), (None, None, None, "f.xlsx", None, {}),
+    ]
+    assert [r.r.error for r in kept][:2] == [None, "ValueError: columns ['a.b', 'day', 'ok'] are missing"]
+    assert kept[2].r.error.startswith("BadZipFile")
+
+
+def test_workbooks_as_they_arrive(spark, tmp_path):
+    text = lambda *cells: "<row>" + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in cells) + "</row>"
+    books, out, progress = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "progress")
+    books.mkdir()
+
+    def run():
+        stream = stream_excel(spark, str(books), "id long, name string", files_per_batch=1)
+        write_stream(stream, out, progress, once=True).awaitTermination()
+        return sorted(rows(spark.read.schema("id long, name string").parquet(out)))
+
+    workbook(books / "a.xlsx", text("id", "name") + text("1", "x") + text("2", "y"))
+    workbook(books / "b.xlsx", text("name", "id") + text("z", "3"))
+    assert run() == [(1, "x"), (2, "y"), (3, "z")]
+    assert run() == [(1, "x"), (2, "y"), (3, "z")]
+    workbook(books / "c.xlsx", text("name", "more", "id") + text("w", "-", "4"))
+    assert run() == [(1, "x"), (2, "y"), (3, "z"), (4, "w")]

@@ -98,8 +98,36 @@ def _counts(df: DataFrame, exprs: list) -> list[int]:
     return [int(v or 0) for v in df.agg(*exprs).first()] if exprs else []
 
 
-def _rows_removed(before: DataFrame, after: DataFrame) -> int:
-    return before.count() - after.count()
+def changes(step: FittedStep, df: DataFrame) -> tuple[str, Column] | None:
+    """What a fitted step counts for the audit, as a metric and an aggregate over the rows it is given.
+
+    None for steps whose changes are known from fitting. An aggregate of plain expressions, so
+    that the counts of consecutive steps can be observed in one job.
+    """
+    if step.op == "remove_empty_rows":
+        return "rows_removed", F.count_if(empty_row(df, step.params["subset"] or df.columns))
+    if step.op == "remove_outliers":
+        far = [beyond(df, c, mean, std, step.params["z"]) for c, mean, std in step.params["bounds"] if c in df.columns]
+        return "rows_removed", F.count_if(reduce(lambda a, b: a | b, far, F.lit(False)))
+    if step.op not in CHANGED_CELLS:
+        return None
+    metric, changed = CHANGED_CELLS[step.op]
+    counts = [F.count_if(changed(col(c))) for c in _present(df, step.params["columns"])]
+    return metric, reduce(lambda a, b: a + b, counts, F.lit(0))
+
+
+def note(step: FittedStep, metric: str, number: int) -> None:
+    step.changes[metric] = number
+    if step.op == "replace_placeholder_nulls":
+        step.reason = f"{number} cells only stood for a missing value"
+    elif step.op == "remove_outliers":
+        step.reason = f"{number} rows lie beyond {step.params['z']} deviations"
+
+
+def _audited(step: FittedStep, df: DataFrame, audit: bool) -> FittedStep:
+    if audit and (found := changes(step, df)):
+        note(step, found[0], _counts(df, [found[1].alias("n")])[0])
+    return step
 
 
 # --- columns that are mostly missing -------------------------------------------------------
@@ -168,14 +196,11 @@ def fit_remove_empty_rows(
         {"subset": list(subset) if subset else None},
         reason="rows without any value",
     )
-    if audit:
-        names = list(subset or df.columns)
-        (step.changes["rows_removed"],) = _counts(df, [F.count_if(empty_row(df, names))])
-    return step
+    return _audited(step, df, audit)
 
 
 def empty_row(df: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [~present(df, c) for c in names])
+    return reduce(lambda a, b: a & b, [~present(df, c) for c in names]) if names else F.lit(False)
 
 
 def _remove_empty_rows(df: DataFrame, subset: list[str] | None) -> DataFrame:
@@ -186,14 +211,7 @@ def _remove_empty_rows(df: DataFrame, subset: list[str] | None) -> DataFrame:
 
 
 def fit_replace_placeholder_nulls(df: DataFrame, audit: bool = True) -> FittedStep:
-    names = text_columns(df)
-    step = FittedStep("replace_placeholder_nulls", {"columns": names})
-    if audit:
-        step.changes["nulled_cells"] = sum(
-            _counts(df, [F.count_if(is_placeholder(col(c))) for c in names])
-        )
-        step.reason = f"{step.changes['nulled_cells']} cells only stood for a missing value"
-    return step
+    return _audited(FittedStep("replace_placeholder_nulls", {"columns": text_columns(df)}), df, audit)
 
 
 def _replace_placeholder_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -253,25 +271,22 @@ def _impute(df: DataFrame, medians: dict, modes: dict, complete: Sequence[str] =
 # --- text ----------------------------------------------------------------------------------
 
 
-def _fit_text(op: str, change: Callable, metric: str, reason: str):
+def _fit_text(op: str, reason: str):
     def fit(df: DataFrame, audit: bool = True) -> FittedStep:
-        names = text_columns(df)
-        step = FittedStep(op, {"columns": names}, reason=reason)
-        if audit:
-            step.changes[metric] = sum(
-                _counts(df, [F.count_if(change(col(c)) != col(c)) for c in names])
-            )
-        return step
+        return _audited(FittedStep(op, {"columns": text_columns(df)}, reason=reason), df, audit)
 
     return fit
 
 
-fit_strip_whitespace = _fit_text(
-    "strip_whitespace", strip, "stripped_cells", "blanks cut at both ends"
-)
-fit_lowercase_text = _fit_text(
-    "lowercase_text", F.lower, "lowercased_cells", "letters made lower case"
-)
+fit_strip_whitespace = _fit_text("strip_whitespace", "blanks cut at both ends")
+fit_lowercase_text = _fit_text("lowercase_text", "letters made lower case")
+
+#: What steps on single cells count: their metric and whether they change a cell.
+CHANGED_CELLS = {
+    "replace_placeholder_nulls": ("nulled_cells", is_placeholder),
+    "strip_whitespace": ("stripped_cells", lambda c: strip(c) != c),
+    "lowercase_text": ("lowercased_cells", lambda c: F.lower(c) != c),
+}
 
 
 def _strip_whitespace(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -364,11 +379,7 @@ def fit_remove_outliers(
             continue
         bounds.append([c, mean, std])
         rows = rows.where(~beyond(rows, c, mean, std, z_threshold))
-    step = FittedStep("remove_outliers", {"bounds": bounds, "z": z_threshold})
-    if audit:
-        step.changes["rows_removed"] = _rows_removed(df, rows)
-        step.reason = f"{step.changes['rows_removed']} rows lie beyond {z_threshold} deviations"
-    return step
+    return _audited(FittedStep("remove_outliers", {"bounds": bounds, "z": z_threshold}), df, audit)
 
 
 def _remove_outliers(df: DataFrame, bounds: list, z: float) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Transformer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from tabloom.operators import clean
 from tabloom.operators.clean import FittedStep
@@ -43,27 +44,17 @@ class CleanRecipe:
         return cls(**json.loads(text))
 
     def _steps(self) -> list[tuple[bool, Callable[[DataFrame], FittedStep]]]:
-        audit = self.audit
+        # the steps count nothing themselves; fit_transform observes them together
         return [
             (self.drop_high_null, lambda d: clean.fit_drop_high_null(d, self.null_threshold)),
-            (
-                self.deduplicate,
-                # counted from the staged result below
-                lambda d: clean.fit_deduplicate(d, self.subset, self.order_by, audit=False),
-            ),
-            (self.remove_empty_rows, lambda d: clean.fit_remove_empty_rows(d, audit=audit)),
-            (
-                self.replace_placeholder_nulls,
-                lambda d: clean.fit_replace_placeholder_nulls(d, audit=audit),
-            ),
+            (self.deduplicate, lambda d: clean.fit_deduplicate(d, self.subset, self.order_by, audit=False)),
+            (self.remove_empty_rows, lambda d: clean.fit_remove_empty_rows(d, audit=False)),
+            (self.replace_placeholder_nulls, lambda d: clean.fit_replace_placeholder_nulls(d, audit=False)),
             (self.impute, lambda d: clean.fit_impute(d, self.approximate, self.fill_all)),
-            (self.strip_whitespace, lambda d: clean.fit_strip_whitespace(d, audit=audit)),
-            (self.lowercase_text, lambda d: clean.fit_lowercase_text(d, audit=audit)),
+            (self.strip_whitespace, lambda d: clean.fit_strip_whitespace(d, audit=False)),
+            (self.lowercase_text, lambda d: clean.fit_lowercase_text(d, audit=False)),
             (self.parse_dates, lambda d: clean.fit_parse_dates(d)),
-            (
-                self.remove_outliers,
-                lambda d: clean.fit_remove_outliers(d, self.z_threshold, audit=audit),
-            ),
+            (self.remove_outliers, lambda d: clean.fit_remove_outliers(d, self.z_threshold, audit=False)),
             (self.snake_case, clean.fit_snake_case),
         ]
 
@@ -75,20 +66,29 @@ class CleanRecipe:
         ``extra`` steps of the caller, functions from table to table or Spark ML
         transformers, run last. Deduplication is the one step that shuffles rows. Its result is written once, so the
         statistics of the later steps scan the needed columns of that table and do not
-        repeat the shuffle.
+        repeat the shuffle. The changes of all steps are counted in one more scan, in which each step's rows are observed.
         """
         steps = []
+        watched, watches = df, []
         for chosen, fit in self._steps():
             if not chosen:
                 continue
             step = fit(df)
             steps.append(step)
-            if step.op != "deduplicate":
-                df = step.transform(df)
+            if step.op == "deduplicate":
+                before, df = df, stage(step.transform(df))
+                watched = df  # no step before this one is observed
+                if self.audit:
+                    step.changes["rows_removed"] = before.count() - df.count()
                 continue
-            before, df = df, stage(step.transform(df))
-            if self.audit:
-                step.changes["rows_removed"] = before.count() - df.count()
+            if self.audit and (found := clean.changes(step, df)):
+                watches.append((step, found[0], Observation()))
+                watched = watched.observe(watches[-1][2], found[1].alias("n"))
+            df, watched = step.transform(df), step.transform(watched)
+        if watches:
+            watched.agg(F.count("*")).collect()
+            for step, metric, watch in watches:
+                clean.note(step, metric, int(watch.get.get("n") or 0))
         for step in extra:
             steps.append(CustomStep(step))
             df = steps[-1].transform(df)

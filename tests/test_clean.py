@@ -271,3 +271,54 @@ def test_copies_in_a_stream_need_a_watermark(spark):
     stream = spark.readStream.format("rate").load()
     with pytest.raises(ValueError, match="watermark"):
         clean.FittedStep("deduplicate", {"subset": None, "order_by": None}).transform(stream)
+
+
+def test_audit_of_a_recipe_equals_the_audits_of_its_steps(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(i, None if i % 9 == 0 else f" V{i % 4} " if i % 5 else "n/a", None if i % 7 == 0 else float(i % 13 if i != 50 else 9999)) for i in range(200)]
+        + [(None, None, None)] * 3,
+        "id long, t string, x double",
+    )
+    recipe = CleanRecipe(
+        remove_empty_rows=True, replace_placeholder_nulls=True, lowercase_text=True, remove_outliers=True, snake_case=True, impute=False
+    )
+    fitted, cleaned = recipe.fit_transform(rows)
+    df, expected = rows, {}
+    for step in (
+        clean.drop_high_null, clean.deduplicate, clean.remove_empty_rows, clean.replace_placeholder_nulls, clean.strip_whitespace,
+        clean.lowercase_text, clean.parse_dates, clean.remove_outliers, clean.rename_to_snake_case,
+    ):
+        df, expected[step.__name__] = step(df)
+    got = {s.op: {**s.changes, "reason": s.reason} for s in fitted.steps}
+    assert got == {("snake_case" if n == "rename_to_snake_case" else n): c for n, c in expected.items()}
+    assert got["remove_empty_rows"]["rows_removed"] == 1 and got["remove_outliers"]["rows_removed"] == 1
+    assert got["replace_placeholder_nulls"]["nulled_cells"] > 0 and got["strip_whitespace"]["stripped_cells"] > 0
+    assert sorted(cleaned.collect()) == sorted(df.collect())
+
+
+def test_audit_of_empty_tables(spark):
+    recipe = CleanRecipe(drop_high_null=False, deduplicate=False, remove_empty_rows=True, lowercase_text=True, remove_outliers=True)
+    empty = spark.createDataFrame([], "id long, t string")
+    for df in (empty, spark.createDataFrame([(1, "a")], empty.schema).where("id > 5")):
+        fitted = recipe.fit(df)
+        assert [s.changes for s in fitted.steps if s.op in ("remove_empty_rows", "lowercase_text", "remove_outliers")] == [
+            {"rows_removed": 0}, {"lowercased_cells": 0}, {"rows_removed": 0}
+        ]
+
+
+def test_audit_counts_in_one_job(spark, sf_dir):
+    """Only drop_high_null, dates and the observation scan the table: text steps add no job of their own."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_name", "c_mktsegment")
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(**chosen):
+        group = f"audit-{len(chosen)}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            CleanRecipe(drop_high_null=False, deduplicate=False, impute=False, parse_dates=False, **chosen).fit(rows)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    one = jobs(strip_whitespace=True)
+    assert jobs(strip_whitespace=True, lowercase_text=True, replace_placeholder_nulls=True, remove_empty_rows=True) == one

@@ -1,7 +1,7 @@
 """License scan by ordered signature rules.
 
-A rule is a pattern over the words of a text, a keyword without which it can't match, a label, a
-priority and a confidence. One automaton over all keywords decides which rules run on which text.
+A rule is a pattern over the words of a text, keywords without which it can't match, a label, a
+priority and a confidence. Signatures of license texts are in ``license_rules``; ways of naming a license are here. One automaton over all keywords decides which rules run on which text.
 Overlapping detections are settled by priority, then length: one that lies inside an interval that
 is already taken is suppressed.
 """
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tabloom.llm.common import LOWER, binary_values, blocks, documents
+from tabloom.llm.license_rules import WORDINGS
 
 #: Phrases that are always reported, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -81,31 +82,11 @@ STATEMENTS = [
     ("spdx", r"spdx license identifier {n}(?: (?:only|or later))?", 90, 1.0),
     ("licen", r"(?:is |are )?licen[cs]ed under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?", 80, 0.95),
     ("under", r"(?:distributed|released|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?", 75, 0.9),
-    ("under", r"(?:subject to|under) the terms of (?:the )?{n}(?: licen[cs]e)?", 70, 0.85),
+    ("terms", r"(?:subject to|under) the terms of (?:the )?{n}(?: licen[cs]e)?", 70, 0.85),
     ("licen", r"{n} licen[cs]e", 60, 0.8),
     ("licen", r"licen[cs]e {n}", 55, 0.7),
 ]
 
-#: Wordings that need no name: label, keyword, pattern, priority, confidence.
-WORDINGS = [
-    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 85, 0.95),
-    ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose", 85, 0.95),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 85, 0.9),
-    ("apache-2.0", "compliance", r"you may not use this file except in compliance with the license", 85, 0.9),
-    ("apache-2.0", "apache", r"www apache org licenses license 2 0", 88, 1.0),
-    ("gpl", "gnu", r"www gnu org licenses gpl(?: \d(?: 0)?)?", 88, 1.0),
-    ("lgpl", "gnu", r"www gnu org licenses lgpl(?: \d(?: [01])?)?", 88, 1.0),
-    ("agpl", "gnu", r"www gnu org licenses agpl(?: \d(?: 0)?)?", 88, 1.0),
-    ("cc-by", "creativecommons", r"creativecommons org licenses by \d 0", 88, 1.0),
-    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa \d 0", 88, 1.0),
-    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc \d 0", 88, 1.0),
-    ("cc0", "creativecommons", r"creativecommons org publicdomain zero 1 0", 88, 1.0),
-    ("public-domain", "domain", r"(?:released into|dedicated to|in) the public domain", 50, 0.6),
-    ("all-rights-reserved", "rights", r"all rights reserved", 40, 0.6),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 20, 0.3),
-]
-
-
 @dataclass(frozen=True)
 class Rule:
     label: str

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.llm import chat, content_sort, decontaminate, jaccard, licenses, mixing, quality, suffixes, tokens, warc
+from tabloom.llm import chat, content_sort, decontaminate, jaccard, license_rules, licenses, mixing, quality, suffixes, tokens, warc
 from tabloom.llm.common import partitions
 from tabloom.llm.components import components
 
@@ -403,6 +403,86 @@ def test_wordings_need_only_their_own_keyword():
     assert "apache-2.0" in {d.label for d in found}
 
 
+def example(pattern):
+    """The shortest text that a rule's pattern matches, by the first of its alternatives."""
+
+    def text(parsed):
+        out = ""
+        for op, of in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(of)
+            elif name == "IN":  # digits, words and lists of letters
+                out += "2" if str(of[0][0]) == "CATEGORY" else chr(of[0][1] if str(of[0][0]) == "LITERAL" else of[0][1][0])
+            elif name == "MAX_REPEAT":
+                out += text(of[2]) * of[0]
+            elif name == "BRANCH":
+                out += text(of[1][0])
+            else:  # a group
+                out += text(of[-1])
+        return out
+
+    return text(re._parser.parse(pattern))
+
+
+def test_every_wording_is_found_by_its_own_keyword_alone():
+    ordered = licenses.rules()
+    for label, keyword, pattern, priority, confidence in license_rules.WORDINGS:
+        text = example(pattern)
+        assert re.fullmatch(pattern, text), (pattern, text)
+        assert keyword in text and 0 < confidence <= 1 and 0 < priority <= 90, pattern
+        own = tuple(r for r in ordered if r.label == label and keyword in r.keywords)
+        assert label in {d.label for d in licenses.detections(f"({text.replace(' ', ', ')})", own, licenses.prefilter(own))}
+    assert len(license_rules.WORDINGS) == len({p for _, _, p, *_ in license_rules.WORDINGS}) > 150
+
+
+def test_detections_and_settling_like_brute_force():
+    """Without keywords: every rule at every place; and each detection against all that are kept before it."""
+    ordered, rng = licenses.rules(), np.random.default_rng(5)
+    automaton = licenses.prefilter(ordered)
+    parts = [example(p) for _, _, p, *_ in license_rules.WORDINGS] + ["mit license", "spdx license identifier gpl 3 0", "licensed under the apache license", "a b", ""]
+    for _ in range(25):
+        text = " ".join(parts[i] for i in rng.integers(0, len(parts), 12))
+        words = text.split()
+        starts, at = {}, 1
+        for i, w in enumerate(words):
+            starts[at] = i
+            at += len(w) + 1
+        line = " " + " ".join(words) + " "
+        naive = []
+        for rule in ordered:
+            for at, i in starts.items():
+                if m := rule.pattern.match(line, at):
+                    naive.append((rule.label, i, i + len(m[0].split()) - 1, rule.priority, rule.base))
+        found = licenses.detections(text, ordered, automaton)
+        assert sorted((d.label, d.first, d.last, d.priority, d.base) for d in found) == sorted(naive)
+
+        kept = []
+        for d in sorted((d for d in found if not d.base), key=lambda d: (-d.priority, d.first - d.last, d.first, d.label)):
+            if not any(k.first <= d.first and d.last <= k.last for k in kept):
+                kept.append(d)
+        want = sorted((d.label, d.first, d.last) for d in [*kept, *(d for d in found if d.base)])
+        assert sorted((d.label, d.first, d.last) for d in licenses.settle(found)) == want
+
+
+def test_whole_license_texts_are_told_apart():
+    ordered = licenses.rules()
+    automaton = licenses.prefilter(ordered)
+
+    def labels(text):
+        return set(licenses.summary(licenses.detections(text.lower(), ordered, automaton))[4].split(","))
+
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    assert labels(grant) == {"mit"}
+    notice = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the FSF, either version {} of the License, or (at your option) any later version"
+    assert labels(notice.format("General Public License", "3")) == {"gpl", "gpl-3.0-or-later"}
+    assert labels(notice.format("Lesser General Public License", "2.1")) >= {"lgpl", "lgpl-2.1-or-later"}
+    clause = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    assert labels("Redistribution and use in source and binary forms, with or without modification, are permitted. " + clause) == {"bsd", "bsd-3-clause"}
+    assert labels("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.") == {"mpl-2.0"}
+    assert labels("a clean sentence about a licence to fish") == {""}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/ x%\n", "<p>a</p>"), (2, None, None), (3, "u", ""), (5, "u", "<p>a</p>"), (4, "ü", "<p>a</p>"), (6, "u", "é" * 300_000), (None, "u", "<p>a</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("same", F.lit(1))

@@ -179,6 +179,67 @@ def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     )
 
 
+def _cells(df: DataFrame, cols: Sequence[str], by: str | None, *extra) -> DataFrame:
+    """``_column, _x, [_by,] ...`` for every present number; ``extra`` are lists of columns, one of each for every column."""
+    own = [
+        F.struct(F.lit(c).alias("_column"), F.when(present(df, c), value(df, c).cast("double")).alias("_x"), *[e[i] for e in extra])
+        for i, c in enumerate(cols)
+    ]
+    group = [] if by is None else [col(by).alias("_by")]
+    return df.select(*group, F.inline(F.array(*own))).where("_x is not null")
+
+
+def histograms(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20, by: str | None = None) -> DataFrame:
+    """``column, bin, bin_start, bin_end, [by,] n`` of all numeric columns, or ``cols``, as ``histogram`` gives them one by one:
+    one job for all bounds and one pass, combined before the shuffle, for all counts."""
+    names = list(numeric_columns(df) if cols is None else cols)
+    ends = df.agg(*[F.struct(F.min(x), F.max(x)) for x in (value(df, c).cast("double") for c in names)]).first() if names else []
+    known = {c: (float(lo), float(hi)) for c, (lo, hi) in zip(names, ends) if lo is not None}
+    if not known:
+        known = {c: (0.0, 0.0) for c in names[:1]}  # the columns of an empty result
+    if not known:
+        raise ValueError("no numeric column to count")
+    lows = [F.lit(lo).alias("_lo") for lo, _ in known.values()]
+    widths = [F.lit((hi - lo) / bins if hi > lo else 1.0).alias("_width") for lo, hi in known.values()]
+    slot = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_width")), F.lit(bins - 1)).cast("int")
+    start = F.col("_lo") + F.col("bin") * F.col("_width")
+    group = [] if by is None else ["_by"]
+    counted = _cells(df, list(known), by, lows, widths).groupBy("_column", "_lo", "_width", slot.alias("bin"), *group).agg(F.count("*").alias("n"))
+    shown = [] if by is None else [F.col("_by").alias(by)]
+    return counted.select(
+        F.col("_column").alias("column"), "bin", start.alias("bin_start"), (start + F.col("_width")).alias("bin_end"), *shown, "n"
+    )
+
+
+def boxes(df: DataFrame, cols: Sequence[str] | None = None, by: str | None = None) -> DataFrame:
+    """``column, [by,] q1, median, q3, whisker_low, whisker_high, outliers`` of all numeric columns, or ``cols``, as ``box_stats``
+    gives them one by one: the quartiles of all columns and groups are found together, and one pass finds the whiskers."""
+    names = list(numeric_columns(df) if cols is None else cols)
+    if not names:
+        raise ValueError("no numeric column to summarise")
+    box = ["q1", "median", "q3"]
+    if by is None:
+        found = exact_quantiles(df, names, [0.25, 0.5, 0.75])
+        quartiles = [[F.lit(found[c][i]).cast("double").alias(n) for c in names] for i, n in enumerate(box)]
+        rows, group = _cells(df, names, by, *quartiles), ["_column"]
+    else:
+        group = ["_column", "_by"]
+        cells = _cells(df, names, by)
+        known = grouped_quantiles(cells, group, "_x", [0.25, 0.5, 0.75]).groupBy(*[F.col(g).alias(f"_of{g}") for g in group])
+        known = known.pivot("p", [0.25, 0.5, 0.75]).agg(F.first("quantile")).toDF("_of_column", "_of_by", *box)
+        known = stage(known)  # its true size decides whether the join broadcasts it
+        rows = cells.join(known, [F.col("_column") == F.col("_of_column"), F.col("_by").eqNullSafe(F.col("_of_by"))])
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)
+    out = rows.groupBy(*group, *box).agg(
+        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
+        F.count_if(~inside).alias("outliers"),
+    )
+    shown = [] if by is None else [F.col("_by").alias(by)]
+    return out.select(F.col("_column").alias("column"), *shown, *box, "whisker_low", "whisker_high", "outliers")
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Heat-map cells ``a, b, r`` for every ordered pair, diagonal included."""
     half = correlation_pairs(df, list(cols) if cols else None, diagonal=True)
@@ -261,11 +322,16 @@ def class_distribution(
 
 
 def explore(df: DataFrame, by: str | None = None, key: str | None = None) -> dict[str, DataFrame]:
-    """Everything the exploration view shows, per numeric column where it applies."""
+    """Everything the exploration view shows, per numeric column where it applies.
+
+    Histograms and boxes of all columns are counted together and written once, so the number of jobs does
+    not grow with the columns.
+    """
     first = numeric_columns(df)
     out = {"describe": describe(df), "correlations": correlation_matrix(df)}
-    out |= {f"histogram:{c}": histogram(df, c, by=by) for c in first}
-    out |= {f"box:{c}": box_stats(df, c, by=by) for c in first}
+    if first:
+        for name, all_columns in (("histogram", stage(histograms(df, first, by=by))), ("box", stage(boxes(df, first, by=by)))):
+            out |= {f"{name}:{c}": all_columns.where(F.col("column") == c).drop("column") for c in first}
     if len(first) >= 2:
         out["scatter"] = scatter_data(df, first, by=by, key=key)
     return out

@@ -239,3 +239,25 @@ def test_correlations_with_gaps_constants_and_infinities(spark):
     for row in pairs.collect():
         expected = want.loc[row.a, row.b]
         assert (row.r is None) if np.isnan(expected) else row.r == pytest.approx(expected, abs=1e-6)
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_all_histograms_and_boxes_at_once_equal_single_ones(spark, by):
+    df = spark.createDataFrame(
+        [(i, float(i % 17) if i % 5 else None, float("nan") if i % 7 == 0 else i * 0.5 if i != 90 else 1e6, None, "a" if i % 3 else None) for i in range(100)],
+        "id long, `x.y` double, z double, none double, g string",
+    )
+    names = ["id", "x.y", "z", "none"]
+    bins, box = explore.histograms(df, by=by), explore.boxes(df, by=by)
+    shown = [by] if by else []
+    assert bins.columns == ["column", "bin", "bin_start", "bin_end", *shown, "n"]
+    plain = lambda d: sorted(map(str, d.collect()))
+    for c in names:
+        assert plain(bins.where(F.col("column") == c).drop("column")) == plain(explore.histogram(df, c, by=by))
+        assert plain(box.where(F.col("column") == c).drop("column")) == plain(explore.box_stats(df, c, by=by))
+    view = explore.explore(df, by=by)
+    assert plain(view["box:z"]) == plain(explore.box_stats(df, "z", by=by)) and view["histogram:none"].isEmpty()
+    empty = df.limit(0)
+    assert explore.histograms(empty, by=by).count() == 0 and explore.boxes(empty, by=by).count() == 0
+    with pytest.raises(ValueError, match="no numeric column"):
+        explore.histograms(df.select("g"))

@@ -142,6 +142,35 @@ def box_stats_by_label(spark, folder):
     return out.select("event_type", *[rounded(c) for c in BOX], "whisker_low", "whisker_high", "outliers")
 
 
+PRICED = ["l_quantity", "l_extendedprice", "l_discount"]
+LONG = "(" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", l_returnflag, {c}::DOUBLE AS x FROM lineitem" for c in PRICED) + ")"
+
+
+@query(
+    f"""WITH x AS {LONG}, b AS (SELECT "column", min(x) AS lo, (max(x) - min(x)) / 20 AS w FROM x GROUP BY 1),
+ t AS (SELECT "column", l_returnflag, lo, w, least(floor((x - lo) / w), 19)::INTEGER AS bin FROM x JOIN b USING ("column"))
+SELECT "column", bin, round(lo + bin * w, 6) AS bin_start, round(lo + bin * w + w, 6) AS bin_end, l_returnflag, count(*) AS n
+FROM t GROUP BY ALL"""
+)
+def histograms_of_all(spark, folder):
+    out = explore.histograms(table(spark, folder, "lineitem"), PRICED, 20, by="l_returnflag")
+    return out.select("column", "bin", rounded("bin_start"), rounded("bin_end"), "l_returnflag", "n")
+
+
+@query(
+    f"""WITH x AS {LONG}, q AS (SELECT "column", l_returnflag, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+   quantile_cont(x, 0.75) AS q3 FROM x GROUP BY 1, 2)
+SELECT "column", l_returnflag, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       min(x) FILTER (x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1)) AS whisker_low,
+       max(x) FILTER (x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
+       count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers
+FROM x JOIN q USING ("column", l_returnflag) GROUP BY "column", l_returnflag, q1, median, q3"""
+)
+def boxes_of_all(spark, folder):
+    out = explore.boxes(table(spark, folder, "lineitem"), PRICED, by="l_returnflag")
+    return out.select("column", "l_returnflag", *[rounded(c) for c in BOX], "whisker_low", "whisker_high", "outliers")
+
+
 @query("SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem")
 def scatter_data(spark, folder):
     return explore.scatter_data(

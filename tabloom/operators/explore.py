@@ -324,8 +324,8 @@ def class_distribution(
 def explore(df: DataFrame, by: str | None = None, key: str | None = None) -> dict[str, DataFrame]:
     """Everything the exploration view shows, per numeric column where it applies.
 
-    Histograms and boxes of all columns are counted together and written once, so the number of jobs does
-    not grow with the columns.
+    Histograms and boxes of all columns are counted together and written once: no column adds a job of its own
+    (quartiles take a set of jobs for each ``COLUMNS_PER_PASS`` columns).
     """
     first = numeric_columns(df)
     out = {"describe": describe(df), "correlations": correlation_matrix(df)}

@@ -296,3 +296,14 @@ def test_workbooks_as_they_arrive(spark, tmp_path):
     assert run() == [(1, "x"), (2, "y"), (3, "z")]
     workbook(books / "c.xlsx", text("name", "more", "id") + text("w", "-", "4"))
     assert run() == [(1, "x"), (2, "y"), (3, "z"), (4, "w")]
+
+
+def test_a_workbook_damaged_in_the_middle(spark, tmp_path):
+    """The rows before the damage and one row that tells of it; without a place for it, an error."""
+    text = lambda *cells: "<row>" + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in cells) + "</row>"
+    workbook(tmp_path / "a.xlsx", text("id") + text("1") + text("2") + "<row><c>")
+    got = read_excel_as(spark, str(tmp_path), "id long", rescued="r").collect()
+    told = [(r.id, r.r and r.r.row, r.r and r.r.error.split(":")[0]) for r in got]
+    assert sorted(told, key=str) == [(1, None, None), (2, None, None), (None, None, "ParseError")]
+    with pytest.raises(Exception, match="a.xlsx: ParseError"):
+        read_excel_as(spark, str(tmp_path), "id long").collect()

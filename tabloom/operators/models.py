@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
+    OneVsRestModel,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.sql import SparkSession
 
 from tabloom.operators.features import VECTOR
+from tabloom.session import scratch, staging
 
 CLASSIFY, REGRESS, CLUSTER = "classification", "regression", "clustering"
 LABEL, PREDICTION, PROBABILITY, WEIGHT = "_label", "_prediction", "_probability", "_weight"
@@ -190,3 +194,26 @@ def starts(checked: CheckedSpec) -> int:
     """How many times a clustering is started with different seeds."""
     n = checked.params.get("n_init", 1)
     return n if isinstance(n, int) else 1
+
+
+def without_summary(spark: SparkSession, model: Model) -> Model:
+    """The same model without what its training reported, which nothing here reads.
+
+    The summary of a classifier of two classes holds the session. Spark sends it with the model to every task, and
+    cannot as soon as the session has observed any table ("Task not serializable").
+    """
+    if isinstance(model, PipelineModel):
+        return PipelineModel([without_summary(spark, s) for s in model.stages])
+    if isinstance(model, OneVsRestModel):
+        bare = model.copy()
+        bare.models = [without_summary(spark, m) for m in model.models]
+        return bare
+    if not getattr(model, "hasSummary", False):
+        return model
+    bare = model.copy()
+    if not bare.hasSummary:
+        return bare
+    with staging(spark):  # a logistic regression keeps its summary in copies, but not on disk
+        path = scratch(spark)
+        bare.write().save(path)
+        return type(bare).load(path)

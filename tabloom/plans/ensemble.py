@@ -30,6 +30,7 @@ from tabloom.operators.models import (
     check_spec,
     estimator,
     starts,
+    without_summary,
 )
 from tabloom.operators.ordering import SAMPLE_SIZE, fill_gaps, sample_rows
 from tabloom.operators.profile import fewer_values
@@ -440,6 +441,7 @@ def _fit_target(vectors, held, y, target, label_type, shared, spec, task, classe
             raise
         trained, more = _fit_target(vectors, held, y, target, label_type, shared, None, task, classes, n)
         return trained, [*notes, f"{target}: {_reason(problem)}; using the default model", *more]
+    model = without_summary(rows.sparkSession, model)
     trained = TrainedTarget(target, task, checked.algo, checked.params, shared, model, label_type, classes)
     trained.metrics = _metrics(model.transform(labelled(vectors)), task, classes)
     if held is not None:

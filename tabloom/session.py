@@ -64,6 +64,14 @@ def staging(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted at the end of the ``staging`` block it was asked for in."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    if (owned := _owned.get()) is not None:
+        owned.append(path)
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
@@ -71,8 +79,6 @@ def stage(df: DataFrame) -> DataFrame:
     a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    if (owned := _owned.get()) is not None:
-        owned.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -433,3 +433,37 @@ def test_the_same_forest_however_the_table_is_split(spark, monkeypatch):
         fitted = train(many.repartition(parts), Roles(["x", "y"], ["label"]), spec=spec)["label"]
         found.append(sorted((tuple(r) for r in fitted.predict(many).distinct().collect()), key=str))
     assert found[0] == found[1] and len({row[4:] for row in found[0]}) > 10
+
+
+def _estimators_of_two_classes():
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression, OneVsRest
+
+    logistic = {"featuresCol": features.VECTOR, "labelCol": models.LABEL}
+    return [
+        {"algo": "RandomForestClassifier", "params": {"n_estimators": 3, "max_depth": 3}},
+        {"algo": "SVC", "params": {"kernel": "linear"}},
+        {"algo": "LogisticRegression"},
+        OneVsRest(classifier=LogisticRegression()),
+        Pipeline(stages=[LogisticRegression(**logistic, predictionCol=models.PREDICTION, probabilityCol=models.PROBABILITY)]),
+    ]
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_two_classes_in_a_session_that_has_observed_a_table(spark, flowers, tmp_path, monkeypatch, place):
+    """The summary of such a model holds the session, which cannot be sent to tasks after an observation."""
+    from pyspark.sql import Observation
+
+    from tabloom import session
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    monkeypatch.setattr(session, "checkpoint_dir", lambda spark: str(tmp_path))
+    df = flowers.withColumn("tall", (F.col("petal_l") > 3).cast("int"))
+    spec = _estimators_of_two_classes()[place]
+    got = train(df, Roles(COLS, ["tall"]), spec=spec)
+    assert got["tall"].algo == (spec["algo"] if isinstance(spec, dict) else type(spec).__name__)
+    assert got.metrics["tall"]["accuracy"] == 1.0
+    assert got["tall"].predict(df).where("prediction = tall").count() == 30
+    assert not list(tmp_path.iterdir())

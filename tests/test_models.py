@@ -467,3 +467,13 @@ def test_two_classes_in_a_session_that_has_observed_a_table(spark, flowers, tmp_
     assert got.metrics["tall"]["accuracy"] == 1.0
     assert got["tall"].predict(df).where("prediction = tall").count() == 30
     assert not list(tmp_path.iterdir())
+
+
+def test_a_sampled_classifier_after_an_audit(spark, sf_dir):
+    import __spark_entry__ as registry
+
+    run = registry.queries()
+    assert run["clean_audit"](spark, sf_dir).count() > 0  # observes its table
+    got = run["train_sampled"](spark, sf_dir).collect()
+    assert {(r.finished, r.prediction) for r in got} == {(0, 0), (1, 1)} and all(r.sampled for r in got)
+    assert sum(r.n for r in got) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()

@@ -47,6 +47,7 @@ SMALL_ROWS, SMALL_FITS, LARGE_FITS = 1_000_000, 8, 2  # how many fits run side b
 # (rows in a partition, up to this many partitions) for fitting, from the number of rows alone
 PARTS = ((1_250, 8), (12_500, 64), (500_000, None))
 EQUAL_ROWS = 10_000  # equal rows beyond this many go to another partition
+DENSE_SLOTS = 2  # vectors with at most so many slots a feature are clustered in packed blocks
 
 
 @dataclass
@@ -346,9 +347,11 @@ def _train(
     tasks = {t: task or label_task(rows, t) for t in targets}
     if not full and (not tasks or any(t != CLASSIFY for t in tasks.values())):
         raise ValueError("only classifiers are fitted on a sample")
-    # by the key, else by a hash of the cells: the same rows however the table is split
-    place = col(key) if key else F.xxhash64(*[col(c) for c in rows.columns])
-    leading = stage(rows.orderBy(place).limit(FIRST_PREDICTIONS).withColumn("_place", place))
+    leading = None
+    if REGRESS in tasks.values():
+        # by the key, else by a hash of the cells: the same rows however the table is split
+        place = col(key) if key else F.xxhash64(*[col(c) for c in rows.columns])
+        leading = stage(rows.orderBy(place).limit(FIRST_PREDICTIONS).withColumn("_place", place))
     everything = rows if aside is None else rows.unionAll(aside)
     classes = {t: _classes(everything, t, max_classes) if tasks[t] == CLASSIFY else [] for t in targets}
 
@@ -357,7 +360,7 @@ def _train(
 
     used = rows.select(*[col(c) for c in dict.fromkeys([*shared.types, *targets])])
     vectors, held = vectorised(_placed(used, n)), None if aside is None else vectorised(aside)
-    leading = shared.transform(leading).select(VECTOR, "_place")
+    leading = leading and shared.transform(leading).select(VECTOR, "_place")
     at_once = parallelism or min(len(targets) or 1, SMALL_FITS if n <= SMALL_ROWS else LARGE_FITS)
     vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -492,10 +495,11 @@ def _metrics(scored: DataFrame, task: str, classes: list) -> dict:
 
 def _fit_clusters(vectors, shared, spec, n):
     checked, unfitted, notes = _choose(spec, CLUSTER, "cluster", n, 0)
+    packed = not isinstance(spec, Estimator) and n > SMALL_ROWS and len(shared.slots) <= DENSE_SLOTS * len(shared.types)
     rows = vectors.select(VECTOR)
     seed = unfitted.getSeed()
     try:
-        runs = [unfitted.copy({unfitted.seed: seed + i}).fit(rows) for i in range(starts(checked))]
+        runs = [_fit_start(unfitted, rows, seed + i, packed, notes) for i in range(starts(checked))]
     except Exception as problem:  # noqa: BLE001
         if spec is None:
             raise
@@ -507,6 +511,18 @@ def _fit_clusters(vectors, shared, spec, n):
     return trained, notes
 
 
+def _fit_start(unfitted, rows, seed, packed, notes):
+    """A clustering from one start. Packed, the same passes go over blocks of rows; Spark can't do that from
+    fewer centres than asked for, which it may find where few rows differ. Then it goes row by row."""
+    start = unfitted.copy({unfitted.seed: seed})
+    if packed:
+        try:
+            return start.copy({start.solver: "block"}).fit(rows)
+        except Exception as problem:  # noqa: BLE001  whatever it was, the plain passes decide
+            notes.append(f"cluster: {_reason(problem)}; going row by row")
+    return start.fit(rows)
+
+
 def cluster_summary(trained: TrainedTarget, df: DataFrame) -> DataFrame:
     """Per cluster: counts of every column and means of the numeric ones."""
     return group_summary(trained.predict(df), "cluster")

@@ -477,3 +477,39 @@ def test_a_sampled_classifier_after_an_audit(spark, sf_dir):
     got = run["train_sampled"](spark, sf_dir).collect()
     assert {(r.finished, r.prediction) for r in got} == {(0, 0), (1, 1)} and all(r.sampled for r in got)
     assert sum(r.n for r in got) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
+def test_clusters_by_blocks_are_those_by_rows(spark, monkeypatch):
+    """The default clustering passes over packed rows, stages nothing for it, and finds what passes by row find."""
+    staged, stage = [], ensemble.stage
+    monkeypatch.setattr(ensemble, "stage", lambda df: staged.append(df) or stage(df))
+    x = F.pmod(F.xxhash64("id"), F.lit(9973)) / 100
+    kind = F.when(F.col("id") % 11 == 0, None).otherwise(F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 3 + 1).cast("int")))
+    df = spark.range(3000).select("id", F.when(F.col("id") % 7 != 0, x).alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(499)).alias("y"), kind.alias("kind"))
+    roles = Roles(["x", "y", "kind"])
+    monkeypatch.setattr(ensemble, "SMALL_ROWS", 2999)
+    blocks = train(df, roles)
+    assert not staged
+    monkeypatch.setattr(ensemble, "DENSE_SLOTS", 0)
+    by_row = train(df, roles)
+    assert (blocks.first.model.getSolver(), by_row.first.model.getSolver()) == ("block", "auto")
+    for a, b in zip(blocks.first.model.clusterCenters(), by_row.first.model.clusterCenters(), strict=True):
+        assert list(a) == pytest.approx(list(b), abs=1e-9)
+    found, wanted = blocks.metrics["cluster"], by_row.metrics["cluster"]
+    assert found["passes"] == wanted["passes"] and found["training_cost"] == pytest.approx(wanted["training_cost"])
+    both = by_row.first.predict(blocks.first.predict(df, "a_"), "b_")
+    assert both.where("a_cluster = b_cluster").count() == 3000 and both.select("a_cluster").distinct().count() == 3
+
+
+def test_clusters_of_few_rows_and_of_sparse_vectors(spark, monkeypatch):
+    """Packed passes can't start from fewer centres than asked for: plain ones take over."""
+    monkeypatch.setattr(ensemble, "SMALL_ROWS", 0)
+    df = spark.createDataFrame([(1.0, "a"), (5.0, "b"), (9.0, "c")], "x double, s string")
+    for rows in (1, 2, 3):
+        got = train(df.limit(rows), Roles(["x"])).first
+        assert got.predict(df.limit(rows)).select("cluster").distinct().count() == rows
+    equal = train(df.withColumn("x", F.lit(2.0)), Roles(["x"]))
+    assert equal.first.model.getSolver() == "auto" and any("row by row" in line for line in equal.log)
+    assert equal.first.predict(df).select("cluster").distinct().count() == 1
+    hashed = train(df, Roles(["x", "s"]), encoding="hash").first
+    assert hashed.model.getSolver() == "auto" and hashed.predict(df).select("cluster").distinct().count() == 3

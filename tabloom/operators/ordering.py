@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.session import stage
 from tabloom.types import col, is_number, present
 
 SAMPLE_SIZE = 5000
+COPIES_AT_ONCE = 10_000  # equal rows beyond this many are drawn by another task
 ROWS_PER_BUCKET = 500_000
 
 
@@ -27,25 +29,61 @@ def last_rows(df: DataFrame, n: int, key: str) -> DataFrame:
 def sample_rows(df: DataFrame, n: int = SAMPLE_SIZE, key: str | None = None, seed: int = 42) -> DataFrame:
     """Exactly n rows (all rows if there are fewer), the same ones however the table is split.
 
-    Rows are taken in the order of a seeded hash of the key (of the whole row without one).
+    Rows are taken in the order of a seeded hash of the key, which must be unique. Without a key it is a hash of
+    the whole row and, from its second copy on, of the number of the copy: equal rows are drawn one by one.
     A threshold on that hash, chosen from the row count, lets only about n rows reach the
     final sort; it is widened in the unlikely case that too few rows pass.
     """
     total = df.count()
     if total <= n:
         return df
-    names = [key] if key else [f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]
-    hashed = F.xxhash64(F.lit(seed), *[col(c) for c in names])
-    rows = df.withColumn("_h", hashed)
     share = (n + 10 * math.sqrt(n) + 100) / total
+    if key is None:
+        return _sample_copies(df, n, seed, share)
+    rows = df.withColumn("_h", F.xxhash64(F.lit(seed), col(key)))
     while share < 1:
-        limit = int(-(2**63) + share * 2**64)
-        passing = rows.where(F.col("_h") <= F.lit(limit))
+        passing = rows.where(F.col("_h") <= F.lit(_hash_limit(share)))
         if passing.count() >= n:
             rows = passing
             break
         share *= 2
-    return rows.orderBy("_h", *[col(c) for c in names]).limit(n).drop("_h")
+    return rows.orderBy("_h", col(key)).limit(n).drop("_h")
+
+
+def _hash_limit(share: float) -> int:
+    """The 64-bit hash that about this share of all hashes does not exceed."""
+    return int(-(2**63) + share * 2**64)
+
+
+def _sample_copies(df: DataFrame, n: int, seed: int, share: float) -> DataFrame:
+    """Exactly n of more than n rows, some of which may be equal.
+
+    Only hashes of rows and their counts are shuffled to choose how many copies of which row are taken; the chosen
+    ones (n at most) are staged and looked up in the table.
+    """
+    cells = [F.col(f"c{i}") for i in range(len(df.columns))]
+    ordered = [c for c, f in zip(cells, df.schema) if not isinstance(f.dataType, T.MapType)]
+    rows = df.toDF(*[f"c{i}" for i in range(len(cells))]).withColumn("h", F.xxhash64(F.lit(seed), *ordered))
+    counted = rows.groupBy("h").agg(F.count("*").alias("copies"))
+    chunk = F.explode(F.expr(f"sequence(0L, copies - 1, {COPIES_AT_ONCE}L)"))
+    copy = F.explode(F.expr(f"sequence(first, least(first + {COPIES_AT_ONCE}, copies) - 1)"))
+    draw = F.when(F.col("copy") == 0, F.col("h")).otherwise(F.xxhash64(F.lit(seed), "h", "copy"))
+    tasks = df.sparkSession.sparkContext.defaultParallelism  # given, since few bytes here can stand for many copies
+    while True:
+        limit = F.lit(_hash_limit(share) if share < 1 else 2**63 - 1)
+        near = counted.where((F.col("copies") > 1) | (F.col("h") <= limit)).select("*", chunk.alias("first"))
+        drawn = near.repartition(tasks, "h", "first").select("h", copy.alias("copy")).select("h", draw.alias("draw"))
+        first = drawn.where(F.col("draw") <= limit).orderBy("draw", "h").limit(n)
+        taken = stage(first.groupBy("h").agg(F.count("*").alias("taken")))
+        if share >= 1 or taken.agg(F.sum("taken")).first()[0] == n:
+            break
+        share *= 2
+    equal = rows.join(taken, "h").groupBy("h", "taken", *cells).agg(F.count("*").alias("copies"))
+    # rows of one hash are equal, or nearly never different ones that share the places taken
+    before = F.sum("copies").over(Window.partitionBy("h").orderBy("h", *ordered).rowsBetween(Window.unboundedPreceding, -1))
+    times = F.least(F.col("copies"), F.col("taken") - F.coalesce(before, F.lit(0)))
+    some = equal.select(*cells, times.alias("times")).where("times > 0")
+    return some.select(*cells, F.explode(F.expr("sequence(1L, times)"))).select(*cells).toDF(*df.columns)
 
 
 def _position(df: DataFrame, key: str) -> Column:

@@ -513,3 +513,12 @@ def test_clusters_of_few_rows_and_of_sparse_vectors(spark, monkeypatch):
     assert equal.first.predict(df).select("cluster").distinct().count() == 1
     hashed = train(df, Roles(["x", "s"]), encoding="hash").first
     assert hashed.model.getSolver() == "auto" and hashed.predict(df).select("cluster").distinct().count() == 3
+
+
+def test_a_sample_of_few_different_rows_holds_all_classes(spark):
+    """Two rows with 20,000 copies each: a sample of 500 copies of one of them knows a single class."""
+    df = spark.range(40000).select((F.col("id") % 2).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    fitted = train(df, Roles(["x"], ["y"]), full=False, max_rows=500)
+    assert fitted.sampled and fitted["y"].classes == [0, 1]
+    got = fitted["y"].predict(df).groupBy("y", "prediction").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0, 20000), (1, 1, 20000)]

@@ -96,6 +96,43 @@ def test_sample_rows_is_exact_and_independent_of_partitioning(spark):
     assert ordering.sample_rows(df.limit(10), 500).count() == 10
 
 
+def test_sample_rows_draws_equal_rows_one_by_one(spark, monkeypatch):
+    """Four rows with thousands of copies and 4,000 single ones, with a map and a name with a dot."""
+    monkeypatch.setattr(ordering, "COPIES_AT_ONCE", 700, raising=False)
+    n = F.when(F.col("id") < 36000, F.col("id") % 4).otherwise(F.col("id"))
+    df = spark.range(40000).select(n.alias("a.b"), F.create_map(F.lit("k"), n % 2).alias("m"))
+    found = []
+    for parts in (3, 11):
+        picked = ordering.sample_rows(df.repartition(parts), 1000)
+        assert picked.schema == df.schema
+        found.append(sorted((r[0], r[1]["k"]) for r in picked.collect()))
+    assert found[0] == found[1] and len(found[0]) == 1000
+    times = [sum(r[0] == i for r in found[0]) for i in range(4)]
+    assert all(160 < t < 300 for t in times)  # 225 of each are expected
+    single = [r[0] for r in found[0] if r[0] >= 4]
+    assert 60 < len(single) < 140 and len(set(single)) == len(single) and min(single) >= 36000
+    assert all(k == a % 2 for a, k in found[0])
+    assert ordering.sample_rows(df, 39999).count() == 39999  # no threshold
+    assert ordering.sample_rows(df, 39999).select("`a.b`").exceptAll(df.select("`a.b`")).count() == 0
+
+
+def test_sample_rows_of_different_rows_follow_their_hash(spark):
+    df = spark.range(20000).select("id", (F.col("id") % 7).alias("x"))
+    hashed = [r[0] for r in df.orderBy(F.xxhash64(F.lit(42), "id", "x")).limit(500).collect()]
+    assert sorted(r.id for r in ordering.sample_rows(df, 500).collect()) == sorted(hashed)
+
+
+def test_sample_rows_of_different_rows_with_one_hash(spark, monkeypatch):
+    """Rows that share a hash share its places: still exactly n rows of the table."""
+    hash64 = F.xxhash64
+    # the rows have three hashes; their copies keep draws of their own
+    monkeypatch.setattr(F, "xxhash64", lambda seed, *c: hash64(seed, *c) if len(c) > 1 else hash64(seed, c[0] % 3))
+    df = spark.range(3000).select((F.col("id") % 1000).alias("id"))
+    picked = [[r.id for r in ordering.sample_rows(df.repartition(p), 700).collect()] for p in (2, 5)]
+    assert sorted(picked[0]) == sorted(picked[1]) and len(picked[0]) == 700
+    assert max(picked[0].count(i) for i in picked[0]) <= 3
+
+
 @pytest.mark.parametrize("rows_per_bucket", [10**6, 7])
 def test_fill_gaps_across_buckets(spark, rows_per_bucket):
     rnd = random.Random(5)
